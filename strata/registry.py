@@ -343,3 +343,7 @@ best AS (SELECT * FROM ranked WHERE r = 1)
 @query("insight_queries", _insight_oracle())
 def q_insight_queries(spark, sf):
     return I.insight_queries(REL.infer_relationships(spark, test_tables(spark, sf)), 6)
+
+
+# keys that go through storage register themselves on import
+from strata import registry_io  # noqa: E402,F401
