@@ -2,16 +2,17 @@
 
 All-pairs column comparison without comparing column pairs one by one:
 
-1. every eligible column of every table is unpivoted to ``(cid, v)``; cid
-   encodes (table, column) as ``table_index * 1024 + column_index``;
-2. one shuffle on ``v``: per value, the sorted set of columns holding it
-   (``collect_set`` combines map-side, and a set has at most as many members
-   as there are eligible columns, so a hot value cannot grow a group);
-3. a second, much smaller shuffle counts values per distinct column set
+1. every eligible column of every table gets a dense index and is unpivoted
+   to ``(idx, v)``;
+2. one shuffle on ``v``: per value, a bitmask of the columns holding it,
+   built with ``bit_or`` over 64-bit words. It is a fixed-width declarative
+   aggregate, so it runs in the Tungsten hash aggregate and combines
+   map-side: a hot value costs one partial row per task;
+3. a second, much smaller shuffle counts values per distinct bitmask
    ("signature");
-4. each signature emits its ordered column pairs of different tables,
-   weighted by its value count — pairs of *columns*, bounded by the schema,
-   never pairs of rows;
+4. each signature expands to its member columns and emits ordered column
+   pairs of different tables, weighted by its value count — pairs of
+   *columns*, bounded by the schema, never pairs of rows;
 5. distinct counts per column fall out of the same signature table; row
    counts per table are plain counts.
 
@@ -29,12 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.functions.text import percent_text
+from strata.session import checkpoint_root
 
 ELIGIBLE_TYPES = (
     T.StringType, T.ByteType, T.ShortType, T.IntegerType, T.LongType,
     T.BooleanType, T.DateType,
 )
-COLS_PER_TABLE = 1024
+WORD_BITS = 64
 # Values longer than this travel as a 65-character digest ("\x01" + sha-256 hex);
 # plain values are at most this long, so the two forms never collide.
 PLAIN_VALUE_CHARS = 64
@@ -57,29 +59,32 @@ def value_text(c: Column) -> Column:
     return F.when(F.length(s) > PLAIN_VALUE_CHARS, F.concat(F.lit("\u0001"), F.sha2(s, 256))).otherwise(s)
 
 
+def catalog_rows(tables: Mapping[str, DataFrame]) -> list[tuple[int, int, str, str]]:
+    """(idx, tid, table, column) for every eligible column — schema metadata only."""
+    rows, idx = [], 0
+    for tid, (t, df) in enumerate(tables.items()):
+        for c in eligible_columns(df):
+            rows.append((idx, tid, t, c))
+            idx += 1
+    return rows
+
+
 def column_catalog(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
-    """(cid, table, column) for every eligible column — schema metadata only."""
-    rows = []
-    for ti, (t, df) in enumerate(tables.items()):
-        cols = eligible_columns(df)
-        if len(cols) >= COLS_PER_TABLE:
-            raise ValueError(f"{t}: more than {COLS_PER_TABLE - 1} eligible columns")
-        rows += [(ti * COLS_PER_TABLE + ci, t, c) for ci, c in enumerate(cols)]
-    schema = "cid int, table_name string, column_name string"
-    return spark.createDataFrame(rows, schema)
+    return spark.createDataFrame(catalog_rows(tables), "idx int, tid int, table_name string, column_name string")
 
 
 def column_values(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Unpivot every eligible column to ``(cid, v)``, NULLs dropped."""
-    parts = []
-    for ti, (_, df) in enumerate(tables.items()):
+    """Unpivot every eligible column to ``(idx, v)``, NULLs dropped."""
+    parts, idx = [], 0
+    for _, df in tables.items():
         cols = eligible_columns(df)
         if not cols:
             continue
         pairs = F.array(*[
-            F.struct(F.lit(ti * COLS_PER_TABLE + ci).alias("cid"), value_text(F.col(c)).alias("v"))
-            for ci, c in enumerate(cols)
+            F.struct(F.lit(idx + k).alias("idx"), value_text(F.col(c)).alias("v"))
+            for k, c in enumerate(cols)
         ])
+        idx += len(cols)
         parts.append(df.select(F.inline(pairs)))
     out = parts[0]
     for p in parts[1:]:
@@ -90,8 +95,8 @@ def column_values(tables: Mapping[str, DataFrame]) -> DataFrame:
 def table_rows(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Row count per table, NULL rows included (E9 denominator)."""
     parts = [
-        df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(ti).alias("tid"), "n_rows")
-        for ti, (_, df) in enumerate(tables.items())
+        df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(tid).alias("tid"), "n_rows")
+        for tid, (_, df) in enumerate(tables.items())
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -99,31 +104,47 @@ def table_rows(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
-def signatures(values: DataFrame) -> DataFrame:
-    """(sig array<int>, n long): how many values are held by exactly that set of columns."""
-    return (
-        values.groupBy("v").agg(F.array_sort(F.collect_set("cid")).alias("sig"))
-        .groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+def signatures(values: DataFrame, n_cols: int) -> DataFrame:
+    """(sig array<int>, n long): how many distinct values are held by exactly
+    that set of columns. ``n_cols`` is the number of eligible columns."""
+    words = max(1, -(-n_cols // WORD_BITS))
+    one = F.lit(1).cast("long")
+    masks = [
+        F.coalesce(F.bit_or(F.when(F.floor(F.col("idx") / WORD_BITS) == w,
+                                   F.call_function("shiftleft", one, (F.col("idx") % WORD_BITS).cast("int")))), F.lit(0).cast("long")
+                   ).alias(f"w{w}")
+        for w in range(words)
+    ]
+    wcols = [f"w{w}" for w in range(words)]
+    counted = values.groupBy("v").agg(*masks).groupBy(*wcols).agg(F.count(F.lit(1)).alias("n"))
+    word_arr = F.array(*[F.col(c) for c in wcols])
+    members = F.filter(
+        F.sequence(F.lit(0), F.lit(max(n_cols - 1, 0))),
+        lambda i: F.call_function(
+            "shiftrightunsigned",
+            F.element_at(word_arr, (F.floor(i / WORD_BITS) + 1).cast("int")), (i % WORD_BITS).cast("int"),
+        ).bitwiseAND(F.lit(1)) == 1,
     )
+    return counted.select(members.alias("sig"), "n")
 
 
 def column_profile(spark: SparkSession, tables: Mapping[str, DataFrame],
                    sigs: DataFrame | None = None) -> DataFrame:
     """Per eligible column: distinct non-null values, table rows, uniqueness."""
-    sigs = sigs if sigs is not None else signatures(column_values(tables))
+    cat = catalog_rows(tables)
+    sigs = sigs if sigs is not None else signatures(column_values(tables), len(cat))
     catalog = column_catalog(spark, tables)
     distinct = (
-        sigs.select(F.explode("sig").alias("cid"), "n")
-        .groupBy("cid").agg(F.sum("n").alias("n_distinct"))
+        sigs.select(F.explode("sig").alias("idx"), "n")
+        .groupBy("idx").agg(F.sum("n").alias("n_distinct"))
     )
     rows = table_rows(tables)
     return (
         F.broadcast(catalog)
-        .join(distinct, "cid", "left")
-        .withColumn("tid", (F.col("cid") / COLS_PER_TABLE).cast("int"))
+        .join(distinct, "idx", "left")
         .join(F.broadcast(rows), "tid")
         .select(
-            "cid", "table_name", "column_name",
+            "idx", "tid", "table_name", "column_name",
             F.coalesce("n_distinct", F.lit(0)).cast("long").alias("n_distinct"),
             F.col("n_rows").cast("long").alias("n_rows"),
             (F.coalesce("n_distinct", F.lit(0)) / F.col("n_rows")).alias("uniqueness"),
@@ -131,16 +152,18 @@ def column_profile(spark: SparkSession, tables: Mapping[str, DataFrame],
     )
 
 
-def pair_overlaps(sigs: DataFrame) -> DataFrame:
-    """(child cid, parent cid, overlap) for column pairs of different tables."""
+def pair_overlaps(sigs: DataFrame, table_of: list[int]) -> DataFrame:
+    """(child idx, parent idx, overlap) for column pairs of different tables.
+
+    ``table_of[idx]`` is the table index of each column (schema metadata).
+    """
+    tables = F.array(*[F.lit(t) for t in table_of])
+    tab = lambda c: F.element_at(tables, F.col(c) + 1)
     multi = sigs.where(F.size("sig") > 1)
     return (
         multi.select(F.explode("sig").alias("child"), "sig", "n")
         .select("child", F.explode("sig").alias("parent"), "n")
-        .where(
-            (F.col("child") / COLS_PER_TABLE).cast("int")
-            != (F.col("parent") / COLS_PER_TABLE).cast("int")
-        )
+        .where(tab("child") != tab("parent"))
         .groupBy("child", "parent").agg(F.sum("n").alias("overlap"))
     )
 
@@ -154,18 +177,22 @@ def infer_relationships(spark: SparkSession, tables: Mapping[str, DataFrame],
     confidence = overlap_ratio * uniqueness. Sorted by confidence, ties by
     child table, child column, parent table, parent column.
     """
-    sigs = signatures(column_values(tables))
+    cat = catalog_rows(tables)
+    # the signature table is small (one row per distinct column set) and is
+    # read twice below: materialize it once, reliably, in the checkpoint dir
+    checkpoint_root(spark)
+    sigs = signatures(column_values(tables), len(cat)).checkpoint(eager=True)
     prof = column_profile(spark, tables, sigs)
     child = prof.select(
-        F.col("cid").alias("child"), F.col("table_name").alias("child_table"),
+        F.col("idx").alias("child"), F.col("table_name").alias("child_table"),
         F.col("column_name").alias("child_col"), F.col("n_distinct").alias("child_distinct"),
     )
     parent = prof.select(
-        F.col("cid").alias("parent"), F.col("table_name").alias("parent_table"),
+        F.col("idx").alias("parent"), F.col("table_name").alias("parent_table"),
         F.col("column_name").alias("parent_col"), F.col("uniqueness"),
     )
     scored = (
-        pair_overlaps(sigs)
+        pair_overlaps(sigs, [r[1] for r in cat])
         .join(F.broadcast(child), "child")
         .join(F.broadcast(parent), "parent")
         .withColumn("overlap_ratio", F.col("overlap") / F.col("child_distinct"))

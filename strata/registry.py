@@ -95,35 +95,40 @@ def events_by_day(spark, sf, ts_from: str | None = None, ts_to: str | None = Non
 
 
 @query("daily_metrics", f"""
-SELECT CAST(ts AS DATE) AS date, round(avg(value), 4) AS daily_avg, max(value) AS daily_max
+SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS date, round(avg(value), 4) AS daily_avg, max(value) AS daily_max
 FROM events WHERE event_type = 'click' AND CAST(ts AS DATE) > DATE '{DAY_AFTER}'
 GROUP BY 1
 """)
 def q_daily_metrics(spark, sf):
     ev = events_by_day(spark, sf, ts_from="2024-01-11 00:00:00")
-    return R.daily_metrics(ev, "category", "click", "date", DAY_AFTER, "value1", "value2")
+    return day_text(R.daily_metrics(ev, "category", "click", "date", DAY_AFTER, "value1", "value2"))
 
 
 PERIOD = ("2024-01-05", "2024-01-20")
 
 
+def day_text(df: DataFrame, col: str = "date") -> DataFrame:
+    """Report form of a day key: ISO text, identical in every engine's client."""
+    return df.withColumn(col, F.date_format(col, "yyyy-MM-dd"))
+
+
 @query("period_counts", f"""
-SELECT CAST(ts AS DATE) AS date, count(*) AS total_transactions FROM events
+SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS date, count(*) AS total_transactions FROM events
 WHERE event_type = 'purchase' AND CAST(ts AS DATE) BETWEEN DATE '{PERIOD[0]}' AND DATE '{PERIOD[1]}'
 GROUP BY 1
 """)
 def q_period_counts(spark, sf):
     ev = events_by_day(spark, sf, "2024-01-05 00:00:00", "2024-01-21 00:00:00")
-    return R.period_counts(spark, ev, "events_by_day", "purchase", *PERIOD)
+    return day_text(R.period_counts(spark, ev, "events_by_day", "purchase", *PERIOD))
 
 
 @query("contradiction", """
-SELECT CAST(ts AS DATE) AS date, count(*) AS total_transactions FROM events
+SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS date, count(*) AS total_transactions FROM events
 WHERE event_type = 'click' AND event_type = 'error' GROUP BY 1
 """)
 def q_contradiction(spark, sf):
     clicks = events_by_day(spark, sf).where(F.col("category") == "click")
-    return R.period_counts(spark, clicks, "click_days", "error", "2024-01-01", "2024-12-31")
+    return day_text(R.period_counts(spark, clicks, "click_days", "error", "2024-01-01", "2024-12-31"))
 
 
 @query("row_count", "\nUNION ALL\n".join(
@@ -264,7 +269,7 @@ SELECT cols.t AS table_name, cols.c AS column_name, CAST(coalesce(k.nd, 0) AS BI
 FROM cols LEFT JOIN k ON k.t = cols.t AND k.c = cols.c JOIN nr ON nr.t = cols.t
 """)
 def q_column_profile(spark, sf):
-    return REL.column_profile(spark, test_tables(spark, sf)).drop("cid")
+    return REL.column_profile(spark, test_tables(spark, sf)).drop("idx", "tid")
 
 
 @query("column_overlap", """
