@@ -296,3 +296,9 @@ def ddl_script_lines(ddl: DataFrame) -> DataFrame:
     return ddl.orderBy(*relationship_order()).select(
         F.explode(F.array(F.col("comment"), F.col("statement"), F.lit(""))).alias("line")
     )
+
+
+def export_relationships(rel: DataFrame, path: str) -> str:
+    """Relationship table as CSV with a header."""
+    rel.select(*RELATIONSHIP_COLUMNS).write.mode("overwrite").option("header", True).csv(path)
+    return path

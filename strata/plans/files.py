@@ -215,3 +215,20 @@ def backup_status(requested: DataFrame, inv: DataFrame, ledger: DataFrame) -> Da
 def requested_frame(spark: SparkSession, dirs: Sequence[str]) -> DataFrame:
     """A parameter list of directories as a one-column table."""
     return spark.createDataFrame([(d,) for d in dirs], "dir string")
+
+
+def attempt_outcomes(log: DataFrame, item: str = "item", attempt: str = "attempt",
+                     ok: str = "ok", max_attempts: int = 3) -> DataFrame:
+    """Final outcome per item from an attempt log (J4): ``uploaded`` when an
+    attempt within ``max_attempts`` succeeded, else ``failed`` (given up);
+    ``attempts`` counts the tries used. An aggregate, so a hot item is
+    combined map-side."""
+    within = log.where(F.col(attempt) <= max_attempts)
+    return within.groupBy(item).agg(
+        F.min(F.when(F.col(ok), F.col(attempt))).alias("first_ok"),
+        F.max(attempt).alias("last_attempt"),
+    ).select(
+        item,
+        F.when(F.col("first_ok").isNotNull(), "uploaded").otherwise("failed").alias("status"),
+        F.coalesce("first_ok", "last_attempt").alias("attempts"),
+    )

@@ -327,3 +327,20 @@ def test_pushed_filter_and_pruned_schema(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan or "GreaterThanOrEqual(ts" in plan
     assert "props" not in plan.split("ReadSchema:")[1].split("\n")[0]
+
+
+def test_attempt_outcomes(spark):
+    log = spark.createDataFrame(
+        [("a", 1, False), ("a", 2, True), ("b", 1, False), ("b", 2, False), ("b", 3, False), ("c", 1, True),
+         ("d", 4, True)], "item string, attempt int, ok boolean")
+    got = {r.item: (r.status, r.attempts) for r in P.attempt_outcomes(log).collect()}
+    assert got == {"a": ("uploaded", 2), "b": ("failed", 3), "c": ("uploaded", 1)}
+
+
+def test_export_relationships_and_ddl_script(spark):
+    rel = REL.infer_relationships(spark, S.load_tables(spark, SF_SMALL, ["region", "nation"]))
+    path = REL.export_relationships(rel, scratch_path(spark, "rel_csv"))
+    back = spark.read.option("header", True).csv(path)
+    assert back.columns == REL.RELATIONSHIP_COLUMNS and back.count() == rel.count()
+    lines = W.write_lines(REL.ddl_script_lines(REL.fk_ddl(rel)), scratch_path(spark, "ddl"), "line")
+    assert any("ALTER TABLE nation ADD CONSTRAINT" in r.value for r in spark.read.text(lines).collect())
