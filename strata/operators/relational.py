@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.session import checkpoint_root
+from strata.session import materialize
 
 
 def _c(c: Column | str) -> Column:
@@ -120,8 +120,7 @@ def top_in_group(df: DataFrame, key: str, order: Sequence[Column], k: int,
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
-def rank_in_group(df: DataFrame, key: str, order: Sequence[Column],
-                  order_cols: Sequence[str], name: str = "rnk",
+def rank_in_group(df: DataFrame, key: str, order: Sequence[Column], name: str = "rnk",
                   parts: int | None = None) -> DataFrame:
     """Row number of every row inside its group, skew-safe (F1).
 
@@ -132,15 +131,13 @@ def rank_in_group(df: DataFrame, key: str, order: Sequence[Column],
     shuffle splits hot keys too); only keys cut by a partition boundary — at
     most one per boundary, so at most 2 x partitions rows — need an offset,
     which is computed on that bounded table and broadcast back.
-    The range-partitioned frame is checkpointed: bounds come from sampling,
-    and both passes must see the same assignment.
+    The range-partitioned frame is written once under the checkpoint root:
+    bounds come from sampling, and both passes must see the same assignment.
     """
-    checkpoint_root(df.sparkSession)
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (
-        df.repartitionByRange(n, F.col(key), *order)
-        .withColumn("_pid", F.spark_partition_id())
-        .checkpoint(eager=True)
+    ranged = materialize(
+        df.repartitionByRange(n, F.col(key), *order).withColumn("_pid", F.spark_partition_id()),
+        "ranked_input",
     )
     local = ranged.withColumn(
         "_lrn", F.row_number().over(Window.partitionBy("_pid", key).orderBy(*order))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.functions.text import percent_text
-from strata.session import checkpoint_root
+from strata.session import materialize
 
 ELIGIBLE_TYPES = (
     T.StringType, T.ByteType, T.ShortType, T.IntegerType, T.LongType,
@@ -74,18 +74,21 @@ def column_catalog(spark: SparkSession, tables: Mapping[str, DataFrame]) -> Data
 
 
 def column_values(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Unpivot every eligible column to ``(idx, v)``, NULLs dropped."""
+    """Unpivot every eligible column to ``(idx, v)``, NULLs dropped.
+
+    ``unpivot`` plans as an ``Expand``, which stays inside whole-stage codegen.
+    """
     parts, idx = [], 0
     for _, df in tables.items():
         cols = eligible_columns(df)
         if not cols:
             continue
-        pairs = F.array(*[
-            F.struct(F.lit(idx + k).alias("idx"), value_text(F.col(c)).alias("v"))
-            for k, c in enumerate(cols)
-        ])
+        wide = df.select(*[value_text(F.col(c)).alias(str(idx + k)) for k, c in enumerate(cols)])
         idx += len(cols)
-        parts.append(df.select(F.inline(pairs)))
+        parts.append(
+            wide.unpivot([], wide.columns, "name", "v")
+            .select(F.col("name").cast("int").alias("idx"), "v")
+        )
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -180,8 +183,7 @@ def infer_relationships(spark: SparkSession, tables: Mapping[str, DataFrame],
     cat = catalog_rows(tables)
     # the signature table is small (one row per distinct column set) and is
     # read twice below: materialize it once, reliably, in the checkpoint dir
-    checkpoint_root(spark)
-    sigs = signatures(column_values(tables), len(cat)).checkpoint(eager=True)
+    sigs = materialize(signatures(column_values(tables), len(cat)), "signatures")
     prof = column_profile(spark, tables, sigs)
     child = prof.select(
         F.col("idx").alias("child"), F.col("table_name").alias("child_table"),

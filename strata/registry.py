@@ -149,8 +149,7 @@ FROM customer
 """)
 def q_rank_in_group(spark, sf):
     cust = T(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
-    return R.rank_in_group(cust, "c_mktsegment", [F.col("c_acctbal").desc(), F.col("c_custkey")],
-                           ["c_acctbal", "c_custkey"])
+    return R.rank_in_group(cust, "c_mktsegment", [F.col("c_acctbal").desc(), F.col("c_custkey")])
 
 
 @query("top_in_group", """

@@ -102,6 +102,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame once as parquet under the checkpoint root and read it back.
+
+    Cuts lineage like ``checkpoint()`` (the data lives in the shared
+    checkpoint folder, so a lost executor does not recompute upstream
+    stages) in a single job: ``Dataset.checkpoint`` evaluates its input
+    twice unless it is also cached.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 class temp_output:
     """Context manager: a scratch path removed on exit, also on failure."""
 

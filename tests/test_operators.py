@@ -93,7 +93,7 @@ def test_rank_in_group_hot_key_matches_window(spark):
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("id") % 7).cast("string"))).alias("k"),
         (F.col("id") * 7919 % 1000).cast("double").alias("v"), "id")
     order = [F.col("v").desc(), F.col("id")]
-    got = R.rank_in_group(df, "k", order, ["v", "id"], parts=6)
+    got = R.rank_in_group(df, "k", order, parts=6)
     want = df.withColumn("rnk", F.row_number().over(Window.partitionBy("k").orderBy(*order)).cast("int"))
     assert got.exceptAll(want.select(*got.columns)).count() == 0
     assert got.count() == n
