@@ -17,23 +17,32 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 
+# The binaryFile source's fixed schema (streaming sources need it declared).
+BINARY_FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+
+
 def watch(spark: SparkSession, dirs: str | Iterable[str], fmt: str = "binaryFile",
           schema: T.StructType | str | None = None, glob: str | None = None,
           clean_source: str | None = None, archive_dir: str | None = None,
-          max_files_per_trigger: int | None = None) -> DataFrame:
+          max_files_per_trigger: int | None = None, recursive: bool | None = None) -> DataFrame:
     """Streaming frame over files arriving in one or more folders.
 
     ``fmt='binaryFile'`` yields one row per file (path, modificationTime,
     length, content — select without ``content`` to skip the bytes).
     ``clean_source`` is ``'archive'`` or ``'delete'`` (source removed after a
-    batch commits), off by default.
+    batch commits), off by default. ``recursive`` (default on for
+    ``binaryFile``) also picks up files in sub-folders.
     """
     paths = [dirs] if isinstance(dirs, str) else list(dirs)
     reader = spark.readStream.format(fmt)
+    if schema is None and fmt == "binaryFile":
+        schema = BINARY_FILE_SCHEMA
     if schema is not None:
         reader = reader.schema(schema)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
+    if recursive or (recursive is None and fmt == "binaryFile"):
+        reader = reader.option("recursiveFileLookup", True)
     if clean_source:
         reader = reader.option("cleanSource", clean_source)
         if archive_dir:

@@ -344,3 +344,30 @@ def test_export_relationships_and_ddl_script(spark):
     assert back.columns == REL.RELATIONSHIP_COLUMNS and back.count() == rel.count()
     lines = W.write_lines(REL.ddl_script_lines(REL.fk_ddl(rel)), scratch_path(spark, "ddl"), "line")
     assert any("ALTER TABLE nation ADD CONSTRAINT" in r.value for r in spark.read.text(lines).collect())
+
+
+def test_binary_file_watch_lists_each_file_once(spark):
+    from strata.streaming.watch import run_watch, watch
+    inbox, out, ckpt = (scratch_path(spark, n) for n in ("inbox_b", "out_b", "ckpt_b"))
+    spark.range(30).select(F.col("id").cast("string").alias("value")).repartition(3).write.text(f"{inbox}/a")
+    stream = watch(spark, inbox, glob="*.txt").select("path", "length")
+    run_watch(stream, out, ckpt, once=True).awaitTermination()
+    first = spark.read.parquet(out).count()
+    spark.range(5).select(F.col("id").cast("string").alias("value")).write.text(f"{inbox}/b")
+    run_watch(watch(spark, inbox, glob="*.txt").select("path", "length"), out, ckpt, once=True).awaitTermination()
+    rows = spark.read.parquet(out)
+    assert first == 3 and rows.count() == first + rows.where(F.col("path").contains("/b/")).count()
+    assert rows.select("path").distinct().count() == rows.count()
+
+
+def test_admit_ticks_admit_each_file_once(spark):
+    from strata.streaming.admit import admit_tick
+    inv = spark.createDataFrame([("/a", 1), ("/b", 1), ("/c", 1)], "path string, length long").withColumn(
+        "mtime", F.expr("timestampadd(HOUR, cast(length as int) * 0, TIMESTAMP_NTZ '2024-01-01 00:00:00')")
+        + F.expr("make_dt_interval(0, CASE path WHEN '/a' THEN 0 WHEN '/b' THEN 3 ELSE 9 END, 0, 0)"))
+    ledger = scratch_path(spark, "admit_t")
+    t1 = admit_tick(spark, inv, ledger, 5, "2024-01-01 06:00:00").collect()
+    t2 = admit_tick(spark, inv, ledger, 5, "2024-01-01 09:00:00").collect()
+    t3 = admit_tick(spark, inv, ledger, 5, "2024-01-01 09:00:00").collect()
+    assert [r.path for r in t1] == ["/a"] and [r.path for r in t2] == ["/b"] and t3 == [r for r in t2]
+    assert spark.read.parquet(ledger).count() == 2
