@@ -29,3 +29,78 @@ def admit_tick(spark: SparkSession, inventory: DataFrame, ledger_path: str, hour
     fresh = eligible.distinct().withColumn("admitted_at", literal_ts(now))
     fresh.write.mode("append").parquet(ledger_path)
     return spark.read.parquet(ledger_path).where(F.col("admitted_at") == literal_ts(now))
+
+
+# ---------------------------------------------------------------- stateful form
+
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ADMITTED_SCHEMA = "path STRING, mtime_ms BIGINT, admitted_ms BIGINT"
+
+
+def _age_gate(age_ms: int):
+    """Build the per-path processor: admit at first sight when old enough,
+    otherwise keep the modification time in state and fire a processing-time
+    timer when the file comes of age. Each path is admitted once."""
+    import pandas as pd
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    class AgeGate(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.pending = handle.getValueState("pending", "mtime_ms BIGINT")
+            self.done = handle.getValueState("done", "admitted_ms BIGINT")
+
+        def _emit(self, path, mtime_ms, now):
+            self.done.update((now,))
+            self.pending.clear()
+            return pd.DataFrame({"path": [path], "mtime_ms": [mtime_ms], "admitted_ms": [now]})
+
+        def handleInputRows(self, key, rows, timerValues):
+            newest = max(int(pdf["mtime_ms"].max()) for pdf in rows)
+            if self.done.exists():
+                return
+            now = timerValues.getCurrentProcessingTimeInMs()
+            if newest + age_ms < now:  # strictly older than the age bound
+                yield self._emit(key[0], newest, now)
+                return
+            if self.pending.exists():
+                self.handle.deleteTimer(self.pending.get()[0] + age_ms + 1)
+            self.pending.update((newest,))
+            self.handle.registerTimer(newest + age_ms + 1)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            if self.done.exists() or not self.pending.exists():
+                return
+            yield self._emit(key[0], self.pending.get()[0], timerValues.getCurrentProcessingTimeInMs())
+
+        def close(self):
+            pass
+
+    return AgeGate()
+
+
+def admit_stream(stream: DataFrame, hours: float, path_col: str = "path",
+                 mtime_col: str = "modificationTime") -> DataFrame:
+    """Streaming age gate keyed by path (J2, stateful form).
+
+    ``stream`` is a file listing stream (e.g. ``watch(..., 'binaryFile')``).
+    Old-enough files pass at first sight; younger ones wait in keyed state for
+    a processing-time timer, so a file that is young when first listed is not
+    lost. State lives in the RocksDB state store (set on the session here if
+    no provider is configured) and in the query checkpoint.
+    """
+    spark = stream.sparkSession
+    key = "spark.sql.streaming.stateStore.providerClass"
+    current = spark.conf.get(key, None)
+    if not current or "HDFSBackedStateStoreProvider" in current:
+        spark.conf.set(key, ROCKSDB_PROVIDER)
+    keyed = stream.select(
+        F.col(path_col).alias("path"),
+        F.unix_millis(F.col(mtime_col).cast("timestamp")).alias("mtime_ms"),
+    )
+    return keyed.groupBy("path").transformWithStateInPandas(
+        statefulProcessor=_age_gate(int(hours * 3600 * 1000)),
+        outputStructType=ADMITTED_SCHEMA,
+        outputMode="Append",
+        timeMode="ProcessingTime",
+    )

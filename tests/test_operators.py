@@ -371,3 +371,35 @@ def test_admit_ticks_admit_each_file_once(spark):
     t3 = admit_tick(spark, inv, ledger, 5, "2024-01-01 09:00:00").collect()
     assert [r.path for r in t1] == ["/a"] and [r.path for r in t2] == ["/b"] and t3 == [r for r in t2]
     assert spark.read.parquet(ledger).count() == 2
+
+
+def test_stateful_age_gate_admits_young_files_later(spark, tmp_path):
+    import time as _t
+    from strata.streaming.admit import admit_stream
+    from strata.streaming.watch import watch
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    now = _t.time()
+    for name, mtime in (("old1.gz", 1_700_000_000), ("old2.gz", 1_700_000_100), ("young.gz", now + 3)):
+        f = inbox / name
+        f.write_text(name)
+        os.utime(f, (mtime, mtime))
+    out, ckpt = scratch_path(spark, "gate_out"), scratch_path(spark, "gate_ckpt")
+    gated = admit_stream(watch(spark, str(inbox), glob="*.gz"), hours=2 / 3600)  # 2 seconds
+    q = (gated.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+         .outputMode("append").trigger(processingTime="1 second").start())
+    try:
+        deadline = _t.time() + 60
+        rows = []
+        while _t.time() < deadline:
+            _t.sleep(2)
+            if path_exists(spark, out):
+                rows = spark.read.schema("path string, mtime_ms long, admitted_ms long").parquet(out).collect()
+                if any(r.path.endswith("young.gz") for r in rows):
+                    break
+    finally:
+        q.stop()
+    by_name = {os.path.basename(r.path): r for r in rows}
+    assert len(rows) == 3 and set(by_name) == {"old1.gz", "old2.gz", "young.gz"}
+    assert by_name["young.gz"].admitted_ms > by_name["young.gz"].mtime_ms + 2000
+    assert by_name["young.gz"].admitted_ms > by_name["old1.gz"].admitted_ms
