@@ -403,3 +403,59 @@ def test_stateful_age_gate_admits_young_files_later(spark, tmp_path):
     assert len(rows) == 3 and set(by_name) == {"old1.gz", "old2.gz", "young.gz"}
     assert by_name["young.gz"].admitted_ms > by_name["young.gz"].mtime_ms + 2000
     assert by_name["young.gz"].admitted_ms > by_name["old1.gz"].admitted_ms
+
+
+def test_info_and_preview(spark):
+    df = spark.createDataFrame([(1, None), (2, "b"), (None, "c")], "a int, b string")
+    got = {(r.column, r.type, r.non_null) for r in CL.info(df).collect()}
+    assert got == {("a", "int", 2), ("b", "string", 2)}
+    assert CL.preview(df, 2).count() == 2
+
+
+def test_timed_steps_as_table(spark):
+    from strata.session import timed, timings_frame
+    n, rec = timed("count", lambda: spark.range(10).count())
+    assert n == 10 and rec[0] == "count" and rec[2] == 10 and rec[1] >= 0
+    assert timings_frame(spark, [rec]).columns == ["step", "seconds", "rows"]
+
+
+def test_subdirectories_and_requested_dirs(spark):
+    from strata.sources.inventory import check_requested, subdirectories
+    inv = spark.createDataFrame([("/b/0/c1/x.gz", 1), ("/b/0/c2/y.gz", 1), ("/b/1/c1/z/w.gz", 1)],
+                                "path string, length long")
+    subs = sorted(r.dir for r in subdirectories(inv, ["/b/0", "/b/1"]).collect())
+    assert subs == ["/b/0/c1", "/b/0/c2", "/b/1/c1"]
+    req = spark.createDataFrame([("/b/0",), ("/b/1/",), ("/b/9",)], "dir string")
+    got = {r.dir: r.status for r in check_requested(spark, req, inv).collect()}
+    assert got == {"/b/0": "found", "/b/1": "found", "/b/9": "invalid"}
+
+
+def test_mapping_csv_routes_by_band(spark, tmp_path):
+    rows = ["username,project_name,project_id"]
+    rows += [f"u{i},P{i},{1000 + i}" for i in range(1, 11)] + [f"u{i},Q{i},{100 + i}" for i in range(1, 11)]
+    (tmp_path / "map.csv").write_text("\n".join(rows) + "\n")
+    mapping = S.read_csv(spark, str(tmp_path / "map.csv"),
+                         schema="username string, project_name string, project_id string")
+    existing = spark.createDataFrame([("/src/0",), ("/src/1",)], "dir string")
+    plan = RT.route_projects(mapping, 9999, "/src", "/dst", existing)
+    bands = {r.band: r.n for r in plan.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert bands == {0: 10, 1: 10} and plan.where("action = 'copy'").count() == 20
+
+
+def test_synth_fixtures_shapes(spark):
+    p2 = SY.synth_two_categories(spark, 1000, 4)
+    assert set(p2.columns) == {"id", "rand1", "rand2", "category"}
+    assert {r.category for r in p2.select("category").distinct().collect()} <= {"A", "B"}
+    p3 = SY.synth_partitioned(spark, 1000, 4, days=30)
+    span = p3.agg(F.datediff(F.max("date"), F.min("date")).alias("d")).first().d
+    assert 0 <= span < 30
+    m = SY.synth_measures(spark, 260, 2, columns=("id", "category", "value"))
+    assert m.columns == ["id", "category", "value"]
+    assert m.agg(F.min("category"), F.max("category")).first() [0] >= 1
+
+
+def test_partitioned_generation_write_is_salted(spark):
+    df = SY.synth_partitioned(spark, 2000, 4, days=5)
+    out = W.cluster_for_write(df, ["category", "date"], 8, spread=4)
+    plan = plan_text(out)
+    assert "hashpartitioning(category" in plan and "_salt" in plan
