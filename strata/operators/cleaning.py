@@ -1,10 +1,10 @@
 """Cleaning a folder of drifting CSV files.
 
-Files are read once as text lines with their file path. Each file's header
-is its first line; files are grouped by header (few groups, many files), each
-group's lines are parsed with ``from_csv`` and that group's own column list,
-and the groups are unioned by name. No file list passes through the driver —
-only the distinct headers do.
+Files are read as text lines with their file path. Each file's header is its
+first line; files are grouped by header (few groups, many files). Every line
+is parsed once with a positional all-string schema, and each wanted column is
+taken from the position it has in its file's header. No file list passes
+through the driver — only the distinct headers do.
 
 Line-based parsing does not support quoted fields that span lines.
 """
@@ -69,33 +69,31 @@ def clean_csv_dir(spark: SparkSession, path: str, wanted: Sequence[str],
         lines.where(F.col("block") == 0)
         .groupBy("file").agg(F.min_by("value", "_pos").alias("header"), F.min("_pos").alias("_hpos"))
     )
-    header_texts = [r["header"] for r in headers.select("header").distinct().collect()]
+    # distinct header texts are schema metadata: few, however many files there are
+    header_texts = sorted(r["header"] for r in headers.select("header").distinct().collect())
+    layouts = [(h, header_columns(h)) for h in header_texts]
+    layouts = [(h, cols) for h, cols in layouts if cols and all(c != "" for c in cols)]
+    width = max([len(cols) for _, cols in layouts] or [1])
+    gid = F.lit(None).cast("int")
+    for g, (h, _) in reversed(list(enumerate(layouts))):
+        gid = F.when(F.col("header") == h, F.lit(g)).otherwise(gid)
     data = (
-        lines.join(headers, "file")
+        lines.join(headers.withColumn("_gid", gid), "file")
         .where(F.col("_pos") != F.col("_hpos"))
         .where(F.trim("value") != "")
     )
-    parsed_groups = []
-    for h in header_texts:
-        cols = header_columns(h)
-        if not cols or any(c == "" for c in cols):
-            continue
-        schema = ", ".join(f"`{c}` STRING" for c in cols)
-        present = [c for c in wanted if c in cols]
-        group = data.where(F.col("header") == h).select(
-            "file", F.from_csv("value", schema, {"mode": "PERMISSIVE"}).alias("r")
-        )
-        parsed_groups.append(group.select("file", *[F.col(f"r.`{c}`").alias(c) for c in present]))
-    if parsed_groups:
-        rows = parsed_groups[0]
-        for g in parsed_groups[1:]:
-            rows = rows.unionByName(g, allowMissingColumns=True)
-        for c in wanted:
-            if c not in rows.columns:
-                rows = rows.withColumn(c, F.lit(None).cast("string"))
-        rows = rows.select("file", *wanted)
-    else:
-        rows = spark.createDataFrame([], "file string, " + ", ".join(f"`{c}` string" for c in wanted))
+    # one positional parse per line; each wanted column is looked up by the
+    # position it has in that file's header — one pass over the text
+    positional = ", ".join(f"_c{i} STRING" for i in range(width))
+    parsed = data.select("file", "_gid", F.from_csv("value", positional, {"mode": "PERMISSIVE"}).alias("r"))
+    picks = []
+    for c in wanted:
+        expr = F.lit(None).cast("string")
+        for g, (_, cols) in enumerate(layouts):
+            if c in cols:
+                expr = F.when(F.col("_gid") == g, F.col(f"r._c{cols.index(c)}")).otherwise(expr)
+        picks.append(expr.alias(c))
+    rows = parsed.where(F.col("_gid").isNotNull()).select("file", *picks)
     kept = drop_empty(rows, wanted)
 
     rows_in = data.groupBy("file").agg(F.count(F.lit(1)).alias("rows_in"))

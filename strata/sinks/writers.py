@@ -126,19 +126,36 @@ def compact(spark: SparkSession, src: str, dst: str, target_bytes: int = 128 <<
             fmt: str = "parquet", partition_by: Sequence[str] | None = None) -> str:
     """Rewrite a folder of small files into files of about ``target_bytes``
     (B16). The byte total comes from a distributed listing of ``src``; the
-    result goes to ``dst`` (never over the input)."""
+    result goes to ``dst`` (never over the input).
+
+    For a partitioned layout each partition value gets its own number of
+    output buckets, in proportion to its rows, so a partition value holding a
+    third of the data is written by many tasks, not one.
+    """
     from strata.sources.inventory import inventory
 
     total = inventory(spark, src).agg(F.sum("length")).first()[0] or 0
     n = max(1, math.ceil(total / target_bytes))
     df = spark.read.format(fmt).load(src)
+    w = None
     if partition_by:
-        df = df.repartition(n, *partition_by)
+        keys = list(partition_by)
+        # rows that fill one target-sized file, from two scalars (bytes listed, rows counted)
+        rows_total = df.count()
+        rows_per_file = max(1, (target_bytes * rows_total) // max(total, 1))
+        # one row per partition value (the layout's directory count)
+        buckets = df.groupBy(*keys).agg(
+            F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).cast("long").alias("_buckets")
+        )
+        salted = (
+            df.join(F.broadcast(buckets), keys)
+            .withColumn("_b", F.pmod(F.xxhash64(*df.columns), F.col("_buckets")))
+            .repartition(n, *keys, "_b")
+            .drop("_b", "_buckets")
+        )
+        w = salted.write.mode("overwrite").format(fmt).partitionBy(*keys)
     else:
-        df = df.repartition(n)
-    w = df.write.mode("overwrite").format(fmt)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
+        w = df.repartition(n).write.mode("overwrite").format(fmt)
     w.save(dst)
     return dst
 
