@@ -56,8 +56,10 @@ def get_session(
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local runs, tests) a
-    private folder is created and registered as the checkpoint directory.
+    Read from the session; only when it is unset in a local-mode session
+    (tests, single-machine runs) a private folder is created and registered.
+    A cluster session without the setting is an error: a folder on the
+    driver's disk is not visible to executors.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -67,6 +69,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         configured = tempfile.mkdtemp(prefix="strata-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
