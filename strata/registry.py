@@ -349,5 +349,22 @@ def q_insight_queries(spark, sf):
     return I.insight_queries(REL.infer_relationships(spark, test_tables(spark, sf)), 6)
 
 
+@query("er_diagram", f"""
+WITH {_REL_CTE},
+best AS (SELECT *, row_number() OVER (PARTITION BY parent_table, child_table ORDER BY {_ORDER}) AS r
+         FROM rel WHERE confidence >= 0.75),
+e AS (SELECT * FROM best WHERE r = 1)
+SELECT 0 AS section, 'erDiagram' AS line
+UNION ALL
+SELECT DISTINCT 1, '    ' || t || ' {{}}' FROM (SELECT parent_table AS t FROM e UNION SELECT child_table FROM e)
+UNION ALL
+SELECT 2, '    ' || parent_table || ' ' || (CASE WHEN confidence > 0.9 THEN '||--o{{' ELSE '||--|{{' END) || ' ' ||
+          child_table || ' : "' || parent_col || ' → ' || child_col || ' [' || {_pct('confidence', 0)} || ']"'
+FROM e
+""")
+def q_er_diagram(spark, sf):
+    return REL.er_diagram_lines(REL.er_edges(REL.infer_relationships(spark, test_tables(spark, sf)), 0.75))
+
+
 # keys that go through storage register themselves on import
 from strata import registry_io  # noqa: E402,F401

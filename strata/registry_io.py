@@ -581,3 +581,47 @@ def q_admit_by_age(spark, sf):
     admit_tick(spark, inv, ledger, 5, "2024-01-01 12:00:00")
     admit_tick(spark, inv, ledger, 5, "2024-01-01 12:00:00")  # replay: admits nothing
     return spark.read.parquet(ledger)
+
+
+# ---------------------------------------------------------------- more plan operators
+
+
+@query("usage_percent", f"""
+{WITH_INV} SELECT CAST(sum(length) AS BIGINT) AS used_bytes, CAST(sum(length) * 100 // 2000000 AS BIGINT) AS usage_pct
+FROM inv
+""")
+def q_usage_percent(spark, sf):
+    return P.usage_percent(inv_frame(spark, sf), 2_000_000)
+
+
+@query("session_dirs", f"""
+{WITH_INV}
+SELECT DISTINCT string_split(path, '/')[4] AS workspace, regexp_replace(path, '/[^/]*$', '') AS dir
+FROM inv WHERE path LIKE '/logs/prod/%' AND string_split(path, '/')[4] IN ('alpha', 'alpha-regional')
+""")
+def q_session_dirs(spark, sf):
+    ws = spark.createDataFrame([("alpha",), ("alpha-regional",)], "workspace string")
+    return P.session_dirs(inv_frame(spark, sf), "/logs/prod", ws).select("workspace", "dir").distinct()
+
+
+@query("subdirectories", f"""
+{WITH_INV}
+SELECT DISTINCT regexp_extract(path, '^(/var/tmp/projects/[0-9]+)/', 1) AS base,
+       regexp_extract(path, '^(/var/tmp/projects/[0-9]+/[^/]+)/', 1) AS dir
+FROM inv WHERE path LIKE '/var/tmp/projects/%'
+""")
+def q_subdirectories(spark, sf):
+    from strata.sources.inventory import subdirectories
+    return subdirectories(inv_frame(spark, sf), REQUESTED_BASES)
+
+
+@query("column_info", """
+SELECT 'o_orderkey' AS "column", count(o_orderkey) AS non_null FROM orders
+UNION ALL SELECT 'o_custkey', count(o_custkey) FROM orders
+UNION ALL SELECT 'o_orderstatus', count(o_orderstatus) FROM orders
+UNION ALL SELECT 'o_totalprice', count(o_totalprice) FROM orders
+UNION ALL SELECT 'o_orderdate', count(o_orderdate) FROM orders
+UNION ALL SELECT 'o_orderpriority', count(o_orderpriority) FROM orders
+""")
+def q_column_info(spark, sf):
+    return CL.info(T(spark, sf, "orders")).select("column", "non_null")
