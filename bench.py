@@ -3,7 +3,9 @@
 Runs each key at ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) on
 ``local[$BENCH_CPUS]`` (default 8). Each query is materialized through the
 ``noop`` sink — the whole plan executes, nothing is collected — once cold and
-``$BENCH_RUNS`` times warm; the reported time is the warm median. Prints one
+``$BENCH_RUNS`` times warm; the reported time is the warm median. The
+reference's own timed load jobs (``wl_*``, see strata/workloads.py) run with
+as many generated rows as ``lineitem`` has at that scale factor. Prints one
 JSON line.
 """
 
@@ -19,6 +21,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from strata.registry import QUERIES  # noqa: E402
 from strata.session import get_session  # noqa: E402
+from strata.workloads import WORKLOADS  # noqa: E402
 
 HEADLINE = [
     "group_stats", "avg_max", "conditional_columns", "daily_metrics", "period_counts",
@@ -29,9 +32,12 @@ HEADLINE = [
 ]
 
 
-def run(spark, key: str, sf_dir: str) -> float:
+def run(spark, key: str, sf_dir: str, n: int) -> float:
     t0 = time.perf_counter()
-    QUERIES[key](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    if key in WORKLOADS:
+        WORKLOADS[key](spark, n)
+    else:
+        QUERIES[key](spark, sf_dir).write.format("noop").mode("overwrite").save()
     return time.perf_counter() - t0
 
 
@@ -39,13 +45,15 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
-    keys = sys.argv[1:] or HEADLINE
+    keys = sys.argv[1:] or HEADLINE + list(WORKLOADS)
     spark = get_session(f"local[{cpus}]", app="strata-bench", shuffle_partitions=cpus * 2,
                         conf={"spark.driver.memory": "16g"})
+    # the reference's generated workloads are sized like the scale factor's lineitem
+    n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     times: dict[str, float] = {}
     for key in keys:
-        run(spark, key, sf_dir)  # cold: file listing, codegen, JIT
-        warm = [run(spark, key, sf_dir) for _ in range(runs)]
+        run(spark, key, sf_dir, n)  # cold: file listing, codegen, JIT
+        warm = [run(spark, key, sf_dir, n) for _ in range(runs)]
         times[key] = round(statistics.median(warm), 3)
     spark.stop()
     sf = sf_dir.rsplit("sf", 1)[-1]

@@ -34,8 +34,7 @@ SELECT user_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY
 def q_partition_roundtrip(spark, sf):
     path = scratch_path(spark, "events_by_type_day")
     ev = events_by_day(spark, sf)
-    n = max(1, spark.sparkContext.defaultParallelism)
-    W.write(W.cluster_for_write(ev, ["category", "date"], n, spread=4), path,
+    W.write(W.balanced_by_key(ev, ["category", "date"], rows_per_file=1_000_000), path,
             partition_by=["category", "date"])
     back = spark.read.parquet(path)
     return back.where(F.col("category") == "purchase").groupBy("user_id").agg(

@@ -49,6 +49,27 @@ def cluster_for_write(df: DataFrame, keys: Sequence[str], n: int, spread: int =
     return df.withColumn("_salt", salt).repartition(n, *keys, "_salt").drop("_salt")
 
 
+def balanced_by_key(df: DataFrame, keys: Sequence[str], rows_per_file: int,
+                    n: int | None = None) -> DataFrame:
+    """Repartition for a partitioned write so every partition value is split
+    into ``ceil(rows / rows_per_file)`` buckets (K2 with a salt sized from data).
+
+    Small values stay whole (one file each), a value holding a third of the
+    data is written by many tasks. The per-value bucket table has one row per
+    partition value — the layout's directory count — and is broadcast.
+    """
+    keys = list(keys)
+    buckets = df.groupBy(*keys).agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(max(1, int(rows_per_file)))).cast("long").alias("_buckets")
+    )
+    salted = (
+        df.join(F.broadcast(buckets), keys)
+        .withColumn("_b", F.pmod(F.xxhash64(*df.columns), F.col("_buckets")))
+    )
+    parts = [n] if n else []
+    return salted.repartition(*parts, *keys, "_b").drop("_b", "_buckets")
+
+
 def fan_out(df: DataFrame, sinks: Iterable[tuple[str, str] | tuple[str, str, dict]],
             storage: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> int:
     """Write one result to several sinks with one evaluation.
@@ -143,16 +164,7 @@ def compact(spark: SparkSession, src: str, dst: str, target_bytes: int = 128 <<
         # rows that fill one target-sized file, from two scalars (bytes listed, rows counted)
         rows_total = df.count()
         rows_per_file = max(1, (target_bytes * rows_total) // max(total, 1))
-        # one row per partition value (the layout's directory count)
-        buckets = df.groupBy(*keys).agg(
-            F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).cast("long").alias("_buckets")
-        )
-        salted = (
-            df.join(F.broadcast(buckets), keys)
-            .withColumn("_b", F.pmod(F.xxhash64(*df.columns), F.col("_buckets")))
-            .repartition(n, *keys, "_b")
-            .drop("_b", "_buckets")
-        )
+        salted = balanced_by_key(df, keys, rows_per_file, n)
         w = salted.write.mode("overwrite").format(fmt).partitionBy(*keys)
     else:
         w = df.repartition(n).write.mode("overwrite").format(fmt)
