@@ -232,3 +232,86 @@ def attempt_outcomes(log: DataFrame, item: str = "item", attempt: str = "attempt
         F.when(F.col("first_ok").isNotNull(), "uploaded").otherwise("failed").alias("status"),
         F.coalesce("first_ok", "last_attempt").alias("attempts"),
     )
+
+
+def watch_dirs_of(inv: DataFrame, watch: DataFrame, recursive: bool = True) -> DataFrame:
+    """Pair each file with every watch directory it lies under (one level or
+    any depth). Ancestors are expanded per file (bounded by path depth) and
+    equi-joined with the watch list — no prefix nested loop."""
+    from strata.sources.inventory import ancestors
+
+    w = watch.select(F.regexp_replace("dir", "/+$", "").alias("watch_dir")).distinct()
+    if recursive:
+        cand = ancestors(inv.withColumn("_parent", dirname(F.col("path"))), "_parent").withColumnRenamed(
+            "ancestor", "watch_dir")
+    else:
+        cand = inv.withColumn("watch_dir", dirname(F.col("path")))
+    return cand.join(F.broadcast(w), "watch_dir").drop("_parent")
+
+
+def upload_plan(inv: DataFrame, watch: DataFrame, hours: float, now: Column, prefix: str,
+                suffix: str = ".gz", key_rule: str = "relative", recursive: bool = True) -> DataFrame:
+    """Upload decisions for watched folders.
+
+    Files named ``*<suffix>`` under a watch directory get an object key —
+    ``relative``: prefix / path relative to the watch dir; ``dir_name``:
+    prefix / watch dir name / file name — and an action: ``wait_young``
+    until older than ``hours``, then ``skip_empty`` for empty files, else
+    ``upload``. ``watch`` is a parameter table with column ``dir``.
+    """
+    files = watch_dirs_of(match_files(inv, include=[f"*{suffix}"]), watch, recursive)
+    rel = F.expr("substring(path, length(watch_dir) + 2)")
+    if key_rule == "dir_name":
+        key = object_key(prefix, basename(F.col("watch_dir")), basename(F.col("path")))
+    else:
+        key = object_key(prefix, rel)
+    action = (
+        F.when(~(F.col("mtime") < minus_hours(now, hours)), "wait_young")
+        .when(F.col("length") == 0, "skip_empty")
+        .otherwise("upload")
+    )
+    return files.select("path", "watch_dir", key.alias("object_key"), action.alias("action"))
+
+
+def backup_plan(inv: DataFrame, bases: Sequence[str], ledger: DataFrame, now: Column,
+                prefix: str = "backups", suffix: str = ".tar.zst",
+                multipart_bytes: int = MULTIPART_BYTES) -> DataFrame:
+    """Incremental backup plan (A17, D7, E14, C21, I13-I15): one row per
+    first-level sub-directory of each base, sized over all files below it,
+    with its identifier, bundle name, object key, size class and status
+    (``skipped`` when the ledger has the identifier, else ``planned``)."""
+    from strata.sources.inventory import subdirectories
+
+    subs = subdirectories(inv, bases).select("dir")
+    sized = (
+        watch_dirs_of(inv, subs.select("dir"), recursive=True)
+        .groupBy(F.col("watch_dir").alias("dir"))
+        .agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").cast("long").alias("total_bytes"))
+    )
+    ident = last_two_parts(F.col("dir"))
+    done = ledger.select(F.col("identifier").alias("_id")).distinct().withColumn("_done", F.lit(True))
+    bundle = stamp_name(ident, now, suffix)
+    return (
+        sized.withColumn("identifier", ident)
+        .join(done, F.col("identifier") == F.col("_id"), "left")
+        .select(
+            "dir", "identifier", "n_files", "total_bytes",
+            F.when(F.col("total_bytes") >= multipart_bytes, "multipart").otherwise("single").alias("size_class"),
+            bundle.alias("bundle_name"),
+            object_key(prefix, bundle).alias("object_key"),
+            F.when(F.col("_done"), "skipped").otherwise("planned").alias("status"),
+        )
+    )
+
+
+def commit_backup(spark: SparkSession, plan: DataFrame, plan_path: str, ledger_path: str) -> DataFrame:
+    """Write the planned rows, then record their identifiers in the ledger.
+
+    The ledger is appended only after the plan is safely written, and the
+    append is idempotent, so a crash between the two steps replays cleanly.
+    """
+    from strata.sinks.writers import ledger_append
+
+    planned = plan.where(F.col("status") == "planned")
+    planned.write.mode("overwrite").parquet(plan_path)
+    return ledger_append(spark, spark.read.parquet(plan_path).select("identifier"), ledger_path)

@@ -624,3 +624,31 @@ UNION ALL SELECT 'o_orderpriority', count(o_orderpriority) FROM orders
 """)
 def q_column_info(spark, sf):
     return CL.info(T(spark, sf, "orders")).select("column", "non_null")
+
+
+@query("backup_plan", _MANIFEST_SQL + """
+SELECT dir, array_to_string(string_split(dir, '/')[-2:], '_') AS identifier, n_files, total_bytes,
+       CASE WHEN total_bytes >= 104857600 THEN 'multipart' ELSE 'single' END AS size_class,
+       array_to_string(string_split(dir, '/')[-2:], '_') || '_20240101_120000.tar.zst' AS bundle_name,
+       'backups/' || array_to_string(string_split(dir, '/')[-2:], '_') || '_20240101_120000.tar.zst' AS object_key,
+       CASE WHEN TRY_CAST(regexp_extract(dir, '^/var/tmp/projects/(\\d+)/', 1) AS INTEGER) % 2 = 0
+            THEN 'skipped' ELSE 'planned' END AS status
+FROM m WHERE dir LIKE '/var/tmp/projects/%'
+""")
+def q_backup_plan(spark, sf):
+    inv = inv_frame(spark, sf)
+    ledger = S.read_ledger(spark, _ledger_standin(spark, P.manifest(inv, literal_ts(NOW))))
+    return P.backup_plan(inv, REQUESTED_BASES, ledger, literal_ts(NOW))
+
+
+@query("upload_plan", f"""
+{WITH_INV}
+SELECT path, regexp_extract(path, '^(/var/tmp/projects/[0-9]+)/', 1) AS watch_dir,
+       regexp_replace(path, '^/var/tmp/projects/[0-9]+/', 'uploads/') AS object_key,
+       CASE WHEN NOT (mtime < TIMESTAMP '2024-01-01 11:00:00') THEN 'wait_young'
+            WHEN length = 0 THEN 'skip_empty' ELSE 'upload' END AS action
+FROM inv WHERE path LIKE '/var/tmp/projects/%' AND path LIKE '%.gz'
+""")
+def q_upload_plan(spark, sf):
+    watch = P.requested_frame(spark, REQUESTED_BASES)
+    return P.upload_plan(inv_frame(spark, sf), watch, 1, literal_ts(NOW), "uploads")

@@ -459,3 +459,29 @@ def test_partitioned_generation_write_is_salted(spark):
     out = W.cluster_for_write(df, ["category", "date"], 8, spread=4)
     plan = plan_text(out)
     assert "hashpartitioning(category" in plan and "_salt" in plan
+
+
+def test_backup_commit_then_replay_skips_everything(spark):
+    inv = inv_frame(spark, SF_SMALL)
+    bases = [f"/var/tmp/projects/{i}" for i in range(11)]
+    ledger_path, now = scratch_path(spark, "bk_ledger"), literal_ts("2024-01-01 12:00:00")
+    empty = spark.createDataFrame([], "identifier string")
+    plan1 = P.backup_plan(inv, bases, empty, now)
+    n_dirs = plan1.count()
+    ledger = P.commit_backup(spark, plan1, scratch_path(spark, "bk_plan1"), ledger_path)
+    assert ledger.count() == n_dirs
+    plan2 = P.backup_plan(inv, bases, spark.read.parquet(ledger_path), now)
+    assert plan2.where("status = 'planned'").count() == 0
+    ledger2 = P.commit_backup(spark, plan2, scratch_path(spark, "bk_plan2"), ledger_path)
+    assert ledger2.count() == n_dirs
+
+
+def test_upload_plan_dir_name_rule_one_level(spark):
+    inv = spark.createDataFrame([
+        ("/w/a/x.gz", 5), ("/w/a/deep/y.gz", 5), ("/w/a/z.log", 5), ("/w/b/e.gz", 0),
+    ], "path string, length long").withColumn("mtime", literal_ts("2024-01-01 00:00:00"))
+    watch = spark.createDataFrame([("/w/a",), ("/w/b/",)], "dir string")
+    got = {r.path: (r.object_key, r.action) for r in
+           P.upload_plan(inv, watch, 1, literal_ts("2024-01-02 00:00:00"), "up", key_rule="dir_name",
+                         recursive=False).collect()}
+    assert got == {"/w/a/x.gz": ("up/a/x.gz", "upload"), "/w/b/e.gz": ("up/b/e.gz", "skip_empty")}
