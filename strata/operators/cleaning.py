@@ -156,3 +156,22 @@ def info(df: DataFrame) -> DataFrame:
                  F.col(f"`{c}`").alias("non_null")) for c in df.columns
     ])).alias("x"))
     return stacked.select("x.*")
+
+
+def process_csv_folder(spark: SparkSession, in_dir: str, out_dir: str, wanted: Sequence[str],
+                       glob: str = "*.csv") -> tuple[DataFrame, DataFrame]:
+    """Clean a CSV folder and write the result.
+
+    Cleaned rows are written as CSV with a header, one output folder per
+    input file (``source_file=processed_<name>``); returns the per-file
+    statistics and the run totals.
+    """
+    import time
+
+    t0 = time.perf_counter()
+    rows, stats = clean_csv_dir(spark, in_dir, wanted, glob)
+    out = rows.withColumn("source_file", F.concat(F.lit("processed_"), basename(F.col("file")))).drop("file")
+    out.write.mode("overwrite").option("header", True).partitionBy("source_file").csv(out_dir)
+    stats = stats.cache()
+    summary = run_summary(stats, time.perf_counter() - t0)
+    return stats, summary

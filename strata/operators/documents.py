@@ -21,18 +21,21 @@ def stamp(df: DataFrame, ts: Column | None = None, name: str = "ingestion_timest
     return df.withColumn(name, ts if ts is not None else F.current_timestamp())
 
 
-def as_documents(df: DataFrame, id_col: str | None) -> DataFrame:
-    """(``_id``, ``doc`` struct of the other columns).
+def as_documents(df: DataFrame, id_col: str | None, carry: Sequence[str] = ()) -> DataFrame:
+    """(``_id``, ``doc`` struct of the other columns, *carry).
 
     Rows get a generated id when there is no id column: a hash of the whole
-    row, so re-loading the same rows is idempotent.
+    row, so re-loading the same rows is idempotent. ``carry`` columns are kept
+    beside the document (e.g. an ordering), not inside it.
     """
-    if id_col and id_col in df.columns:
-        body = [c for c in df.columns if c != id_col]
-        return df.select(F.col(id_col).cast("string").alias("_id"),
-                         F.struct(*[F.col(c) for c in body]).alias("doc"))
-    return df.select(F.sha2(F.to_json(F.struct(*df.columns)), 256).alias("_id"),
-                     F.struct(*[F.col(c) for c in df.columns]).alias("doc"))
+    body = [c for c in df.columns if c not in carry]
+    if id_col and id_col in body:
+        fields = [c for c in body if c != id_col]
+        doc_id = F.col(id_col).cast("string")
+    else:
+        fields = body
+        doc_id = F.sha2(F.to_json(F.struct(*[F.col(c) for c in body])), 256)
+    return df.select(doc_id.alias("_id"), F.struct(*[F.col(c) for c in fields]).alias("doc"), *carry)
 
 
 def upsert_documents(target: DataFrame | None, new: DataFrame, id_col: str,
@@ -69,3 +72,22 @@ def load_status(before: DataFrame | None, new: DataFrame, id_col: str) -> DataFr
     marked = distinct.join(old, "_k", "left").select(
         F.when(F.col("_old"), "replaced").otherwise("inserted").alias("status"))
     return marked.groupBy("status").agg(F.count(F.lit(1)).alias("n")).union(skipped)
+
+
+def push_documents(spark: SparkSession, rows: DataFrame, target_path: str | None, out_path: str,
+                   id_col: str | None, ts: Column | None = None) -> DataFrame:
+    """Keyed load of CSV-like rows into a document table.
+
+    Rows are stamped with the ingestion time; rows without an id column get a
+    content id; within the load the later row of the input wins (input order,
+    as sequential indexing would), and loaded ids replace the target's
+    documents. The merged table goes to ``out_path``; returns status counts
+    taken from the data.
+    """
+    ordered = stamp(rows, ts).withColumn("_order", F.monotonically_increasing_id())
+    docs = as_documents(ordered, id_col, carry=["_order"])
+    before = spark.read.parquet(target_path) if target_path else None
+    latest = latest_per_key(docs, "_id", ["_order"]).drop("_order")
+    merged = latest if before is None else before.join(latest.select("_id"), "_id", "left_anti").unionByName(latest)
+    merged.write.mode("overwrite").parquet(out_path)
+    return load_status(before, docs, "_id")

@@ -102,13 +102,16 @@ def pending(items: DataFrame, ledger: DataFrame, key: str = "identifier") -> Dat
     return items.join(ledger.select(key).distinct(), key, "left_anti")
 
 
-def sync_plan(src: DataFrame, dst: DataFrame, src_root: str, dst_root: str) -> DataFrame:
-    """One-way sync decision per source file.
+def sync_plan(src: DataFrame, dst: DataFrame, src_root: str, dst_root: str,
+              exclude: Sequence[str] | None = None) -> DataFrame:
+    """One-way sync decision per source file.
 
     ``copy_new`` when the relative path is absent at the destination,
     ``copy_size`` when sizes differ, ``copy_newer`` when the source is newer,
-    else ``skip``.
+    else ``skip``. Source files matching an ``exclude`` glob are left out.
     """
+    if exclude:
+        src = match_files(src, exclude=exclude)
     s = src.select(relative_to(F.col("path"), src_root).alias("rel"),
                    F.col("path").alias("source"), F.col("length").alias("s_len"),
                    F.col("mtime").alias("s_mtime")).where(F.col("rel").isNotNull())

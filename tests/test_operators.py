@@ -485,3 +485,42 @@ def test_upload_plan_dir_name_rule_one_level(spark):
            P.upload_plan(inv, watch, 1, literal_ts("2024-01-02 00:00:00"), "up", key_rule="dir_name",
                          recursive=False).collect()}
     assert got == {"/w/a/x.gz": ("up/a/x.gz", "upload"), "/w/b/e.gz": ("up/b/e.gz", "skip_empty")}
+
+
+def test_push_documents_last_row_wins_and_counts(spark, tmp_path):
+    (tmp_path / "d.csv").write_text("id,name,score\n1,a,10\n2,b,20\n1,c,30\n")
+    rows = S.read_csv(spark, str(tmp_path / "d.csv"), infer=True)
+    out1, out2 = scratch_path(spark, "push1"), scratch_path(spark, "push2")
+    st1 = {r.status: r.n for r in DOC.push_documents(spark, rows, None, out1, "id",
+                                                     literal_ts("2024-01-01 00:00:00")).collect()}
+    docs = {r._id: r.doc.name for r in spark.read.parquet(out1).collect()}
+    assert docs == {"1": "c", "2": "b"} and st1 == {"inserted": 2, "skipped": 0}
+    more = spark.createDataFrame([(2, "z", 1), (3, "n", 2)], "id int, name string, score int")
+    st2 = {r.status: r.n for r in DOC.push_documents(spark, more, out1, out2, "id",
+                                                     literal_ts("2024-01-02 00:00:00")).collect()}
+    assert st2 == {"replaced": 1, "inserted": 1, "skipped": 0}
+    assert {r._id: r.doc.name for r in spark.read.parquet(out2).collect()} == {"1": "c", "2": "z", "3": "n"}
+    noid = DOC.as_documents(more.drop("id"), None)
+    assert noid.select("_id").distinct().count() == 2
+
+
+def test_process_csv_folder_writes_outputs(spark, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    (d / "a.csv").write_text("id,user\n1,Ann\n,\n")
+    (d / "b.csv").write_text("user,email\nBo,b@x\n")
+    out = scratch_path(spark, "processed")
+    stats, summary = CL.process_csv_folder(spark, str(d), out, ["id", "user", "email"])
+    s = summary.first()
+    assert (s.files_ok, s.files_total, s.rows_out) == (2, 2, 2) and s.seconds_per_file >= 0
+    back = spark.read.option("header", True).csv(out)
+    assert sorted(r.source_file for r in back.select("source_file").distinct().collect()) == [
+        "processed_a.csv", "processed_b.csv"]
+
+
+def test_sync_plan_excludes_patterns(spark):
+    src = spark.createDataFrame([("/s/1/a.gz", 1), ("/s/1/b.tmp", 1), ("/s/2/c.log", 1)],
+                                "path string, length long").withColumn("mtime", literal_ts("2024-01-01 00:00:00"))
+    dst = spark.createDataFrame([], "path string, length long, mtime timestamp_ntz")
+    got = [r.rel for r in P.sync_plan(src, dst, "/s", "/d", exclude=["*.tmp", "*.log"]).collect()]
+    assert got == ["1/a.gz"]
