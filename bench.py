@@ -28,7 +28,7 @@ HEADLINE = [
     "row_count", "rank_in_group", "top_in_group", "children_per_parent", "children_zero",
     "orphans", "top_parents", "column_profile", "infer_relationships", "join_formats",
     "partition_roundtrip", "format_roundtrip", "clean_columns", "upsert_documents",
-    "manifest", "retention_plan", "route_numbers",
+    "manifest", "retention_plan", "route_numbers", "backup_plan", "upload_plan", "er_edges",
 ]
 
 

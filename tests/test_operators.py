@@ -524,3 +524,14 @@ def test_sync_plan_excludes_patterns(spark):
     dst = spark.createDataFrame([], "path string, length long, mtime timestamp_ntz")
     got = [r.rel for r in P.sync_plan(src, dst, "/s", "/d", exclude=["*.tmp", "*.log"]).collect()]
     assert got == ["1/a.gz"]
+
+
+def test_generated_insight_sql_runs(spark):
+    tables = S.load_tables(spark, SF_SMALL)
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    texts = I.insight_queries(REL.infer_relationships(spark, tables), 6).collect()
+    assert len(texts) == 3 * len({(r.parent_table, r.child_table) for r in texts})
+    for r in texts:
+        out = spark.sql(r.sql)
+        assert out.count() <= (5 if r.kind == "top_parents" else 10)
