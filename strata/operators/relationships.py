@@ -53,9 +53,15 @@ def eligible_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, ELIGIBLE_TYPES)]
 
 
-def value_text(c: Column) -> Column:
-    """Value as text (I9); long texts as a digest of the whole text."""
+def value_text(c: Column, is_string: bool = True) -> Column:
+    """Value as text (I9); long texts as a digest of the whole text.
+
+    Integers, booleans and dates are never longer than the plain limit, so
+    only string columns pay for the length check.
+    """
     s = c.cast("string")
+    if not is_string:
+        return s
     return F.when(F.length(s) > PLAIN_VALUE_CHARS, F.concat(F.lit("\u0001"), F.sha2(s, 256))).otherwise(s)
 
 
@@ -83,7 +89,11 @@ def column_values(tables: Mapping[str, DataFrame]) -> DataFrame:
         cols = eligible_columns(df)
         if not cols:
             continue
-        wide = df.select(*[value_text(F.col(c)).alias(str(idx + k)) for k, c in enumerate(cols)])
+        types = {f.name: f.dataType for f in df.schema.fields}
+        wide = df.select(*[
+            value_text(F.col(c), isinstance(types[c], T.StringType)).alias(str(idx + k))
+            for k, c in enumerate(cols)
+        ])
         idx += len(cols)
         parts.append(
             wide.unpivot([], wide.columns, "name", "v")
