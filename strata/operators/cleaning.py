@@ -1,18 +1,16 @@
 """Cleaning a folder of drifting CSV files.
 
 Files are read as text lines with their file path. Each file's header is its
-first line; files are grouped by header (few groups, many files). Every line
-is parsed once with a positional all-string schema, and each wanted column is
-taken from the position it has in its file's header. No file list passes
-through the driver — only the distinct headers do.
+first line; the position of every wanted column in that header is computed
+per file and joined to the file's lines. Every line is parsed once with a
+positional all-string schema and each wanted column is taken from its
+position. Neither file lists nor headers pass through the driver.
 
 Line-based parsing does not support quoted fields that span lines.
 """
 
 from __future__ import annotations
 
-import csv
-import io
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,12 +19,6 @@ from pyspark.sql import functions as F
 from strata.functions.paths import basename, dirname
 
 
-def header_columns(header: str) -> list[str]:
-    """Column names of a CSV header line."""
-    row = next(csv.reader(io.StringIO(header)), [])
-    return [c.strip() for c in row]
-
-
 def keep_columns(df: DataFrame, wanted: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Wanted columns that exist, and the names that are missing (C4)."""
     have = [c for c in wanted if c in df.columns]
@@ -62,6 +54,11 @@ def clean_csv_dir(spark: SparkSession, path: str, wanted: Sequence[str],
     (NULL where a file lacks one), with rows empty in all wanted columns
     dropped; ``stats`` has one row per file with ``rows_in, rows_out,
     rows_removed, columns_in, columns_removed, missing, status``.
+
+    Everything stays distributed: each file's header gives, per wanted
+    column, its position in that file (a per-file table joined to the lines);
+    every line is parsed once with a positional all-string schema. Only the
+    widest header's column count reaches the driver.
     """
     lines = read_csv_lines(spark, path, glob)
     # the header is the first line of the first block of each file
@@ -69,36 +66,32 @@ def clean_csv_dir(spark: SparkSession, path: str, wanted: Sequence[str],
         lines.where(F.col("block") == 0)
         .groupBy("file").agg(F.min_by("value", "_pos").alias("header"), F.min("_pos").alias("_hpos"))
     )
-    # distinct header texts are schema metadata: few, however many files there are
-    header_texts = sorted(r["header"] for r in headers.select("header").distinct().collect())
-    layouts = [(h, header_columns(h)) for h in header_texts]
-    layouts = [(h, cols) for h, cols in layouts if cols and all(c != "" for c in cols)]
-    width = max([len(cols) for _, cols in layouts] or [1])
-    gid = F.lit(None).cast("int")
-    for g, (h, _) in reversed(list(enumerate(layouts))):
-        gid = F.when(F.col("header") == h, F.lit(g)).otherwise(gid)
+    names = F.transform(F.split("header", ","), lambda c: F.trim(F.regexp_replace(c, '"', "")))
+    layout = headers.select(
+        "file", "_hpos", names.alias("_names"),
+        *[(F.array_position(names, w) - 1).cast("int").alias(f"_p{k}") for k, w in enumerate(wanted)],
+    )
+    width = layout.agg(F.max(F.size("_names"))).first()[0] or 1
     data = (
-        lines.join(headers.withColumn("_gid", gid), "file")
+        lines.join(layout.drop("_names"), "file")
         .where(F.col("_pos") != F.col("_hpos"))
         .where(F.trim("value") != "")
     )
-    # one positional parse per line; each wanted column is looked up by the
-    # position it has in that file's header — one pass over the text
     positional = ", ".join(f"_c{i} STRING" for i in range(width))
-    parsed = data.select("file", "_gid", F.from_csv("value", positional, {"mode": "PERMISSIVE"}).alias("r"))
-    picks = []
-    for c in wanted:
-        expr = F.lit(None).cast("string")
-        for g, (_, cols) in enumerate(layouts):
-            if c in cols:
-                expr = F.when(F.col("_gid") == g, F.col(f"r._c{cols.index(c)}")).otherwise(expr)
-        picks.append(expr.alias(c))
-    rows = parsed.where(F.col("_gid").isNotNull()).select("file", *picks)
+    parsed = data.select(
+        "file", *[f"_p{k}" for k in range(len(wanted))],
+        F.from_csv("value", positional, {"mode": "PERMISSIVE"}).alias("r"),
+    )
+    fields = F.array(*[F.col(f"r._c{i}") for i in range(width)])
+    rows = parsed.select(
+        "file",
+        *[F.when(F.col(f"_p{k}") >= 0, F.element_at(fields, F.col(f"_p{k}") + 1)).alias(w)
+          for k, w in enumerate(wanted)],
+    )
     kept = drop_empty(rows, wanted)
 
     rows_in = data.groupBy("file").agg(F.count(F.lit(1)).alias("rows_in"))
     rows_out = kept.groupBy("file").agg(F.count(F.lit(1)).alias("rows_out"))
-    names = F.transform(F.split("header", ","), lambda c: F.trim(F.regexp_replace(c, '"', "")))
     wanted_arr = F.array(*[F.lit(c) for c in wanted])
     missing = F.filter(wanted_arr, lambda w: ~F.array_contains(names, w))
     stats = (

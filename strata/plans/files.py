@@ -282,13 +282,20 @@ def backup_plan(inv: DataFrame, bases: Sequence[str], ledger: DataFrame, now: Co
     """Incremental backup plan (A17, D7, E14, C21, I13-I15): one row per
     first-level sub-directory of each base, sized over all files below it,
     with its identifier, bundle name, object key, size class and status
-    (``skipped`` when the ledger has the identifier, else ``planned``)."""
-    from strata.sources.inventory import subdirectories
+    (``skipped`` when the ledger has the identifier, else ``planned``).
 
-    subs = subdirectories(inv, bases).select("dir")
+    The sub-directory is read off each file's path (bases are parameters),
+    so sizing is one aggregate with map-side combine and no join.
+    """
+    sub = F.lit(None).cast("string")
+    for b in bases:
+        base = b.rstrip("/")
+        first = F.regexp_extract(F.substring(F.col("path"), len(base) + 2, 1 << 30), r"^([^/]+)/", 1)
+        sub = F.when(F.col("path").startswith(base + "/") & (first != ""),
+                     F.concat(F.lit(base + "/"), first)).otherwise(sub)
     sized = (
-        watch_dirs_of(inv, subs.select("dir"), recursive=True)
-        .groupBy(F.col("watch_dir").alias("dir"))
+        inv.select(sub.alias("dir"), "length").where(F.col("dir").isNotNull())
+        .groupBy("dir")
         .agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").cast("long").alias("total_bytes"))
     )
     ident = last_two_parts(F.col("dir"))

@@ -49,19 +49,29 @@ def cluster_for_write(df: DataFrame, keys: Sequence[str], n: int, spread: int =
     return df.withColumn("_salt", salt).repartition(n, *keys, "_salt").drop("_salt")
 
 
+# Most partition values whose bucket counts are broadcast; beyond it the
+# fixed-spread salt is used instead.
+MAX_BROADCAST_VALUES = 200_000
+
+
 def balanced_by_key(df: DataFrame, keys: Sequence[str], rows_per_file: int,
-                    n: int | None = None) -> DataFrame:
+                    n: int | None = None, fallback_spread: int = 8) -> DataFrame:
     """Repartition for a partitioned write so every partition value is split
     into ``ceil(rows / rows_per_file)`` buckets (K2 with a salt sized from data).
 
-    Small values stay whole (one file each), a value holding a third of the
+    Small values stay whole (one file each); a value holding a third of the
     data is written by many tasks. The per-value bucket table has one row per
-    partition value — the layout's directory count — and is broadcast.
+    partition value; it is counted first and broadcast only below
+    ``MAX_BROADCAST_VALUES`` rows — past that, every value gets the fixed
+    ``fallback_spread`` salt instead.
     """
     keys = list(keys)
     buckets = df.groupBy(*keys).agg(
         F.ceil(F.count(F.lit(1)) / F.lit(max(1, int(rows_per_file)))).cast("long").alias("_buckets")
     )
+    if buckets.count() > MAX_BROADCAST_VALUES:
+        return cluster_for_write(df, keys, n or df.sparkSession.sparkContext.defaultParallelism,
+                                 spread=fallback_spread)
     salted = (
         df.join(F.broadcast(buckets), keys)
         .withColumn("_b", F.pmod(F.xxhash64(*df.columns), F.col("_buckets")))
