@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from strata.operators import relational as R
-from strata.session import scratch_path
+from strata.session import temp_output
 from strata.sinks import writers as W
 from strata.sources import files as S
 from strata.sources import synth as SY
@@ -24,15 +24,19 @@ def _parts(spark: SparkSession, n: int, rows_per_part: int = 500_000) -> int:
 
 def write_read(spark: SparkSession, n: int) -> int:
     """Three-column rows written as parquet, read back and counted."""
-    path = scratch_path(spark, "wl_write_read")
-    W.write(SY.synth_measures(spark, n, _parts(spark, n), columns=("id", "category", "value")), path)
-    return spark.read.parquet(path).count()
+    with temp_output(spark, "wl_write_read") as path:
+        W.write(SY.synth_measures(spark, n, _parts(spark, n), columns=("id", "category", "value")), path)
+        return spark.read.parquet(path).count()
 
 
 def generate_join(spark: SparkSession, n: int) -> int:
     """Two-category rows to parquet and headerless CSV; read both (the CSV
     typed), aggregate, join on id and fan the join out to parquet and CSV."""
-    base = scratch_path(spark, "wl_join")
+    with temp_output(spark, "wl_join") as base:
+        return _wl_join(spark, n, base)
+
+
+def _wl_join(spark: SparkSession, n: int, base: str) -> int:
     df = SY.synth_two_categories(spark, n, _parts(spark, n))
     W.fan_out(df, [(f"{base}/in_parquet", "parquet"), (f"{base}/in_csv", "csv", {"header": False})])
     pq = spark.read.parquet(f"{base}/in_parquet")
@@ -48,7 +52,11 @@ def generate_join(spark: SparkSession, n: int) -> int:
 def partitioned_pruning(spark: SparkSession, n: int, days: int = 365) -> int:
     """Rows over (category, date) partitions; pruned daily metrics written with
     dynamic overwrite; SQL day counts over a view."""
-    base = scratch_path(spark, "wl_parts")
+    with temp_output(spark, "wl_parts") as base:
+        return _wl_parts(spark, n, base, days)
+
+
+def _wl_parts(spark: SparkSession, n: int, base: str, days: int) -> int:
     df = SY.synth_partitioned(spark, n, _parts(spark, n), days=days)
     keys = ["category", "date"]
     W.write(W.balanced_by_key(df, keys, rows_per_file=1_000_000), f"{base}/input", partition_by=keys)
@@ -64,7 +72,11 @@ def partitioned_pruning(spark: SparkSession, n: int, days: int = 365) -> int:
 def heavy_compute(spark: SparkSession, n: int) -> int:
     """Measures persisted once and written in three formats; per-letter
     average and sum, plus the top row per letter."""
-    base = scratch_path(spark, "wl_heavy")
+    with temp_output(spark, "wl_heavy") as base:
+        return _wl_heavy(spark, n, base)
+
+
+def _wl_heavy(spark: SparkSession, n: int, base: str) -> int:
     df = SY.synth_measures(spark, n, _parts(spark, n), max_cat=10_000, max_val=1000.0)
     W.fan_out(df, [(f"{base}/parquet", "parquet"), (f"{base}/orc", "orc"),
                    (f"{base}/csv", "csv", {"header": True})])
