@@ -66,18 +66,23 @@ def balanced_by_key(df: DataFrame, keys: Sequence[str], rows_per_file: int,
     ``fallback_spread`` salt instead.
     """
     keys = list(keys)
+    spark = df.sparkSession
     buckets = df.groupBy(*keys).agg(
         F.ceil(F.count(F.lit(1)) / F.lit(max(1, int(rows_per_file)))).cast("long").alias("_buckets")
     )
-    if buckets.count() > MAX_BROADCAST_VALUES:
-        return cluster_for_write(df, keys, n or df.sparkSession.sparkContext.defaultParallelism,
-                                 spread=fallback_spread)
+    stats = buckets.agg(F.count(F.lit(1)).alias("values"), F.sum("_buckets").alias("files")).first()
+    slots = max(spark.sparkContext.defaultParallelism,
+                int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # an explicit count: AQE would otherwise coalesce a small input into one
+    # task that then writes every partition's file in turn
+    n = n or max(1, min(int(stats["files"] or 1), slots))
+    if (stats["values"] or 0) > MAX_BROADCAST_VALUES:
+        return cluster_for_write(df, keys, n, spread=fallback_spread)
     salted = (
         df.join(F.broadcast(buckets), keys)
         .withColumn("_b", F.pmod(F.xxhash64(*df.columns), F.col("_buckets")))
     )
-    parts = [n] if n else []
-    return salted.repartition(*parts, *keys, "_b").drop("_b", "_buckets")
+    return salted.repartition(n, *keys, "_b").drop("_b", "_buckets")
 
 
 def fan_out(df: DataFrame, sinks: Iterable[tuple[str, str] | tuple[str, str, dict]],

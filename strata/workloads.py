@@ -63,7 +63,8 @@ def _wl_parts(spark: SparkSession, n: int, base: str, days: int) -> int:
     data = spark.read.parquet(f"{base}/input")
     after = data.agg(F.min("date")).first()[0]
     metrics = R.daily_metrics(data, "category", "A", "date", str(after), "value1", "value2")
-    W.write(metrics, f"{base}/daily_metrics", partition_by=["date"], dynamic=True)
+    W.write(W.balanced_by_key(metrics, ["date"], rows_per_file=1_000_000), f"{base}/daily_metrics",
+            partition_by=["date"], dynamic=True)
     counts = R.period_counts(spark, data, "wl_partitioned", "B", str(after), "2999-12-31")
     W.write(counts, f"{base}/summary")
     return spark.read.parquet(f"{base}/summary").count()
