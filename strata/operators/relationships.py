@@ -90,19 +90,16 @@ def column_values(tables: Mapping[str, DataFrame]) -> DataFrame:
         if not cols:
             continue
         types = {f.name: f.dataType for f in df.schema.fields}
-        wide = df.select(*[
+        values = [
             value_text(F.col(c), isinstance(types[c], T.StringType)).alias(str(idx + k))
             for k, c in enumerate(cols)
-        ])
+        ]
         idx += len(cols)
-        parts.append(
-            wide.unpivot([], wide.columns, "name", "v")
-            .select(F.col("name").cast("int").alias("idx"), "v")
-        )
+        parts.append(df.unpivot([], values, "name", "v"))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out.where(F.col("v").isNotNull())
+    return out.where(F.col("v").isNotNull()).select(F.col("name").cast("int").alias("idx"), "v")
 
 
 def table_rows(tables: Mapping[str, DataFrame]) -> DataFrame:

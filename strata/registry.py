@@ -135,7 +135,7 @@ def q_contradiction(spark, sf):
     f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in TEST_TABLES
 ))
 def q_row_count(spark, sf):
-    parts = [R.row_count(T(spark, sf, t), t) for t in TEST_TABLES]
+    parts = [R.row_count(df, t) for t, df in load_tables(spark, sf, TEST_TABLES).items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)

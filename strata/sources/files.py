@@ -78,14 +78,24 @@ def load_tables(spark: SparkSession, sf_dir: str, names: Iterable[str] | None =
                 limit: int | None = None) -> dict[str, DataFrame]:
     """Named set of tables (A14). Unreadable tables are skipped, like the
     reference's sampler; ``limit`` keeps the first n rows (its sampling mode),
-    the default is the whole table."""
-    out: dict[str, DataFrame] = {}
-    for name in names or TEST_TABLES:
+    the default is the whole table. File listing and schema reading are
+    driver work, so the tables are opened concurrently."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    wanted = list(names or TEST_TABLES)
+
+    def open_one(name: str) -> DataFrame | None:
         try:
-            df = load_table(spark, sf_dir, name)
+            return load_table(spark, sf_dir, name)
         except Exception:  # noqa: BLE001 - skip what cannot be read
-            continue
-        out[name] = df.limit(limit) if limit else df
+            return None
+
+    with ThreadPoolExecutor(max_workers=min(8, max(1, len(wanted)))) as pool:
+        opened = list(pool.map(open_one, wanted))
+    out: dict[str, DataFrame] = {}
+    for name, df in zip(wanted, opened):
+        if df is not None:
+            out[name] = df.limit(limit) if limit else df
     return out
 
 
