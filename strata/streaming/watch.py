@@ -9,6 +9,7 @@ appending twice.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,19 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 
+log = logging.getLogger(__name__)
+
+
+def split_existing(spark: SparkSession, dirs: Iterable[str]) -> tuple[list[str], list[str]]:
+    """(existing, missing) folders of a watch list (J1 "invalid directory" warning)."""
+    from strata.session import path_exists
+
+    existing, missing = [], []
+    for d in dirs:
+        (existing if path_exists(spark, d) else missing).append(d)
+    return existing, missing
+
+
 # The binaryFile source's fixed schema (streaming sources need it declared).
 BINARY_FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
@@ -33,7 +47,11 @@ def watch(spark: SparkSession, dirs: str | Iterable[str], fmt: str = "binaryFile
     batch commits), off by default. ``recursive`` (default on for
     ``binaryFile``) also picks up files in sub-folders.
     """
-    paths = [dirs] if isinstance(dirs, str) else list(dirs)
+    paths, missing = split_existing(spark, [dirs] if isinstance(dirs, str) else list(dirs))
+    for d in missing:
+        log.warning("skipping missing watch directory: %s", d)
+    if not paths:
+        raise FileNotFoundError("no watch directory exists")
     reader = spark.readStream.format(fmt)
     if schema is None and fmt == "binaryFile":
         schema = BINARY_FILE_SCHEMA

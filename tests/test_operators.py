@@ -535,3 +535,16 @@ def test_generated_insight_sql_runs(spark):
     for r in texts:
         out = spark.sql(r.sql)
         assert out.count() <= (5 if r.kind == "top_parents" else 10)
+
+
+def test_watch_skips_missing_directories(spark, tmp_path):
+    from strata.streaming.watch import run_watch, split_existing, watch
+    good = tmp_path / "good"
+    good.mkdir()
+    (good / "a.gz").write_text("x")
+    ok, missing = split_existing(spark, [str(good), str(tmp_path / "nope")])
+    assert ok == [str(good)] and missing == [str(tmp_path / "nope")]
+    out, ckpt = scratch_path(spark, "wm_out"), scratch_path(spark, "wm_ckpt")
+    stream = watch(spark, [str(good), str(tmp_path / "nope")], glob="*.gz").select("path", "length")
+    run_watch(stream, out, ckpt, once=True).awaitTermination()
+    assert spark.read.parquet(out).count() == 1
