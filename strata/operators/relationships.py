@@ -178,14 +178,24 @@ def pair_overlaps(sigs: DataFrame, table_of: list[int]) -> DataFrame:
     )
 
 
+def name_match(child_col: Column, parent_col: Column) -> Column:
+    """1 when two column names agree — equal, or equal after a ``<prefix>_``
+    table prefix (``o_custkey`` / ``c_custkey``) — else 0."""
+    strip = lambda c: F.regexp_replace(c, r"^[^_]+_", "")
+    return F.when((child_col == parent_col) | (strip(child_col) == strip(parent_col)), 1).otherwise(0)
+
+
 def infer_relationships(spark: SparkSession, tables: Mapping[str, DataFrame],
-                        min_overlap: float = 0.8, min_uniqueness: float = 0.9) -> DataFrame:
+                        min_overlap: float = 0.8, min_uniqueness: float = 0.9,
+                        name_hint: bool = False) -> DataFrame:
     """Candidate foreign keys child.col -> parent.col with confidence.
 
     overlap_ratio = |child values in parent| / |child values|;
     uniqueness = |parent values| / parent rows; both thresholds inclusive;
     confidence = overlap_ratio * uniqueness. Sorted by confidence, ties by
-    child table, child column, parent table, parent column.
+    child table, child column, parent table, parent column. ``name_hint``
+    adds a ``name_match`` column and ranks agreeing names first among equal
+    confidences; it never removes a candidate.
     """
     cat = catalog_rows(tables)
     # the signature table is small (one row per distinct column set) and is
@@ -208,7 +218,7 @@ def infer_relationships(spark: SparkSession, tables: Mapping[str, DataFrame],
         .where((F.col("overlap_ratio") >= min_overlap) & (F.col("uniqueness") >= min_uniqueness))
         .withColumn("confidence", F.col("overlap_ratio") * F.col("uniqueness"))
     )
-    return scored.select(
+    out = scored.select(
         "parent_table", "parent_col", "child_table", "child_col", "confidence",
         F.concat(
             percent_text(F.col("overlap_ratio"), 1), F.lit(" values exist in parent, "),
@@ -216,7 +226,11 @@ def infer_relationships(spark: SparkSession, tables: Mapping[str, DataFrame],
         ).alias("reason"),
         F.col("overlap").cast("long").alias("sample_overlap"),
         "overlap_ratio", "uniqueness",
-    ).orderBy(*relationship_order())
+    )
+    if name_hint:
+        out = out.withColumn("name_match", name_match(F.col("child_col"), F.col("parent_col")))
+        return out.orderBy(F.col("confidence").desc(), F.col("name_match").desc(), *relationship_order()[1:])
+    return out.orderBy(*relationship_order())
 
 
 def relationship_order() -> list[Column]:

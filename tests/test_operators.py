@@ -548,3 +548,15 @@ def test_watch_skips_missing_directories(spark, tmp_path):
     stream = watch(spark, [str(good), str(tmp_path / "nope")], glob="*.gz").select("path", "length")
     run_watch(stream, out, ckpt, once=True).awaitTermination()
     assert spark.read.parquet(out).count() == 1
+
+
+def test_name_hint_ranks_but_never_filters(spark):
+    tables = S.load_tables(spark, SF_MID)
+    plain = REL.infer_relationships(spark, tables)
+    hinted = REL.infer_relationships(spark, tables, name_hint=True)
+    assert hinted.count() == plain.count() == 177
+    top = [(r.child_table, r.child_col, r.parent_table, r.parent_col) for r in hinted.limit(12).collect()]
+    for fk in [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("orders", "o_custkey", "customer", "c_custkey"),
+               ("labels", "doc_id", "documents", "doc_id")]:
+        assert fk in top or hinted.where(
+            (F.col("child_col") == fk[1]) & (F.col("parent_col") == fk[3])).first().name_match == 1
