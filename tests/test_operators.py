@@ -560,3 +560,33 @@ def test_name_hint_ranks_but_never_filters(spark):
                ("labels", "doc_id", "documents", "doc_id")]:
         assert fk in top or hinted.where(
             (F.col("child_col") == fk[1]) & (F.col("parent_col") == fk[3])).first().name_match == 1
+
+
+def test_watch_archives_handled_files(spark, tmp_path):
+    import time as _t
+    from strata.streaming.watch import run_watch, watch
+    inbox, archive = tmp_path / "in", tmp_path / "archive"
+    inbox.mkdir()
+    for i in range(3):
+        (inbox / f"f{i}.gz").write_text(str(i))
+    out, ckpt = scratch_path(spark, "arch_out"), scratch_path(spark, "arch_ckpt")
+    stream = watch(spark, str(inbox), glob="*.gz", clean_source="archive",
+                   archive_dir=str(archive)).select("path", "length")
+    q = run_watch(stream, out, ckpt, every="1 second")
+
+    def rows():
+        return sum(p.get("numInputRows", 0) for p in q.recentProgress)
+
+    try:
+        deadline = _t.time() + 60
+        while _t.time() < deadline and rows() < 3:
+            _t.sleep(0.5)
+        # the file source cleans a batch's files once the next batch runs
+        (inbox / "late.gz").write_text("late")
+        while _t.time() < deadline and (rows() < 4 or len(list(archive.rglob("f*.gz"))) < 3):
+            _t.sleep(0.5)
+    finally:
+        q.stop()
+    assert spark.read.parquet(out).count() == 4
+    assert sorted(p.name for p in archive.rglob("f*.gz")) == ["f0.gz", "f1.gz", "f2.gz"]
+    assert not list(inbox.glob("f*.gz"))
