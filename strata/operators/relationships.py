@@ -162,6 +162,31 @@ def column_profile(spark: SparkSession, tables: Mapping[str, DataFrame],
     )
 
 
+def column_profile_approx(spark: SparkSession, tables: Mapping[str, DataFrame],
+                          rsd: float = 0.02) -> DataFrame:
+    """Approximate profile (E8 option): ``approx_count_distinct`` (HyperLogLog,
+    relative error ``rsd``) per eligible column, one aggregate pass per table
+    and no value shuffle — a cheap first look before the exact discovery."""
+    parts = []
+    for t, df in tables.items():
+        cols = eligible_columns(df)
+        if not cols:
+            continue
+        agg = df.agg(F.count(F.lit(1)).alias("n_rows"),
+                     *[F.approx_count_distinct(F.col(c), rsd).alias(f"d{k}") for k, c in enumerate(cols)])
+        stacked = agg.select("n_rows", F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column_name"), F.col(f"d{k}").alias("n_distinct"))
+            for k, c in enumerate(cols)
+        ])).alias("x"))
+        parts.append(stacked.select(F.lit(t).alias("table_name"), "x.column_name",
+                                    F.col("x.n_distinct").cast("long").alias("n_distinct"),
+                                    F.col("n_rows").cast("long").alias("n_rows")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.withColumn("uniqueness", F.least(F.lit(1.0), F.col("n_distinct") / F.col("n_rows")))
+
+
 def pair_overlaps(sigs: DataFrame, table_of: list[int]) -> DataFrame:
     """(child idx, parent idx, overlap) for column pairs of different tables.
 

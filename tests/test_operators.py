@@ -590,3 +590,14 @@ def test_watch_archives_handled_files(spark, tmp_path):
     assert spark.read.parquet(out).count() == 4
     assert sorted(p.name for p in archive.rglob("f*.gz")) == ["f0.gz", "f1.gz", "f2.gz"]
     assert not list(inbox.glob("f*.gz"))
+
+
+def test_approx_profile_is_close_to_exact(spark):
+    tables = S.load_tables(spark, SF_MID, ["orders", "customer", "lineitem"])
+    exact = {(r.table_name, r.column_name): r.n_distinct
+             for r in REL.column_profile(spark, tables).collect()}
+    approx = {(r.table_name, r.column_name): r.n_distinct
+              for r in REL.column_profile_approx(spark, tables, 0.02).collect()}
+    assert set(exact) == set(approx)
+    for k, v in exact.items():
+        assert abs(approx[k] - v) <= max(2, 0.08 * v), (k, v, approx[k])
