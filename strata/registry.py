@@ -366,5 +366,40 @@ def q_er_diagram(spark, sf):
     return REL.er_diagram_lines(REL.er_edges(REL.infer_relationships(spark, test_tables(spark, sf)), 0.75))
 
 
+REL_EXPORT_SCHEMA = ("parent_table STRING, parent_col STRING, child_table STRING, child_col STRING, "
+                     "confidence DOUBLE, reason STRING, sample_overlap BIGINT")
+
+
+@query("relationship_export", f"""
+WITH {_REL_CTE}
+SELECT parent_table, parent_col, child_table, child_col, confidence,
+       {_pct('overlap_ratio', 1)} || ' values exist in parent, ' || {_pct('uniqueness', 1)} || ' unique' AS reason,
+       sample_overlap
+FROM rel
+""")
+def q_relationship_export(spark, sf):
+    from strata.session import scratch_path
+    path = REL.export_relationships(REL.infer_relationships(spark, test_tables(spark, sf)),
+                                    scratch_path(spark, "relationships_csv"))
+    return spark.read.option("header", True).schema(REL_EXPORT_SCHEMA).csv(path)
+
+
+@query("ddl_script", f"""
+WITH {_REL_CTE}, hi AS (SELECT * FROM rel WHERE confidence > 0.9)
+SELECT '-- Confidence: ' || {_pct('confidence', 1)} AS value FROM hi
+UNION ALL
+SELECT 'ALTER TABLE ' || child_table || ' ADD CONSTRAINT fk_' || child_table || '_' || child_col ||
+       ' FOREIGN KEY (' || child_col || ') REFERENCES ' || parent_table || '(' || parent_col || ');' FROM hi
+UNION ALL
+SELECT '' FROM hi
+""")
+def q_ddl_script(spark, sf):
+    from strata.session import scratch_path
+    from strata.sinks.writers import write_lines
+    ddl = REL.fk_ddl(REL.infer_relationships(spark, test_tables(spark, sf)), 0.9)
+    path = write_lines(REL.ddl_script_lines(ddl), scratch_path(spark, "ddl_script"), "line")
+    return spark.read.text(path)
+
+
 # keys that go through storage register themselves on import
 from strata import registry_io  # noqa: E402,F401
