@@ -299,11 +299,18 @@ def backup_plan(inv: DataFrame, bases: Sequence[str], ledger: DataFrame, now: Co
         .agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").cast("long").alias("total_bytes"))
     )
     ident = last_two_parts(F.col("dir"))
-    done = ledger.select(F.col("identifier").alias("_id")).distinct().withColumn("_done", F.lit(True))
     bundle = stamp_name(ident, now, suffix)
+    # "a_b/c" and "a/b_c" share the identifier text; a ledger that records
+    # the directory is matched on it, a legacy line-file ledger on the text
+    if "dir" in ledger.columns:
+        done = ledger.select(F.col("dir").alias("_id")).distinct().withColumn("_done", F.lit(True))
+        match = F.col("dir") == F.col("_id")
+    else:
+        done = ledger.select(F.col("identifier").alias("_id")).distinct().withColumn("_done", F.lit(True))
+        match = F.col("identifier") == F.col("_id")
     return (
         sized.withColumn("identifier", ident)
-        .join(done, F.col("identifier") == F.col("_id"), "left")
+        .join(done, match, "left")
         .select(
             "dir", "identifier", "n_files", "total_bytes",
             F.when(F.col("total_bytes") >= multipart_bytes, "multipart").otherwise("single").alias("size_class"),
@@ -324,4 +331,4 @@ def commit_backup(spark: SparkSession, plan: DataFrame, plan_path: str, ledger_p
 
     planned = plan.where(F.col("status") == "planned")
     planned.write.mode("overwrite").parquet(plan_path)
-    return ledger_append(spark, spark.read.parquet(plan_path).select("identifier"), ledger_path)
+    return ledger_append(spark, spark.read.parquet(plan_path), ledger_path, extra=["dir"])

@@ -199,18 +199,24 @@ def pack(df: DataFrame, path: str, key: str, codec: str = "zstd", fmt: str = "pa
 
 
 def ledger_append(spark: SparkSession, new: DataFrame, path: str,
-                  key: str = "identifier") -> DataFrame:
+                  key: str = "identifier", extra: Sequence[str] = ()) -> DataFrame:
     """Append identifiers not yet in the ledger.
 
-    Idempotent: replaying the same batch appends nothing. The ledger is a
-    parquet folder; appends add files, existing files are never rewritten.
+    Idempotent: replaying the same batch appends nothing. ``extra`` columns
+    are recorded beside the identifier (e.g. the directory it was derived
+    from). The ledger is a parquet folder; appends add files, existing files
+    are never rewritten.
     """
     from strata.session import path_exists
 
-    incoming = new.select(F.trim(F.col(key)).alias(key)).where(F.col(key) != "").distinct()
+    incoming = (
+        new.select(F.trim(F.col(key)).alias(key), *extra)
+        .where(F.col(key) != "")
+        .dropDuplicates([key, *extra])
+    )
     if path_exists(spark, path):
-        existing = spark.read.parquet(path).select(key)
-        incoming = incoming.join(existing, key, "left_anti")
+        existing = spark.read.parquet(path).select(key, *extra)
+        incoming = incoming.join(existing, [key, *extra], "left_anti")
     incoming.write.mode("append").parquet(path)
     return spark.read.parquet(path)
 

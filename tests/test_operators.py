@@ -601,3 +601,27 @@ def test_approx_profile_is_close_to_exact(spark):
     assert set(exact) == set(approx)
     for k, v in exact.items():
         assert abs(approx[k] - v) <= max(2, 0.08 * v), (k, v, approx[k])
+
+
+def test_ledger_keys_on_directory_not_joined_text(spark):
+    inv = spark.createDataFrame([("/r/a_b/c/x.gz", 1), ("/r/a/b_c/y.gz", 1)], "path string, length long") \
+        .withColumn("mtime", literal_ts("2024-01-01 00:00:00"))
+    now = literal_ts("2024-01-01 12:00:00")
+    empty = spark.createDataFrame([], "identifier string, dir string")
+    plan = P.backup_plan(inv, ["/r/a_b", "/r/a"], empty, now)
+    assert plan.select("identifier").distinct().count() == 1 and plan.count() == 2
+    only_first = plan.where(F.col("dir") == "/r/a_b/c")
+    ledger_path = scratch_path(spark, "collide_ledger")
+    P.commit_backup(spark, only_first, scratch_path(spark, "collide_plan"), ledger_path)
+    again = {r.dir: r.status for r in P.backup_plan(inv, ["/r/a_b", "/r/a"],
+                                                     spark.read.parquet(ledger_path), now).collect()}
+    assert again == {"/r/a_b/c": "skipped", "/r/a/b_c": "planned"}
+
+
+def test_eligible_types_and_null_rows_in_uniqueness(spark):
+    df = spark.createDataFrame([(1, "x", 1.5, True), (2, None, 2.5, False), (None, "y", None, None)],
+                               "i int, s string, d double, b boolean").withColumn("ts", F.current_timestamp())
+    assert REL.eligible_columns(df) == ["i", "s", "b"]
+    prof = {r.column_name: (r.n_distinct, r.n_rows, r.uniqueness)
+            for r in REL.column_profile(spark, {"t": df}).collect()}
+    assert prof["i"] == (2, 3, 2 / 3) and prof["s"] == (2, 3, 2 / 3) and prof["b"] == (2, 3, 2 / 3)
