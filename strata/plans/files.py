@@ -98,7 +98,10 @@ def manifest(inv: DataFrame, now: Column, suffix: str = ".tar.zst",
 
 
 def pending(items: DataFrame, ledger: DataFrame, key: str = "identifier") -> DataFrame:
-    """Items whose identifier is not in the ledger."""
+    """Items whose identifier is not in the ledger (D7, H2). When both sides
+    record the directory, it is matched instead of the joined text."""
+    if "dir" in items.columns and "dir" in ledger.columns:
+        key = "dir"
     return items.join(ledger.select(key).distinct(), key, "left_anti")
 
 
