@@ -53,6 +53,26 @@ def get_session(
     return spark
 
 
+def scale_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Session settings sized for an input (K4): scan splits and shuffle
+    partitions of about ``partition_bytes`` each, at least two waves of tasks,
+    and AQE's advisory size and skew thresholds on the same scale. Pass the
+    result to ``get_session(conf=...)`` or to spark-submit.
+
+    Example: 100 TB on 1000 executors x 8 cores gives ~400k shuffle
+    partitions of 256 MB (AQE coalesces what turns out smaller).
+    """
+    shuffle = max(2 * total_cores, -(-int(input_bytes) // partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 

@@ -625,3 +625,10 @@ def test_eligible_types_and_null_rows_in_uniqueness(spark):
     prof = {r.column_name: (r.n_distinct, r.n_rows, r.uniqueness)
             for r in REL.column_profile(spark, {"t": df}).collect()}
     assert prof["i"] == (2, 3, 2 / 3) and prof["s"] == (2, 3, 2 / 3) and prof["b"] == (2, 3, 2 / 3)
+
+
+def test_scale_conf_sizes_partitions():
+    from strata.session import scale_conf
+    conf = scale_conf(100 * (1 << 40), 8000)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 409600
+    assert scale_conf(1 << 20, 8)["spark.sql.shuffle.partitions"] == "16"
