@@ -652,3 +652,19 @@ FROM inv WHERE path LIKE '/var/tmp/projects/%' AND path LIKE '%.gz'
 def q_upload_plan(spark, sf):
     watch = P.requested_frame(spark, REQUESTED_BASES)
     return P.upload_plan(inv_frame(spark, sf), watch, 1, literal_ts(NOW), "uploads")
+
+
+@query("watch_listing", """
+SELECT 'lang=' || lang AS folder, count(DISTINCT lang) AS n_files FROM documents GROUP BY lang
+""")
+def q_watch_listing(spark, sf):
+    inbox = scratch_path(spark, "listing_inbox")
+    out = scratch_path(spark, "listing_out")
+    ckpt = scratch_path(spark, "listing_ckpt")
+    docs = T(spark, sf, "documents").select("text", "lang")
+    # one file per language folder: the balanced write gives each small value one bucket
+    W.write(W.balanced_by_key(docs, ["lang"], rows_per_file=1 << 40), inbox, "text", partition_by=["lang"])
+    stream = watch(spark, inbox, glob="*.txt").select("path", "length", "modificationTime")
+    run_watch(stream, out, ckpt, once=True).awaitTermination()
+    listed = spark.read.parquet(out)
+    return listed.groupBy(basename(dirname("path")).alias("folder")).agg(F.count(F.lit(1)).alias("n_files"))
