@@ -632,3 +632,27 @@ def test_scale_conf_sizes_partitions():
     conf = scale_conf(100 * (1 << 40), 8000)
     assert int(conf["spark.sql.shuffle.partitions"]) == 409600
     assert scale_conf(1 << 20, 8)["spark.sql.shuffle.partitions"] == "16"
+
+
+def test_path_helpers(spark):
+    row = spark.createDataFrame([("/a/b/c.log.gz/",)], "p string").select(
+        PT.basename("p").alias("base"), PT.dirname("p").alias("dir"), PT.extension("p").alias("ext"),
+        PT.relative_to(F.lit("C:\\x\\y.gz"), "C:").alias("rel_win"),
+        PT.relative_to(F.col("p"), "/a").alias("rel"), PT.relative_to(F.col("p"), "/z").alias("outside"),
+        PT.object_key("pre", F.lit("b"), F.lit("c.gz")).alias("key"),
+        PT.stamp_name(F.lit("3_client1"), literal_ts("2024-01-02 03:04:05"), ".zip").alias("stamp"),
+        PT.minus_hours(literal_ts("2024-01-01 05:00:00"), 1.5).alias("earlier"),
+    ).first()
+    assert (row.base, row.dir, row.ext) == ("c.log.gz", "/a/b", "gz")
+    assert row.rel_win == "x/y.gz" and row.rel == "b/c.log.gz/" and row.outside is None
+    assert row.key == "pre/b/c.gz" and row.stamp == "3_client1_20240102_030405.zip"
+    assert str(row.earlier) == "2024-01-01 03:30:00"
+
+
+def test_generator_helpers(spark):
+    from strata.functions import generators as G
+    df = spark.range(0, 1000, 1, 4).select(
+        G.letter_from_id("id").alias("l"), G.uniform_int(10, 1).alias("u"), G.pick(["x", "y"], 2).alias("p"),
+        G.int_div(F.col("id") - 500, 100).alias("d"))
+    r = df.agg(F.min("u"), F.max("u"), F.countDistinct("l"), F.countDistinct("p"), F.min("d"), F.max("d")).first()
+    assert tuple(r) == (1, 10, 26, 2, -5, 4)
