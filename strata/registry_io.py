@@ -214,19 +214,16 @@ _CSV_GROUPS = {
 
 
 def _write_drifting_csv(spark, sf) -> str:
+    """customer split by segment into CSV folders whose headers differ in
+    columns and order; machinery rows of every third customer are written
+    with empty id and name (rows the cleaner must drop)."""
     base = scratch_path(spark, "drifting_csv")
     cust = T(spark, sf, "customer")
+    blank = (F.col("c_mktsegment") == "MACHINERY") & (F.col("c_custkey") % 3 == 0)
     for seg, cols in _CSV_GROUPS.items():
         part = cust.where(F.col("c_mktsegment") == seg)
-        sel = []
-        for src, dst in cols:
-            c = F.col(src)
-            # machinery names are blank on every third customer: rows to drop when id is gone too
-            if seg == "MACHINERY" and dst == "id":
-                c = F.when(F.col("c_custkey") % 3 != 0, c)
-            if seg == "MACHINERY" and dst == "name":
-                c = F.when(F.col("c_custkey") % 3 != 0, c)
-            sel.append(c.alias(dst))
+        sel = [F.when(~blank, F.col(src)).alias(dst) if dst in ("id", "name") else F.col(src).alias(dst)
+               for src, dst in cols]
         W.write(part.select(*sel), f"{base}/{seg.lower()}", "csv", header=True)
     return base
 
