@@ -85,11 +85,14 @@ def period_counts(spark: SparkSession, df: DataFrame, view: str, category: str,
                   lo: str, hi: str, category_col: str = "category",
                   date_col: str = "date") -> DataFrame:
     """SQL over a temp view: rows per day for one category in [lo, hi]."""
+    def lit(v: str) -> str:
+        return "'" + str(v).replace("'", "''") + "'"
+
     df.createOrReplaceTempView(view)
     return spark.sql(
-        f"SELECT {date_col} AS date, COUNT(*) AS total_transactions "
-        f"FROM {view} WHERE {category_col} = '{category}' "
-        f"AND {date_col} BETWEEN DATE '{lo}' AND DATE '{hi}' GROUP BY {date_col}"
+        f"SELECT `{date_col}` AS date, COUNT(*) AS total_transactions "
+        f"FROM `{view}` WHERE `{category_col}` = {lit(category)} "
+        f"AND `{date_col}` BETWEEN DATE {lit(lo)} AND DATE {lit(hi)} GROUP BY `{date_col}`"
     )
 
 

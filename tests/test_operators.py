@@ -656,3 +656,10 @@ def test_generator_helpers(spark):
         G.int_div(F.col("id") - 500, 100).alias("d"))
     r = df.agg(F.min("u"), F.max("u"), F.countDistinct("l"), F.countDistinct("p"), F.min("d"), F.max("d")).first()
     assert tuple(r) == (1, 10, 26, 2, -5, 4)
+
+
+def test_period_counts_quotes_literals(spark):
+    df = spark.createDataFrame([("o'brien", "2024-01-02"), ("x", "2024-01-02")], "category string, d string") \
+        .select("category", F.to_date("d").alias("date"))
+    out = R.period_counts(spark, df, "quoted_view", "o'brien", "2024-01-01", "2024-01-31").collect()
+    assert [(str(r.date), r.total_transactions) for r in out] == [("2024-01-02", 1)]
