@@ -105,7 +105,7 @@ def fan_out(df: DataFrame, sinks: Iterable[tuple[str, str] | tuple[str, str, dic
 
 def ensure_db(spark: SparkSession, name: str, location: str | None = None, use: bool = True) -> None:
     """CREATE DATABASE IF NOT EXISTS, then USE it."""
-    loc = f" LOCATION '{location}'" if location else ""
+    loc = f" LOCATION {_sql_lit(location)}" if location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {name}{loc}")
     if use:
         spark.sql(f"USE {name}")
@@ -119,7 +119,7 @@ def ensure_table(spark: SparkSession, name: str, columns: str,
     ``columns`` is DDL text, partition columns included.
     """
     part = f" PARTITIONED BY ({', '.join(partition_by)})" if partition_by else ""
-    loc = f" LOCATION '{location}'" if location else ""
+    loc = f" LOCATION {_sql_lit(location)}" if location else ""
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING {fmt}{part}{loc}")
 
 
