@@ -663,3 +663,15 @@ def test_period_counts_quotes_literals(spark):
         .select("category", F.to_date("d").alias("date"))
     out = R.period_counts(spark, df, "quoted_view", "o'brien", "2024-01-01", "2024-01-31").collect()
     assert [(str(r.date), r.total_transactions) for r in out] == [("2024-01-02", 1)]
+
+
+def test_balanced_write_falls_back_to_fixed_salt(spark, monkeypatch):
+    monkeypatch.setattr(W, "MAX_BROADCAST_VALUES", 2)
+    df = spark.range(1000).select((F.col("id") % 10).alias("k"), "id")
+    out = W.balanced_by_key(df, ["k"], rows_per_file=50)
+    plan = plan_text(out)
+    assert "_salt" in plan and "BroadcastHashJoin" not in plan
+    assert out.count() == 1000
+    monkeypatch.setattr(W, "MAX_BROADCAST_VALUES", 10_000)
+    out2 = W.balanced_by_key(df, ["k"], rows_per_file=50)
+    assert "_b" in plan_text(out2) and out2.count() == 1000
