@@ -84,3 +84,32 @@ def to_arrays(df: DataFrame) -> dict[str, np.ndarray]:
     """Columns of a frame whose size was checked, on the driver."""
     table: pa.Table = df.toArrow()
     return {c: table.column(c).to_numpy() for c in table.column_names}
+
+
+def fit_logistic(x: np.ndarray, positives: np.ndarray, rows: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+    """(slope, intercept) of a logistic curve through binned counts, slope not
+    negative (Newton steps with a small ridge; without both labels a constant)."""
+    p, n = float(np.sum(positives)), float(np.sum(rows))
+    base = float(np.log((p + 0.5) / (n - p + 0.5)))
+    if n == 0 or p in (0.0, n):
+        return 0.0, base
+    mean = float(np.average(x, weights=rows))
+    spread = float(np.sqrt(np.average((x - mean) ** 2, weights=rows))) or 1.0
+    z = (x - mean) / spread
+    w = np.array([0.0, base])
+    design = np.stack([z, np.ones_like(z)], 1)
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
+        grad = design.T @ (positives - rows * q) - ridge * n * np.array([w[0], 0.0])
+        hess = (design * (rows * np.maximum(q * (1 - q), 1e-9))[:, None]).T @ design + np.diag([ridge * n, 1e-9])
+        step = np.clip(np.linalg.solve(hess, grad), -2.0, 2.0)
+        w += step
+        if np.abs(step).max() < 1e-8:
+            break
+    if w[0] <= 0:
+        return 0.0, base
+    return float(w[0] / spread), float(w[1] - w[0] * mean / spread)
+
+
+def logistic(x: Column, curve: tuple[float, float]) -> Column:
+    return 1.0 / (1.0 + F.exp(-(x * F.lit(curve[0]) + F.lit(curve[1]))))

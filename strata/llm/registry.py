@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from strata.llm.compression_quality import quality_scores
 from strata.llm.exact_dedup import exact_classes
 from strata.llm.mixing import schedule
 from strata.llm.packing import pack
+from strata.llm.quality_rules import judge
+from strata.llm.toxicity import toxicity
 from strata.sources.files import load_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -31,6 +35,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_table(spark, sf_dir, "documents")
 
 
+@query("op1_quality_rules")
+def op1_quality_rules(spark, sf):
+    return judge(documents(spark, sf), carry=["doc_id"]).select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "bits", "low", "high")
+
+
 @query("op4_packing")
 def op4_packing(spark, sf):
     return pack(documents(spark, sf), public_tokenizers.path(TOKENIZER))
@@ -85,3 +96,14 @@ FROM n JOIN g ON n.t = g.t
 """)
 def op6_exact_dedup(spark, sf):
     return exact_classes(documents(spark, sf))
+
+
+@query("op7_compression_quality")
+def op7_compression_quality(spark, sf):
+    return quality_scores(documents(spark, sf), load_table(spark, sf, "labels"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark, sf):
+    return toxicity(documents(spark, sf), load_table(spark, sf, "labels")).select(
+        "doc_id", "held_out", "score", "predicted", "p_value", F.size("segments").alias("n_segments"))

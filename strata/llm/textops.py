@@ -185,3 +185,26 @@ def lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     at = np.searchsorted(table, keys)
     at[at == len(table)] = 0
     return at, table[at] == keys
+
+
+def byte_grams(data: np.ndarray, off: np.ndarray, order: int, pad: int = 10) -> np.ndarray:
+    """For every byte, the ``order`` (8 at most) bytes that end there, packed;
+    rows begin after ``order - 1`` bytes ``pad``."""
+    n, lead = len(off) - 1, order - 1
+    out = np.full(len(data) + lead * n, pad, np.uint8)
+    at = np.arange(len(data)) + np.repeat(lead * np.arange(1, n + 1), np.diff(off))
+    out[at] = data
+    at -= lead
+    key = out[at].astype(U)
+    for _ in range(lead):
+        at += 1
+        key <<= U(8)
+        key |= out[at]
+    return key
+
+
+def sum_rows(values: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Sum of the values in each row."""
+    total = np.zeros(len(values) + 1)
+    np.cumsum(values, out=total[1:])
+    return total[off[1:]] - total[off[:-1]]
