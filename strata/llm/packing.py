@@ -25,8 +25,10 @@ empty result, columns beside id and text are not looked at.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +43,20 @@ from strata.llm.textops import ragged, slices
 
 CAPACITY = 2048
 END = 0
+SLICE_BYTES = 6 << 20  # of text at once: larger slices repeat more chunks
 
 
 class WordTokens:
-    """Token ids of whole texts through a tokenizer that never looks across
-    white space: every distinct chunk between spaces is encoded once. The
-    memo is emptied at ``limit`` chunks, so a task's memory stays bounded."""
+    """Token ids of whole texts through a tokenizer that lower-cases and never
+    looks across white space or from a letter or digit to a symbol: every
+    distinct chunk is encoded once. The memo is emptied at ``limit`` chunks,
+    so a task's memory stays bounded."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    # a word's closing marks become a chunk of their own
+    MARKS = (r"([A-Za-z0-9])([.,;:!?#$%&*]+)(\s|$)", r"\1 \2\3")
+
+    def __init__(self, path: str, limit: int = 600_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to other tasks
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode_batch_fast
@@ -56,41 +64,41 @@ class WordTokens:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.parts: list[np.ndarray] = []
+        self.known = pa.array([], pa.string())
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def learn(self, chunks: list[str]) -> None:
-        new = [c for c in chunks if c not in self.known]
-        lists: list[list[int]] = []
-        for at in range(0, len(new), 8192):
-            lists += [e.ids for e in self.encode(new[at: at + 8192], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        ids = np.fromiter((i for x in lists for i in x), np.uint32, int(lengths.sum()))
-        base = len(self.lengths)
-        self.known.update((c, base + k) for k, c in enumerate(new))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, ids])
+    def learn(self, chunks: pa.Array) -> None:
+        parts, lengths = [self.ids], [self.lengths]
+        for at in range(0, len(chunks), 8192):
+            found = [e.ids for e in self.encode(chunks.slice(at, 8192).to_pylist(), add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+            parts.append(np.fromiter(chain.from_iterable(found), np.uint32, int(lengths[-1].sum())))
+        self.ids, self.lengths = np.concatenate(parts), np.concatenate(lengths)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.known = pa.concat_arrays([self.known, chunks])
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each)."""
         if len(self.known) > self.limit:
             self.clear()
-        chunks = pc.ascii_split_whitespace(texts.fill_null(""))
+        chunks = pc.ascii_split_whitespace(pc.replace_substring_regex(texts.fill_null(""), *self.MARKS))
         coded = chunks.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        self.learn(words)
-        place = np.fromiter((self.known[w] for w in words), np.int64, len(words))
-        place = place[coded.indices.to_numpy()] if len(words) else place
+        words = coded.dictionary
+        # ASCII chunks are looked up in lower case ('<' may begin a special token, whose case counts)
+        plain = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<")))
+        words = pc.if_else(plain, pc.ascii_lower(words), words)
+        place = pc.index_in(words, self.known)
+        if place.null_count:
+            self.learn(words.filter(place.is_null()).unique())
+            place = pc.index_in(words, self.known)
+        place = place.to_numpy(zero_copy_only=False)[coded.indices.to_numpy()]
         lengths = self.lengths[place]
         ids = self.ids[ragged(self.starts[place], lengths)]
         offsets = chunks.offsets.to_numpy().astype(np.int64)
         total = np.concatenate([[0], np.cumsum(lengths)])
-        edges = total[offsets - offsets[0]]
-        return ids, np.diff(edges)
+        return ids, np.diff(total[offsets - offsets[0]])
 
 
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, _task long, _nth long"
@@ -104,7 +112,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         tokens = WordTokens(tokenizer_path)
         seen = np.zeros(capacity + 1, np.int64)
         task = TaskContext.get().partitionId()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             ids, n = tokens(batch.column("text"))
             ends = np.cumsum(n)
             count = n // capacity + 1  # with the end id, ceil((n + 1) / capacity)
