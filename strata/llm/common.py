@@ -113,3 +113,18 @@ def fit_logistic(x: np.ndarray, positives: np.ndarray, rows: np.ndarray, ridge:
 
 def logistic(x: Column, curve: tuple[float, float]) -> Column:
     return 1.0 / (1.0 + F.exp(-(x * F.lit(curve[0]) + F.lit(curve[1]))))
+
+
+def text_sha(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def keep_chosen(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of ``docs`` whose id and text are in ``chosen`` (_id, _sha, _tied),
+    all columns; of rows that repeat both (_tied > 1) one."""
+    sha, = fresh(docs, "_text_sha")
+    rows = docs.withColumn(sha, text_sha(F.col(text_col)))
+    stay = rows.join(chosen, (rows[sha] == chosen["_sha"]) & rows[id_col].eqNullSafe(chosen["_id"]))
+    once = stay.where("_tied = 1").select(*[rows[c] for c in docs.columns])
+    again = stay.where("_tied > 1").dropDuplicates(["_id", "_sha"]).select(*[rows[c] for c in docs.columns])
+    return once.unionByName(again)

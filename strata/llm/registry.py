@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strata.llm.compression_quality import quality_scores
 from strata.llm.exact_dedup import exact_classes
 from strata.llm.mixing import schedule
+from strata.llm.near_dedup import near_classes
 from strata.llm.packing import pack
 from strata.llm.quality_rules import judge
 from strata.llm.toxicity import toxicity
@@ -103,6 +104,11 @@ def op7_compression_quality(spark, sf):
     return quality_scores(documents(spark, sf), load_table(spark, sf, "labels"))
 
 
+@query("op9_near_dedup")
+def op9_near_dedup(spark, sf):
+    return near_classes(documents(spark, sf)).select("doc_id", "class_id", "class_size", "kept")
+
+
 @query("op10_toxicity")
 def op10_toxicity(spark, sf):
     return toxicity(documents(spark, sf), load_table(spark, sf, "labels")).select(
