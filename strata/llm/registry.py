@@ -8,11 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.llm.common import text_sha
 from strata.llm.compression_quality import quality_scores
 from strata.llm.exact_dedup import exact_classes
+from strata.llm.line_dedup import clean_lines
 from strata.llm.mixing import schedule
 from strata.llm.near_dedup import near_classes
 from strata.llm.packing import pack
+from strata.llm.ppm import ppm_scores
 from strata.llm.quality_rules import judge
 from strata.llm.toxicity import toxicity
 from strata.sources.files import load_table
@@ -43,6 +46,11 @@ def op1_quality_rules(spark, sf):
         "bits", "low", "high")
 
 
+@query("op2_ppm")
+def op2_ppm(spark, sf):
+    return ppm_scores(documents(spark, sf))
+
+
 @query("op4_packing")
 def op4_packing(spark, sf):
     return pack(documents(spark, sf), public_tokenizers.path(TOKENIZER))
@@ -104,6 +112,27 @@ def op7_compression_quality(spark, sf):
     return quality_scores(documents(spark, sf), load_table(spark, sf, "labels"))
 
 
+@query("op8_line_dedup", r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, chr(0)) AS site, string_split(text, chr(10)) AS lines FROM documents
+), l AS (
+  SELECT doc_id, site, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d
+), t AS (
+  SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM l
+), b AS (
+  SELECT t FROM t WHERE t <> '' GROUP BY t HAVING count(DISTINCT site) >= 8
+), k AS (
+  SELECT doc_id, count(*) AS n_lines, count(b.t) AS n_removed,
+         string_agg(line, chr(10) ORDER BY pos) FILTER (b.t IS NULL) AS kept
+  FROM t LEFT JOIN b ON t.t = b.t GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+""")
+def op8_line_dedup(spark, sf):
+    return clean_lines(documents(spark, sf)).select("doc_id", "n_lines", "n_removed", text_sha(F.col("text")).alias("kept_sha256"))
+
+
 @query("op9_near_dedup")
 def op9_near_dedup(spark, sf):
     return near_classes(documents(spark, sf)).select("doc_id", "class_id", "class_size", "kept")

@@ -208,3 +208,33 @@ def sum_rows(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1)
     np.cumsum(values, out=total[1:])
     return total[off[1:]] - total[off[:-1]]
+
+
+class HashTable:
+    """Values by 64-bit key: sorted key hashes behind an index on their top
+    bits, so that a lookup reads a few neighbouring places."""
+
+    def __init__(self, keys: np.ndarray, *values: np.ndarray):
+        h = mix(keys.astype(U))
+        order = np.argsort(h)
+        self.hashes = h[order]
+        self.values = [np.ascontiguousarray(v[order]) for v in values]
+        self.shift = 64 - max(1, min(24, int(len(keys)).bit_length()))
+        edges = np.arange(1 << (64 - self.shift), dtype=U) << U(self.shift)
+        self.first = np.append(np.searchsorted(self.hashes, edges), len(keys)).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key in the values, -1 if absent."""
+        h = mix(keys)
+        top = (h >> U(self.shift)).astype(np.int32)
+        at, end = self.first[top], self.first[top + 1]
+        out = np.full(len(keys), -1, np.int32)
+        todo = np.flatnonzero(at < end)
+        at, end, h = at[todo], end[todo], h[todo]
+        while len(todo):
+            hit = self.hashes[at] == h
+            out[todo[hit]] = at[hit]
+            at += 1
+            go = ~hit & (at < end)
+            todo, at, end, h = todo[go], at[go], end[go], h[go]
+        return out
