@@ -17,6 +17,7 @@ from strata.llm.near_dedup import near_classes
 from strata.llm.packing import pack
 from strata.llm.ppm import ppm_scores
 from strata.llm.quality_rules import judge
+from strata.llm.suffix_dedup import remove_repeats
 from strata.llm.toxicity import toxicity
 from strata.sources.files import load_table
 
@@ -51,6 +52,11 @@ def op2_ppm(spark, sf):
     return ppm_scores(documents(spark, sf))
 
 
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark, sf):
+    return remove_repeats(documents(spark, sf), digest=True)
+
+
 @query("op4_packing")
 def op4_packing(spark, sf):
     return pack(documents(spark, sf), public_tokenizers.path(TOKENIZER))
