@@ -1,5 +1,6 @@
 """Corpus preparation: five stages over ``documents``, each written as Parquet
-and read back as the next one's input."""
+and read back as the next one's input. All but the last return the columns of
+``documents``."""
 
 from __future__ import annotations
 
@@ -9,31 +10,54 @@ from pyspark.sql import DataFrame, SparkSession
 from strata.llm.common import Scratch
 from strata.llm.exact_dedup import drop_exact_copies
 from strata.llm.mixing import mix
+from strata.llm.near_dedup import drop_near_copies
 from strata.llm.packing import pack
+from strata.llm.quality_rules import keep_good
 from strata.sources.files import load_table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and their language's perplexity band keep."""
+    return keep_good(docs)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
     return drop_exact_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return drop_near_copies(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, in serving order."""
     return mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents with their places in the sequences."""
     return pack(docs, public_tokenizers.path(TOKENIZER))
 
 
-STAGES = [("exact_dedup", exact_dedup), ("mixing", mixing), ("packing", packing)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mixing", mixing),
+    ("packing", packing),
+]
 
-# word models, similarity joins and tokenizers have no SQL; see tests/llm/test_pipeline.py
+# Perplexity bands, consistent sampling and tokenizers have no SQL:
+# tests/llm/test_pipeline.py checks run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the ``documents`` of ``sf_dir``."""
     scratch = Scratch(spark)
     docs = load_table(spark, sf_dir, "documents")
     before = None
