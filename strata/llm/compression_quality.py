@@ -68,12 +68,15 @@ def difference(text: bytes, good: zstandard.ZstdCompressor, bad: zstandard.ZstdC
     return sum(len(bad.compress(b)) - len(good.compress(b)) for b in parts) / max(1, len(text))
 
 
-def sample(labelled: DataFrame, label: int) -> list[bytes]:
-    rows = (labelled.where((F.col("label") == label) & F.col("fold").isin(1, 2))
-            .where(F.octet_length("text") <= SAMPLE_TEXT)
-            .orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "text").limit(SAMPLE_DOCS)
-            .select("text").collect())
-    return [r.text.encode() for r in rows]
+def sample(rows: DataFrame, marks: DataFrame) -> dict[int, list[bytes]]:
+    """The texts for each dictionary. Only ids are sorted; the chosen ones, at
+    most 2 * SAMPLE_DOCS, are broadcast to fetch their texts."""
+    by = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    ids = (rows.where(F.col("fold").isin(1, 2) & (F.octet_length("text") <= SAMPLE_TEXT)).select("doc_id", by.alias("by"))
+           .join(marks, "doc_id"))
+    first = [ids.where(F.col("label") == k).orderBy("by").limit(SAMPLE_DOCS) for k in (0, 1)]
+    found = rows.join(F.broadcast(first[0].union(first[1]).distinct()), "doc_id").select("label", "by", "text").collect()
+    return {k: [r.text.encode() for r in sorted(found, key=lambda r: (r.by, r.text or "")) if r.label == k and r.text] for k in (0, 1)}
 
 
 def differences(docs: DataFrame, good: bytes, bad: bytes) -> DataFrame:
@@ -99,8 +102,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
     rows = docs.select(F.col(id_col).alias("doc_id"), id_fold(F.col(id_col), FOLDS).cast("int").alias("fold"),
                        F.col(text_col).cast("string").alias("text"))
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1)")
-    learn = rows.where("fold != 0").join(marks, "doc_id")
-    good, bad = (train_dictionary(sample(learn, k)) for k in (1, 0))
+    texts = sample(rows, marks)
+    good, bad = (train_dictionary(texts[k]) for k in (1, 0))
     found = Scratch(docs.sparkSession).table(differences(rows, good, bad), "differences")
     bins = to_arrays(
         found.where("fold IN (3, 4)").join(marks, "doc_id")
