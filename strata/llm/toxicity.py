@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import Scratch, fit_logistic, id_fold, logistic, to_arrays
+from strata.llm.common import Scratch, fit_logistic, id_fold, logistic, text_sha, to_arrays
 from strata.llm.textops import Counter, Hasher, U, buffer, lookup, lower_ascii, row_of, slices
 
 FOLDS = 5
@@ -211,8 +211,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1)")
     share = min(1.0, FIT_DOCS / max(1, marks.count()))
     chosen = F.crc32(F.md5(F.col("doc_id").cast("string").cast("binary")).cast("binary")) < share * 2**32
-    learn = (rows.where("fold IN (1, 2, 3)").where(chosen).join(marks, "doc_id")
-             .dropDuplicates(["text", "label"]))
+    # one id for each distinct labelled text: FIT_DOCS rows, so that texts needn't be shuffled
+    picked = (rows.where("fold IN (1, 2, 3)").where(chosen).select("doc_id", F.unhex(text_sha(F.col("text"))).alias("sha"))
+              .join(marks, "doc_id").groupBy("sha", "label").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "label").distinct())
+    learn = rows.join(F.broadcast(picked), "doc_id")
     keys, scores, lam = lexicon(scratch.table(token_odds(learn), "token-odds"))
     scratch.drop("token-odds")
     found = scratch.table(scan(rows, keys, scores), "segments")
