@@ -58,4 +58,4 @@ def email_from_name(name: Column, domain: Column) -> Column:
 
 def int_div(c: Column, d: int) -> Column:
     """Integer division toward zero, like shell arithmetic."""
-    return (c.cast("long") / F.lit(d)).cast("long")
+    return F.call_function("div", c.cast("long"), F.lit(d))

@@ -64,5 +64,5 @@ def stamp_name(name: Column | str, ts: Column, suffix: str = "") -> Column:
 
 
 def minus_hours(ts: Column, hours: float) -> Column:
-    """Timestamp minus hours (I16); fractional hours are kept to the minute."""
-    return ts - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(int(round(hours * 60))))
+    """Timestamp minus hours (I16); fractional hours are kept to the microsecond."""
+    return ts - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(round(hours * 3600, 6)).cast("decimal(18,6)"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.operators.relational import latest_per_key
+from strata.session import materialize
 
 
 def stamp(df: DataFrame, ts: Column | None = None, name: str = "ingestion_timestamp") -> DataFrame:
@@ -24,29 +25,31 @@ def stamp(df: DataFrame, ts: Column | None = None, name: str = "ingestion_timest
 def as_documents(df: DataFrame, id_col: str | None, carry: Sequence[str] = ()) -> DataFrame:
     """(``_id``, ``doc`` struct of the other columns, *carry).
 
-    Rows get a generated id when there is no id column: a hash of the whole
-    row, so re-loading the same rows is idempotent. ``carry`` columns are kept
+    A row without an id (no id column, or NULL in it) gets a generated one of
+    its own, so equal rows stay separate documents. Generated ids are random:
+    write the result before it is read twice. ``carry`` columns are kept
     beside the document (e.g. an ordering), not inside it.
     """
     body = [c for c in df.columns if c not in carry]
+    doc_id = F.uuid()
     if id_col and id_col in body:
-        fields = [c for c in body if c != id_col]
-        doc_id = F.col(id_col).cast("string")
-    else:
-        fields = body
-        doc_id = F.sha2(F.to_json(F.struct(*[F.col(c) for c in body])), 256)
+        doc_id = F.coalesce(F.col(id_col).cast("string"), doc_id)
+    fields = [c for c in body if c != id_col]
     return df.select(doc_id.alias("_id"), F.struct(*[F.col(c) for c in fields]).alias("doc"), *carry)
 
 
 def upsert_documents(target: DataFrame | None, new: DataFrame, id_col: str,
                      order: Sequence[str]) -> DataFrame:
     """Merge ``new`` into ``target`` by ``id_col``: the latest row of ``new`` per
-    id (by ``order``) replaces the target's row; other target rows stay."""
-    latest = latest_per_key(new.where(F.col(id_col).isNotNull()), id_col, order)
+    id (by ``order``) replaces the target's row; other target rows stay. Rows
+    of ``new`` without an id replace nothing and are all kept."""
+    known = F.col(id_col).isNotNull()
+    latest = latest_per_key(new.where(known), id_col, order)
+    unnamed = new.where(~known).select(*latest.columns)
     if target is None:
-        return latest
+        return latest.unionByName(unnamed)
     kept = target.join(latest.select(id_col), id_col, "left_anti")
-    return kept.unionByName(latest)
+    return kept.unionByName(latest).unionByName(unnamed)
 
 
 def load_documents(spark: SparkSession, new: DataFrame, target_path: str | None,
@@ -59,33 +62,35 @@ def load_documents(spark: SparkSession, new: DataFrame, target_path: str | None,
 
 
 def load_status(before: DataFrame | None, new: DataFrame, id_col: str) -> DataFrame:
-    """Counts from data, not from a success message: ids inserted, replaced
-    and rows without an id (skipped)."""
-    ids = new.select(F.col(id_col).alias("_k"))
-    skipped = ids.where(F.col("_k").isNull()).agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("skipped").alias("status"), "n")
-    distinct = ids.where(F.col("_k").isNotNull()).distinct()
-    if before is None:
-        inserted = distinct.agg(F.count(F.lit(1)).alias("n")).select(F.lit("inserted").alias("status"), "n")
-        return inserted.union(skipped)
-    old = before.select(F.col(id_col).alias("_k")).distinct().withColumn("_old", F.lit(True))
-    marked = distinct.join(old, "_k", "left").select(
-        F.when(F.col("_old"), "replaced").otherwise("inserted").alias("status"))
-    return marked.groupBy("status").agg(F.count(F.lit(1)).alias("n")).union(skipped)
+    """Counts from data, not from a success message: documents ``inserted`` and
+    ``replaced`` (together the rows written), and rows ``superseded`` by a later
+    row of the same load. NULL ids are documents of their own."""
+    per_id = new.groupBy(F.col(id_col).alias("_k")).agg(F.count(F.lit(1)).alias("rows")).select(
+        "_k", "rows", F.when(F.col("_k").isNull(), F.col("rows")).otherwise(1).alias("docs"))
+    if before is not None:
+        old = before.select(F.col(id_col).alias("_k")).distinct().withColumn("_old", F.lit(True))
+        per_id = per_id.join(old, "_k", "left")
+    else:
+        per_id = per_id.withColumn("_old", F.lit(None).cast("boolean"))
+    totals = per_id.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(n) for n, x in (
+        ("inserted", F.when(F.col("_old").isNull(), F.col("docs"))), ("replaced", F.when(F.col("_old"), F.col("docs"))),
+        ("superseded", F.col("rows") - F.col("docs")))])
+    return totals.select(F.expr("stack(3, 'inserted', inserted, 'replaced', replaced, 'superseded', superseded) AS (status, n)"))
 
 
 def push_documents(spark: SparkSession, rows: DataFrame, target_path: str | None, out_path: str,
                    id_col: str | None, ts: Column | None = None) -> DataFrame:
     """Keyed load of CSV-like rows into a document table.
 
-    Rows are stamped with the ingestion time; rows without an id column get a
-    content id; within the load the later row of the input wins (input order,
-    as sequential indexing would), and loaded ids replace the target's
-    documents. The merged table goes to ``out_path``; returns status counts
-    taken from the data.
+    Rows are stamped with the ingestion time; each row without an id becomes a
+    document with a generated id; within the load the later row of the input
+    wins (input order, as sequential indexing would), and loaded ids replace
+    the target's documents. Generated ids are fixed by writing the documents
+    once before they are merged and counted. The merged table goes to
+    ``out_path``; returns status counts taken from the data.
     """
     ordered = stamp(rows, ts).withColumn("_order", F.monotonically_increasing_id())
-    docs = as_documents(ordered, id_col, carry=["_order"])
+    docs = materialize(as_documents(ordered, id_col, carry=["_order"]), "documents")
     before = spark.read.parquet(target_path) if target_path else None
     latest = latest_per_key(docs, "_id", ["_order"]).drop("_order")
     merged = latest if before is None else before.join(latest.select("_id"), "_id", "left_anti").unionByName(latest)

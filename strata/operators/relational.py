@@ -19,32 +19,21 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def money_sum(c: Column | str) -> Column:
-    """Order-independent sum of a 2-decimal amount: exact decimal, then double."""
-    return F.sum(_c(c).cast("decimal(18,2)")).cast("double")
-
-
 def group_stats(df: DataFrame, key: str, value: str, avg_name: str = "avg_value",
                 sum_name: str = "total_value") -> DataFrame:
     """avg + sum per group."""
-    return df.groupBy(key).agg(
-        F.round(F.avg(value), 4).alias(avg_name),
-        money_sum(value).alias(sum_name),
-    )
+    return df.groupBy(key).agg(F.avg(value).alias(avg_name), F.sum(value).alias(sum_name))
 
 
 def group_sum(df: DataFrame, key: str, value: str, name: str = "sum_value") -> DataFrame:
     """sum per group."""
-    return df.groupBy(key).agg(money_sum(value).alias(name))
+    return df.groupBy(key).agg(F.sum(value).alias(name))
 
 
 def avg_max(df: DataFrame, key: str, a: str, b: str, avg_name: str | None = None,
             max_name: str | None = None) -> DataFrame:
     """avg of one column, max of another, by name not by dict order."""
-    return df.groupBy(key).agg(
-        F.round(F.avg(a), 4).alias(avg_name or f"avg_{a}"),
-        F.max(b).alias(max_name or f"max_{b}"),
-    )
+    return df.groupBy(key).agg(F.avg(a).alias(avg_name or f"avg_{a}"), F.max(b).alias(max_name or f"max_{b}"))
 
 
 def label_by_threshold(c: Column | str, threshold: float, above: str = "A",
@@ -77,7 +66,7 @@ def daily_metrics(df: DataFrame, category_col: str, category: str, date_col: str
     return (
         df.where((F.col(category_col) == category) & (F.col(date_col) > F.to_date(F.lit(after))))
         .groupBy(date_col)
-        .agg(F.round(F.avg(a), 4).alias("daily_avg"), F.max(b).alias("daily_max"))
+        .agg(F.avg(a).alias("daily_avg"), F.max(b).alias("daily_max"))
     )
 
 

@@ -153,7 +153,7 @@ def session_dirs(inv: DataFrame, base: str, workspaces: DataFrame) -> DataFrame:
     files = inv.select("path", F.element_at(parts, 1).alias("workspace"), parts.alias("_parts")).where(
         F.col("workspace").isNotNull()
     )
-    with_ws = files.join(F.broadcast(workspaces.select("workspace").distinct()), "workspace")
+    with_ws = files.join(workspaces.select("workspace").distinct(), "workspace")
     # index of the first directory part named <ws>-user-*
     idx = F.array_position(
         F.transform(F.slice("_parts", 1, F.size("_parts") - 1),
@@ -226,13 +226,14 @@ def requested_frame(spark: SparkSession, dirs: Sequence[str]) -> DataFrame:
 def attempt_outcomes(log: DataFrame, item: str = "item", attempt: str = "attempt",
                      ok: str = "ok", max_attempts: int = 3) -> DataFrame:
     """Final outcome per item from an attempt log (J4): ``uploaded`` when an
-    attempt within ``max_attempts`` succeeded, else ``failed`` (given up);
+    attempt within ``max_attempts`` succeeded, else ``failed`` (given up),
+    also for items that the log only has beyond the limit (0 tries used);
     ``attempts`` counts the tries used. An aggregate, so a hot item is
     combined map-side."""
-    within = log.where(F.col(attempt) <= max_attempts)
-    return within.groupBy(item).agg(
-        F.min(F.when(F.col(ok), F.col(attempt))).alias("first_ok"),
-        F.max(attempt).alias("last_attempt"),
+    within = F.col(attempt) <= max_attempts
+    return log.groupBy(item).agg(
+        F.min(F.when(within & F.col(ok), F.col(attempt))).alias("first_ok"),
+        F.coalesce(F.max(F.when(within, F.col(attempt))), F.lit(0)).alias("last_attempt"),
     ).select(
         item,
         F.when(F.col("first_ok").isNotNull(), "uploaded").otherwise("failed").alias("status"),
@@ -252,7 +253,7 @@ def watch_dirs_of(inv: DataFrame, watch: DataFrame, recursive: bool = True) -> D
             "ancestor", "watch_dir")
     else:
         cand = inv.withColumn("watch_dir", dirname(F.col("path")))
-    return cand.join(F.broadcast(w), "watch_dir").drop("_parent")
+    return cand.join(w, "watch_dir").drop("_parent")
 
 
 def upload_plan(inv: DataFrame, watch: DataFrame, hours: float, now: Column, prefix: str,
@@ -279,7 +280,7 @@ def upload_plan(inv: DataFrame, watch: DataFrame, hours: float, now: Column, pre
     return files.select("path", "watch_dir", key.alias("object_key"), action.alias("action"))
 
 
-def backup_plan(inv: DataFrame, bases: Sequence[str], ledger: DataFrame, now: Column,
+def backup_plan(inv: DataFrame, bases: Sequence[str] | DataFrame, ledger: DataFrame, now: Column,
                 prefix: str = "backups", suffix: str = ".tar.zst",
                 multipart_bytes: int = MULTIPART_BYTES) -> DataFrame:
     """Incremental backup plan (A17, D7, E14, C21, I13-I15): one row per
@@ -287,20 +288,13 @@ def backup_plan(inv: DataFrame, bases: Sequence[str], ledger: DataFrame, now: Co
     with its identifier, bundle name, object key, size class and status
     (``skipped`` when the ledger has the identifier, else ``planned``).
 
-    The sub-directory is read off each file's path (bases are parameters),
-    so sizing is one aggregate with map-side combine and no join.
+    Bases are a parameter list or a table (column ``base``); see
+    ``inventory.under_bases`` for the one pass over the files.
     """
-    sub = F.lit(None).cast("string")
-    for b in bases:
-        base = b.rstrip("/")
-        first = F.regexp_extract(F.substring(F.col("path"), len(base) + 2, 1 << 30), r"^([^/]+)/", 1)
-        sub = F.when(F.col("path").startswith(base + "/") & (first != ""),
-                     F.concat(F.lit(base + "/"), first)).otherwise(sub)
-    sized = (
-        inv.select(sub.alias("dir"), "length").where(F.col("dir").isNotNull())
-        .groupBy("dir")
-        .agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").cast("long").alias("total_bytes"))
-    )
+    from strata.sources.inventory import under_bases
+
+    # a directory of two nested bases is one bundle
+    sized = under_bases(inv, bases).drop("base").distinct()
     ident = last_two_parts(F.col("dir"))
     bundle = stamp_name(ident, now, suffix)
     # "a_b/c" and "a/b_c" share the identifier text; a ledger that records

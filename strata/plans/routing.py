@@ -16,28 +16,33 @@ def route_projects(mapping: DataFrame, max_id: int, src_base: str, dst_base: str
                    pid: str = "project_id", band_width: int = 1000) -> DataFrame:
     """Copy plan for project mappings.
 
-    Rows whose id parses and is ``<= max_id`` are kept; band = id div
-    band_width; source = src_base/band; target = dst_base/user/project/id.
-    ``action`` is ``copy`` when the source directory is in ``existing``
-    (column ``dir``), else ``warn_missing_source``.
+    Band = id div band_width; source = src_base/band; target =
+    dst_base/user/project/id. ``action`` is ``copy`` when the source directory
+    is in ``existing`` (column ``dir``), else ``warn_missing_source``. Rows
+    whose id is not an integer or is above ``max_id`` are not routed: they
+    come out with NULL band, source and target and the action
+    ``reject_not_a_number`` or ``reject_above_limit``.
     """
     ids = mapping.select(
         F.col(user).alias("username"), F.col(project).alias("project_name"),
         F.expr(f"try_cast({pid} AS BIGINT)").alias("project_id"),
-    ).where(F.col("project_id").isNotNull() & (F.col("project_id") <= max_id))
-    band = F.expr(f"project_id div {int(band_width)}")
+    )
+    routed = F.col("project_id") <= max_id
+    band = F.when(routed, F.expr(f"project_id div {int(band_width)}"))
     planned = ids.select(
         "username", "project_name", "project_id", band.alias("band"),
-        object_key(src_base.rstrip("/"), band.cast("string")).alias("source"),
-        object_key(dst_base.rstrip("/"), F.col("username"), F.col("project_name"),
-                   F.col("project_id").cast("string")).alias("target"),
+        F.when(routed, object_key(src_base.rstrip("/"), band.cast("string"))).alias("source"),
+        F.when(routed, object_key(dst_base.rstrip("/"), F.col("username"), F.col("project_name"),
+                                  F.col("project_id").cast("string"))).alias("target"),
     )
     have = existing.select(F.regexp_replace("dir", "/+$", "").alias("source")).distinct()
     # existence is a semi join on the (few) source directories
     marked = planned.join(have.withColumn("_exists", F.lit(True)), "source", "left")
     return marked.select(
         "username", "project_name", "project_id", "band", "source", "target",
-        F.when(F.col("_exists"), "copy").otherwise("warn_missing_source").alias("action"),
+        F.when(F.col("project_id").isNull(), "reject_not_a_number")
+        .when(F.col("project_id") > max_id, "reject_above_limit")
+        .when(F.col("_exists"), "copy").otherwise("warn_missing_source").alias("action"),
     )
 
 

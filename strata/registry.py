@@ -36,6 +36,12 @@ def T(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return load_table(spark, sf_dir, name)
 
 
+def rounded(df: DataFrame, **digits: int) -> DataFrame:
+    """Report form of sums and averages of doubles, whose last digits depend on
+    the order of addition."""
+    return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
 # ---------------------------------------------------------------- relational
 
 @query("group_stats", """
@@ -44,7 +50,7 @@ SELECT l_returnflag, round(avg(l_quantity), 4) AS avg_qty,
 FROM lineitem GROUP BY l_returnflag
 """)
 def q_group_stats(spark, sf):
-    return R.group_stats(T(spark, sf, "lineitem"), "l_returnflag", "l_quantity", "avg_qty", "sum_qty")
+    return rounded(R.group_stats(T(spark, sf, "lineitem"), "l_returnflag", "l_quantity", "avg_qty", "sum_qty"), avg_qty=4, sum_qty=2)
 
 
 @query("group_sum", """
@@ -52,7 +58,7 @@ SELECT l_linestatus, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE)
 FROM lineitem GROUP BY l_linestatus
 """)
 def q_group_sum(spark, sf):
-    return R.group_sum(T(spark, sf, "lineitem"), "l_linestatus", "l_extendedprice", "sum_price")
+    return rounded(R.group_sum(T(spark, sf, "lineitem"), "l_linestatus", "l_extendedprice", "sum_price"), sum_price=2)
 
 
 @query("conditional_columns", """
@@ -69,8 +75,8 @@ SELECT o_orderstatus, round(avg(o_totalprice), 4) AS avg_price, max(o_totalprice
 FROM orders GROUP BY o_orderstatus
 """)
 def q_avg_max(spark, sf):
-    return R.avg_max(T(spark, sf, "orders"), "o_orderstatus", "o_totalprice", "o_totalprice",
-                     "avg_price", "max_price")
+    return rounded(R.avg_max(T(spark, sf, "orders"), "o_orderstatus", "o_totalprice", "o_totalprice",
+                             "avg_price", "max_price"), avg_price=4)
 
 
 DAY_AFTER = "2024-01-10"
@@ -101,7 +107,7 @@ GROUP BY 1
 """)
 def q_daily_metrics(spark, sf):
     ev = events_by_day(spark, sf, ts_from="2024-01-11 00:00:00")
-    return day_text(R.daily_metrics(ev, "category", "click", "date", DAY_AFTER, "value1", "value2"))
+    return rounded(day_text(R.daily_metrics(ev, "category", "click", "date", DAY_AFTER, "value1", "value2")), daily_avg=4)
 
 
 PERIOD = ("2024-01-05", "2024-01-20")

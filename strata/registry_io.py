@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.functions.paths import basename, dirname, extension, object_key
+from strata.functions import generators as G
+from strata.functions.paths import basename, dirname, extension, minus_hours, object_key
 from strata.operators import cleaning as CL
 from strata.operators import documents as DOC
 from strata.operators import relational as R
@@ -34,8 +35,8 @@ SELECT user_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY
 def q_partition_roundtrip(spark, sf):
     path = scratch_path(spark, "events_by_type_day")
     ev = events_by_day(spark, sf)
-    W.write(W.balanced_by_key(ev, ["category", "date"], rows_per_file=1_000_000), path,
-            partition_by=["category", "date"])
+    W.write(W.balanced_by_key(ev, ["category", "date"]), path, partition_by=["category", "date"],
+            max_records_per_file=1_000_000)
     back = spark.read.parquet(path)
     return back.where(F.col("category") == "purchase").groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n"))
@@ -112,11 +113,11 @@ def q_catalog_roundtrip(spark, sf):
     base = scratch_path(spark, "catalog")
     db = "strata_db"
     W.ensure_db(spark, db, location=f"{base}/{db}.db", use=False)
-    table = f"{db}.orders_by_status_{abs(hash(base)) % 10**8}"
+    table = f"{db}.orders_by_status_{base[-12:]}"
     W.ensure_table(spark, table, "id BIGINT, value DOUBLE, category INT", ["category"],
                    location=f"{base}/orders_by_status")
     orders = T(spark, sf, "orders")
-    for code, status in ((1, "F"), (2, "O")):
+    for code, status in ((1, "F"), (2, "O"), (3, "P")):
         W.insert_partition(spark, table, {"category": code},
                            orders.where(F.col("o_orderstatus") == status)
                            .select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value")))
@@ -124,6 +125,21 @@ def q_catalog_roundtrip(spark, sf):
     return spark.sql(f"SELECT id, value, category FROM {table} WHERE category = 1")
 
 
+@query("null_key_write", """
+SELECT coalesce(CAST(quality AS VARCHAR), 'none') AS quality, count(*) AS n, CAST(sum(d.doc_id) AS BIGINT) AS id_sum
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1
+""")
+def q_null_key_write(spark, sf):
+    """Partitioned write and compaction by a column with NULLs."""
+    src, dst = scratch_path(spark, "by_quality"), scratch_path(spark, "by_quality_compacted")
+    docs = T(spark, sf, "documents").join(T(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    W.write(W.balanced_by_key(docs, ["quality"]), src, partition_by=["quality"], max_records_per_file=1_000_000)
+    W.compact(spark, src, dst, target_bytes=1 << 20, partition_by=["quality"])
+    back = spark.read.schema(docs.schema).parquet(dst)
+    label = F.coalesce(F.col("quality").cast("string"), F.lit("none")).alias("quality")
+    return back.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").cast("long").alias("id_sum"))
+
+
 @query("small_files_compact", """
 SELECT o_orderkey % 20 AS file_no, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS key_sum
 FROM orders GROUP BY 1
@@ -283,6 +299,34 @@ def q_upsert_documents(spark, sf):
     return spark.read.parquet(v2)
 
 
+PUSH_SCHEMA = "id BIGINT, event_id BIGINT, event_type STRING, value DOUBLE"
+
+
+@query("push_documents", """
+WITH l AS (
+  SELECT event_id, event_type, value, '2024-01-01' AS day, event_id % 7 = 0 AS generated FROM events
+  UNION ALL
+  SELECT event_id, event_type, value * 2, '2024-01-02', event_id % 7 = 0 FROM events WHERE event_id % 2 = 0
+)
+SELECT * FROM l WHERE generated OR event_id % 2 = 1 OR day = '2024-01-02'
+""")
+def q_push_documents(spark, sf):
+    """Two CSV loads into a document table; every seventh row has no id."""
+    ev = T(spark, sf, "events").select(
+        F.when(F.col("event_id") % 7 != 0, F.col("event_id")).alias("id"), "event_id", "event_type", "value")
+    loads = [(ev, "2024-01-01"), (ev.where("event_id % 2 = 0").withColumn("value", F.col("value") * 2), "2024-01-02")]
+    target = None
+    for rows, day in loads:
+        csv, out = scratch_path(spark, "push_csv"), scratch_path(spark, "pushed")
+        W.write(rows, csv, "csv", header=True)
+        DOC.push_documents(spark, S.read_csv(spark, csv, schema=PUSH_SCHEMA), target, out, "id",
+                           literal_ts(f"{day} 00:00:00"))
+        target = out
+    return spark.read.parquet(target).select(
+        "doc.event_id", "doc.event_type", "doc.value", F.date_format("doc.ingestion_timestamp", "yyyy-MM-dd").alias("day"),
+        (F.col("_id") != F.col("doc.event_id").cast("string")).alias("generated"))
+
+
 # ---------------------------------------------------------------- inventory plans
 
 NOW = "2024-01-01 12:00:00"
@@ -485,29 +529,71 @@ def q_outcomes(spark, sf):
     return P.outcomes(status)
 
 
+@query("attempt_outcomes", """
+SELECT l_orderkey AS item,
+       CASE WHEN min(CASE WHEN l_linenumber <= 3 AND l_linestatus = 'F' THEN l_linenumber END) IS NULL
+            THEN 'failed' ELSE 'uploaded' END AS status,
+       CAST(coalesce(min(CASE WHEN l_linenumber <= 3 AND l_linestatus = 'F' THEN l_linenumber END),
+                     max(CASE WHEN l_linenumber <= 3 THEN l_linenumber END), 0) AS INTEGER) AS attempts
+FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1
+""")
+def q_attempt_outcomes(spark, sf):
+    log = T(spark, sf, "lineitem").where("l_returnflag <> 'R'").select(
+        F.col("l_orderkey").alias("item"), F.col("l_linenumber").cast("int").alias("attempt"),
+        (F.col("l_linestatus") == "F").alias("ok"))
+    return P.attempt_outcomes(log)
+
+
+@query("table_status", "\nUNION ALL\n".join(
+    [f"SELECT '{t}' AS table_name, 'ok' AS status, CAST(NULL AS VARCHAR) AS reason, CAST(count(*) AS VARCHAR) AS n FROM {t}" for t in S.TEST_TABLES]
+    + ["SELECT 'no_such_table', 'unreadable', 'PATH_NOT_FOUND', CAST(NULL AS VARCHAR)"]))
+def q_table_status(spark, sf):
+    return S.table_status(spark, sf, [*S.TEST_TABLES, "no_such_table"]).withColumn("n", F.col("n").cast("string"))
+
+
+@query("scalar_columns", """
+SELECT o_orderkey, chr(CAST(65 + (o_orderkey % 26) AS INTEGER)) AS letter,
+       CAST(o_orderkey - 5000 AS BIGINT) // 100 AS hundreds,
+       lower(replace(o_orderpriority, ' ', '.')) || '@example.com' AS email,
+       o_orderdate - INTERVAL 18 SECOND AS a_bit_before
+FROM orders
+""")
+def q_scalar_columns(spark, sf):
+    return T(spark, sf, "orders").select(
+        "o_orderkey", G.letter_from_id("o_orderkey").alias("letter"), G.int_div(F.col("o_orderkey") - 5000, 100).alias("hundreds"),
+        G.email_from_name(F.col("o_orderpriority"), F.lit("example.com")).alias("email"),
+        minus_hours(F.col("o_orderdate"), 0.005).alias("a_bit_before"))
+
+
 # ---------------------------------------------------------------- routing
 
 
 @query("route_projects", """
 SELECT 'user' || CAST(o_custkey % 10 AS VARCHAR) AS username, o_orderpriority AS project_name,
-       o_orderkey AS project_id, o_orderkey // 1000 AS band,
-       '/data/projects/' || CAST(o_orderkey // 1000 AS VARCHAR) AS source,
-       '/data/dest/user' || CAST(o_custkey % 10 AS VARCHAR) || '/' || o_orderpriority || '/' ||
-         CAST(o_orderkey AS VARCHAR) AS target,
-       CASE WHEN (o_orderkey // 1000) % 2 = 0 THEN 'copy' ELSE 'warn_missing_source' END AS action
-FROM orders WHERE o_orderkey <= 9999
+       CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE CAST(o_orderkey AS VARCHAR) END AS project_id,
+       CASE WHEN o_orderkey <= 9999 AND o_orderkey % 97 <> 0 THEN CAST(o_orderkey // 1000 AS VARCHAR) END AS band,
+       CASE WHEN o_orderkey <= 9999 AND o_orderkey % 97 <> 0
+            THEN '/data/projects/' || CAST(o_orderkey // 1000 AS VARCHAR) END AS source,
+       CASE WHEN o_orderkey <= 9999 AND o_orderkey % 97 <> 0
+            THEN '/data/dest/user' || CAST(o_custkey % 10 AS VARCHAR) || '/' || o_orderpriority || '/' ||
+                 CAST(o_orderkey AS VARCHAR) END AS target,
+       CASE WHEN o_orderkey % 97 = 0 THEN 'reject_not_a_number' WHEN o_orderkey > 9999 THEN 'reject_above_limit'
+            WHEN (o_orderkey // 1000) % 2 = 0 THEN 'copy' ELSE 'warn_missing_source' END AS action
+FROM orders
 """)
 def q_route_projects(spark, sf):
     orders = T(spark, sf, "orders")
     mapping = orders.select(
         F.concat(F.lit("user"), (F.col("o_custkey") % 10).cast("string")).alias("username"),
         F.col("o_orderpriority").alias("project_name"),
-        F.col("o_orderkey").cast("string").alias("project_id"),
+        F.when(F.col("o_orderkey") % 97 == 0, F.concat(F.lit("p"), F.col("o_orderkey").cast("string")))
+        .otherwise(F.col("o_orderkey").cast("string")).alias("project_id"),
     )
     # stand-in for the listing of the source base: the even bands exist
     existing = orders.select(F.expr("o_orderkey div 1000").alias("b")).distinct().where(
         F.col("b") % 2 == 0).select(F.concat(F.lit("/data/projects/"), F.col("b").cast("string")).alias("dir"))
-    return RT.route_projects(mapping, 9999, "/data/projects", "/data/dest", existing)
+    plan = RT.route_projects(mapping, 9999, "/data/projects", "/data/dest", existing)
+    return plan.withColumns({c: F.col(c).cast("string") for c in ("project_id", "band")})
 
 
 _LINES_SQL = """
@@ -660,7 +746,7 @@ def q_watch_listing(spark, sf):
     ckpt = scratch_path(spark, "listing_ckpt")
     docs = T(spark, sf, "documents").select("text", "lang")
     # one file per language folder: the balanced write gives each small value one bucket
-    W.write(W.balanced_by_key(docs, ["lang"], rows_per_file=1 << 40), inbox, "text", partition_by=["lang"])
+    W.write(W.balanced_by_key(docs, ["lang"]), inbox, "text", partition_by=["lang"])
     stream = watch(spark, inbox, glob="*.txt").select("path", "length", "modificationTime")
     run_watch(stream, out, ckpt, once=True).awaitTermination()
     listed = spark.read.parquet(out)

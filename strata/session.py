@@ -7,6 +7,7 @@ plans adaptive (AQE, skew-join splitting, partition coalescing).
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import time
@@ -99,7 +100,23 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the checkpoint root for intermediate tables."""
     root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/strata-scratch/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root}/strata-scratch/{name}-{uuid.uuid4().hex[:12]}"
+    _scratch[path] = spark
+    return path
+
+
+_scratch: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def sweep() -> None:
+    """Delete the scratch folders that this driver made and nobody released."""
+    for path, spark in list(_scratch.items()):
+        try:
+            delete_path(spark, path)
+        except Exception:  # noqa: BLE001 - the JVM may be gone already
+            return
+        _scratch.pop(path, None)
 
 
 def local_path(path: str) -> str:
@@ -136,7 +153,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._strata_scratch = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``df``; nothing may read it any more."""
+    path = getattr(df, "_strata_scratch", None)
+    if path:
+        delete_path(df.sparkSession, path)
+        _scratch.pop(path, None)
 
 
 class temp_output:

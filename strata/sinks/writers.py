@@ -9,7 +9,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,58 +48,37 @@ def cluster_for_write(df: DataFrame, keys: Sequence[str], n: int, spread: int =
     return df.withColumn("_salt", salt).repartition(n, *keys, "_salt").drop("_salt")
 
 
-# Most partition values whose bucket counts are broadcast; beyond it the
-# fixed-spread salt is used instead.
-MAX_BROADCAST_VALUES = 200_000
+def balanced_by_key(df: DataFrame, keys: Sequence[str], n: int | None = None) -> DataFrame:
+    """Deal rows out for a partitioned write (K2): rows of a partition value
+    come together, and AQE splits the shuffle blocks of a value that is larger
+    than the advisory partition size over several tasks, whatever the rows
+    look like (equal rows, NULL keys) and however many values there are.
 
-
-def balanced_by_key(df: DataFrame, keys: Sequence[str], rows_per_file: int,
-                    n: int | None = None, fallback_spread: int = 8) -> DataFrame:
-    """Repartition for a partitioned write so every partition value is split
-    into ``ceil(rows / rows_per_file)`` buckets (K2 with a salt sized from data).
-
-    Small values stay whole (one file each); a value holding a third of the
-    data is written by many tasks. The per-value bucket table has one row per
-    partition value; it is counted first and broadcast only below
-    ``MAX_BROADCAST_VALUES`` rows — past that, every value gets the fixed
-    ``fallback_spread`` salt instead.
+    One evaluation of the input, no statistics pass, no join. Bound the files
+    with ``max_records_per_file`` of the write. ``n`` asks for so many
+    partitions before AQE sizes them.
     """
-    keys = list(keys)
-    spark = df.sparkSession
-    buckets = df.groupBy(*keys).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(max(1, int(rows_per_file)))).cast("long").alias("_buckets")
-    )
-    stats = buckets.agg(F.count(F.lit(1)).alias("values"), F.sum("_buckets").alias("files")).first()
-    slots = max(spark.sparkContext.defaultParallelism,
-                int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # an explicit count: AQE would otherwise coalesce a small input into one
-    # task that then writes every partition's file in turn
-    n = n or max(1, min(int(stats["files"] or 1), slots))
-    if (stats["values"] or 0) > MAX_BROADCAST_VALUES:
-        return cluster_for_write(df, keys, n, spread=fallback_spread)
-    salted = (
-        df.join(F.broadcast(buckets), keys)
-        .withColumn("_b", F.pmod(F.xxhash64(*df.columns), F.col("_buckets")))
-    )
-    return salted.repartition(n, *keys, "_b").drop("_b", "_buckets")
+    return df.hint("rebalance", *([int(n)] if n else []), *[F.col(k) for k in keys])
 
 
-def fan_out(df: DataFrame, sinks: Iterable[tuple[str, str] | tuple[str, str, dict]],
-            storage: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> int:
+def fan_out(df: DataFrame, sinks: Iterable[tuple[str, str] | tuple[str, str, dict]]) -> int:
     """Write one result to several sinks with one evaluation.
 
-    The frame is persisted once and released after the last write; returns
-    the row count (taken from the persisted data, not a re-run).
+    The result is materialized once in the shared checkpoint folder, so a lost
+    executor costs a re-read and not a recomputation; the copy is deleted
+    after the last write. Returns the row count (of the copy's metadata).
     """
-    cached = df.persist(storage)
+    from strata.session import materialize, release
+
+    held = materialize(df, "fan-out")
     try:
         for spec in sinks:
             path, fmt = spec[0], spec[1]
             opts = spec[2] if len(spec) > 2 else {}
-            write(cached, path, fmt, **opts)
-        return cached.count()
+            write(held, path, fmt, **opts)
+        return held.count()
     finally:
-        cached.unpersist()
+        release(held)
 
 
 def ensure_db(spark: SparkSession, name: str, location: str | None = None, use: bool = True) -> None:
@@ -164,9 +142,9 @@ def compact(spark: SparkSession, src: str, dst: str, target_bytes: int = 128 <<
     (B16). The byte total comes from a distributed listing of ``src``; the
     result goes to ``dst`` (never over the input).
 
-    For a partitioned layout each partition value gets its own number of
-    output buckets, in proportion to its rows, so a partition value holding a
-    third of the data is written by many tasks, not one.
+    In a partitioned layout a value's rows come together, a value holding a
+    third of the data is written by many tasks, and files are bounded by the
+    rows that fill ``target_bytes``; rows with a NULL partition key are kept.
     """
     from strata.sources.inventory import inventory
 
@@ -179,8 +157,8 @@ def compact(spark: SparkSession, src: str, dst: str, target_bytes: int = 128 <<
         # rows that fill one target-sized file, from two scalars (bytes listed, rows counted)
         rows_total = df.count()
         rows_per_file = max(1, (target_bytes * rows_total) // max(total, 1))
-        salted = balanced_by_key(df, keys, rows_per_file, n)
-        w = salted.write.mode("overwrite").format(fmt).partitionBy(*keys)
+        w = (balanced_by_key(df, keys).write.mode("overwrite").format(fmt)
+             .option("maxRecordsPerFile", rows_per_file).partitionBy(*keys))
     else:
         w = df.repartition(n).write.mode("overwrite").format(fmt)
     w.save(dst)
@@ -216,7 +194,11 @@ def ledger_append(spark: SparkSession, new: DataFrame, path: str,
     )
     if path_exists(spark, path):
         existing = spark.read.parquet(path).select(key, *extra)
-        incoming = incoming.join(existing, [key, *extra], "left_anti")
+        same = None  # NULLs in ``extra`` are equal, so that a replay appends nothing
+        for c in [key, *extra]:
+            match = incoming[c].eqNullSafe(existing[c])
+            same = match if same is None else same & match
+        incoming = incoming.join(existing, same, "left_anti")
     incoming.write.mode("append").parquet(path)
     return spark.read.parquet(path)
 

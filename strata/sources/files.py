@@ -6,12 +6,15 @@ driver beyond what Spark's own file index does.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+log = logging.getLogger(__name__)
+
 # Tables the test data ships (one parquet file each).
 TEST_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -75,19 +78,22 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_tables(spark: SparkSession, sf_dir: str, names: Iterable[str] | None = None,
-                limit: int | None = None) -> dict[str, DataFrame]:
-    """Named set of tables (A14). Unreadable tables are skipped, like the
-    reference's sampler; ``limit`` keeps the first n rows (its sampling mode),
-    the default is the whole table. File listing and schema reading are
-    driver work, so the tables are opened concurrently."""
+                limit: int | None = None, skipped: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """Named set of tables (A14). Unreadable tables are skipped with a warning
+    and, when the caller passes ``skipped``, named there with the reason;
+    ``limit`` keeps the first n rows (the reference's sampling mode), the
+    default is the whole table. File listing and schema reading are driver
+    work, so the tables are opened concurrently."""
     from concurrent.futures import ThreadPoolExecutor
 
     wanted = list(names or TEST_TABLES)
+    reasons: dict[str, str] = {}
 
     def open_one(name: str) -> DataFrame | None:
         try:
             return load_table(spark, sf_dir, name)
-        except Exception:  # noqa: BLE001 - skip what cannot be read
+        except Exception as e:  # noqa: BLE001 - reported, not fatal
+            reasons[name] = _reason(e)
             return None
 
     with ThreadPoolExecutor(max_workers=min(8, max(1, len(wanted)))) as pool:
@@ -96,6 +102,31 @@ def load_tables(spark: SparkSession, sf_dir: str, names: Iterable[str] | None =
     for name, df in zip(wanted, opened):
         if df is not None:
             out[name] = df.limit(limit) if limit else df
+    _report(reasons, skipped)
+    return out
+
+
+def _reason(e: Exception) -> str:
+    """Error class of a Spark error, else the exception's name."""
+    return (getattr(e, "getCondition", lambda: None)() or type(e).__name__).split(".")[0]
+
+
+def _report(reasons: dict[str, str], skipped: dict[str, str] | None) -> None:
+    for name, why in sorted(reasons.items()):
+        log.warning("table %s skipped: %s", name, why)
+    if skipped is not None:
+        skipped.update(reasons)
+
+
+def table_status(spark: SparkSession, sf_dir: str, names: Iterable[str]) -> DataFrame:
+    """One row per wanted table: its rows, or why it could not be read."""
+    skipped: dict[str, str] = {}
+    found = load_tables(spark, sf_dir, names, skipped=skipped)
+    out = spark.createDataFrame([(n, "unreadable", w, None) for n, w in sorted(skipped.items())],
+                                "table_name string, status string, reason string, n long")
+    for name, df in found.items():
+        out = out.unionByName(df.agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit(name).alias("table_name"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("reason"), "n"))
     return out
 
 
@@ -110,16 +141,19 @@ def jdbc_tables(spark: SparkSession, url: str, schema: str = "public",
 
 
 def jdbc_load_tables(spark: SparkSession, url: str, names: Iterable[str],
-                     limit: int | None = None,
-                     properties: dict[str, str] | None = None) -> dict[str, DataFrame]:
-    """Read each table over JDBC, skip unreadable ones (A14, database form)."""
+                     limit: int | None = None, properties: dict[str, str] | None = None,
+                     skipped: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """Read each table over JDBC; unreadable ones as in ``load_tables`` (A14, database form)."""
+    reasons: dict[str, str] = {}
     out: dict[str, DataFrame] = {}
     for name in names:
         try:
             df = spark.read.jdbc(url, name, properties=properties or {})
-        except Exception:  # noqa: BLE001
+        except Exception as e:  # noqa: BLE001 - reported, not fatal
+            reasons[name] = _reason(e)
             continue
         out[name] = df.limit(limit) if limit else df
+    _report(reasons, skipped)
     return out
 
 

@@ -66,27 +66,31 @@ def directories(inv: DataFrame) -> DataFrame:
     return inv.select(dirname(F.col("path")).alias("dir")).distinct()
 
 
-def subdirectories(inv: DataFrame, bases: Iterable[str]) -> DataFrame:
+def under_bases(inv: DataFrame, bases: Iterable[str] | DataFrame) -> DataFrame:
+    """(base, dir, n_files, total_bytes): first-level sub-directories of each
+    base, sized over all files below them (A17).
+
+    One pass over the inventory, combined per parent directory before anything
+    is joined; each directory is expanded to its ancestors (bounded by the path
+    depth) and the parent of an ancestor is looked up among the bases, which
+    are a table of any size (column ``base``).
+    """
+    spark = inv.sparkSession
+    if not isinstance(bases, DataFrame):
+        bases = spark.createDataFrame([(_norm_dir(b),) for b in bases], "base string")
+    base = bases.select(F.regexp_replace("base", "/+$", "").alias("base")).distinct()
+    leaf = inv.groupBy(dirname(F.col("path")).alias("leaf")).agg(
+        F.count(F.lit(1)).alias("n_files"), F.sum("length").cast("long").alias("total_bytes"))
+    return (
+        ancestors(leaf, "leaf").withColumnRenamed("ancestor", "dir")
+        .withColumn("base", dirname(F.col("dir"))).join(base, "base")
+        .groupBy("base", "dir").agg(F.sum("n_files").alias("n_files"), F.sum("total_bytes").alias("total_bytes"))
+    )
+
+
+def subdirectories(inv: DataFrame, bases: Iterable[str] | DataFrame) -> DataFrame:
     """First-level sub-directories of each base that contain files."""
-    rows = []
-    for b in bases:
-        base = _norm_dir(b)
-        rows.append(
-            inv.where(F.col("path").startswith(base + "/"))
-            .select(
-                F.lit(base).alias("base"),
-                F.concat(
-                    F.lit(base + "/"),
-                    F.regexp_extract(F.substring(F.col("path"), len(base) + 2, 1 << 30),
-                                     r"^([^/]+)/", 1),
-                ).alias("dir"),
-            )
-            .where(~F.col("dir").endswith("/"))
-        )
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.distinct()
+    return under_bases(inv, bases).select("base", "dir")
 
 
 def check_requested(spark: SparkSession, requested: DataFrame, inv: DataFrame,

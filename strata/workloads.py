@@ -59,11 +59,11 @@ def partitioned_pruning(spark: SparkSession, n: int, days: int = 365) -> int:
 def _wl_parts(spark: SparkSession, n: int, base: str, days: int) -> int:
     df = SY.synth_partitioned(spark, n, _parts(spark, n), days=days)
     keys = ["category", "date"]
-    W.write(W.balanced_by_key(df, keys, rows_per_file=1_000_000), f"{base}/input", partition_by=keys)
+    W.write(W.balanced_by_key(df, keys), f"{base}/input", partition_by=keys, max_records_per_file=1_000_000)
     data = spark.read.parquet(f"{base}/input")
     after = data.agg(F.min("date")).first()[0]
     metrics = R.daily_metrics(data, "category", "A", "date", str(after), "value1", "value2")
-    W.write(W.balanced_by_key(metrics, ["date"], rows_per_file=1_000_000), f"{base}/daily_metrics",
+    W.write(W.balanced_by_key(metrics, ["date"]), f"{base}/daily_metrics",
             partition_by=["date"], dynamic=True)
     counts = R.period_counts(spark, data, "wl_partitioned", "B", str(after), "2999-12-31")
     W.write(counts, f"{base}/summary")

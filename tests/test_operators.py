@@ -223,7 +223,8 @@ def test_route_projects_reference_sample(spark):
     got = {r.project_id: (r.band, r.action, r.target) for r in
            RT.route_projects(mapping, 9999, "/src", "/dst", existing).collect()}
     assert got == {1001: (1, "warn_missing_source", "/dst/alice/Giga_Plan/1001"),
-                   102: (0, "copy", "/dst/bob/Beta_Initiative/102")}
+                   102: (0, "copy", "/dst/bob/Beta_Initiative/102"),
+                   None: (None, "reject_not_a_number", None), 12000: (None, "reject_above_limit", None)}
 
 
 def test_inventory_lists_one_level_and_recursive(spark):
@@ -288,7 +289,7 @@ def test_upsert_replaces_and_keeps(spark):
     out = {r.id: r.body for r in DOC.upsert_documents(target, new, "id", ["t"]).collect()}
     assert out == {1: "new", 2: "keep", 3: "add"}
     status = {r.status: r.n for r in DOC.load_status(target, new, "id").collect()}
-    assert status == {"replaced": 1, "inserted": 1, "skipped": 0}
+    assert status == {"replaced": 1, "inserted": 1, "superseded": 1}
 
 
 def test_synth_is_deterministic(spark):
@@ -494,11 +495,11 @@ def test_push_documents_last_row_wins_and_counts(spark, tmp_path):
     st1 = {r.status: r.n for r in DOC.push_documents(spark, rows, None, out1, "id",
                                                      literal_ts("2024-01-01 00:00:00")).collect()}
     docs = {r._id: r.doc.name for r in spark.read.parquet(out1).collect()}
-    assert docs == {"1": "c", "2": "b"} and st1 == {"inserted": 2, "skipped": 0}
+    assert docs == {"1": "c", "2": "b"} and st1 == {"inserted": 2, "replaced": 0, "superseded": 1}
     more = spark.createDataFrame([(2, "z", 1), (3, "n", 2)], "id int, name string, score int")
     st2 = {r.status: r.n for r in DOC.push_documents(spark, more, out1, out2, "id",
                                                      literal_ts("2024-01-02 00:00:00")).collect()}
-    assert st2 == {"replaced": 1, "inserted": 1, "skipped": 0}
+    assert st2 == {"replaced": 1, "inserted": 1, "superseded": 0}
     assert {r._id: r.doc.name for r in spark.read.parquet(out2).collect()} == {"1": "c", "2": "z", "3": "n"}
     noid = DOC.as_documents(more.drop("id"), None)
     assert noid.select("_id").distinct().count() == 2
@@ -665,13 +666,67 @@ def test_period_counts_quotes_literals(spark):
     assert [(str(r.date), r.total_transactions) for r in out] == [("2024-01-02", 1)]
 
 
-def test_balanced_write_falls_back_to_fixed_salt(spark, monkeypatch):
-    monkeypatch.setattr(W, "MAX_BROADCAST_VALUES", 2)
-    df = spark.range(1000).select((F.col("id") % 10).alias("k"), "id")
-    out = W.balanced_by_key(df, ["k"], rows_per_file=50)
-    plan = plan_text(out)
-    assert "_salt" in plan and "BroadcastHashJoin" not in plan
-    assert out.count() == 1000
-    monkeypatch.setattr(W, "MAX_BROADCAST_VALUES", 10_000)
-    out2 = W.balanced_by_key(df, ["k"], rows_per_file=50)
-    assert "_b" in plan_text(out2) and out2.count() == 1000
+def test_balanced_write_keeps_null_keys_and_splits_equal_rows(spark):
+    df = spark.range(1000).select(F.when(F.col("id") % 10 > 0, F.col("id") % 10).alias("k"), F.lit("same").alias("v"))
+    out = W.balanced_by_key(df, ["k"])
+    assert "Join" not in plan_text(out)
+    path, dst = scratch_path(spark, "nullkeys"), scratch_path(spark, "nullkeys-compacted")
+    W.write(out, path, partition_by=["k"], max_records_per_file=30)
+    W.compact(spark, path, dst, target_bytes=1 << 20, partition_by=["k"])
+    for p in (path, dst):
+        back = {r.k: r["count"] for r in spark.read.parquet(p).groupBy("k").count().collect()}
+        assert back == {None: 100, **{k: 100 for k in range(1, 10)}}
+    hot = spark.range(0, 400_000, 1, 8).select(F.lit(1).alias("k"), F.lit("x" * 50).alias("v"))
+    old = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.advisoryPartitionSizeInBytes",)}
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
+        many = W.balanced_by_key(hot, ["k"]).groupBy(F.spark_partition_id().alias("p")).count()
+        assert many.count() > 1 and many.agg(F.sum("count")).first()[0] == 400_000
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+
+
+def test_sums_and_averages_are_plain(spark):
+    df = spark.createDataFrame([("a", 0.004)] * 10, "k string, v double")
+    assert abs(R.group_sum(df, "k", "v").first()[1] - 0.04) < 1e-12
+    r = R.group_stats(df, "k", "v").first()
+    assert abs(r[1] - 0.004) < 1e-12 and abs(r[2] - 0.04) < 1e-12
+
+
+def test_rows_without_id_are_documents_of_their_own(spark):
+    rows = spark.createDataFrame([("1", "a"), (None, "b"), (None, "b")], "id string, body string")
+    for id_col, n in (("id", 3), (None, 3)):
+        out = scratch_path(spark, "noid")
+        status = {r.status: r.n for r in DOC.push_documents(spark, rows, None, out, id_col, literal_ts("2024-01-01 00:00:00")).collect()}
+        back = spark.read.parquet(out)
+        assert back.count() == back.select("_id").distinct().count() == n == status["inserted"]
+    kept = DOC.upsert_documents(None, rows, "id", ["body"])
+    assert kept.count() == 3
+
+
+def test_small_verdict_cases(spark):
+    from strata.functions import generators as G
+    from strata.functions.paths import minus_hours
+    df = spark.createDataFrame([(9007199254740993,)], "n long")
+    assert df.select(G.int_div(F.col("n"), 1)).first()[0] == 9007199254740993
+    t = df.select(minus_hours(literal_ts("2024-01-01 00:00:00"), 0.005).cast("string")).first()[0]
+    assert t == "2023-12-31 23:59:42"
+    log = spark.createDataFrame([("a", 4, True), ("b", 2, True)], "item string, attempt int, ok boolean")
+    assert {r.item: (r.status, r.attempts) for r in P.attempt_outcomes(log).collect()} == {"a": ("failed", 0), "b": ("uploaded", 2)}
+    path = scratch_path(spark, "ledger-nulls")
+    new = spark.createDataFrame([("x", None), ("y", "d")], "identifier string, dir string")
+    for _ in range(2):
+        n = W.ledger_append(spark, new, path, extra=["dir"]).count()
+    assert n == 2
+    skipped = {}
+    assert S.load_tables(spark, "/nowhere", ["nope"], skipped=skipped) == {} and skipped == {"nope": "PATH_NOT_FOUND"}
+
+
+def test_backup_plan_takes_many_bases_as_a_table(spark):
+    inv = spark.createDataFrame([(f"/b{k}/sub/f{j}", 10) for k in (7, 4999) for j in range(3)] + [("/b7/top", 5)],
+                                "path string, length long").withColumn("mtime", literal_ts("2024-01-01 00:00:00"))
+    ledger = spark.createDataFrame([("b7_sub",)], "identifier string")
+    plan = P.backup_plan(inv, [f"/b{k}" for k in range(5000)], ledger, literal_ts("2024-01-02 00:00:00"), multipart_bytes=30)
+    assert {r.dir: (r.n_files, r.total_bytes, r.size_class, r.status) for r in plan.collect()} == {
+        "/b7/sub": (3, 30, "multipart", "skipped"), "/b4999/sub": (3, 30, "multipart", "planned")}
