@@ -1,22 +1,23 @@
 """Cleaning a folder of drifting CSV files.
 
-Files are read as text lines with their file path. Each file's header is its
-first line; the position of every wanted column in that header is computed
-per file and joined to the file's lines. Every line is parsed once with a
-positional all-string schema and each wanted column is taken from its
-position. Neither file lists nor headers pass through the driver.
-
-Line-based parsing does not support quoted fields that span lines.
+Files are grouped by their header, read by the CSV parser, and each group of
+files with one header is one CSV scan with that header's columns; rows carry
+their file through the scan's metadata. No join on rows, no line is parsed
+twice. The driver holds the list of files (as any file scan does) and the
+distinct headers.
 """
 
 from __future__ import annotations
 
+import csv
+from collections import defaultdict
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions.paths import basename, dirname
+from strata.session import materialize
 
 
 def keep_columns(df: DataFrame, wanted: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -31,89 +32,97 @@ def drop_empty(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return df.dropna(how="all", subset=list(cols) if cols else None)
 
 
-def read_csv_lines(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
-    """(file, line_no_hint, value, is_header) for every line of every CSV file."""
-    lines = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-        .text(path)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("_pos"),
-            F.col("value"),
-        )
-    )
-    return lines
+def list_csv(spark: SparkSession, path: str, glob: str = "*.csv", recursive: bool = False) -> list[tuple[str, int]]:
+    """(path, bytes) of the CSV files of a folder, empty ones too; one level
+    unless ``recursive``."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    wanted = jvm.org.apache.hadoop.fs.GlobFilter(glob)
+    found, it = [], fs.listFiles(root, recursive)
+    while it.hasNext():
+        f = it.next()
+        hidden = any(part[:1] in "._" for part in f.getPath().toString()[len(root.toString()):].split("/") if part)
+        if wanted.accept(f.getPath()) and not hidden:
+            found.append((f.getPath().toString(), f.getLen()))
+    return sorted(found)
+
+
+def csv_headers(spark: SparkSession, files: Sequence[str]) -> dict[str, str]:
+    """Header line of each file; files that cannot be read have none."""
+    if not files:
+        return {}
+    lines = (spark.read.option("ignoreCorruptFiles", True).text(list(files))
+             .select(_file().alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("at"), "value"))
+    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    return {r.file: r.header for r in first.collect()}
+
+
+def _file():
+    """Path of a row's file as listed (the metadata column is URL-encoded)."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def _plain(path: str) -> str:
+    """One spelling of local paths: ``file:///a`` is ``file:/a``."""
+    return "file:/" + path[5:].lstrip("/") if path.startswith("file:") else path
 
 
-def clean_csv_dir(spark: SparkSession, path: str, wanted: Sequence[str],
-                  glob: str = "*.csv") -> tuple[DataFrame, DataFrame]:
+def clean_csv_dir(spark: SparkSession, path: str, wanted: Sequence[str], glob: str = "*.csv",
+                  recursive: bool = False, multiline: bool = True) -> tuple[DataFrame, DataFrame]:
     """Clean every CSV file of a folder.
 
     Returns ``(rows, stats)``: ``rows`` has ``file`` plus the wanted columns
     (NULL where a file lacks one), with rows empty in all wanted columns
     dropped; ``stats`` has one row per file with ``rows_in, rows_out,
-    rows_removed, columns_in, columns_removed, missing, status``.
+    rows_removed, columns_in, columns_removed, missing, status``. Status is
+    ``ok``, ``empty`` (no byte), ``unreadable`` (no header could be read) or
+    ``error`` (a header name is blank or twice: the first one counts).
 
-    Everything stays distributed: each file's header gives, per wanted
-    column, its position in that file (a per-file table joined to the lines);
-    every line is parsed once with a positional all-string schema. Only the
-    widest header's column count reaches the driver.
+    ``multiline`` lets quoted fields hold line feeds; such a file is read by
+    one task, so pass False for large files without them.
     """
-    lines = read_csv_lines(spark, path, glob)
-    # the header is the first line of the first block of each file
-    headers = (
-        lines.where(F.col("block") == 0)
-        .groupBy("file").agg(F.min_by("value", "_pos").alias("header"), F.min("_pos").alias("_hpos"))
-    )
-    names = F.transform(F.split("header", ","), lambda c: F.trim(F.regexp_replace(c, '"', "")))
-    layout = headers.select(
-        "file", "_hpos", names.alias("_names"),
-        *[(F.array_position(names, w) - 1).cast("int").alias(f"_p{k}") for k, w in enumerate(wanted)],
-    )
-    width = layout.agg(F.max(F.size("_names"))).first()[0] or 1
-    data = (
-        lines.join(layout.drop("_names"), "file")
-        .where(F.col("_pos") != F.col("_hpos"))
-        .where(F.trim("value") != "")
-    )
-    positional = ", ".join(f"_c{i} STRING" for i in range(width))
-    parsed = data.select(
-        "file", *[f"_p{k}" for k in range(len(wanted))],
-        F.from_csv("value", positional, {"mode": "PERMISSIVE"}).alias("r"),
-    )
-    fields = F.array(*[F.col(f"r._c{i}") for i in range(width)])
-    rows = parsed.select(
-        "file",
-        *[F.when(F.col(f"_p{k}") >= 0, F.element_at(fields, F.col(f"_p{k}") + 1)).alias(w)
-          for k, w in enumerate(wanted)],
-    )
-    kept = drop_empty(rows, wanted)
-
-    rows_in = data.groupBy("file").agg(F.count(F.lit(1)).alias("rows_in"))
-    rows_out = kept.groupBy("file").agg(F.count(F.lit(1)).alias("rows_out"))
-    wanted_arr = F.array(*[F.lit(c) for c in wanted])
-    missing = F.filter(wanted_arr, lambda w: ~F.array_contains(names, w))
-    stats = (
-        headers.drop("_hpos").join(rows_in, "file", "left").join(rows_out, "file", "left")
-        .select(
-            "file",
-            F.coalesce("rows_in", F.lit(0)).alias("rows_in"),
-            F.coalesce("rows_out", F.lit(0)).alias("rows_out"),
-            F.size(names).alias("columns_in"),
-            missing.alias("missing"),
-            F.size(F.filter(names, lambda c: c == "")).alias("_blank_names"),
-        )
-        .select(
-            "file", "rows_in", "rows_out",
-            (F.col("rows_in") - F.col("rows_out")).alias("rows_removed"),
-            "columns_in",
-            (F.col("columns_in") - (F.lit(len(wanted)) - F.size("missing"))).alias("columns_removed"),
-            "missing",
-            F.when(F.col("_blank_names") > 0, "error").otherwise("ok").alias("status"),
-        )
-    )
-    return kept, stats
+    files = [(_plain(p), n) for p, n in list_csv(spark, path, glob, recursive)]
+    headers = {_plain(k): v for k, v in csv_headers(spark, [p for p, n in files if n]).items()}
+    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    for p, _ in files:
+        if p in headers:
+            groups[tuple(c.strip() for c in next(csv.reader([headers[p]]), []))].append(p)
+    parts = []
+    for names, members in groups.items():
+        scan = (spark.read.schema(", ".join(f"_c{i} STRING" for i in range(max(1, len(names)))))
+                .option("header", True).option("multiLine", multiline).option("escape", '"').csv(members))
+        parts.append(scan.select(_file().alias("file"), *[
+            (F.col(f"_c{names.index(w)}") if w in names else F.lit(None).cast("string")).alias(w) for w in wanted]))
+    shape = "file STRING" + "".join(f", `{w}` STRING" for w in wanted)
+    rows = spark.createDataFrame([], shape)
+    for part in parts:
+        rows = rows.unionByName(part)
+    if any(p.startswith("file:") for p, _ in files):
+        rows = rows.withColumn("file", F.regexp_replace("file", "^file:/+", "file:/"))
+
+    def described(p: str, n: int) -> tuple:
+        names = by_file.get(p)
+        if names is None:
+            return p, 0, 0, list(wanted), "unreadable" if n else "empty"
+        have = [w for w in wanted if w in names]
+        bad = "" in names or len(set(names)) < len(names)
+        return p, len(names), len(names) - len(have), [w for w in wanted if w not in names], "error" if bad else "ok"
+
+    by_file = {p: names for names, members in groups.items() for p in members}
+    listed = spark.createDataFrame(
+        [described(p, n) for p, n in files],
+        "file STRING, columns_in INT, columns_removed INT, missing ARRAY<STRING>, status STRING")
+    filled = F.lit(False)
+    for w in wanted:
+        filled = filled | F.col(f"`{w}`").isNotNull()
+    counts = rows.groupBy("file").agg(F.count(F.lit(1)).alias("rows_in"), F.count_if(filled).alias("rows_out"))
+    stats = listed.join(counts, "file", "left").select(
+        "file", F.coalesce("rows_in", F.lit(0)).alias("rows_in"), F.coalesce("rows_out", F.lit(0)).alias("rows_out"),
+        (F.coalesce("rows_in", F.lit(0)) - F.coalesce("rows_out", F.lit(0))).alias("rows_removed"),
+        "columns_in", "columns_removed", "missing", "status")
+    return drop_empty(rows, wanted), stats
 
 
 def run_summary(stats: DataFrame, seconds: float | None = None) -> DataFrame:
@@ -152,19 +161,26 @@ def info(df: DataFrame) -> DataFrame:
 
 
 def process_csv_folder(spark: SparkSession, in_dir: str, out_dir: str, wanted: Sequence[str],
-                       glob: str = "*.csv") -> tuple[DataFrame, DataFrame]:
+                       glob: str = "*.csv", recursive: bool = False) -> tuple[DataFrame, DataFrame]:
     """Clean a CSV folder and write the result.
 
     Cleaned rows are written as CSV with a header, one output folder per
-    input file (``source_file=processed_<name>``); returns the per-file
-    statistics and the run totals.
+    input file (``source_file=processed_<name>``, with the sub-folders in the
+    name where ``recursive``); returns the per-file statistics and the run
+    totals.
     """
     import time
 
     t0 = time.perf_counter()
-    rows, stats = clean_csv_dir(spark, in_dir, wanted, glob)
-    out = rows.withColumn("source_file", F.concat(F.lit("processed_"), basename(F.col("file")))).drop("file")
+    rows, stats = clean_csv_dir(spark, in_dir, wanted, glob, recursive)
+    root = _plain(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(in_dir).toString()).rstrip("/")
+    name = F.replace(F.regexp_replace("file", "^(file:)?.*?" + _quoted(root.removeprefix("file:")) + "/", ""), F.lit("/"), F.lit("__"))
+    out = rows.withColumn("source_file", F.concat(F.lit("processed_"), name)).drop("file")
     out.write.mode("overwrite").option("header", True).partitionBy("source_file").csv(out_dir)
-    stats = stats.cache()
+    stats = materialize(stats, "csv-stats")
     summary = run_summary(stats, time.perf_counter() - t0)
     return stats, summary
+
+
+def _quoted(text: str) -> str:
+    return "\\Q" + text + "\\E"

@@ -219,7 +219,8 @@ def q_synth_users_shape(spark, sf):
 # ---------------------------------------------------------------- CSV cleaning
 
 WANTED = ["id", "name", "email"]
-# Each file group gets its own header: drifting columns and order.
+# Each file group gets its own header: drifting columns and order. Every other
+# segment, NULL too, has a header name with a comma and a field with a line feed.
 _CSV_GROUPS = {
     "AUTOMOBILE": [("c_custkey", "id"), ("c_name", "name"), ("c_nationkey", "nation"), ("c_acctbal", "balance")],
     "BUILDING": [("c_name", "name"), ("c_acctbal", "balance"), ("c_custkey", "id")],
@@ -241,6 +242,10 @@ def _write_drifting_csv(spark, sf) -> str:
         sel = [F.when(~blank, F.col(src)).alias(dst) if dst in ("id", "name") else F.col(src).alias(dst)
                for src, dst in cols]
         W.write(part.select(*sel), f"{base}/{seg.lower()}", "csv", header=True)
+    other = cust.where(~F.coalesce(F.col("c_mktsegment").isin(*_CSV_GROUPS), F.lit(False)))
+    odd = other.unionByName(cust.where("c_custkey % 50 = 0")).select(
+        F.col("c_nationkey").alias("a,b"), F.concat(F.col("c_name"), F.lit("\n"), F.lit("x")).alias("name"), F.col("c_custkey").alias("id"))
+    W.write(odd, f"{base}/odd", "csv", header=True)
     return base
 
 
@@ -250,10 +255,16 @@ SELECT lower(c_mktsegment) AS dataset, CAST(c_custkey AS VARCHAR) AS id, c_name
 FROM customer
 WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'HOUSEHOLD')
    OR (c_mktsegment = 'MACHINERY' AND c_custkey % 3 <> 0)
+UNION ALL
+SELECT 'odd', CAST(c_custkey AS VARCHAR), c_name || chr(10) || 'x', NULL FROM customer
+WHERE c_custkey % 50 = 0
+UNION ALL
+SELECT 'odd', CAST(c_custkey AS VARCHAR), c_name || chr(10) || 'x', NULL FROM customer
+WHERE coalesce(c_mktsegment, '') NOT IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY')
 """)
 def q_clean_columns(spark, sf):
     base = _write_drifting_csv(spark, sf)
-    rows, _ = CL.clean_csv_dir(spark, base, WANTED)
+    rows, _ = CL.clean_csv_dir(spark, base, WANTED, recursive=True)
     return rows.select(CL.dataset_of("file").alias("dataset"), *WANTED)
 
 
@@ -266,11 +277,17 @@ SELECT lower(c_mktsegment) AS dataset, count(*) AS rows_in,
        max(CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 2 WHEN 'BUILDING' THEN 1 WHEN 'FURNITURE' THEN 2
                              WHEN 'MACHINERY' THEN 0 ELSE 2 END) AS columns_removed,
        max(CASE c_mktsegment WHEN 'FURNITURE' THEN 'id,name,email' ELSE 'email' END) AS missing
-FROM customer GROUP BY c_mktsegment
+FROM customer WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY') GROUP BY c_mktsegment
+UNION ALL
+SELECT 'odd', count(*), count(*), 0, 1, 'email' FROM (
+  SELECT c_custkey FROM customer WHERE c_custkey % 50 = 0
+  UNION ALL
+  SELECT c_custkey FROM customer
+  WHERE coalesce(c_mktsegment, '') NOT IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'))
 """)
 def q_clean_stats(spark, sf):
     base = _write_drifting_csv(spark, sf)
-    _, stats = CL.clean_csv_dir(spark, base, WANTED)
+    _, stats = CL.clean_csv_dir(spark, base, WANTED, recursive=True)
     per_file = stats.withColumn("dataset", CL.dataset_of("file"))
     return per_file.groupBy("dataset").agg(
         F.sum("rows_in").cast("long").alias("rows_in"),
@@ -281,6 +298,20 @@ def q_clean_stats(spark, sf):
     )
 
 
+@query("run_summary", """
+SELECT 6 AS files_ok, 6 AS files_total, CAST(sum(CASE
+         WHEN c_mktsegment = 'FURNITURE' OR (c_mktsegment = 'MACHINERY' AND c_custkey % 3 = 0) THEN 0 ELSE 1 END)
+       + sum(CASE WHEN c_custkey % 50 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS rows_out
+FROM customer
+""")
+def q_run_summary(spark, sf):
+    base = _write_drifting_csv(spark, sf)
+    _, stats = CL.clean_csv_dir(spark, base, WANTED, recursive=True)
+    # a dataset's part files count as one
+    per = stats.groupBy(CL.dataset_of("file").alias("file")).agg(F.min("status").alias("status"), F.sum("rows_out").alias("rows_out"))
+    return CL.run_summary(per).select("files_ok", "files_total", "rows_out")
+
+
 # ---------------------------------------------------------------- keyed load
 
 

@@ -730,3 +730,24 @@ def test_backup_plan_takes_many_bases_as_a_table(spark):
     plan = P.backup_plan(inv, [f"/b{k}" for k in range(5000)], ledger, literal_ts("2024-01-02 00:00:00"), multipart_bytes=30)
     assert {r.dir: (r.n_files, r.total_bytes, r.size_class, r.status) for r in plan.collect()} == {
         "/b7/sub": (3, 30, "multipart", "skipped"), "/b4999/sub": (3, 30, "multipart", "planned")}
+
+
+def test_csv_quotes_newlines_empty_and_unreadable_files(spark, tmp_path):
+    d = tmp_path / "my csv"
+    (d / "deep").mkdir(parents=True)
+    (d / "a b.csv").write_text('"a,b",id,name\n1,7,bob\n2,8,"two\nlines, ""quoted"""\n')
+    (d / "empty.csv").write_text("")
+    (d / "bare.csv").write_text("id,name\n")
+    (d / "twice.csv").write_text("id,id,\n5,6,7\n")
+    (d / "deep" / "a b.csv").write_text("id\n9\n")
+    rows, stats = CL.clean_csv_dir(spark, str(d), ["id", "name"])
+    assert sorted((r.id, r.name) for r in rows.collect()) == [("5", None), ("7", "bob"), ("8", 'two\nlines, "quoted"')]
+    got = {os.path.basename(r.file): (r.rows_in, r.rows_out, r.status) for r in stats.collect()}
+    assert got == {"a b.csv": (2, 2, "ok"), "empty.csv": (0, 0, "empty"), "bare.csv": (0, 0, "ok"), "twice.csv": (1, 1, "error")}
+    assert tuple(CL.run_summary(stats).first())[:3] == (2, 4, 3)
+    rows, stats = CL.clean_csv_dir(spark, str(d), ["id"], recursive=True)
+    assert stats.count() == 5 and "9" in {r.id for r in rows.collect()}
+    out = scratch_path(spark, "processed-deep")
+    CL.process_csv_folder(spark, str(d), out, ["id"], recursive=True)
+    names = {r.source_file for r in spark.read.option("header", True).csv(out).select("source_file").distinct().collect()}
+    assert names == {"processed_a b.csv", "processed_twice.csv", "processed_deep__a b.csv"}
