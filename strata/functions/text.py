@@ -12,20 +12,24 @@ def percent_text(c: Column, digits: int = 1) -> Column:
 
 
 # SQL templates generated per relationship (I21). Placeholders: {pt} parent
-# table, {pc} parent column, {ct} child table, {cc} child column.
+# table, {pc} parent column, {ct} child table, {cc} child column; in double
+# quotes they are identifiers. The heading comments are fixed texts.
 CHILDREN_PER_PARENT_SQL = (
-    "SELECT p.{pc}, COUNT(c.{cc}) AS cnt_{ct} FROM {pt} p "
-    "LEFT JOIN {ct} c ON c.{cc} = p.{pc} GROUP BY p.{pc} "
-    "ORDER BY cnt_{ct} DESC, p.{pc} LIMIT 10"
+    "-- How many {ct} per {pt}?\n"
+    'SELECT p."{pc}", COUNT(c."{cc}") AS "cnt_{ct}" FROM "{pt}" p '
+    'LEFT JOIN "{ct}" c ON c."{cc}" = p."{pc}" GROUP BY p."{pc}" '
+    'ORDER BY "cnt_{ct}" DESC, p."{pc}" LIMIT 10'
 )
 ORPHANS_SQL = (
-    "SELECT c.* FROM {ct} c LEFT JOIN {pt} p ON c.{cc} = p.{pc} "
-    "WHERE p.{pc} IS NULL ORDER BY c.{cc} LIMIT 10"
+    "-- Orphaned {ct} (no matching {pt})\n"
+    'SELECT c.* FROM "{ct}" c LEFT JOIN "{pt}" p ON c."{cc}" = p."{pc}" '
+    'WHERE p."{pc}" IS NULL ORDER BY c."{cc}" LIMIT 10'
 )
 TOP_PARENTS_SQL = (
-    "SELECT p.{pc}, COUNT(*) AS total FROM {pt} p "
-    "JOIN {ct} c ON c.{cc} = p.{pc} GROUP BY p.{pc} "
-    "ORDER BY total DESC, p.{pc} LIMIT 5"
+    "-- Top {pt} by number of {ct}\n"
+    'SELECT p."{pc}", COUNT(*) AS total FROM "{pt}" p '
+    'JOIN "{ct}" c ON c."{cc}" = p."{pc}" GROUP BY p."{pc}" '
+    'ORDER BY total DESC, p."{pc}" LIMIT 5'
 )
 INSIGHT_TEMPLATES = (
     ("children_per_parent", CHILDREN_PER_PARENT_SQL),
@@ -35,8 +39,9 @@ INSIGHT_TEMPLATES = (
 
 
 def fill_template(template: str, pt: Column, pc: Column, ct: Column, cc: Column) -> Column:
-    """Template text with the four placeholders replaced by column values."""
+    """Template text with the four placeholders replaced by column values; a
+    double quote inside a name is doubled, as in any quoted identifier."""
     out = F.lit(template)
     for name, col in (("{pt}", pt), ("{pc}", pc), ("{ct}", ct), ("{cc}", cc)):
-        out = F.replace(out, F.lit(name), col)
+        out = F.replace(out, F.lit(name), F.replace(col, F.lit('"'), F.lit('""')))
     return out

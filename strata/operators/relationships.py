@@ -37,6 +37,7 @@ ELIGIBLE_TYPES = (
     T.BooleanType, T.DateType,
 )
 WORD_BITS = 64
+WORD_SHIFT = WORD_BITS.bit_length() - 1
 # Values longer than this travel as a 65-character digest ("\x01" + sha-256 hex);
 # plain values are at most this long, so the two forms never collide.
 PLAIN_VALUE_CHARS = 64
@@ -120,8 +121,8 @@ def signatures(values: DataFrame, n_cols: int) -> DataFrame:
     words = max(1, -(-n_cols // WORD_BITS))
     one = F.lit(1).cast("long")
     masks = [
-        F.coalesce(F.bit_or(F.when(F.floor(F.col("idx") / WORD_BITS) == w,
-                                   F.call_function("shiftleft", one, (F.col("idx") % WORD_BITS).cast("int")))), F.lit(0).cast("long")
+        F.coalesce(F.bit_or(F.when(F.shiftright("idx", WORD_SHIFT) == w,
+                                   F.call_function("shiftleft", one, F.col("idx").bitwiseAND(F.lit(WORD_BITS - 1))))), F.lit(0).cast("long")
                    ).alias(f"w{w}")
         for w in range(words)
     ]
@@ -142,7 +143,9 @@ def column_profile(spark: SparkSession, tables: Mapping[str, DataFrame],
                    sigs: DataFrame | None = None) -> DataFrame:
     """Per eligible column: distinct non-null values, table rows, uniqueness."""
     cat = catalog_rows(tables)
-    sigs = sigs if sigs is not None else signatures(column_values(tables), len(cat))
+    # written first: else the filter that comes with explode is pushed below the
+    # second aggregate and evaluated for every distinct value
+    sigs = sigs if sigs is not None else materialize(signatures(column_values(tables), len(cat)), "signatures")
     catalog = column_catalog(spark, tables)
     distinct = (
         sigs.select(F.explode("sig").alias("idx"), "n")
@@ -187,17 +190,21 @@ def column_profile_approx(spark: SparkSession, tables: Mapping[str, DataFrame],
     return out.withColumn("uniqueness", F.least(F.lit(1.0), F.col("n_distinct") / F.col("n_rows")))
 
 
-def pair_overlaps(sigs: DataFrame, table_of: list[int]) -> DataFrame:
+def pair_overlaps(sigs: DataFrame, table_of: list[int], parents: list[int] | None = None) -> DataFrame:
     """(child idx, parent idx, overlap) for column pairs of different tables.
 
     ``table_of[idx]`` is the table index of each column (schema metadata).
+    ``parents`` limits the parent side to these columns before any pair is
+    made, so a signature of k columns gives k times its parents, not k * k.
     """
     tables = F.array(*[F.lit(t) for t in table_of])
     tab = lambda c: F.element_at(tables, F.col(c) + 1)
-    multi = sigs.where(F.size("sig") > 1)
+    multi = sigs.where(F.size("sig") > 1).withColumn("up", F.col("sig"))
+    if parents is not None:
+        multi = multi.withColumn("up", F.array_intersect("sig", F.array(*[F.lit(p) for p in parents]).cast("array<int>")))
     return (
-        multi.select(F.explode("sig").alias("child"), "sig", "n")
-        .select("child", F.explode("sig").alias("parent"), "n")
+        multi.where(F.size("up") > 0).select(F.explode("sig").alias("child"), "up", "n")
+        .select("child", F.explode("up").alias("parent"), "n")
         .where(tab("child") != tab("parent"))
         .groupBy("child", "parent").agg(F.sum("n").alias("overlap"))
     )
@@ -227,6 +234,8 @@ def infer_relationships(spark: SparkSession, tables: Mapping[str, DataFrame],
     # read twice below: materialize it once, reliably, in the checkpoint dir
     sigs = materialize(signatures(column_values(tables), len(cat)), "signatures")
     prof = column_profile(spark, tables, sigs)
+    # one row per column: only those unique enough can be parents
+    unique = [r.idx for r in prof.where(F.col("uniqueness") >= min_uniqueness).select("idx").collect()]
     child = prof.select(
         F.col("idx").alias("child"), F.col("table_name").alias("child_table"),
         F.col("column_name").alias("child_col"), F.col("n_distinct").alias("child_distinct"),
@@ -236,7 +245,7 @@ def infer_relationships(spark: SparkSession, tables: Mapping[str, DataFrame],
         F.col("column_name").alias("parent_col"), F.col("uniqueness"),
     )
     scored = (
-        pair_overlaps(sigs, [r[1] for r in cat])
+        pair_overlaps(sigs, [r[1] for r in cat], unique)
         .join(F.broadcast(child), "child")
         .join(F.broadcast(parent), "parent")
         .withColumn("overlap_ratio", F.col("overlap") / F.col("child_distinct"))
@@ -326,7 +335,7 @@ def fk_ddl(rel: DataFrame, min_confidence: float = 0.9, best_only: bool = False)
     if best_only:
         w = Window.partitionBy("child_table", "child_col").orderBy(*relationship_order())
         hi = hi.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-    stmt = F.format_string(
+    stmt = F.format_string(  # fixed text
         "ALTER TABLE %s ADD CONSTRAINT fk_%s_%s FOREIGN KEY (%s) REFERENCES %s(%s);",
         "child_table", "child_table", "child_col", "child_col", "parent_table", "parent_col",
     )

@@ -533,9 +533,14 @@ def test_generated_insight_sql_runs(spark):
         df.createOrReplaceTempView(name)
     texts = I.insight_queries(REL.infer_relationships(spark, tables), 6).collect()
     assert len(texts) == 3 * len({(r.parent_table, r.child_table) for r in texts})
-    for r in texts:
-        out = spark.sql(r.sql)
-        assert out.count() <= (5 if r.kind == "top_parents" else 10)
+    spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
+    try:
+        for r in texts:
+            assert r.sql.startswith("-- ")
+            out = spark.sql(r.sql)
+            assert out.count() <= (5 if r.kind == "top_parents" else 10)
+    finally:
+        spark.conf.unset("spark.sql.ansi.doubleQuotedIdentifiers")
 
 
 def test_watch_skips_missing_directories(spark, tmp_path):
