@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strata.llm.common import Scratch, to_arrays
-from strata.llm.textops import (Counter, Hasher, U, buffer, byte_grams, lookup, mix, per_row, row_of, slices, sum_rows,
+from strata.llm.textops import (Counter, Hasher, HashTable, U, buffer, byte_grams, mix, per_row, row_of, slices, sum_rows,
                                 unique_counts, words)
 
 ORDER = 5
@@ -38,6 +38,7 @@ MIN_WORDS = 50
 FENCE = 2.5
 LEAST_SPREAD = 0.2       # of the quartiles, in bits a word
 MAX_ROWS = 8_000_000     # of the broadcast model: 12 bytes each
+SLICE_BYTES = 1 << 19    # of text scored at once: its arrays stay in the cache
 BINS = 1000              # of the histogram of perplexities, for each bit
 
 IS_SYMBOL = np.zeros(256, bool)
@@ -159,8 +160,9 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return lower
 
 
-def _hash(gram: np.ndarray, lang: np.ndarray) -> np.ndarray:
-    return mix(gram + mix(lang) * U(0x9E3779B97F4A7C15))
+def _key(gram: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    """The gram's key in its language's part of the hash table."""
+    return gram ^ lang * U(0x9E3779B97F4A7C15)
 
 
 def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -173,17 +175,16 @@ def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER, max_rows
         return _joined(docs, model, order, features, row)
     spark = docs.sparkSession
     table = to_arrays(model)
-    key = _hash(table["gram"].astype(U), table["lang"].view(U))
-    by = np.argsort(key)
-    held = spark.sparkContext.broadcast((key[by], np.log2(table["p"][by]).astype(np.float32)))
+    held = spark.sparkContext.broadcast(HashTable(
+        _key(table["gram"].astype(U), table["lang"].view(U)), np.log2(table["p"]).astype(np.float32)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, logp = held.value
-        for batch in slices(batches, "text"):
+        table = held.value
+        logp = np.append(table.values[0], np.float32(-8.0))  # the last for what was not counted
+        for batch in slices(batches, "text", SLICE_BYTES):
             data, off = buffer(batch.column("text"))
             lang = np.repeat(batch.column("lang").to_numpy().view(U), np.diff(off))
-            at, found = lookup(keys, _hash(byte_grams(data, off, order), lang))
-            bits = -sum_rows(np.where(found, logp[at] if len(logp) else 0.0, -8.0), off) / np.maximum(np.diff(off), 1)
+            bits = -sum_rows(logp[table.find(_key(byte_grams(data, off, order), lang))], off) / np.maximum(np.diff(off), 1)
             yield _batch(batch, data, off, bits)
 
     return docs.mapInArrow(score, f"row {row}, lang long, {features}, byte_bits double")

@@ -18,8 +18,6 @@ SLICE_BYTES = 2 << 20
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = np.ones(1, U)
-_inverses = np.ones(1, U)
 
 # word = maximal run of bytes outside space and \x09-\x0D
 IS_SPACE = np.zeros(256, bool)
@@ -74,29 +72,24 @@ class Hasher:
     """Polynomial hashes of arbitrary spans of one buffer in O(1) each."""
 
     def __init__(self, data: np.ndarray):
-        global _powers, _inverses
         n = len(data) + 1
-        if len(_powers) < n:
-            m = max(n, 1 << 21)
-            _powers = np.full(m, _BASE, U)
-            _powers[0] = 1
-            np.cumprod(_powers, out=_powers)
-            _inverses = np.full(m, _INVERSE, U)
-            _inverses[0] = 1
-            np.cumprod(_inverses, out=_inverses)
+        powers = np.full(n, _BASE, U)
+        powers[0] = 1
+        np.cumprod(powers, out=powers)
+        self.inverses = np.full(n, _INVERSE, U)
+        self.inverses[0] = 1
+        np.cumprod(self.inverses, out=self.inverses)
+        powers[:-1] *= data.astype(U) + U(1)
         self.sums = np.zeros(n, U)
-        terms = data.astype(U)
-        terms += U(1)
-        terms *= _powers[: n - 1]
-        np.cumsum(terms, out=self.sums[1:])
+        np.cumsum(powers[:-1], out=self.sums[1:])
 
     def span(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * _inverses[starts])
+        return mix((self.sums[ends] - self.sums[starts]) * self.inverses[starts])
 
     def windows(self, length: int) -> np.ndarray:
         """Hash of every window of ``length`` bytes, by start."""
         n = len(self.sums) - length
-        return mix((self.sums[length:] - self.sums[:n]) * _inverses[:n])
+        return mix((self.sums[length:] - self.sums[:n]) * self.inverses[:n])
 
 
 def per_row(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -212,29 +205,34 @@ def sum_rows(values: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 class HashTable:
     """Values by 64-bit key: sorted key hashes behind an index on their top
-    bits, so that a lookup reads a few neighbouring places."""
+    bits, so that a lookup reads one or a few neighbouring places."""
 
     def __init__(self, keys: np.ndarray, *values: np.ndarray):
         h = mix(keys.astype(U))
         order = np.argsort(h)
-        self.hashes = h[order]
+        self.hashes = np.append(h[order], U(0))  # one more place to look at
         self.values = [np.ascontiguousarray(v[order]) for v in values]
-        self.shift = 64 - max(1, min(24, int(len(keys)).bit_length()))
-        edges = np.arange(1 << (64 - self.shift), dtype=U) << U(self.shift)
-        self.first = np.append(np.searchsorted(self.hashes, edges), len(keys)).astype(np.int32)
+        bits = min(22, int(len(keys)).bit_length() + 1)
+        self.shift = U(64 - bits)
+        self.first = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(np.bincount((h >> self.shift).view(np.int64), minlength=1 << bits), out=self.first[1:], dtype=np.int32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Place of each key in the values, -1 if absent."""
         h = mix(keys)
-        top = (h >> U(self.shift)).astype(np.int32)
-        at, end = self.first[top], self.first[top + 1]
-        out = np.full(len(keys), -1, np.int32)
-        todo = np.flatnonzero(at < end)
-        at, end, h = at[todo], end[todo], h[todo]
-        while len(todo):
-            hit = self.hashes[at] == h
-            out[todo[hit]] = at[hit]
-            at += 1
-            go = ~hit & (at < end)
-            todo, at, end, h = todo[go], at[go], end[go], h[go]
-        return out
+        at = self.first[(h >> self.shift).view(np.int64)]
+        todo = np.flatnonzero(self.hashes[at] != h)
+        if len(todo):
+            h = h[todo]
+            place, end = at[todo], self.first[(h >> self.shift).view(np.int64) + 1]
+            at[todo] = -1
+            while len(todo):
+                place += 1
+                go = place < end
+                todo, place, end, h = todo[go], place[go], end[go], h[go]
+                hit = self.hashes[place] == h
+                at[todo[hit]] = place[hit]
+                todo, place, end, h = todo[~hit], place[~hit], end[~hit], h[~hit]
+        if len(self.hashes) == 1:
+            at[:] = -1
+        return at
