@@ -152,30 +152,36 @@ def ppm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("doc_id"), (id_fold(F.col(id_col), FOLDS) == HELD_OUT).alias("held_out"),
                        F.col(text_col).cast("string").alias("text"))
     counts = scratch.table(count_all(rows, order), "ppm-counts")
-    known = counts.where("kind = 0 AND trained > 0").select("key", F.col("trained").alias("c"))
+    trained = counts.where("kind = 0 AND trained > 0")
+    known = trained.select("key", F.col("trained").alias("c"))
+    # a token that occurs once at all is known in its own training document and
+    # nowhere else: that document knows it without a table
+    several = trained.where("n > 1").select("key", F.col("trained").alias("c"))
     n, v = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total = float(n + v + 1)
     lengths = scratch.table(code_lengths(counts.where("kind = 1").select("key", "trained"), scratch, order), "ppm-lengths")
-    if max(v, lengths.count()) > max_rows:
+    if max(several.count(), lengths.count()) > max_rows:
         out = _joined(rows, known, lengths, total, order)
     else:
-        words_, coded = to_arrays(known), to_arrays(lengths)
-        held = spark.sparkContext.broadcast((
-            HashTable(words_["key"].view(U), np.log10((words_["c"] + 1) / total)),
-            HashTable(coded["key"].view(U), (coded["ln_p"] / LN10).astype(np.float32))))
-        unknown = float(-np.log10(total))
+        words_ = to_arrays(several.select("key", F.log10((F.col("c") + 1) / total).alias("p")))
+        table = HashTable(words_["key"].view(U), words_["p"])
+        coded = to_arrays(lengths.select("key", (F.col("ln_p") / LN10).cast("float").alias("p")))
+        held = spark.sparkContext.broadcast((table, HashTable(coded["key"].view(U), coded["p"])))
+        del words_, coded, table
+        new, once = float(-np.log10(total)), float(np.log10(2) - np.log10(total))
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             word, byte = held.value
             for batch in slices(batches, "text"):
                 tokens, t_off, text, b_off = spell(*buffer(batch.column("text")))
                 at = word.find(tokens)
-                base = np.full(len(at), unknown)
+                trained = np.repeat(~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool), np.diff(t_off))
+                base = np.where(trained, once, new)
                 base[at >= 0] = word.values[0][at[at >= 0]]
                 code = byte.values[0][byte.find(byte_grams(text, b_off, order + 1))]  # every gram was counted
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(t_off)),
-                     pa.array(sum_rows(at >= 0, t_off).astype(np.int64)), pa.array(sum_rows(base, t_off)), pa.array(sum_rows(code, b_off))],
+                     pa.array(sum_rows((at >= 0) | trained, t_off).astype(np.int64)), pa.array(sum_rows(base, t_off)), pa.array(sum_rows(code, b_off))],
                     names=["doc_id", *[f.split()[0] for f in SCORES.split(", ")]])
 
         out = rows.mapInArrow(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {SCORES}")
