@@ -12,13 +12,16 @@ connected components of the links.
   ``BANDS`` bands of ``ROWS`` samples make the candidates: a pair at 0.8 is
   missed by all bands with probability 0.488 ** 10 < 0.001.
 - Equal word sequences are one node. In each band bucket the members are
-  compared with one leader, not with each other: pairs that agree on half of
-  their samples are verified on their whole texts. Members that are still in
-  different components go on into finer buckets (two more samples each, in
-  every combination) until buckets are in one component or have one member.
-  By the triangle inequality of the distance 1 - similarity, members close to
-  a leader can leave as soon as nobody outside its component is near it.
-- Rounds, links and components are tables; nothing is gathered by group.
+  first compared with one leader: pairs that agree on half of their samples
+  are verified on their whole texts, which joins large groups of copies in one
+  linear step. By the triangle inequality of the distance 1 - similarity,
+  members close to a leader are done if nobody outside its component is near it.
+- What is left of a bucket and still in different components is compared
+  exactly inside a task, whole texts of at most ``BLOCK`` members and
+  ``BLOCK_BYTES`` at a time, as products of shingle matrices; only the links
+  that join components come out. Larger rests are first split into finer
+  buckets (two more samples, all ``PAIRS`` choices, then again a leader).
+- Rounds, links and components are tables; no group is gathered whole.
 
 A text of fewer than five words is one shingle; a text without words (null,
 empty, blank) is in a class of its own with nothing else but equal ones: no
@@ -49,12 +52,16 @@ SAMPLES = BANDS * ROWS
 PAIRS = SAMPLES // 2
 AGREE = SAMPLES // 2       # samples in common before a pair is verified
 NEAR = int(SAMPLES * 0.4)  # beyond the triangle inequality's 0.6, with room for sampling
+BLOCK = 2500               # members of a bucket that are compared in one task
+BLOCK_BYTES = 8 << 20      # and bytes of their texts
+COLUMNS = 1024             # of the shingle matrix at once
 TABLE = 1 << 16            # variates of each kind
 
 _rng = np.random.default_rng(20170817)
 _R = _rng.gamma(2.0, 1.0, TABLE).astype(np.float32)
 _LN_C = np.log(_rng.gamma(2.0, 1.0, TABLE)).astype(np.float32)
 _B = _rng.random(TABLE).astype(np.float32)
+_ODD = [int(x) | 1 for x in _rng.integers(1 << 62, 1 << 63, SAMPLES)]
 
 
 def shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -120,10 +127,10 @@ def consistent_samples(row: np.ndarray, key: np.ndarray, weight: np.ndarray, n:
     ln_w = np.log(weight).astype(np.float32)
     here = np.arange(len(row), dtype=U)
     for k in range(SAMPLES):
-        g = mix(key + U((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
-        r, b = _R[(g & U(0xFFFF)).astype(np.int32)], _B[(g >> U(16) & U(0xFFFF)).astype(np.int32)]
+        g = key * U(_ODD[k])  # the keys are mixed already
+        r, b = _R[(g >> U(48)).astype(np.int32)], _B[(g >> U(32) & U(0xFFFF)).astype(np.int32)]
         t = np.floor(ln_w / r + b)
-        a = _LN_C[(g >> U(32) & U(0xFFFF)).astype(np.int32)] - r * (t - b + np.float32(1))
+        a = _LN_C[(g >> U(16) & U(0xFFFF)).astype(np.int32)] - r * (t - b + np.float32(1))
         bits = a.view(np.int32)
         bits = (bits ^ ((bits >> 31) & 0x7FFFFFFF)).astype(np.int64) + (1 << 31)  # in the order of a
         best = np.minimum.reduceat(bits.astype(U) << U(32) | here, first) & U(0xFFFFFFFF)
@@ -222,6 +229,64 @@ def _finer(members: DataFrame) -> DataFrame:
     return members.select("key", "last", "node", "sig").mapInArrow(run, "key long, last int, node binary, sig binary")
 
 
+def joining_links(texts: list[str], roots: list[bytes], idf: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of texts with similarity >= SIMILARITY, as many as are needed to
+    join the components (``roots``) that such pairs join. Exact: the sum of
+    minima of tf * idf is a product of 0/1 matrices with a column for each
+    (shingle, occurrence), weighted by idf."""
+    m = len(texts)
+    row, key, tf, _ = shingles(*buffer(pa.array(texts, pa.string())))
+    weight = idf[bucket_of(key)]
+    total = np.bincount(row, tf * weight, minlength=m)
+    at = np.repeat(np.arange(len(key)), tf)
+    nth = (np.arange(len(at)) - np.repeat(np.cumsum(tf) - tf, tf)).astype(U)
+    _, column, count = np.unique(mix(key[at] + mix(nth)), return_inverse=True, return_counts=True)
+    met = count[column] > 1  # a shingle of one text adds to no minimum
+    column = np.unique(column[met], return_inverse=True)[1]
+    row, weight = row[at[met]], weight[at[met]]
+    order = np.argsort(column, kind="stable")
+    row, weight, column = row[order], weight[order], column[order]
+    common = np.zeros((m, m))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        x = np.zeros((m, COLUMNS))
+        x[row[a:b], column[a:b] - low] = np.sqrt(weight[a:b])
+        common += x @ x.T
+    label = np.unique(np.array([r.hex() for r in roots]), return_inverse=True)[1]
+    out = []
+    for i in range(m):
+        near = np.flatnonzero(common[i] >= SIMILARITY * (total[i] + total - common[i]) - 1e-9)
+        other = near[label[near] != label[i]]
+        for name in np.unique(label[other]).tolist():
+            out.append((i, int(other[label[other] == name][0])))
+            label[label == name] = label[i]
+    return out
+
+
+def rest_links(rest: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """(a, b) links that join components within the buckets of (key, node, root)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = None, []
+
+        def done():
+            found = joining_links([r[2] for r in rows], [r[1] for r in rows], idf.value)
+            return pa.RecordBatch.from_arrays([pa.array([rows[p[k]][0] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "root", "text"))):
+                if key != held and rows:
+                    yield done()
+                    rows = []
+                held = key
+                rows.append(row)
+        if rows:
+            yield done()
+
+    return (rest.select("key", "node", "root").join(texts, "node").select("key", "node", "root", "text")
+            .repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a binary, b binary"))
+
+
 def near_links(sketches: DataFrame, docs: DataFrame, idf, scratch: Scratch) -> DataFrame:
     """Components (node, root) over all verified links of the sketched nodes."""
     nodes = sketches.where("sig IS NOT NULL").groupBy("node").agg(
@@ -236,39 +301,64 @@ def near_links(sketches: DataFrame, docs: DataFrame, idf, scratch: Scratch) -> D
         .select("node", "text").dropDuplicates(["node"]), "near-texts")
     members = active.join(nodes.select("node", "sig"), "node").withColumn("last", F.lit(-1))
     spark = docs.sparkSession
-    done, found, roots, k = None, None, spark.createDataFrame([], "node binary, root binary"), 0
-    while True:
-        placed = members.select("key", "last", "node", "sig").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        placed = scratch.table(placed, f"members-{k}")
-        buckets = placed.groupBy("key").agg(
+    links = Links(texts, idf, scratch, spark)
+    weights = texts.select("node", F.octet_length("text").alias("bytes"))
+    rest = None
+    while True:  # leaders; buckets beyond BLOCK go round again as finer ones
+        placed = scratch.table(links.rooted(members), f"members-{links.round}")
+        lead = placed.groupBy("key").agg(
             F.min(F.struct("node", "sig", "root")).alias("lead"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        pairs = placed.join(buckets.select("key", F.col("lead.node").alias("lead"), F.col("lead.sig").alias("lead_sig"),
-                                           F.col("lead.root").alias("lead_root")), "key").where("node <> lead")
-        compared = scratch.table(agreement(pairs), f"compared-{k}")
-        candidates = compared.where((F.col("agree") >= AGREE) & (F.col("root") != F.col("lead_root"))).select(
-            F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-        if done is not None:
-            candidates = candidates.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        checked = scratch.table(similarities(candidates, texts, idf), f"checked-{k}")
-        done = checked if done is None else done.unionByName(checked)
-        found = done.where(F.col("similarity") >= SIMILARITY).select("a", "b")
-        roots = components(found, scratch, f"stars-{k}")
-        # who goes on: buckets with several components, without those that only their leader's component can want
-        now = (compared.drop("root", "lead_root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-               .join(roots.select(F.col("node").alias("lead"), F.col("root").alias("lead_root")), "lead", "left")
-               .withColumn("lead_root", F.coalesce("lead_root", "lead")))
+        pairs = placed.join(lead.select("key", F.col("lead.node").alias("lead"), F.col("lead.sig").alias("lead_sig"),
+                                        F.col("lead.root").alias("lead_root")), "key")
+        compared = scratch.table(agreement(pairs), f"compared-{links.round}")
+        links.verify(compared.where((F.col("agree") >= AGREE) & (F.col("root") != F.col("lead_root"))).select(
+            F.col("lead").alias("a"), F.col("node").alias("b")))
+        now = links.rooted(compared.drop("root", "lead_root")).join(
+            links.rooted(compared.select("key", F.col("lead").alias("node")).distinct()).select("key", F.col("root").alias("lead_root")), "key")
         now = now.withColumn("with_lead", F.col("root") == F.col("lead_root"))
-        state = now.groupBy("key").agg(
-            F.max(F.when(~F.col("with_lead"), F.col("agree"))).alias("nearest"),
-            F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        going = now.join(state, "key").where(
+        state = now.groupBy("key").agg(F.max(F.when(~F.col("with_lead"), F.col("agree"))).alias("nearest")).where("nearest IS NOT NULL")
+        # close to the leader and nobody else near: done
+        left = now.join(state, "key").where(
             ~F.col("with_lead") | (F.col("nearest") >= NEAR) | (F.col("agree") < SAMPLES - AGREE // 2))
-        members = scratch.table(_finer(going), f"finer-{k}")
-        alive = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        members = members.join(alive, "key", "left_semi")
-        k += 1
-        if members.isEmpty():
-            return roots
+        left = scratch.table(left.select("key", "last", "node", "sig", "root"), f"left-{links.round}")
+        sizes = left.join(weights, "node").groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where("n > 1")
+        fits = (F.col("n") <= BLOCK) & (F.col("bytes") <= BLOCK_BYTES) | (F.col("n") == 2)
+        small = left.join(sizes.where(fits).select("key"), "key", "left_semi").select("key", "node")
+        rest = small if rest is None else rest.unionByName(small)
+        large = left.join(sizes.where(~fits).select("key"), "key", "left_semi")
+        if large.isEmpty():
+            break
+        members = scratch.table(_finer(large), f"finer-{links.round}")
+    rooted = links.rooted(rest)
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    links.add(scratch.table(rest_links(rooted.join(open_, "key", "left_semi"), texts, idf), "rest"))
+    return links.roots
+
+
+class Links:
+    """Pairs verified so far and the components of those that are links."""
+
+    def __init__(self, texts: DataFrame, idf, scratch: Scratch, spark):
+        self.texts, self.idf, self.scratch = texts, idf, scratch
+        self.round, self.done = 0, None
+        self.roots = spark.createDataFrame([], "node binary, root binary")
+
+    def rooted(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the root of their node's component."""
+        return rows.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def verify(self, pairs: DataFrame) -> None:
+        pairs = pairs.distinct()
+        if self.done is not None:
+            pairs = pairs.join(self.done.select("a", "b"), ["a", "b"], "left_anti")
+        new = self.scratch.table(similarities(pairs, self.texts, self.idf), f"checked-{self.round}")
+        self.done = new if self.done is None else self.done.unionByName(new)
+        self.add(new.where(F.col("similarity") >= SIMILARITY).select("a", "b"))
+
+    def add(self, links: DataFrame) -> None:
+        if not links.isEmpty():  # the stars so far stand for the earlier links
+            self.roots = components(links.union(self.roots), self.scratch, f"stars-{self.round}")
+        self.round += 1
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

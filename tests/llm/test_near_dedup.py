@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from strata.llm import near_dedup as N
 from strata.llm.textops import buffer
@@ -61,8 +62,10 @@ def brute(rows):
     return [root(i) for i in range(len(rows))], bags
 
 
-def test_classes_match_brute_force(docs_of, monkeypatch):
+@pytest.mark.parametrize("block", [2500, 3])
+def test_classes_match_brute_force(docs_of, monkeypatch, block):
     monkeypatch.setattr(N, "DAMP", 0.0)  # then the weights are the counts
+    monkeypatch.setattr(N, "BLOCK", block)
     rows = corpus()
     roots, _ = brute(rows)
     want = {}
