@@ -13,9 +13,11 @@ are judged on the input.
   is one row a task). Keys with more than ``HOT`` segments are split by further
   minima, which divides what differs while equal windows stay together.
 - In each key's segments, windows whose hash is single are left out; what
-  remains is cut into strings, equal ones counted, and sorted by a suffix array
-  (``gsaca``). Suffixes that agree on ``LENGTH`` bytes are neighbours there: a
-  window counts as repeated when its neighbours' counts add up to two or more.
+  remains is cut into strings, and equal ones are counted. Strings that share
+  windows with other strings, or hold one twice, are sorted by a suffix array
+  (``gsaca``): suffixes that agree on ``LENGTH`` bytes are neighbours there, and
+  a window is repeated when its neighbours' counts add up to two or more. In a
+  string that shares none, each window has the string's own count.
 - The byte ranges found go back to their texts.
 
 Texts are UTF-8 bytes; null and shorter texts keep all. Equal texts are
@@ -179,9 +181,27 @@ def cut_segments(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def repeated_windows(strings: list[bytes], counts: list[int], length: int = LENGTH) -> list[np.ndarray]:
-    """For each string (with its number of copies), which of its windows of
-    ``length`` bytes start more than once in all of them: neighbours in the
-    suffix array that agree on ``length`` bytes."""
+    """For each of the distinct strings (with its number of copies), which of
+    its windows of ``length`` bytes start more than once in all of them."""
+    off = np.concatenate([[0], np.cumsum([len(s) for s in strings])])
+    number = np.maximum(np.diff(off) - length + 1, 0)
+    h = Hasher(np.frombuffer(b"".join(strings), np.uint8)).windows(length)[ragged(off[:-1], number)]
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    shared = np.zeros(len(h), bool)
+    shared[order[1:]] |= same
+    shared[order[:-1]] |= same
+    meets = np.add.reduceat(shared, np.cumsum(number) - number) > 0 if len(h) else np.zeros(len(strings), bool)
+    out = [np.full(n, c > 1) for n, c in zip(number.tolist(), counts)]
+    some = np.flatnonzero(meets).tolist()
+    for k, hit in zip(some, _sorted_windows([strings[k] for k in some], [counts[k] for k in some], length)):
+        out[k] = hit
+    return out
+
+
+def _sorted_windows(strings: list[bytes], counts: list[int], length: int) -> list[np.ndarray]:
+    """The same through the suffix array of all strings: windows are equal
+    where neighbours in it agree on ``length`` bytes."""
     text: list[int] = []
     base = []
     for s in strings:
@@ -190,9 +210,9 @@ def repeated_windows(strings: list[bytes], counts: list[int], length: int = LENG
         text.append(0)
     owner = np.repeat(np.arange(len(strings)), [len(s) + 1 for s in strings])
     sa = np.array(suffix_array(text), np.int64)
-    own = owner[sa]
-    inside = sa - np.array(base, np.int64)[own]
-    whole = inside + length <= np.array([len(s) for s in strings], np.int64)[own]
+    own = owner[sa] if len(sa) else sa
+    inside = sa - np.array(base, np.int64)[own] if len(sa) else sa
+    whole = inside + length <= np.array([len(s) for s in strings], np.int64)[own] if len(sa) else np.zeros(0, bool)
     own, inside = own[whole], inside[whole]
     views = [strings[o][i: i + length] for o, i in zip(own.tolist(), inside.tolist())]
     new = np.ones(len(views), bool)
