@@ -33,14 +33,14 @@ def corpus():
     rng = np.random.default_rng(11)
     rows, k = [], 0
     passage = make(rng, 1, size=60)
-    for _ in range(25):  # families: edits of one text
+    for _ in range(12):  # families: edits of one text
         base = make(rng, 1, vocab=5000, size=int(rng.integers(40, 300))).split()
         for _ in range(int(rng.integers(1, 7))):
             w = list(base)
             for at in rng.integers(0, len(w), int(rng.integers(0, 4))):
                 w[at] = f"x{rng.integers(10**6)}"
             rows.append((k := k + 1, " ".join(w)))
-    for _ in range(60):  # a hot passage in short texts that are no copies
+    for _ in range(25):  # a hot passage in short texts that are no copies
         rows.append((k := k + 1, passage + " " + make(rng, 1, vocab=5000, size=int(rng.integers(20, 60)))))
     rows += [(k + 1, None), (k + 2, ""), (k + 3, " \n"), (k + 4, "Two words"), (k + 5, "two WORDS"), (k + 6, rows[3][1]), (k + 6, rows[3][1])]
     return rows
