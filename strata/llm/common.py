@@ -13,6 +13,7 @@ from strata.session import delete_path, scratch_path
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+BATCH_ROWS = 1000  # whole texts that a task holds in Arrow form at once
 WORD = r"[^\x20\x09-\x0D]+"
 
 _left: list[tuple[SparkSession, str]] = []
@@ -33,7 +34,13 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch_path(self.spark, name)
-        df.write.mode("overwrite").parquet(path)
+        batch, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", self.spark.conf
+        rows = conf.get(batch)
+        conf.set(batch, str(min(int(rows), BATCH_ROWS)) if int(rows) > 0 else str(BATCH_ROWS))
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            conf.set(batch, rows)
         self.paths[name] = path
         _left.append((self.spark, path))
         return self.spark.read.schema(df.schema).parquet(path)

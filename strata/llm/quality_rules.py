@@ -39,6 +39,7 @@ FENCE = 2.5
 LEAST_SPREAD = 0.2       # of the quartiles, in bits a word
 MAX_ROWS = 8_000_000     # of the broadcast model: 12 bytes each
 SLICE_BYTES = 1 << 19    # of text scored at once: its arrays stay in the cache
+MAX_LANGS = 100_000      # of the broadcast bands: 24 bytes each
 BINS = 1000              # of the histogram of perplexities, for each bit
 
 IS_SYMBOL = np.zeros(256, bool)
@@ -256,7 +257,10 @@ def judge(docs: DataFrame, carry: list[str] | None = None, text_col: str = "text
                            .withColumn("bits", F.col("byte_bits") * F.col("n_bytes") / F.greatest("n_words", F.lit(1))), "perplexities")
     scratch.drop("gram-counts", "kneser-ney")
     inside = F.col("bits").between(F.col("low"), F.col("high"))
-    return scored.join(bands(scored, fence), "lang", "left").withColumn(
+    limits = scratch.table(bands(scored, fence), "bands")
+    if limits.count() <= MAX_LANGS:  # else both sides are shuffled
+        limits = F.broadcast(limits)
+    return scored.join(limits, "lang", "left").withColumn(
         "kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
 
 
