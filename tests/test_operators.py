@@ -335,7 +335,7 @@ def test_attempt_outcomes(spark):
         [("a", 1, False), ("a", 2, True), ("b", 1, False), ("b", 2, False), ("b", 3, False), ("c", 1, True),
          ("d", 4, True)], "item string, attempt int, ok boolean")
     got = {r.item: (r.status, r.attempts) for r in P.attempt_outcomes(log).collect()}
-    assert got == {"a": ("uploaded", 2), "b": ("failed", 3), "c": ("uploaded", 1)}
+    assert got == {"a": ("uploaded", 2), "b": ("failed", 3), "c": ("uploaded", 1), "d": ("failed", 0)}
 
 
 def test_export_relationships_and_ddl_script(spark):
