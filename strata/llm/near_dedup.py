@@ -5,8 +5,9 @@ tf * idf ** ``DAMP``. Two documents are linked when their weighted Jaccard
 similarity, sum of minima over sum of maxima, is 0.8 or more; classes are the
 connected components of the links.
 
-- Document frequencies are counted over all documents in ``BUCKETS`` hash
-  buckets, a table of fixed size.
+- Document frequencies are counted for every shingle (64-bit hash) over all
+  documents: tasks deal their shingles out by ranges of the hash, each range is
+  counted whole, and the counts above one go back to the texts they came from.
 - Ioffe's sampling draws ``SAMPLES`` (shingle, level) samples a document; two
   documents agree on a sample with the probability of their similarity.
   ``BANDS`` bands of ``ROWS`` samples make the candidates: a pair at 0.8 is
@@ -32,21 +33,25 @@ An empty table gives an empty one; other columns are not looked at.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import Scratch, keep_chosen, text_sha, to_arrays
+from strata.llm.common import Scratch, keep_chosen, text_sha
 from strata.llm.components import components
-from strata.llm.textops import Counter, Hasher, U, buffer, lower_ascii, mix, slices, words
+from strata.llm.textops import Hasher, U, buffer, lookup, lower_ascii, mix, slices, words
 
 WORDS = 5
 SIMILARITY = 0.8
 DAMP = 0.25
-BUCKETS = 1 << 16
+BUCKETS = 1 << 16          # of the plain version in the tests
+PARTS = 64                 # ranges of shingle hashes at least
+PART_BYTES = 8 << 20       # of text for each range
 BANDS, ROWS = 10, 3
 SAMPLES = BANDS * ROWS
 PAIRS = SAMPLES // 2
@@ -97,25 +102,98 @@ def shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def bucket_of(key: np.ndarray) -> np.ndarray:
+    """Bucket of the plain version in the tests; no weight here comes from it."""
     return (key >> U(48)).astype(np.int64) & (BUCKETS - 1)
 
 
-def document_frequencies(docs: DataFrame) -> np.ndarray:
-    """Damped idf of each bucket; a table of BUCKETS numbers."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of each run of equal ``group`` (sorted)."""
+    rows: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if rows and row["group"] != rows[0]["group"]:
+                yield rows
+                rows = []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def document_frequencies(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(sha, known, df): for each text with shingles that stand in more than
+    one document their hashes and numbers of documents, as packed arrays, and
+    the number of documents. The shingles of a slice of texts travel packed, a
+    row for each range of hashes."""
+    n_docs, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(PARTS, -(-size // PART_BYTES))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for number, batch in enumerate(slices(batches, "text")):
+            row, key, _, _ = shingles(*buffer(batch.column("text")))
+            if not len(key):
+                continue
+            shas = "".join(batch.column("sha").to_pylist()).encode()
+            name = int.from_bytes(hashlib.blake2b(shas + b"%d-%d" % (task, number), digest_size=8).digest(), "little", signed=True)
+            part = ((key >> U(32)) * U(parts) >> U(32)).astype(np.int64)
+            order = np.argsort(part, kind="stable")  # the order of rows stays
+            some, first = np.unique(part[order], return_index=True)
+            last = np.append(first[1:], len(order))
+            row, key = row[order], key[order]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some), pa.array(np.full(len(some), name)), pa.array([shas] + [None] * (len(some) - 1), pa.binary()),
+                 pa.array([np.diff(row[a:b], prepend=0).astype("<u4").tobytes() for a, b in zip(first, last)], pa.binary()),
+                 pa.array([key[a:b].tobytes() for a, b in zip(first, last)], pa.binary())],
+                names=["group", "slice", "shas", "steps", "known"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(BUCKETS, np.int64), 0
-        for batch in slices(batches, "text"):
-            _, key, _, _ = shingles(*buffer(batch.column("text")))
-            total += np.bincount(bucket_of(key), minlength=BUCKETS)
-            rows += batch.num_rows
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], rows))], names=["bucket", "n"])
-
-    table = to_arrays(docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")))
-    df = np.zeros(BUCKETS + 1)
-    df[table["bucket"]] = table["n"]  # the rows come last, at -1
-    return np.log1p(max(df[-1], 1.0) / np.maximum(df[:-1], 1.0)).astype(np.float64) ** DAMP
+        for rows in _groups(batches):
+            keys = [np.frombuffer(r["known"], U) for r in rows]
+            _, place, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+            n, out = n[place], []
+            for r, key, df in zip(rows, keys, np.split(n, np.cumsum([len(k) for k in keys])[:-1])):
+                many = df > 1
+                if r["shas"] is not None or many.any():
+                    row = np.cumsum(np.frombuffer(r["steps"], "<u4"))[many]
+                    out.append((r["slice"], r["shas"], np.diff(row, prepend=0).astype("<u4").tobytes(), key[many].tobytes(),
+                                df[many].astype("<u4").tobytes()))
+            cols = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]],
+                                             names=["group", "shas", "steps", "known", "df"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            shas = next(r["shas"] for r in rows if r["shas"] is not None).decode()
+            row = np.concatenate([np.cumsum(np.frombuffer(r["steps"], "<u4").astype(np.int64)) for r in rows])
+            key, df = (np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in (("known", U), ("df", "<u4")))
+            order = np.argsort(row, kind="stable")
+            row, key, df = row[order], key[order], df[order]
+            some, first = np.unique(row, return_index=True)
+            last = np.append(first[1:], len(row))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([shas[64 * k: 64 * k + 64] for k in some.tolist()], pa.string()),
+                 *[pa.array([x[a:b].tobytes() for a, b in zip(first, last)], pa.binary()) for x in (key, df)]],
+                names=["sha", "known", "df"])
+
+    found = (docs.select("sha", "text").mapInArrow(deal, "group long, slice long, shas binary, steps binary, known binary")
+             .repartition("group").sortWithinPartitions("group")
+             .mapInArrow(count, "group long, shas binary, steps binary, known binary, df binary")
+             .repartition("group").sortWithinPartitions("group")
+             .mapInArrow(gather, "sha string, known binary, df binary"))
+    return found.dropDuplicates(["sha"]), n_docs
+
+
+def damped_idf(row: np.ndarray, key: np.ndarray, known: pa.Array, df: pa.Array, n_docs: int) -> np.ndarray:
+    """Weight of each shingle; those that are not ``known`` in their row stand
+    in one document."""
+    data, off = buffer(known)
+    owner = np.repeat(np.arange(len(off) - 1), np.diff(off) // 8)
+    name = mix(data.view(U) ^ mix(owner.astype(U) + U(1)))
+    order = np.argsort(name)
+    place, hit = lookup(name[order], mix(key ^ mix(row.astype(U) + U(1))))
+    number = np.ones(len(key))
+    number[hit] = buffer(df)[0].view("<u4")[order[place[hit]]]
+    return np.log1p(n_docs / number) ** DAMP
 
 
 def consistent_samples(row: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
@@ -139,16 +217,16 @@ def consistent_samples(row: np.ndarray, key: np.ndarray, weight: np.ndarray, n:
     return out
 
 
-def sketch(docs: DataFrame, idf) -> DataFrame:
-    """(doc_id, sha, node, sig, keys) of rows (doc_id, sha, text); texts
-    without words have neither sig nor keys."""
+def sketch(docs: DataFrame, n_docs: int) -> DataFrame:
+    """(doc_id, sha, node, sig, keys) of rows (doc_id, sha, text, known, df);
+    texts without words have neither sig nor keys."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             n = batch.num_rows
             row, key, tf, node = shingles(*buffer(batch.column("text")))
-            sig = consistent_samples(row, key, tf * idf.value[bucket_of(key)], n)
+            sig = consistent_samples(row, key, tf * damped_idf(row, key, batch.column("known"), batch.column("df"), n_docs), n)
             bands = np.empty((n, BANDS), U)
             for b in range(BANDS):
                 x = np.full(n, b + 1, U)
@@ -186,26 +264,29 @@ def agreement(pairs: DataFrame) -> DataFrame:
             .mapInArrow(run, "key long, last int, node binary, sig binary, root binary, lead binary, lead_root binary, agree int"))
 
 
-def similarities(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
+def similarities(pairs: DataFrame, texts: DataFrame, n_docs: int) -> DataFrame:
     """(a, b, similarity) of pairs of nodes, on their whole texts."""
 
-    def bag(col: pa.Array):
-        row, key, tf, _ = shingles(*buffer(col))
-        return row, mix(key ^ mix(row.astype(U) + U(1))), tf * idf.value[bucket_of(key)]
+    def bag(b: pa.RecordBatch, side: str):
+        row, key, tf, _ = shingles(*buffer(b.column(f"text_{side}")))
+        weight = tf * damped_idf(row, key, b.column(f"known_{side}"), b.column(f"df_{side}"), n_docs)
+        return row, mix(key ^ mix(row.astype(U) + U(1))), weight
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(slices([batch], "text_a"), "text_b"):
                 n = b.num_rows
-                (ra, ka, wa), (rb, kb, wb) = bag(b.column("text_a")), bag(b.column("text_b"))
+                (ra, ka, wa), (rb, kb, wb) = bag(b, "a"), bag(b, "b")
                 _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
                 common = np.bincount(ra[ia], np.minimum(wa[ia], wb[ib]), minlength=n)
                 whole = np.bincount(ra, wa, minlength=n) + np.bincount(rb, wb, minlength=n) - common
                 yield pa.RecordBatch.from_arrays(
                     [b.column("a"), b.column("b"), pa.array(common / np.maximum(whole, 1e-12))], names=["a", "b", "similarity"])
 
-    return (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-            .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    def of(side: str) -> DataFrame:
+        return texts.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("text", "known", "df")])
+
+    return (pairs.join(of("a"), "a").join(of("b"), "b")
             .mapInArrow(run, "a binary, b binary, similarity double"))
 
 
@@ -229,14 +310,14 @@ def _finer(members: DataFrame) -> DataFrame:
     return members.select("key", "last", "node", "sig").mapInArrow(run, "key long, last int, node binary, sig binary")
 
 
-def joining_links(texts: list[str], roots: list[bytes], idf: np.ndarray) -> list[tuple[int, int]]:
+def joining_links(texts: list[str], roots: list[bytes], known: list[bytes], df: list[bytes], n_docs: int) -> list[tuple[int, int]]:
     """Pairs of texts with similarity >= SIMILARITY, as many as are needed to
     join the components (``roots``) that such pairs join. Exact: the sum of
     minima of tf * idf is a product of 0/1 matrices with a column for each
     (shingle, occurrence), weighted by idf."""
     m = len(texts)
     row, key, tf, _ = shingles(*buffer(pa.array(texts, pa.string())))
-    weight = idf[bucket_of(key)]
+    weight = damped_idf(row, key, pa.array(known, pa.binary()), pa.array(df, pa.binary()), n_docs)
     total = np.bincount(row, tf * weight, minlength=m)
     at = np.repeat(np.arange(len(key)), tf)
     nth = (np.arange(len(at)) - np.repeat(np.cumsum(tf) - tf, tf)).astype(U)
@@ -263,18 +344,18 @@ def joining_links(texts: list[str], roots: list[bytes], idf: np.ndarray) -> list
     return out
 
 
-def rest_links(rest: DataFrame, texts: DataFrame, idf) -> DataFrame:
+def rest_links(rest: DataFrame, texts: DataFrame, n_docs: int) -> DataFrame:
     """(a, b) links that join components within the buckets of (key, node, root)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = None, []
 
         def done():
-            found = joining_links([r[2] for r in rows], [r[1] for r in rows], idf.value)
+            found = joining_links(*([r[k] for r in rows] for k in (2, 1, 3, 4)), n_docs)
             return pa.RecordBatch.from_arrays([pa.array([rows[p[k]][0] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "root", "text"))):
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "root", "text", "known", "df"))):
                 if key != held and rows:
                     yield done()
                     rows = []
@@ -283,11 +364,11 @@ def rest_links(rest: DataFrame, texts: DataFrame, idf) -> DataFrame:
         if rows:
             yield done()
 
-    return (rest.select("key", "node", "root").join(texts, "node").select("key", "node", "root", "text")
+    return (rest.select("key", "node", "root").join(texts, "node").select("key", "node", "root", "text", "known", "df")
             .repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a binary, b binary"))
 
 
-def near_links(sketches: DataFrame, docs: DataFrame, idf, scratch: Scratch) -> DataFrame:
+def near_links(sketches: DataFrame, docs: DataFrame, found: DataFrame, n_docs: int, scratch: Scratch) -> DataFrame:
     """Components (node, root) over all verified links of the sketched nodes."""
     nodes = sketches.where("sig IS NOT NULL").groupBy("node").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "sha", "sig", "keys")).alias("r"))
@@ -298,10 +379,10 @@ def near_links(sketches: DataFrame, docs: DataFrame, idf, scratch: Scratch) -> D
     wanted = active.select("node").distinct().join(nodes.select("node", "doc_id", "sha"), "node")
     texts = scratch.table(
         docs.join(wanted.withColumnRenamed("doc_id", "_id"), (docs["sha"] == wanted["sha"]) & docs["doc_id"].eqNullSafe(F.col("_id")))
-        .select("node", "text").dropDuplicates(["node"]), "near-texts")
+        .select("node", docs["sha"], "text").dropDuplicates(["node"]).join(found, "sha", "left").drop("sha"), "near-texts")
     members = active.join(nodes.select("node", "sig"), "node").withColumn("last", F.lit(-1))
     spark = docs.sparkSession
-    links = Links(texts, idf, scratch, spark)
+    links = Links(texts, n_docs, scratch, spark)
     weights = texts.select("node", F.octet_length("text").alias("bytes"))
     rest = None
     while True:  # leaders; buckets beyond BLOCK go round again as finer ones
@@ -331,15 +412,15 @@ def near_links(sketches: DataFrame, docs: DataFrame, idf, scratch: Scratch) -> D
         members = scratch.table(_finer(large), f"finer-{links.round}")
     rooted = links.rooted(rest)
     open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    links.add(scratch.table(rest_links(rooted.join(open_, "key", "left_semi"), texts, idf), "rest"))
+    links.add(scratch.table(rest_links(rooted.join(open_, "key", "left_semi"), texts, n_docs), "rest"))
     return links.roots
 
 
 class Links:
     """Pairs verified so far and the components of those that are links."""
 
-    def __init__(self, texts: DataFrame, idf, scratch: Scratch, spark):
-        self.texts, self.idf, self.scratch = texts, idf, scratch
+    def __init__(self, texts: DataFrame, n_docs: int, scratch: Scratch, spark):
+        self.texts, self.n_docs, self.scratch = texts, n_docs, scratch
         self.round, self.done = 0, None
         self.roots = spark.createDataFrame([], "node binary, root binary")
 
@@ -351,7 +432,7 @@ class Links:
         pairs = pairs.distinct()
         if self.done is not None:
             pairs = pairs.join(self.done.select("a", "b"), ["a", "b"], "left_anti")
-        new = self.scratch.table(similarities(pairs, self.texts, self.idf), f"checked-{self.round}")
+        new = self.scratch.table(similarities(pairs, self.texts, self.n_docs), f"checked-{self.round}")
         self.done = new if self.done is None else self.done.unionByName(new)
         self.add(new.where(F.col("similarity") >= SIMILARITY).select("a", "b"))
 
@@ -367,9 +448,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_sha(F.col(text_col)).alias("sha"), F.col(text_col).cast("string").alias("text"))
-    idf = spark.sparkContext.broadcast(document_frequencies(rows))
-    sketches = scratch.table(sketch(rows, idf), "sketches")
-    roots = near_links(sketches, rows, idf, scratch)
+    found, n_docs = document_frequencies(rows)
+    found = scratch.table(found, "frequencies")
+    sketches = scratch.table(sketch(rows.join(found, "sha", "left").select(*rows.columns, "known", "df"), n_docs), "sketches")
+    roots = near_links(sketches, rows, found, n_docs, scratch)
     # texts without words are classes of their own, by id
     classed = sketches.select("doc_id", "sha", "node", "sig").join(roots, "node", "left").select(
         "doc_id", "sha",

@@ -113,3 +113,29 @@ def test_shingles():
     row, key, tf, node = N.shingles(*buffer(pa.array(texts)))
     assert np.bincount(row, minlength=5).tolist() == [2, 0, 1, 1, 1] and tf[-1] == 3
     assert node[2].tolist() == node[3].tolist() != node[0].tolist()
+
+
+def test_idf_is_the_document_frequency_of_each_shingle(docs_of, monkeypatch):
+    monkeypatch.setattr(N, "DAMP", 1.0)
+    monkeypatch.setattr(N, "BUCKETS", 16, raising=False)  # no table of shared counts may stand between
+    rng = np.random.default_rng(5)
+    hot = make(rng, 1, vocab=5000, size=60)
+    rows = [(k, hot + " " + make(rng, 1, vocab=5000, size=30)) for k in range(60)]  # alike only in what is frequent
+    for k in range(60, 100, 2):  # the same own part behind the hot passage or not
+        own = make(rng, 1, vocab=5000, size=120)
+        rows += [(k, hot + " " + own), (k + 1, own)]
+    bags = [grams(t) for _, t in rows]
+    df = Counter(g for bag in bags for g in bag)
+    weights = [{g: n * np.log1p(len(rows) / df[g]) for g, n in bag.items()} for bag in bags]
+
+    def similar(a, b):
+        common = sum(min(w, b[g]) for g, w in a.items() if g in b)
+        return common / (sum(a.values()) + sum(b.values()) - common) >= 0.8
+
+    want = {frozenset((rows[i][0], rows[j][0])) for i in range(len(rows)) for j in range(i) if similar(weights[i], weights[j])}
+    plain = {frozenset((rows[i][0], rows[j][0])) for i in range(len(rows)) for j in range(i) if jaccard(bags[i], bags[j]) >= 0.8}
+    classes = {}
+    for r in N.near_classes(docs_of(rows)).collect():
+        classes.setdefault(r.class_id, set()).add(r.doc_id)
+    print(len(want), len(plain))
+    assert {frozenset(c) for c in classes.values() if len(c) > 1} == want != plain
