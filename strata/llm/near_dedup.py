@@ -20,8 +20,12 @@ connected components of the links.
 - What is left of a bucket and still in different components is compared
   exactly inside a task, whole texts of at most ``BLOCK`` members and
   ``BLOCK_BYTES`` at a time, as products of shingle matrices; only the links
-  that join components come out. Larger rests are first split into finer
-  buckets (two more samples, all ``PAIRS`` choices, then again a leader).
+  that join components come out. Larger rests are dealt into blocks of half
+  that size and every two blocks are compared. Rests of more than ``SPLIT``
+  blocks are first split into finer buckets (two more samples, all ``PAIRS``
+  choices, then again a leader), ``DEPTH`` times at most: a pair at 0.8 misses
+  both splits with probability 0.36 ** 14 < 0.000001, and what is too large
+  after them is compared in blocks however large it is.
 - Rounds, links and components are tables; no group is gathered whole.
 
 A text of fewer than five words is one shingle; a text without words (null,
@@ -59,6 +63,8 @@ AGREE = SAMPLES // 2       # samples in common before a pair is verified
 NEAR = int(SAMPLES * 0.4)  # beyond the triangle inequality's 0.6, with room for sampling
 BLOCK = 2500               # members of a bucket that are compared in one task
 BLOCK_BYTES = 8 << 20      # and bytes of their texts
+SPLIT = 16                 # blocks of a bucket before it is split
+DEPTH = 2                  # splits before all blocks are compared
 COLUMNS = 1024             # of the shingle matrix at once
 TABLE = 1 << 16            # variates of each kind
 
@@ -344,6 +350,16 @@ def joining_links(texts: list[str], roots: list[bytes], known: list[bytes], df:
     return out
 
 
+def blocked(members: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(key, node): members of buckets (key, blocks) in a group for every two
+    blocks; blocks go by a hash of the node."""
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = (members.select("key", "node").join(blocks.select("key", "blocks"), "key")
+             .select("key", "node", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+             .where("mine <> other"))
+    return dealt.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "node")
+
+
 def rest_links(rest: DataFrame, texts: DataFrame, n_docs: int) -> DataFrame:
     """(a, b) links that join components within the buckets of (key, node, root)."""
 
@@ -385,7 +401,7 @@ def near_links(sketches: DataFrame, docs: DataFrame, found: DataFrame, n_docs: i
     links = Links(texts, n_docs, scratch, spark)
     weights = texts.select("node", F.octet_length("text").alias("bytes"))
     rest = None
-    while True:  # leaders; buckets beyond BLOCK go round again as finer ones
+    for depth in range(DEPTH + 1):  # leaders; buckets beyond SPLIT blocks go round again as finer ones
         placed = scratch.table(links.rooted(members), f"members-{links.round}")
         lead = placed.groupBy("key").agg(
             F.min(F.struct("node", "sig", "root")).alias("lead"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
@@ -406,10 +422,17 @@ def near_links(sketches: DataFrame, docs: DataFrame, found: DataFrame, n_docs: i
         fits = (F.col("n") <= BLOCK) & (F.col("bytes") <= BLOCK_BYTES) | (F.col("n") == 2)
         small = left.join(sizes.where(fits).select("key"), "key", "left_semi").select("key", "node")
         rest = small if rest is None else rest.unionByName(small)
-        large = left.join(sizes.where(~fits).select("key"), "key", "left_semi")
+        # blocks are half full on average, two of them about one BLOCK
+        blocks = F.greatest(F.ceil(2 * F.col("n") / BLOCK), F.ceil(2 * F.col("bytes") / BLOCK_BYTES))
+        large = left.join(sizes.where(~fits).select("key", F.least(blocks, F.col("n")).alias("blocks")), "key")
         if large.isEmpty():
             break
-        members = scratch.table(_finer(large), f"finer-{links.round}")
+        final = F.lit(depth == DEPTH) | (F.col("last") == PAIRS - 1) | (F.col("blocks") <= SPLIT)
+        rest = rest.unionByName(blocked(large, large.where(final).select("key", "blocks").distinct()))
+        members = large.where(~final)
+        if depth == DEPTH or members.isEmpty():
+            break
+        members = scratch.table(_finer(members), f"finer-{links.round}")
     rooted = links.rooted(rest)
     open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     links.add(scratch.table(rest_links(rooted.join(open_, "key", "left_semi"), texts, n_docs), "rest"))

@@ -139,3 +139,24 @@ def test_idf_is_the_document_frequency_of_each_shingle(docs_of, monkeypatch):
         classes.setdefault(r.class_id, set()).add(r.doc_id)
     print(len(want), len(plain))
     assert {frozenset(c) for c in classes.values() if len(c) > 1} == want != plain
+
+
+@pytest.mark.parametrize("limits", [{"BLOCK_BYTES": 2500}, {"BLOCK_BYTES": 2500, "SPLIT": 1}, {"BLOCK": 3, "SPLIT": 2}])
+def test_large_buckets_are_compared(docs_of, monkeypatch, limits):
+    monkeypatch.setattr(N, "DAMP", 0.0)
+    for name, value in limits.items():
+        monkeypatch.setattr(N, name, value, raising=False)
+    # members agree on all samples, and none is verified with its leader
+    samples = N.SAMPLES
+    monkeypatch.setattr(N, "consistent_samples", lambda row, key, weight, n: np.full((samples, n), 7, np.uint32))
+    monkeypatch.setattr(N, "AGREE", samples + 1)
+    monkeypatch.setattr(N, "PAIRS", 3)
+    rows = corpus()[:40]
+    roots, bags = brute(rows)
+    want = {}
+    for i, (doc_id, _) in enumerate(rows):
+        want.setdefault(roots[i], set()).add(doc_id)
+    classes = {}
+    for r in N.near_classes(docs_of(rows)).collect():
+        classes.setdefault(r.class_id, set()).add(r.doc_id)
+    assert {frozenset(v) for v in classes.values()} == {frozenset(v) for v in want.values()}
