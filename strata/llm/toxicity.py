@@ -3,12 +3,11 @@
 Tokens (runs of ASCII letters, digits and non-ASCII bytes, A-Z lowered) and
 their stems (first ``STEM`` code points) get the log-odds of appearing in
 toxic against other documents, with a Dirichlet prior that follows their share
-in all labelled text; what counts is the lower end of the confidence interval,
-and for a token the higher of its own and its stem's. Tokens that are not
-significantly toxic cost ``DRAG``, and so does a token that the document had
-before: its repeats are no new evidence. In that
-sequence the Ruzzo-Tompa scan finds every maximal scoring segment in linear
-time. Maxima of random sequences follow an extreme-value law
+in all labelled text; what counts is the end of the confidence interval nearer
+to 0, and for a token the higher of its own and its stem's. Tokens that are not
+significantly toxic or harmless cost ``DRAG``. In the sequence of all tokens
+the Ruzzo-Tompa scan finds every maximal scoring segment in linear time; each
+occurrence of a token counts. Maxima of random sequences follow an extreme-value law
 P(S >= s) = 1 - exp(-K n e^(-lambda s)): lambda solves sum p e^(lambda s) = 1
 over the other documents' tokens, K is its maximum-likelihood value on them.
 Several segments are judged together by the law of the sum of the r best,
@@ -45,7 +44,7 @@ STEM = 4
 PRIOR = 1000.0    # total weight of the prior that follows the shares
 EACH = 0.5        # prior weight of every token beside that
 Z = 2.5           # standard errors taken off a log-odds ratio
-LEAST = 3         # toxic documents a token needs
+LEAST = 3         # documents of its kind a token needs
 DRAG = 0.1        # cost of any other token
 THRESHOLD = 0.5
 MOST = 20.0       # -ln P beyond this says no more
@@ -78,7 +77,7 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def segments(at: list[int], scores: list[float], drag: float = DRAG) -> list[tuple[int, int, float]]:
     """Maximal scoring segments (Ruzzo and Tompa 1999) of a sequence whose
-    positions ``at`` score ``scores`` > 0 and all others ``-drag``, as
+    positions ``at`` score ``scores`` and all others ``-drag``, as
     (first, last, score) in order."""
     stack: list[list] = []  # first, last, left sum, right sum
     total, before = 0.0, None
@@ -86,6 +85,9 @@ def segments(at: list[int], scores: list[float], drag: float = DRAG) -> list[tup
         if before is not None:
             total -= (p - before - 1) * drag
         before = p
+        if s <= 0:
+            total += s
+            continue
         part = [p, p, total, total + s]
         total += s
         while stack:
@@ -126,7 +128,8 @@ def token_odds(learn: DataFrame) -> DataFrame:
 
 
 def lexicon(odds: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """(sorted token hashes, scores, lambda) of the significantly toxic tokens."""
+    """(sorted token hashes, scores, lambda) of the significantly toxic and the
+    significantly harmless tokens."""
     n1, n0 = (odds.agg(F.sum("toxic"), F.sum("other")).first() or (0, 0))
     n1, n0 = float(n1 or 0), float(n0 or 0)
     if not n1 or not n0:
@@ -134,9 +137,10 @@ def lexicon(odds: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     prior = EACH + PRIOR * (F.col("toxic") + F.col("other")) / (n1 + n0)
     a, b = F.col("toxic") + prior, F.col("other") + prior
     ratio = F.log(a / (n1 + PRIOR + EACH)) - F.log(b / (n0 + PRIOR + EACH))
-    low = ratio - Z * F.sqrt(1 / a + 1 / b)
-    table = to_arrays(odds.where(F.col("toxic") >= LEAST).select("token", low.alias("score"), (b / (n0 + PRIOR)).alias("p"))
-                      .where(F.col("score") > DRAG))
+    error = Z * F.sqrt(1 / a + 1 / b)
+    score = (F.when((F.col("toxic") >= LEAST) & (ratio - error > DRAG), ratio - error)
+             .when((F.col("other") >= LEAST) & (ratio + error < -DRAG), ratio + error))
+    table = to_arrays(odds.select("token", score.alias("score"), (b / (n0 + PRIOR)).alias("p")).where("score IS NOT NULL"))
     key = table["token"].astype(np.int64).view(U)
     order = np.argsort(key)
     s, p = table["score"].astype(float)[order], table["p"].astype(float)[order]
@@ -148,12 +152,12 @@ def lexicon(odds: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
             high = mid
         else:
             low_ = mid
-    return key[order], s, max(low_, 1e-3) if len(s) else 1.0
+    return key[order], s, max(low_, 1e-3) if (s > 0).any() else 1.0
 
 
 def scan(docs: DataFrame, keys: np.ndarray, scores: np.ndarray) -> DataFrame:
     """Every row of (doc_id, fold, text): number of tokens, the best segment's
-    score and all segments as byte spans."""
+    score and all segments as byte spans, over every occurrence of a token."""
     held = docs.sparkSession.sparkContext.broadcast((keys, scores))  # bounded by FIT_DOCS
     kind = docs.schema["doc_id"].dataType.simpleString()
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
@@ -164,21 +168,17 @@ def scan(docs: DataFrame, keys: np.ndarray, scores: np.ndarray) -> DataFrame:
             data, off = buffer(batch.column("text"))
             starts, ends, row, key, stem = tokens(data, off)
             n = np.bincount(row, minlength=batch.num_rows)
-            odds = np.zeros(len(key))
+            odds = np.full(len(key), np.nan)
             for unit in (key, stem):
                 place, hit = lookup(table, unit)
-                odds[hit] = np.maximum(odds[hit], weight[place[hit]])
-            hit = np.flatnonzero(odds)
-            order = hit[np.lexsort((hit, key[hit], row[hit]))]
-            new = np.ones(len(order), bool)
-            new[1:] = (key[order[1:]] != key[order[:-1]]) | (row[order[1:]] != row[order[:-1]])
-            hit = np.sort(order[new])
+                odds[hit] = np.fmax(odds[hit], weight[place[hit]])
+            hit = np.flatnonzero(~np.isnan(odds))
             cut = np.searchsorted(row[hit], np.arange(batch.num_rows + 1))
             best, spans = np.zeros(batch.num_rows), [[] for _ in range(batch.num_rows)]
             for k in np.flatnonzero(np.diff(cut)).tolist():
                 mine = hit[cut[k]: cut[k + 1]]
                 found = segments(mine.tolist(), odds[mine].tolist())
-                best[k] = max(s for _, _, s in found)
+                best[k] = max((s for _, _, s in found), default=0.0)  # harmless tokens alone make none
                 spans[k] = [{"start": int(starts[a] - off[k]), "end": int(ends[b] - off[k]), "score": s} for a, b, s in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("fold"), pa.array(n, pa.int64()), pa.array(best), pa.array(spans, pa.list_(span))],

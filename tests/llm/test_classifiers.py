@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from strata.llm.compression_quality import quality_scores
-from strata.llm.toxicity import segments, toxicity
+from strata.llm.toxicity import scan, segments, toxicity
 
 SF = "/root/testdata/sf0.1"
 
@@ -61,3 +61,37 @@ def test_segments_match_brute_force():
         want = brute(values)
         assert [g[:2] for g in got] == [w[:2] for w in want]
         assert np.allclose([g[2] for g in got], [w[2] for w in want])
+
+
+def test_segments_with_negative_scores_match_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        n = int(rng.integers(1, 25))
+        at = np.flatnonzero(rng.random(n) < 0.6)
+        scores = rng.uniform(-3.0, 3.0, len(at))
+        values = [(k, -0.7) for k in range(n)]
+        for k, s in zip(at, scores):
+            values[k] = (int(k), float(s))
+        got = segments(at.tolist(), scores.tolist(), 0.7)
+        want = brute(values)
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert np.allclose([g[2] for g in got], [w[2] for w in want])
+
+
+def test_second_passage_of_the_same_words(spark):
+    import pyarrow as pa
+
+    from strata.llm.toxicity import tokens
+    from strata.llm.textops import buffer
+
+    passage, calm = "vile rotten scum", " ".join(["plain"] * 200)
+    key = tokens(*buffer(pa.array([passage + " soothing"])))[3]
+    order = np.argsort(key)
+    scores = np.array([2.0, 1.5, 3.0, -4.0])
+    text = f"{passage} {calm} {passage} {calm} scum soothing vile scum scum"
+    docs = spark.createDataFrame([(1, 0, text)], "doc_id long, fold int, text string")
+    found = scan(docs, key[order], scores[order]).first()
+    raw = text.encode()
+    assert [(raw[s.start: s.end].decode(), round(s.score, 6)) for s in found.segments] == [
+        (passage, 6.5), (passage, 6.5), ("scum", 3.0), ("vile scum scum", 8.0)]
+    assert round(found.best, 6) == 8.0
