@@ -11,7 +11,10 @@ are judged on the input.
 - The others, with their bytes, meet by key. Equal segments are one with a
   count (combined before the shuffle, so a passage that stands in every text
   is one row a task). Keys with more than ``HOT`` segments are split by further
-  minima, which divides what differs while equal windows stay together.
+  minima, which divides what differs while equal windows stay together. Their
+  windows' hashes are counted over all tasks, and only repeated windows go on,
+  those of up to ``FEW`` places each by its own hash, the others in runs by key
+  and count: equal windows have equal counts, and windows of more places are few.
 - In each key's segments, windows whose hash is single are left out; what
   remains is cut into strings, and equal ones are counted. Strings that share
   windows with other strings, or hold one twice, are sorted by a suffix array
@@ -37,11 +40,12 @@ from pyspark.sql import functions as F
 
 from strata.llm.common import Scratch
 from strata.llm.gsaca import suffix_array
-from strata.llm.textops import Hasher, U, buffer, mix, ragged, slices
+from strata.llm.textops import Hasher, U, buffer, mix, ragged, slices, unique_counts
 
 LENGTH = 400
 GRAM = 64
 HOT = 2000
+FEW = 1000
 LONGEST = 4096  # windows of one segment
 
 
@@ -150,7 +154,7 @@ def shared_segments(segmented: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def cut_segments(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(sha, copies, key, start, name, seg) of (sha, text, copies, found)."""
+    """(sha, copies, key, start, name, seg, hot) of (sha, text, copies, found)."""
     gram = min(GRAM, length)
     width = length - gram + 1
 
@@ -165,19 +169,75 @@ def cut_segments(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                     a = int(off[k]) + s["start"]
                     seg = raw[a: a + s["windows"] + length - 1]
                     if not s["level"]:
-                        rows.append((sha[k], copies[k], s["key"], s["start"], seg))
+                        rows.append((sha[k], copies[k], s["key"], s["start"], seg, False))
                         continue
                     keys = window_keys(Hasher(np.frombuffer(seg, np.uint8)).windows(gram), s["level"], width)
                     for b, n in zip(*(v.tolist() for v in runs(keys))):
-                        rows.append((sha[k], copies[k], int(keys[b].astype(np.int64)), s["start"] + b, seg[b: b + n + length - 1]))
+                        rows.append((sha[k], copies[k], int(keys[b].astype(np.int64)), s["start"] + b, seg[b: b + n + length - 1], True))
             for at in range(0, len(rows), 2000):
                 cols = list(zip(*rows[at: at + 2000]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()),
-                     pa.array(cols[3], pa.int32()), pa.array([_name(s) for s in cols[4]], pa.binary()), pa.array(cols[4], pa.binary())],
-                    names=["sha", "copies", "key", "start", "name", "seg"])
+                     pa.array(cols[3], pa.int32()), pa.array([_name(s) for s in cols[4]], pa.binary()), pa.array(cols[4], pa.binary()),
+                     pa.array(cols[5], pa.bool_())],
+                    names=["sha", "copies", "key", "start", "name", "seg", "hot"])
+
+    return texts.select("sha", "text", "copies", "found").mapInArrow(
+        run, "sha binary, copies long, key long, start int, name binary, seg binary, hot boolean")
+
+
+def repeated_runs(cut: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """``cut`` (without ``hot``) with the hot segments reduced to runs of windows
+    whose hash occurs again in hot segments, under new keys."""
+    hot = cut.where("hot")
+    spans = scratch.table(hot.groupBy("key", "name").agg(F.sum("copies").alias("copies"), F.first("seg").alias("seg")), "hot-segments")
+
+    def hashes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        data, off = buffer(batch.column("seg"))
+        count = np.maximum(np.diff(off) - length + 1, 0)
+        return Hasher(data).windows(length)[ragged(off[:-1], count)], count
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "seg"):
+            h, count = hashes(batch)
+            h, n = unique_counts(h, np.repeat(batch.column("copies").to_numpy(), count))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "seg"):
+            h, count = hashes(batch)
+            row = pa.array(np.repeat(np.arange(len(count)), count))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h.view(np.int64)), batch.column("key").take(row), batch.column("name").take(row),
+                 pa.array(ragged(np.zeros(len(count), np.int64), count).astype(np.int32))], names=["h", "key", "name", "at"])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                key = np.zeros(len(r["seg"]) - length + 1, np.int64)
+                hit = np.zeros(len(key), bool)
+                at = [w["at"] for w in r["on"]]
+                key[at], hit[at] = [w["to"] for w in r["on"]], True
+                breaks = np.zeros(len(key), bool)
+                breaks[1:] = hit[1:] != hit[:-1]
+                for a, n in zip(*(v.tolist() for v in runs(key, breaks))):
+                    if hit[a]:
+                        rows.append((r["sha"], r["copies"], int(key[a]), r["start"] + a, r["seg"][a: a + n + length - 1]))
+            cols = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()),
+                 pa.array([_name(x) for x in cols[4]], pa.binary()), pa.array(cols[4], pa.binary())],
+                names=["sha", "copies", "key", "start", "name", "seg"])
 
-    return texts.select("sha", "text", "copies", "found").mapInArrow(run, "sha binary, copies long, key long, start int, name binary, seg binary")
+    again = (spans.select("seg", "copies").mapInArrow(number, "h long, n long")
+             .groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"))
+    on = (spans.select("seg", "key", "name").mapInArrow(windows, "h long, key long, name binary, at int").join(again, "h")
+          .select("key", "name", "at", F.when(F.col("n") <= FEW, F.col("h")).otherwise(F.xxhash64("key", "n")).alias("to"))
+          .groupBy("key", "name").agg(F.collect_list(F.struct("at", "to")).alias("on")))
+    cut_hot = hot.join(on, ["key", "name"]).select("sha", "copies", "start", "seg", "on")
+    return cut.where("not hot").drop("hot").unionByName(
+        cut_hot.mapInArrow(pieces, "sha binary, copies long, key long, start int, name binary, seg binary"))
 
 
 def repeated_windows(strings: list[bytes], counts: list[int], length: int = LENGTH) -> list[np.ndarray]:
@@ -342,7 +402,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = shared_segments(segmented, scratch)
     texts = scratch.table(rows.select("sha", "text").join(found, "sha").dropDuplicates(["sha"]), "candidates")
     scratch.drop("segments")
-    cut = scratch.table(cut_segments(texts, length), "cut")
+    cut = scratch.table(cut_segments(texts, length), "all-cut")
+    cut = scratch.table(repeated_runs(cut, length, scratch), "cut")
+    scratch.drop("all-cut", "hot-segments")
     ranges = scratch.table(repeated_ranges(cut, length), "ranges")
     placed = (cut.select("sha", "key", "name", "start").join(ranges, ["key", "name"])
               .select("sha", F.explode("ranges").alias("r"), "start")

@@ -73,3 +73,23 @@ def test_sample_and_edges(sample, edge, docs_of):
     assert S.remove_repeats(docs_of([])).collect() == []
     kept = {r.doc_id: r.kept for r in S.remove_repeats(edge).collect()}
     assert kept[9] == b"" and kept[4] is None
+
+
+@pytest.mark.parametrize("few", [1000, 20])
+def test_hot_passage_between_different_texts_is_one_string(docs_of, monkeypatch, few):
+    monkeypatch.setattr(S, "HOT", 3)
+    monkeypatch.setattr(S, "FEW", few, raising=False)
+    monkeypatch.setattr(S, "GRAM", 8)
+    whole = S.resolve
+
+    def limited(segs, copies, length):
+        assert len(segs) <= 5, "a hot group holds a segment for every text"
+        return whole(segs, copies, length)
+
+    monkeypatch.setattr(S, "resolve", limited)
+    rng = random.Random(6)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = prose(60)
+    rows = [(k, prose(50) + passage + prose(50)) for k in range(40)]
+    got = check(docs_of(rows), rows, 40)
+    assert all(g[2] >= 60 for g in got)
