@@ -72,10 +72,11 @@ def sample(rows: DataFrame, marks: DataFrame) -> dict[int, list[bytes]]:
     """The texts for each dictionary. Only ids are sorted; the chosen ones, at
     most 2 * SAMPLE_DOCS, are broadcast to fetch their texts."""
     by = F.md5(F.col("doc_id").cast("string").cast("binary"))
-    ids = (rows.where(F.col("fold").isin(1, 2) & (F.octet_length("text") <= SAMPLE_TEXT)).select("doc_id", by.alias("by"))
-           .join(marks, "doc_id"))
+    short = rows.where(F.col("fold").isin(1, 2) & (F.octet_length("text") <= SAMPLE_TEXT))
+    ids = short.select("doc_id", by.alias("by")).join(marks, "doc_id").distinct()
     first = [ids.where(F.col("label") == k).orderBy("by").limit(SAMPLE_DOCS) for k in (0, 1)]
-    found = rows.join(F.broadcast(first[0].union(first[1]).distinct()), "doc_id").select("label", "by", "text").collect()
+    found = (short.join(F.broadcast(first[0].union(first[1])), "doc_id")
+             .groupBy("label", "by", "doc_id").agg(F.min("text").alias("text")).collect())  # one text an id
     return {k: [r.text.encode() for r in sorted(found, key=lambda r: (r.by, r.text or "")) if r.label == k and r.text] for k in (0, 1)}
 
 

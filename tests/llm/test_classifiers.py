@@ -95,3 +95,14 @@ def test_second_passage_of_the_same_words(spark):
     assert [(raw[s.start: s.end].decode(), round(s.score, 6)) for s in found.segments] == [
         (passage, 6.5), (passage, 6.5), ("scum", 3.0), ("vile scum scum", 8.0)]
     assert round(found.best, 6) == 8.0
+
+
+def test_dictionary_sample_has_one_short_text_an_id(spark, monkeypatch):
+    from strata.llm import compression_quality as Q
+
+    monkeypatch.setattr(Q, "SAMPLE_DOCS", 3)
+    monkeypatch.setattr(Q, "SAMPLE_TEXT", 10)
+    rows = [(k, 1, f"text {k}") for k in range(3)] + [(k, 1, "b" * n) for k in range(3) for n in (5, 5, 6, 50)]
+    got = Q.sample(spark.createDataFrame(rows, "doc_id long, fold int, text string"),
+                   spark.createDataFrame([(k, 1) for k in range(3)], "doc_id long, label int"))
+    assert got[0] == [] and sorted(got[1]) == [b"bbbbb"] * 3
