@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from strata.llm.common import text_sha
 from strata.llm.compression_quality import quality_scores
 from strata.llm.exact_dedup import exact_classes
+from strata.llm.fill_middle import fill_in_middle, restored
+from strata.llm.lexical_search import search
 from strata.llm.line_dedup import clean_lines
 from strata.llm.mixing import schedule
 from strata.llm.near_dedup import near_classes
 from strata.llm.packing import pack
 from strata.llm.ppm import ppm_scores
 from strata.llm.quality_rules import judge
+from strata.llm.sharding import shard
 from strata.llm.suffix_dedup import remove_repeats
 from strata.llm.toxicity import toxicity
 from strata.sources.files import load_table
@@ -148,3 +151,61 @@ def op9_near_dedup(spark, sf):
 def op10_toxicity(spark, sf):
     return toxicity(documents(spark, sf), load_table(spark, sf, "labels")).select(
         "doc_id", "held_out", "score", "predicted", "p_value", F.size("segments").alias("n_segments"))
+
+
+@query("op11_fill_middle", r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents
+), c AS (
+  SELECT *, least(('0x' || h[1:8])::BIGINT % (n + 1), ('0x' || h[9:16])::BIGINT % (n + 1)) AS a,
+         greatest(('0x' || h[1:8])::BIGINT % (n + 1), ('0x' || h[9:16])::BIGINT % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+              WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+), p AS (
+  SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1, n) AS suffix FROM c
+)
+SELECT doc_id, n::BIGINT AS n, form,
+       CASE WHEN form <> 'plain' THEN a::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN (b - a)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE t END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+""")
+def op11_fill_middle(spark, sf):
+    return fill_in_middle(documents(spark, sf)).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", text_sha(F.col("output")).alias("output_sha256"),
+        text_sha(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+@query("op12_lexical_search", r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), s AS (
+  SELECT count(*) FILTER (len(terms) > 0)::BIGINT AS docs, coalesce(sum(len(terms)), 0)::BIGINT AS total FROM d
+), i AS (
+  SELECT item_id, row_number() OVER () AS q, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), x AS (
+  SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY r, term
+), w AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM x, s GROUP BY term, docs
+), m AS (
+  SELECT r, doc_id, (25 + (75 * len(terms)::BIGINT * docs) // greatest(total, 1))::BIGINT AS m FROM d, s
+), v AS (
+  SELECT q, item_id, x.r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM i JOIN x ON i.term = x.term JOIN w ON w.term = x.term JOIN m ON m.r = x.r GROUP BY q, item_id, x.r, doc_id
+)
+SELECT item_id, (row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM v WHERE score > 0
+QUALIFY rank <= 10
+""")
+def op12_lexical_search(spark, sf):
+    return search(documents(spark, sf), load_table(spark, sf, "benchmark"))
+
+
+@query("op13_sharding")
+def op13_sharding(spark, sf):
+    return shard(documents(spark, sf)).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
