@@ -43,7 +43,7 @@ from strata.llm.common import Scratch, fresh
 SHARDS = 8
 DIGITS = 3            # hex digits of a block
 WALKERS = 64          # capacities tried at once
-CELL_ROWS = 1 << 20
+CELL_ROWS = 256
 
 
 def _greedy(sizes: list[int], capacity: int) -> int:
