@@ -14,6 +14,7 @@ from strata.functions import generators as G
 from strata.functions.paths import basename, dirname, extension, minus_hours, object_key
 from strata.operators import cleaning as CL
 from strata.operators import documents as DOC
+from strata.operators import keyed_table as KT
 from strata.operators import relational as R
 from strata.plans import files as P
 from strata.plans import routing as RT
@@ -358,6 +359,49 @@ def q_push_documents(spark, sf):
         (F.col("_id") != F.col("doc.event_id").cast("string")).alias("generated"))
 
 
+@query("keyed_load", """
+WITH l AS (
+  SELECT user_id, event_id, ts, event_type, value, 0 AS load FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00'
+  UNION ALL SELECT user_id, event_id, ts, event_type, value * 2, 1 FROM events WHERE user_id % 10 = 3
+  UNION ALL SELECT CASE WHEN event_id % 4 <> 0 THEN user_id END, event_id, ts, event_type, value * 3, 2 FROM events
+    WHERE event_id % 500 < 20 AND ts >= TIMESTAMP '2024-01-15 00:00:00'
+)
+SELECT CAST(user_id AS VARCHAR) AS user_id, event_id, ts, event_type, value, load FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY load DESC, ts DESC, event_id DESC) AS r FROM l)
+WHERE r = 1 OR user_id IS NULL
+""")
+def q_keyed_load(spark, sf):
+    """Three loads into a table by id bucket; the second and third touch few ids, the third has rows without one."""
+    path = scratch_path(spark, "keyed_table")
+    cut = literal_ts("2024-01-15 00:00:00")
+    ev = T(spark, sf, "events").select("user_id", "event_id", "ts", "event_type", "value")
+    late = ev.where((F.col("event_id") % 500 < 20) & (F.col("ts") >= cut))
+    KT.create(spark, path, buckets=32)
+    for number, rows in enumerate([
+            ev.where(F.col("ts") < cut),
+            ev.where("user_id % 10 = 3").withColumn("value", F.col("value") * 2),
+            late.withColumn("value", F.col("value") * 3).withColumn("user_id", F.when(F.col("event_id") % 4 != 0, F.col("user_id")))]):
+        KT.load(spark, path, rows.withColumn("load", F.lit(number)), "user_id", ["ts", "event_id"])
+    return KT.read(spark, path).withColumn("user_id", F.col("user_id").cast("string"))
+
+
+@query("keyed_load_status", """
+WITH l AS (SELECT user_id, event_id, event_id % 3 AS load FROM events),
+seen AS (SELECT user_id, load, count(*) AS n, min(load) OVER (PARTITION BY user_id) AS first FROM l GROUP BY user_id, load)
+SELECT load, CAST(count(*) FILTER (WHERE load = first) AS BIGINT) AS inserted, CAST(count(*) FILTER (WHERE load > first) AS BIGINT) AS replaced,
+       CAST(sum(n) - count(*) AS BIGINT) AS superseded
+FROM seen GROUP BY load
+""")
+def q_keyed_load_status(spark, sf):
+    """The recorded counts of three loads."""
+    path = scratch_path(spark, "keyed_table")
+    ev = T(spark, sf, "events").select("user_id", "event_id", "value")
+    KT.create(spark, path, buckets=8)
+    for number in range(3):
+        KT.load(spark, path, ev.where(F.col("event_id") % 3 == number), "user_id", ["event_id"])
+    return spark.read.parquet(f"{path}/loads").select("load", "inserted", "replaced", "superseded")
+
+
 # ---------------------------------------------------------------- inventory plans
 
 NOW = "2024-01-01 12:00:00"

@@ -4,11 +4,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from strata.registry import ORACLES, QUERIES
 from strata.sources.files import TEST_TABLES
 from tests.conftest import SF_SMALL
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
 
 
 def _rows(df, digits=6):
@@ -41,6 +40,7 @@ def test_every_key_has_an_oracle_or_is_rows_only():
     rows_only = set(QUERIES) - set(ORACLES)
     assert rows_only == {"synth_users_shape"}
     assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("key", sorted(ORACLES))

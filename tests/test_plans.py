@@ -4,7 +4,7 @@ skew-safe form exists."""
 
 import pytest
 
-import __spark_entry__ as entry
+from strata.registry import QUERIES
 from tests.conftest import SF_SMALL
 
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
@@ -16,9 +16,9 @@ def _plans(df):
     return qe.executedPlan().toString() + qe.optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_plan_has_no_forbidden_operators(spark, key):
-    df = entry.queries()[key](spark, SF_SMALL)
+    df = QUERIES[key](spark, SF_SMALL)
     df.write.format("noop").mode("overwrite").save()  # final adaptive plan
     text = _plans(df)
     for op in FORBIDDEN:
@@ -26,7 +26,7 @@ def test_plan_has_no_forbidden_operators(spark, key):
 
 
 def test_rank_in_group_never_windows_by_the_bare_key(spark):
-    df = entry.queries()["rank_in_group"](spark, SF_SMALL)
+    df = QUERIES["rank_in_group"](spark, SF_SMALL)
     df.write.format("noop").mode("overwrite").save()
     text = df._jdf.queryExecution().executedPlan().toString()
     for line in text.splitlines():
