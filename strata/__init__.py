@@ -16,13 +16,13 @@ from strata.session import get_session, materialize, scratch_path
 from strata.sources.files import load_tables, read, read_csv
 from strata.sources.inventory import inventory
 from strata.streaming.admit import admit_stream, admit_tick
-from strata.streaming.watch import run_watch, watch
+from strata.streaming.watch import read_watch, run_watch, watch
 
 __all__ = [
     "admit_stream", "admit_tick", "backup_plan", "children_per_parent", "clean_csv_dir",
     "column_profile", "commit_backup", "er_edges", "fk_ddl", "get_session", "infer_relationships",
     "insight_queries", "inventory", "latest_per_key", "load_tables", "materialize", "orphans",
     "process_csv_folder", "push_documents", "rank_in_group", "read", "read_csv", "retention_plan",
-    "route_numbers", "route_projects", "run_watch", "scratch_path", "sync_plan", "top_in_group",
+    "route_numbers", "route_projects", "read_watch", "run_watch", "scratch_path", "sync_plan", "top_in_group",
     "top_parents", "upload_plan", "upsert_documents", "watch",
 ]

@@ -25,7 +25,7 @@ from strata.sources import files as S
 from strata.sources import synth as SY
 from strata.sources.inventory import inventory
 from strata.streaming.admit import admit_tick
-from strata.streaming.watch import run_watch, watch
+from strata.streaming.watch import read_watch, run_watch, watch
 
 # ---------------------------------------------------------------- round trips
 
@@ -720,10 +720,30 @@ def q_watch_once(spark, sf):
     # a second run finds nothing new: each file is handled once
     q2 = run_watch(watch(spark, inbox, "parquet", schema=DOC_SCHEMA), out, ckpt, once=True)
     q2.awaitTermination()
-    return spark.read.parquet(out).groupBy("lang").agg(
+    return read_watch(spark, out).groupBy("lang").agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").cast("long").alias("total_chars"))
 
 
+@query("watch_shared_output", """
+SELECT lang, 'first' AS inbox, count(*) AS n_docs FROM documents WHERE doc_id % 2 = 0 GROUP BY lang
+UNION ALL SELECT lang, 'second', count(*) FROM documents WHERE doc_id % 2 = 1 GROUP BY lang
+UNION ALL SELECT lang, 'again', count(*) FROM documents WHERE doc_id % 2 = 0 GROUP BY lang
+""")
+def q_watch_shared_output(spark, sf):
+    """Three watches with checkpoints of their own over one output: two
+    folders, then the first folder once more under a new checkpoint."""
+    out = scratch_path(spark, "watched_shared")
+    docs = T(spark, sf, "documents")
+    inboxes = {}
+    for k, name in enumerate(("first", "second")):
+        inboxes[name] = scratch_path(spark, "shared_inbox")
+        W.write(docs.where(F.col("doc_id") % 2 == k), inboxes[name], partition_by=["lang"])
+    for name, inbox in (*inboxes.items(), ("again", inboxes["first"])):
+        stream = watch(spark, inbox, "parquet", schema=DOC_SCHEMA).withColumn("inbox", F.lit(name))
+        run_watch(stream, out, scratch_path(spark, "shared_ckpt"), once=True).awaitTermination()
+    return read_watch(spark, out).groupBy("lang", "inbox").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
 @query("admit_by_age", f"""
 {WITH_INV}
 SELECT path, TIMESTAMP '2024-01-01 06:00:00' AS admitted_at FROM inv WHERE mtime < TIMESTAMP '2024-01-01 01:00:00'
@@ -824,5 +844,5 @@ def q_watch_listing(spark, sf):
     W.write(W.balanced_by_key(docs, ["lang"]), inbox, "text", partition_by=["lang"])
     stream = watch(spark, inbox, glob="*.txt").select("path", "length", "modificationTime")
     run_watch(stream, out, ckpt, once=True).awaitTermination()
-    listed = spark.read.parquet(out)
+    listed = read_watch(spark, out)
     return listed.groupBy(basename(dirname("path")).alias("folder")).agg(F.count(F.lit(1)).alias("n_files"))

@@ -2,9 +2,10 @@
 
 The reference polls folders every 60 s and keeps a ledger of handled items.
 Here the file source's checkpoint is the record of which files were seen,
-and each micro-batch is written by ``foreachBatch`` to a plan/ledger table
-keyed by batch id, so a replayed batch overwrites its own output instead of
-appending twice.
+and each micro-batch is written by ``foreachBatch`` under the id of its query
+and its batch, followed by a commit row, so a replayed batch overwrites its own
+output instead of appending twice, and watches with checkpoints of their own
+can share an output.
 """
 
 from __future__ import annotations
@@ -76,23 +77,77 @@ def watch(spark: SparkSession, dirs: str | Iterable[str], fmt: str = "binaryFile
     return out
 
 
-def batch_writer(out_path: str, fmt: str = "parquet"):
-    """foreachBatch function: write each micro-batch under its batch id.
+# output columns that say which run of which query wrote a row
+QUERY, BATCH = "query_id", "batch_id"
 
-    Re-running a batch after a failure replaces ``batch_id=<n>`` instead of
-    appending a second copy, so the output is exactly-once per batch.
+
+def batch_writer(out_path: str, fmt: str = "parquet", query_id: str | None = None):
+    """foreachBatch function: write each micro-batch under (query id, batch id),
+    then a commit row (J5).
+
+    The query id belongs to the checkpoint: a restart goes on under the same
+    one, a new checkpoint gets a new one, so batch 0 of a second watch over the
+    same output replaces nothing of the first. A batch that is run again
+    replaces its own folder and its own commit row. Readers go by the commit
+    rows (``read_watch``): rows of a batch that never finished are not seen.
     """
     def write_batch(df: DataFrame, batch_id: int) -> None:
-        (df.withColumn("batch_id", F.lit(batch_id))
-           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-           .partitionBy("batch_id").format(fmt).save(out_path))
+        spark = df.sparkSession
+        query = query_id or spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not query:
+            raise RuntimeError("batch_writer runs in foreachBatch of a streaming query, or with a query_id")
+        ids = {QUERY: F.lit(query), BATCH: F.lit(batch_id).cast("long")}
+        (df.withColumns(ids).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(QUERY, BATCH).format(fmt).save(f"{out_path}/data"))
+        (spark.range(1).select(F.current_timestamp().alias("committed_at")).withColumns(ids).coalesce(1)
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(QUERY, BATCH).parquet(f"{out_path}/commits"))
     return write_batch
 
 
+def commits(spark: SparkSession, out_path: str) -> DataFrame:
+    """(query_id, batch_id, committed_at) of the finished batches, those folded
+    by ``fold_commits`` included."""
+    from strata.session import path_exists
+
+    schema = f"committed_at TIMESTAMP, {QUERY} STRING, {BATCH} BIGINT"
+    parts = [spark.read.schema(schema).parquet(f"{out_path}/{d}")
+             for d in ("commits", "commits_folded") if path_exists(spark, f"{out_path}/{d}")]
+    if not parts:
+        return spark.createDataFrame([], schema)
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return rows.groupBy(QUERY, BATCH).agg(F.max("committed_at").alias("committed_at"))
+
+
+def read_watch(spark: SparkSession, out_path: str, fmt: str = "parquet",
+               schema: T.StructType | str | None = None) -> DataFrame:
+    """The rows of all committed batches, with their query and batch ids."""
+    reader = spark.read.format(fmt)
+    if schema is not None:
+        reader = reader.schema(schema)
+    data = reader.load(f"{out_path}/data")
+    data = data.withColumns({QUERY: F.col(QUERY).cast("string"), BATCH: F.col(BATCH).cast("long")})
+    return data.join(commits(spark, out_path).select(QUERY, BATCH), [QUERY, BATCH], "left_semi")
+
+
+def fold_commits(spark: SparkSession, out_path: str) -> int:
+    """Fold the one-row commit files of a long watch into one; returns how many
+    batches are recorded. Runs between batches: rows are added to the folded
+    table before the single files go, and a batch recorded in both counts once."""
+    from strata.session import delete_path, path_exists
+
+    if path_exists(spark, f"{out_path}/commits"):
+        single = spark.read.schema(f"committed_at TIMESTAMP, {QUERY} STRING, {BATCH} BIGINT").parquet(f"{out_path}/commits")
+        single.coalesce(1).write.mode("append").parquet(f"{out_path}/commits_folded")
+        delete_path(spark, f"{out_path}/commits")
+    return commits(spark, out_path).count()
+
+
 def run_watch(stream: DataFrame, out_path: str, checkpoint: str,
               every: str | None = None, once: bool = False) -> StreamingQuery:
     """Start the watch: ``every='60 seconds'`` polls like the reference; ``once``
-    processes what is there and stops (``availableNow``)."""
+    processes what is there and stops (``availableNow``). Read the output with
+    ``read_watch``."""
     w = stream.writeStream.foreachBatch(batch_writer(out_path)).option("checkpointLocation", checkpoint)
     if once:
         w = w.trigger(availableNow=True)

@@ -348,15 +348,15 @@ def test_export_relationships_and_ddl_script(spark):
 
 
 def test_binary_file_watch_lists_each_file_once(spark):
-    from strata.streaming.watch import run_watch, watch
+    from strata.streaming.watch import read_watch, run_watch, watch
     inbox, out, ckpt = (scratch_path(spark, n) for n in ("inbox_b", "out_b", "ckpt_b"))
     spark.range(30).select(F.col("id").cast("string").alias("value")).repartition(3).write.text(f"{inbox}/a")
     stream = watch(spark, inbox, glob="*.txt").select("path", "length")
     run_watch(stream, out, ckpt, once=True).awaitTermination()
-    first = spark.read.parquet(out).count()
+    first = read_watch(spark, out).count()
     spark.range(5).select(F.col("id").cast("string").alias("value")).write.text(f"{inbox}/b")
     run_watch(watch(spark, inbox, glob="*.txt").select("path", "length"), out, ckpt, once=True).awaitTermination()
-    rows = spark.read.parquet(out)
+    rows = read_watch(spark, out)
     assert first == 3 and rows.count() == first + rows.where(F.col("path").contains("/b/")).count()
     assert rows.select("path").distinct().count() == rows.count()
 
@@ -544,7 +544,7 @@ def test_generated_insight_sql_runs(spark):
 
 
 def test_watch_skips_missing_directories(spark, tmp_path):
-    from strata.streaming.watch import run_watch, split_existing, watch
+    from strata.streaming.watch import read_watch, run_watch, split_existing, watch
     good = tmp_path / "good"
     good.mkdir()
     (good / "a.gz").write_text("x")
@@ -553,7 +553,7 @@ def test_watch_skips_missing_directories(spark, tmp_path):
     out, ckpt = scratch_path(spark, "wm_out"), scratch_path(spark, "wm_ckpt")
     stream = watch(spark, [str(good), str(tmp_path / "nope")], glob="*.gz").select("path", "length")
     run_watch(stream, out, ckpt, once=True).awaitTermination()
-    assert spark.read.parquet(out).count() == 1
+    assert read_watch(spark, out).count() == 1
 
 
 def test_name_hint_ranks_but_never_filters(spark):
@@ -570,7 +570,7 @@ def test_name_hint_ranks_but_never_filters(spark):
 
 def test_watch_archives_handled_files(spark, tmp_path):
     import time as _t
-    from strata.streaming.watch import run_watch, watch
+    from strata.streaming.watch import read_watch, run_watch, watch
     inbox, archive = tmp_path / "in", tmp_path / "archive"
     inbox.mkdir()
     for i in range(3):
@@ -593,7 +593,7 @@ def test_watch_archives_handled_files(spark, tmp_path):
             _t.sleep(0.5)
     finally:
         q.stop()
-    assert spark.read.parquet(out).count() == 4
+    assert read_watch(spark, out).count() == 4
     assert sorted(p.name for p in archive.rglob("f*.gz")) == ["f0.gz", "f1.gz", "f2.gz"]
     assert not list(inbox.glob("f*.gz"))
 
