@@ -1,9 +1,10 @@
 """File inventories.
 
-An inventory is a DataFrame ``(path, length, mtime)``. Spark's ``binaryFile``
-source lists files in parallel and, with ``content`` left unselected, never
-reads their bytes. Zero-length files are not listed by Spark's file source;
-inventories supplied as tables may still contain them.
+An inventory is a DataFrame ``(path, length, mtime)``. Folders are listed level
+by level in tasks (see ``listing``); one level costs one listing of each base,
+and empty files are there. Storage that tasks can't open by themselves is
+listed by Spark's ``binaryFile`` source with ``content`` left unselected: the
+driver then holds the listing, and empty files are missing.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions.paths import dirname
+from strata.session import path_exists
+from strata.sources import listing
 
 INVENTORY_COLUMNS = ("path", "length", "mtime")
 
@@ -24,13 +27,25 @@ def _norm_dir(p: str) -> str:
 
 def inventory(spark: SparkSession, dirs: str | Iterable[str], recursive: bool = True,
               glob: str | None = None, modified_before: str | None = None) -> DataFrame:
-    """List files under one or several bases.
+    """Files under one or several bases.
 
-    ``recursive=False`` keeps files whose parent directory is the base itself.
-    ``glob`` filters file names (``pathGlobFilter``); ``modified_before`` is the
-    batch-only ``modifiedBefore`` option.
+    ``recursive=False`` lists the bases alone. ``glob`` filters file names;
+    ``modified_before`` keeps files modified before a time.
     """
     bases = [dirs] if isinstance(dirs, str) else list(dirs)
+    for b in bases:
+        if not path_exists(spark, b):
+            raise FileNotFoundError(f"no such folder: {b}")
+    if all(listing.supported(b) for b in bases):
+        found = listing.files(spark, bases, recursive, glob)
+        if modified_before:
+            found = found.where(F.col("mtime") < F.lit(modified_before).cast("timestamp_ntz"))
+        return found
+    return _by_source(spark, bases, recursive, glob, modified_before)
+
+
+def _by_source(spark: SparkSession, bases: list[str], recursive: bool, glob: str | None, modified_before: str | None) -> DataFrame:
+    """The same through Spark's own listing, for any storage that Spark knows."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
