@@ -7,12 +7,15 @@ third of the data in one task.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.session import materialize
+from strata.session import scratch_path
+
+MAX_BUCKETS = 100_000  # Spark's own limit (spark.sql.sources.bucketing.maxBuckets)
 
 
 def _c(c: Column | str) -> Column:
@@ -112,58 +115,76 @@ def top_in_group(df: DataFrame, key: str, order: Sequence[Column], k: int,
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
-def rank_in_group(df: DataFrame, key: str, order: Sequence[Column], name: str = "rnk",
-                  parts: int | None = None) -> DataFrame:
-    """Row number of every row inside its group, skew-safe (F1).
+def ranged(df: DataFrame, key: str, order: Sequence[Column], parts: int | None = None) -> DataFrame:
+    """``df`` range-partitioned on (key, order...), each row with the number of
+    its range (``_pid``), written once to the checkpoint folder: the bounds come
+    from sampling, and every pass must see the same ranges.
 
-    A plain window sends each group to one task. Here the rows are instead
-    range-partitioned on (key, order...), so a hot group spans several
-    partitions. Each partition numbers its rows locally (a window on
-    (partition id, key) — partition id is a materialized column, so that
-    shuffle splits hot keys too); only keys cut by a partition boundary — at
-    most one per boundary, so at most 2 x partitions rows — need an offset,
-    which is computed on that bounded table and broadcast back.
-    The range-partitioned frame is written once under the checkpoint root:
-    bounds come from sampling, and both passes must see the same assignment.
+    A group may span ranges, so none is too large for a task. The copy is
+    bucketed by ``_pid`` (each range is one file of one bucket), so what is
+    grouped or windowed by (``_pid``, key) needs no second shuffle. The table
+    behind the copy is dropped from the catalog at once; its files stay.
     """
-    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialize(
-        df.repartitionByRange(n, F.col(key), *order).withColumn("_pid", F.spark_partition_id()),
-        "ranked_input",
-    )
-    local = ranged.withColumn(
-        "_lrn", F.row_number().over(Window.partitionBy("_pid", key).orderBy(*order))
-    )
-    # first and last key of each partition (nulls sort first and count as a key)
+    spark = df.sparkSession
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"strata_ranged_{uuid.uuid4().hex}"
+    (df.repartitionByRange(n, F.col(key), *order).withColumn("_pid", F.spark_partition_id())
+     .write.format("parquet").bucketBy(min(n, MAX_BUCKETS), "_pid")
+     .option("path", scratch_path(spark, "ranged")).saveAsTable(name))
+    rows = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return rows
+
+
+def edge_offsets(rows: DataFrame, key: str, measure: Column) -> DataFrame:
+    """(_opid, _okey, _off): what of ``measure`` a group holds in the ranges in
+    front, for groups cut by a range boundary; all others have no row. At most
+    two groups a range are cut, so the table is bounded by the ranges."""
+    # first and last key of each range (nulls sort first and count as a key)
     tagged = F.struct(F.col(key).isNotNull().alias("nn"), F.col(key).alias("k"))
-    per_part = ranged.groupBy("_pid").agg(F.min(tagged).alias("_lo"), F.max(tagged).alias("_hi"))
+    per_part = rows.groupBy("_pid").agg(F.min(tagged).alias("_lo"), F.max(tagged).alias("_hi"))
     edges = (
         per_part.select(F.col("_lo.k").alias("_ek"))
         .union(per_part.select(F.col("_hi.k").alias("_ek")))
         .groupBy("_ek").count().where(F.col("count") > 1).select("_ek")
     )
-    # rows of boundary keys per partition; bounded by 2 x partitions
-    edge_counts = (
-        ranged.join(F.broadcast(edges), F.col(key).eqNullSafe(F.col("_ek")), "left_semi")
-        .groupBy("_pid", key).agg(F.count(F.lit(1)).alias("_n"))
-    )
-    offsets = edge_counts.select(
-        F.col("_pid").alias("_opid"), F.col(key).alias("_okey"),
-        F.coalesce(
-            F.sum("_n").over(
-                Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ).alias("_off"),
+    held = (
+        rows.join(F.broadcast(edges), F.col(key).eqNullSafe(F.col("_ek")), "left_semi")
+        .groupBy("_pid", key).agg(measure.alias("_n"))
     )
+    before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    return held.select(F.col("_pid").alias("_opid"), F.col(key).alias("_okey"),
+                       F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+
+
+def running_in_group(rows: DataFrame, key: str, order: Sequence[Column], inside: Column, total: Column, name: str) -> DataFrame:
+    """``rows`` of ``ranged`` with a running value over the whole group:
+    ``inside`` (a window function) runs in the range, ``total`` (an aggregate)
+    is what the ranges in front add."""
+    window = Window.partitionBy("_pid", key).orderBy(*order)
+    local = rows.withColumn("_local", inside.over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    offsets = edge_offsets(rows, key, total)
     cond = (F.col("_pid") == F.col("_opid")) & F.col(key).eqNullSafe(F.col("_okey"))
     return (
         local.join(F.broadcast(offsets), cond, "left")
-        .withColumn(name, (F.col("_lrn") + F.coalesce(F.col("_off"), F.lit(0))).cast("int"))
-        .drop("_pid", "_lrn", "_off", "_opid", "_okey")
+        .withColumn(name, F.col("_local") + F.coalesce(F.col("_off"), F.lit(0)))
+        .drop("_pid", "_local", "_off", "_opid", "_okey")
     )
 
 
+def rank_in_group(df: DataFrame, key: str, order: Sequence[Column], name: str = "rnk",
+                  parts: int | None = None) -> DataFrame:
+    """Row number of every row inside its group, skew-safe (F1).
+
+    A plain window sends each group to one task. Here the rows are
+    range-partitioned on (key, order...) and written once (``ranged``): the one
+    shuffle of the rows. Each range numbers its rows; groups cut by a range
+    boundary are moved by their rows in the ranges in front.
+    """
+    ranked = running_in_group(ranged(df, key, order, parts), key, order, F.row_number(), F.count(F.lit(1)), name)
+    return ranked.withColumn(name, F.col(name).cast("int"))
+
+
 def latest_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """Keep the last row per key by ``order`` (F3), as an aggregate: ``max_by``
     combines map-side, so a hot key is reduced before the shuffle."""

@@ -20,6 +20,8 @@ from strata.plans import files as P
 from strata.plans import routing as RT
 from strata.registry import T, events_by_day, query
 from strata.session import literal_ts, scratch_path
+from strata.sinks import bundles as B
+from strata.sinks import compaction as CO
 from strata.sinks import writers as W
 from strata.sources import files as S
 from strata.sources import synth as SY
@@ -168,6 +170,33 @@ def q_pack_bundles(spark, sf):
                                       F.sum("n_chars").cast("long").alias("total_chars"))
 
 
+@query("bundle_files", """
+SELECT source, CAST(ceil(sum(strlen(text)) / 200000.0) AS BIGINT) AS n_files, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS total_chars
+FROM documents GROUP BY source
+""")
+def q_bundle_files(spark, sf):
+    """One bundle a source, in parts of 200,000 bytes of text."""
+    path = scratch_path(spark, "bundle_files")
+    B.pack_bundles(T(spark, sf, "documents"), path, "source", [F.col("doc_id")], 200_000, size=F.octet_length("text").cast("long"))
+    back = spark.read.parquet(path).withColumn("_file", F.col("_metadata.file_path"))
+    return back.groupBy("source").agg(F.countDistinct("_file").alias("n_files"), F.count(F.lit(1)).alias("n_docs"),
+                                      F.sum("n_chars").cast("long").alias("total_chars"))
+
+
+@query("compact_in_place", """
+SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS key_sum, 1 AS n_files FROM orders GROUP BY o_orderstatus
+""")
+def q_compact_in_place(spark, sf):
+    """Many small files a folder, compacted where they are."""
+    path = scratch_path(spark, "compact_in_place")
+    orders = T(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    W.write(orders.repartition(12, "o_orderkey"), path, partition_by=["o_orderstatus"])
+    CO.compact_in_place(spark, path)
+    back = spark.read.parquet(path).withColumn("_file", F.col("_metadata.file_path"))
+    return back.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").cast("long").alias("key_sum"),
+                                             F.countDistinct("_file").cast("int").alias("n_files"))
+
+
 @query("inventory_scan", """
 SELECT 'recursive' AS scope, 'txt' AS ext, count(DISTINCT lang) AS n_dirs FROM documents
 UNION ALL SELECT 'recursive', 'csv', 1
