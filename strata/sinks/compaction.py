@@ -66,7 +66,7 @@ def compact_in_place(spark: SparkSession, path: str, target_bytes: int = 128 <<
         read = spark.read.format(fmt)
         if fmt in ("parquet", "orc"):
             read = read.option("mergeSchema", True)  # files of one folder may differ in columns
-        rows = read.load([r.path for r in mine]).withColumn("_path", _file())
+        rows = read.load([r.path for r in mine]).withColumn("_path", listing.row_file())
         (rows.join(F.broadcast(names), "_path").drop("_path")      # at most a batch of names
          .repartition(len({r.grp for r in mine}), "_grp").write.mode("append").format(fmt).partitionBy("_grp").save(f"{work}/new"))
     if total:
@@ -78,12 +78,6 @@ def compact_in_place(spark: SparkSession, path: str, target_bytes: int = 128 <<
     return summary
 
 
-def _file():
-    """Path of a row's file as listed: without the local scheme, decoded."""
-    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return F.regexp_replace(decoded, "^file:(//)?(?=/)", "")
-
-
 def recover(spark: SparkSession, path: str) -> bool:
     """Finish a compaction whose files are all written, drop any other; True if one was finished."""
     path = listing.plain(path)

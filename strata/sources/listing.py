@@ -19,7 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as afs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.session import materialize
@@ -122,6 +122,12 @@ def walk(spark: SparkSession, dirs: str | Iterable[str], max_levels: int | None
     return out
 
 
+def row_file() -> Column:
+    """Path of a scanned row's file, spelled as in a listing (the metadata column is URL-encoded)."""
+    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, "^file:(//)?(?=/)", "")
+
+
 def files(spark: SparkSession, dirs: str | Iterable[str], recursive: bool = True, glob: str | None = None) -> DataFrame:
     """(path, length, mtime) of the files below the bases, empty ones too, each once."""
     found = walk(spark, dirs, None if recursive else 1).where("NOT is_dir")
