@@ -217,30 +217,64 @@ def q_inventory_scan(spark, sf):
     return out
 
 
-# ---------------------------------------------------------------- generated rows
+# ---------------------------------------------------------------- generated columns over given ids
 
 
-@query("synth_measures", """
-SELECT chr(CAST(65 + (id % 26) AS INTEGER)) AS "group", count(*) AS n
-FROM (SELECT row_number() OVER () - 1 AS id FROM orders) GROUP BY 1
+def _unit_sql(seed: int, at: str = "id") -> str:
+    return f"(('0x' || md5('{seed}:' || CAST({at} AS VARCHAR))[1:13])::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+def _pick_sql(values: list[str], seed: int) -> str:
+    return f"[{', '.join(repr(v) for v in values)}][1 + CAST(floor({_unit_sql(seed)} * {len(values)}) AS INTEGER)]"
+
+
+@query("synth_measures", f"""
+SELECT id, 1 + CAST(floor({_unit_sql(42)} * 1000) AS BIGINT) AS category, {_unit_sql(43)} * 100.0::DOUBLE AS value,
+       chr(CAST(65 + (id % 26) AS INTEGER)) AS "group"
+FROM (SELECT o_orderkey AS id FROM orders)
 """)
 def q_synth_measures(spark, sf):
-    n = T(spark, sf, "orders").count()
-    parts = max(1, spark.sparkContext.defaultParallelism)
-    df = SY.synth_measures(spark, n, parts)
-    return df.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    return SY.with_measures(T(spark, sf, "orders"), "o_orderkey")
+
+
+@query("synth_partitioned", f"""
+SELECT id, CASE WHEN {_unit_sql(42)} > 0.5 THEN 'A' ELSE 'B' END AS category,
+       CAST(TIMESTAMP '2024-02-01' + CAST(floor({_unit_sql(43)} * 30) AS INTEGER) * INTERVAL 1 DAY AS TIMESTAMP) AS date,
+       {_unit_sql(44)} * 100.0::DOUBLE AS value1, {_unit_sql(45)} * 1000.0::DOUBLE AS value2
+FROM (SELECT event_id AS id FROM events)
+""")
+def q_synth_partitioned(spark, sf):
+    rows = SY.with_partitions(T(spark, sf, "events"), "event_id", days=30, today=F.to_date(F.lit("2024-02-01")))
+    return rows.withColumn("date", F.col("date").cast("timestamp_ntz"))
 
 
-@query("synth_users_shape")
+_USERS_SQL = f"""
+SELECT id, "user", lower(replace("user", ' ', '.')) || '@' || domain AS email, last_login, activity_score, status FROM (
+  SELECT id, {_pick_sql(SY.FIRST_NAMES, 7)} || ' ' || {_pick_sql(SY.LAST_NAMES, 8)} AS "user", {_pick_sql(SY.EMAIL_DOMAINS, 9)} AS domain,
+         TIMESTAMP '{SY.LOGIN_START}' + CAST(floor({_unit_sql(10)} * date_diff('day', DATE '{SY.LOGIN_START}', DATE '{SY.LOGIN_END}')) AS INTEGER) * INTERVAL 1 DAY AS last_login,
+         round({_unit_sql(11)} * 100.0::DOUBLE, 2) AS activity_score, {_pick_sql(SY.STATUSES, 12)} AS status
+  FROM (SELECT c_custkey AS id FROM customer))
+"""
+
+
+@query("synth_users", _USERS_SQL)
+def q_synth_users(spark, sf):
+    return SY.with_users(T(spark, sf, "customer"), "c_custkey")
+
+
+@query("synth_users_shape", f"""
+SELECT count(*) AS n_rows, count(DISTINCT id) AS n_ids, 0 AS bad_email, 0 AS bad_status, 0 AS bad_score,
+       min(last_login) AS first_login, max(last_login) AS last_login
+FROM ({_USERS_SQL})
+""")
 def q_synth_users_shape(spark, sf):
-    n = T(spark, sf, "customer").count()
-    users = SY.synth_users(spark, n)
+    users = SY.with_users(T(spark, sf, "customer"), "c_custkey")
     return users.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.countDistinct("id").alias("n_ids"),
-        F.sum(F.when(~F.col("email").rlike(r"^[a-z]+\.[a-z]+@[a-z]+\.com$"), 1).otherwise(0)).alias("bad_email"),
-        F.sum(F.when(~F.col("status").isin(*SY.STATUSES), 1).otherwise(0)).alias("bad_status"),
-        F.sum(F.when((F.col("activity_score") < 0) | (F.col("activity_score") > 100), 1).otherwise(0)).alias("bad_score"),
+        F.sum(F.when(~F.col("email").rlike(r"^[a-z]+\.[a-z]+@[a-z]+\.com$"), 1).otherwise(0)).cast("int").alias("bad_email"),
+        F.sum(F.when(~F.col("status").isin(*SY.STATUSES), 1).otherwise(0)).cast("int").alias("bad_status"),
+        F.sum(F.when((F.col("activity_score") < 0) | (F.col("activity_score") > 100), 1).otherwise(0)).cast("int").alias("bad_score"),
         F.min("last_login").alias("first_login"),
         F.max("last_login").alias("last_login"),
     )

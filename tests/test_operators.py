@@ -296,6 +296,11 @@ def test_synth_is_deterministic(spark):
     a = SY.synth_measures(spark, 500, 4, seed=3).collect()
     b = SY.synth_measures(spark, 500, 4, seed=3).collect()
     assert a == b
+    assert sorted(a) == sorted(SY.synth_measures(spark, 500, 9, seed=3).collect())  # whatever the partitions
+    assert sorted(a) == sorted(SY.with_measures(spark.range(500).repartition(3, "id"), seed=3).collect())
+    assert len({r.value for r in a}) == 500 and SY.synth_measures(spark, 500, 4, seed=4).collect() != a
+    spread = SY.with_measures(spark.range(20_000), max_val=1.0).agg(F.avg("value"), F.stddev("value"), F.corr("id", "value")).first()
+    assert abs(spread[0] - 0.5) < 0.01 and abs(spread[1] - 12 ** -0.5) < 0.01 and abs(spread[2]) < 0.03
     users = SY.synth_users(spark, 100)
     assert users.count() == 100 and users.select("id").distinct().count() == 100
 

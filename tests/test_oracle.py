@@ -36,10 +36,8 @@ def duck():
     return con
 
 
-def test_every_key_has_an_oracle_or_is_rows_only():
-    rows_only = set(QUERIES) - set(ORACLES)
-    assert rows_only == {"synth_users_shape"}
-    assert set(ORACLES) <= set(QUERIES)
+def test_every_key_has_an_oracle():
+    assert set(QUERIES) == set(ORACLES)
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
