@@ -43,14 +43,15 @@ def childless_parents(parent: DataFrame, child: DataFrame, pk: str, fk: str,
 
 
 def orphans(parent: DataFrame, child: DataFrame, pk: str, fk: str,
-            n: int | None = None) -> DataFrame:
+            n: int | None = None, order: list[str] | None = None) -> DataFrame:
     """Child rows without a parent, NULL keys included.
 
-    ``n`` previews the first n by key; the default returns all orphans.
+    ``n`` previews the first n by ``order`` (the key, by default); the default
+    returns all orphans.
     """
     keys = parent.select(F.col(pk).alias(fk)).where(F.col(fk).isNotNull()).distinct()
     out = child.join(keys, fk, "left_anti")
-    return out.orderBy(fk).limit(n) if n else out
+    return out.orderBy(*(order or [fk])).limit(n) if n else out
 
 
 def top_parents(parent: DataFrame, child: DataFrame, pk: str, fk: str,

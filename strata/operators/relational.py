@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strata.functions.generators import unit
 from strata.session import scratch_path
 
 MAX_BUCKETS = 100_000  # Spark's own limit (spark.sql.sources.bucketing.maxBuckets)
@@ -99,9 +100,13 @@ def join_formats(a: DataFrame, b: DataFrame, key: str, suffix: str = "_r") -> Da
     return a.join(renamed, key, "inner")
 
 
-def hash_sample(df: DataFrame, key: str, m: int, hashed: bool = True) -> DataFrame:
+def hash_sample(df: DataFrame, key: str, m: int, hashed: bool = True, seed: int | None = None) -> DataFrame:
     """Deterministic 1-in-m sample on a key (G5): ``pmod(xxhash64(key), m) = 0``
-    (``hashed=False`` uses the key itself, for dense integer keys)."""
+    (``hashed=False`` uses the key itself, for dense integer keys). With a
+    ``seed``, the keys whose random number is below 1/m: another sample for
+    each seed, and the same one in any engine with MD5."""
+    if seed is not None:
+        return df.where(unit(seed, key) < F.lit(1.0 / m))
     k = F.xxhash64(F.col(key)) if hashed else F.col(key)
     return df.where(F.pmod(k, F.lit(m)) == 0)
 

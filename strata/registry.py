@@ -176,6 +176,13 @@ def q_hash_sample(spark, sf):
     return R.hash_sample(T(spark, sf, "orders"), "o_orderkey", 10, hashed=False)
 
 
+@query("seeded_sample", """
+SELECT * FROM orders WHERE ('0x' || md5('11:' || CAST(o_orderkey AS VARCHAR))[1:13])::BIGINT / 4503599627370496.0::DOUBLE < 1.0::DOUBLE / 8
+""")
+def q_seeded_sample(spark, sf):
+    return R.hash_sample(T(spark, sf, "orders"), "o_orderkey", 8, seed=11)
+
+
 # ---------------------------------------------------------------- insight
 
 @query("children_per_parent", """
@@ -205,6 +212,16 @@ def q_orphans(spark, sf):
     return I.orphans(T(spark, sf, "labels"), T(spark, sf, "documents"), "doc_id", "doc_id")
 
 
+@query("orphans_preview", """
+SELECT e.event_id, e.user_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = e.user_id * 1000)
+ORDER BY e.event_id LIMIT 20
+""")
+def q_orphans_preview(spark, sf):
+    """The first 20 events of users that no customer number, taken as thousands, has."""
+    events = T(spark, sf, "events").select("event_id", "user_id", (F.col("user_id") * 1000).alias("custkey"))
+    return I.orphans(T(spark, sf, "customer"), events, "c_custkey", "custkey", n=20, order=["event_id"]).select("event_id", "user_id")
+
+
 @query("top_parents", """
 SELECT p.p_partkey, CAST(count(*) AS BIGINT) AS total
 FROM part p JOIN lineitem l ON l.l_partkey = p.p_partkey

@@ -128,6 +128,35 @@ def q_catalog_roundtrip(spark, sf):
     return spark.sql(f"SELECT id, value, category FROM {table} WHERE category = 1")
 
 
+@query("catalog_plain_table", """
+SELECT p_partkey AS id, p_name AS name, p_partkey % 2 = 0 AS again FROM part
+UNION ALL SELECT p_partkey, p_name, true FROM part WHERE p_partkey % 2 = 0
+""")
+def q_catalog_plain_table(spark, sf):
+    """An unpartitioned catalog table, made once, filled by two inserts; repair has nothing to do."""
+    base = scratch_path(spark, "plain")
+    table = f"plain_{base[-12:].replace('-', '_')}"
+    part = T(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    for _ in range(2):
+        W.ensure_table(spark, table, "id BIGINT, name STRING", location=f"{base}/t")
+    part.write.insertInto(table)
+    assert not W.repair(spark, table)
+    part.where("id % 2 = 0").write.insertInto(table)
+    return spark.table(table).select("id", "name", (F.col("id") % 2 == 0).alias("again"))
+
+
+@query("round_robin_write", """
+SELECT o_orderkey, o_custkey FROM orders
+""")
+def q_round_robin_write(spark, sf):
+    """Unpartitioned compaction: rows dealt out in turn over as many files as the bytes fill."""
+    src, dst = scratch_path(spark, "many_files"), scratch_path(spark, "few_files")
+    orders = T(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    W.write(orders.repartition(9, "o_custkey"), src)
+    W.compact(spark, src, dst, target_bytes=32 << 10)
+    return spark.read.parquet(dst)
+
+
 @query("null_key_write", """
 SELECT coalesce(CAST(quality AS VARCHAR), 'none') AS quality, count(*) AS n, CAST(sum(d.doc_id) AS BIGINT) AS id_sum
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1
@@ -734,6 +763,29 @@ def q_route_projects(spark, sf):
     return plan.withColumns({c: F.col(c).cast("string") for c in ("project_id", "band")})
 
 
+@query("route_mapping_file", """
+SELECT 'user' || CAST(o_custkey % 10 AS VARCHAR) AS username, o_orderpriority AS project_name, CAST(o_orderkey AS VARCHAR) AS project_id,
+       CASE WHEN o_orderkey <= 9999 THEN '/data/projects/' || CAST(o_orderkey // 1000 AS VARCHAR) END AS source,
+       CASE WHEN o_orderkey > 9999 THEN 'reject_above_limit' WHEN (o_orderkey // 1000) % 3 = 0 THEN 'copy' ELSE 'warn_missing_source' END AS action
+FROM orders
+""")
+def q_route_mapping_file(spark, sf):
+    """The mapping as a CSV file with a header, the source folders as a listing."""
+    path = scratch_path(spark, "mapping_csv")
+    orders = T(spark, sf, "orders")
+    W.write(orders.select(F.concat(F.lit("user"), (F.col("o_custkey") % 10).cast("string")).alias("username"),
+                          F.col("o_orderpriority").alias("project_name"), F.col("o_orderkey").alias("project_id")),
+            path, "csv", header=True)
+    mapping = S.read_csv(spark, path, schema="username STRING, project_name STRING, project_id STRING")
+    tree = scratch_path(spark, "source_base")
+    bands = orders.select(F.expr("o_orderkey div 1000").alias("band"), "o_orderkey").where("band % 3 = 0")
+    W.write(bands, tree, partition_by=["band"])
+    listed = inventory(spark, tree).select(
+        F.concat(F.lit("/data/projects/"), F.regexp_extract("path", "/band=([0-9]+)/", 1)).alias("dir")).distinct()
+    plan = RT.route_projects(mapping, 9999, "/data/projects", "/data/dest", listed)
+    return plan.select("username", "project_name", F.col("project_id").cast("string").alias("project_id"), "source", "action")
+
+
 _LINES_SQL = """
 SELECT CASE p_partkey % 50 WHEN 0 THEN '' WHEN 1 THEN '  ' || CAST(p_partkey * 3 AS VARCHAR) || ' '
             WHEN 2 THEN p_name WHEN 3 THEN '-' || CAST(p_partkey AS VARCHAR)
@@ -882,6 +934,18 @@ def q_backup_plan(spark, sf):
     return P.backup_plan(inv, REQUESTED_BASES, ledger, literal_ts(NOW))
 
 
+@query("backup_plan_multipart", _MANIFEST_SQL + """
+SELECT dir, total_bytes, CASE WHEN total_bytes >= 8000 THEN 'multipart' ELSE 'single' END AS size_class
+FROM m WHERE dir LIKE '/var/tmp/projects/%'
+""")
+def q_backup_plan_multipart(spark, sf):
+    """Bundles of 8,000 bytes and more go in parts."""
+    inv = inv_frame(spark, sf)
+    none = spark.createDataFrame([], "identifier string")
+    plan = P.backup_plan(inv, REQUESTED_BASES, none, literal_ts(NOW), multipart_bytes=8000)
+    return plan.select("dir", "total_bytes", "size_class")
+
+
 @query("upload_plan", f"""
 {WITH_INV}
 SELECT path, regexp_extract(path, '^(/var/tmp/projects/[0-9]+)/', 1) AS watch_dir,

@@ -37,10 +37,14 @@ ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateS
 ADMITTED_SCHEMA = "path STRING, mtime_ms BIGINT, admitted_ms BIGINT"
 
 
-def _age_gate(age_ms: int):
+REMEMBER_HOURS = 24 * 30
+
+
+def _age_gate(age_ms: int, remember_ms: int):
     """Build the per-path processor: admit at first sight when old enough,
     otherwise keep the modification time in state and fire a processing-time
-    timer when the file comes of age. Each path is admitted once."""
+    timer when the file comes of age. Each path is admitted once while it is
+    remembered: the mark of an admitted path expires by the state's time to live."""
     import pandas as pd
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
@@ -48,7 +52,7 @@ def _age_gate(age_ms: int):
         def init(self, handle):
             self.handle = handle
             self.pending = handle.getValueState("pending", "mtime_ms BIGINT")
-            self.done = handle.getValueState("done", "admitted_ms BIGINT")
+            self.done = handle.getValueState("done", "admitted_ms BIGINT", ttlDurationMs=remember_ms)
 
         def _emit(self, path, mtime_ms, now):
             self.done.update((now,))
@@ -80,7 +84,7 @@ def _age_gate(age_ms: int):
 
 
 def admit_stream(stream: DataFrame, hours: float, path_col: str = "path",
-                 mtime_col: str = "modificationTime") -> DataFrame:
+                 mtime_col: str = "modificationTime", remember_hours: float = REMEMBER_HOURS) -> DataFrame:
     """Streaming age gate keyed by path (J2, stateful form).
 
     ``stream`` is a file listing stream (e.g. ``watch(..., 'binaryFile')``).
@@ -88,6 +92,12 @@ def admit_stream(stream: DataFrame, hours: float, path_col: str = "path",
     a processing-time timer, so a file that is young when first listed is not
     lost. State lives in the RocksDB state store (set on the session here if
     no provider is configured) and in the query checkpoint.
+
+    An admitted path is remembered for ``remember_hours`` (processing time), so
+    that state holds the files of that time and not all files ever seen. Let it
+    be longer than the source can offer a path again (``maxFileAge``, one week by
+    default): a path offered later passes once more. Waiting files stay until
+    they are admitted.
     """
     spark = stream.sparkSession
     key = "spark.sql.streaming.stateStore.providerClass"
@@ -99,7 +109,7 @@ def admit_stream(stream: DataFrame, hours: float, path_col: str = "path",
         F.unix_millis(F.col(mtime_col).cast("timestamp")).alias("mtime_ms"),
     )
     return keyed.groupBy("path").transformWithStateInPandas(
-        statefulProcessor=_age_gate(int(hours * 3600 * 1000)),
+        statefulProcessor=_age_gate(int(hours * 3600 * 1000), int(remember_hours * 3600 * 1000)),
         outputStructType=ADMITTED_SCHEMA,
         outputMode="Append",
         timeMode="ProcessingTime",

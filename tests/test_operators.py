@@ -411,6 +411,29 @@ def test_stateful_age_gate_admits_young_files_later(spark, tmp_path):
     assert by_name["young.gz"].admitted_ms > by_name["old1.gz"].admitted_ms
 
 
+def test_admitted_paths_are_forgotten_in_time(spark, tmp_path):
+    """State rows fall to zero once what was admitted has expired."""
+    import time as _t
+    from strata.streaming.admit import admit_stream
+    from strata.streaming.watch import watch
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    for i in range(4):
+        (inbox / f"f{i}.gz").write_text("x")
+        os.utime(inbox / f"f{i}.gz", (1_700_000_000, 1_700_000_000))
+    gated = admit_stream(watch(spark, str(inbox), glob="*.gz"), hours=1 / 3600, remember_hours=4 / 3600)
+    q = (gated.writeStream.format("noop").option("checkpointLocation", scratch_path(spark, "ttl_ckpt"))
+         .trigger(processingTime="1 second").start())
+    try:
+        seen, deadline = [], _t.time() + 90
+        while _t.time() < deadline and not (max(seen, default=0) >= 4 and seen[-1] == 0):
+            _t.sleep(1)
+            seen = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p.get("stateOperators")]
+    finally:
+        q.stop()
+    assert max(seen) >= 4 and seen[-1] == 0, seen
+
+
 def test_info_and_preview(spark):
     df = spark.createDataFrame([(1, None), (2, "b"), (None, "c")], "a int, b string")
     got = {(r.column, r.type, r.non_null) for r in CL.info(df).collect()}
