@@ -13,6 +13,8 @@ All-pairs column comparison without comparing column pairs one by one:
 4. each signature expands to its member columns and emits ordered column
    pairs of different tables, weighted by its value count — pairs of
    *columns*, bounded by the schema, never pairs of rows;
+0. before that, one pass of statistics rules out columns that cannot be on
+   either side of a relationship (``viable_columns``);
 5. distinct counts per column fall out of the same signature table; row
    counts per table are plain counts.
 
@@ -23,14 +25,15 @@ on the small pair table.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Collection, Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.functions.text import percent_text
-from strata.session import materialize
+from strata.session import materialize, release
 
 ELIGIBLE_TYPES = (
     T.StringType, T.ByteType, T.ShortType, T.IntegerType, T.LongType,
@@ -41,6 +44,9 @@ WORD_SHIFT = WORD_BITS.bit_length() - 1
 # Values longer than this travel as a 65-character digest ("\x01" + sha-256 hex);
 # plain values are at most this long, so the two forms never collide.
 PLAIN_VALUE_CHARS = 64
+SAMPLE = 16    # one in so many values, by hash, is looked at before the exact shuffle
+DOUBT = 1e-12  # chance to rule out a relationship that there is
+PRUNE_BYTES = 64 << 30
 
 RELATIONSHIP_COLUMNS = [
     "parent_table", "parent_col", "child_table", "child_col",
@@ -80,29 +86,139 @@ def column_catalog(spark: SparkSession, tables: Mapping[str, DataFrame]) -> Data
     return spark.createDataFrame(catalog_rows(tables), "idx int, tid int, table_name string, column_name string")
 
 
-def column_values(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Unpivot every eligible column to ``(idx, v)``, NULLs dropped.
+def column_values(tables: Mapping[str, DataFrame], keep: Collection[int] | None = None,
+                  text: Callable[[Column, bool], Column] = value_text) -> DataFrame:
+    """Unpivot every eligible column, or those of ``keep``, to ``(idx, v)``,
+    NULLs dropped (C18). ``text`` makes the value of a column.
 
     ``unpivot`` plans as an ``Expand``, which stays inside whole-stage codegen.
     """
     parts, idx = [], 0
     for _, df in tables.items():
         cols = eligible_columns(df)
-        if not cols:
-            continue
         types = {f.name: f.dataType for f in df.schema.fields}
         values = [
-            value_text(F.col(c), isinstance(types[c], T.StringType)).alias(str(idx + k))
-            for k, c in enumerate(cols)
+            text(F.col(c), isinstance(types[c], T.StringType)).alias(str(idx + k))
+            for k, c in enumerate(cols) if keep is None or idx + k in keep
         ]
         idx += len(cols)
-        parts.append(df.unpivot([], values, "name", "v"))
+        if values:
+            parts.append(df.unpivot([], values, "name", "v"))
+    if not parts:
+        return next(iter(tables.values())).sparkSession.createDataFrame([], "idx int, v string")
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
     return out.where(F.col("v").isNotNull()).select(F.col("name").cast("int").alias("idx"), "v")
 
 
+INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def column_statistics(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(idx, n_rows, n, low, high, short, long, least, most) per eligible
+    column, one ungrouped aggregate per table: rows, values, bounds of the
+    values' text (of its first ``PLAIN_VALUE_CHARS`` characters) and of its
+    length, and the numeric range of integer columns."""
+    parts, idx = [], 0
+    for _, df in tables.items():
+        types = {f.name: f.dataType for f in df.schema.fields}
+        aggs, rows = [F.count(F.lit(1)).alias("n_rows")], []
+        for c in eligible_columns(df):
+            col, whole, none = F.col(f"`{c}`"), isinstance(types[c], INTEGERS), F.lit(None).cast("long")
+            text = col.cast("string")
+            least, most = (F.min(col).cast("long"), F.max(col).cast("long")) if whole else (none, none)
+            if whole:  # texts of a numeric range: any digits, the longest of the two ends
+                low, high = F.when(least < 0, "-").otherwise("0"), F.lit("9" * 20)
+                short, long = F.lit(1), F.greatest(F.length(least.cast("string")), F.length(most.cast("string")))
+            else:
+                low, high = F.min(F.substring(text, 1, PLAIN_VALUE_CHARS)), F.max(F.substring(text, 1, PLAIN_VALUE_CHARS))
+                short, long = F.min(F.length(text)), F.max(F.length(text))
+            values = {"n": F.count(col), "low": low, "high": high, "short": short, "long": long, "least": least, "most": most}
+            aggs += [v.alias(f"{name}_{idx}") for name, v in values.items()]
+            rows.append(F.struct(F.lit(idx).alias("idx"), *[F.col(f"{name}_{idx}").alias(name) for name in values]))
+            idx += 1
+        if rows:
+            parts.append(df.agg(*aggs).select("n_rows", F.inline(F.array(*rows))))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def sampled_values(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(idx, v) of the values whose hash falls into one of ``SAMPLE`` parts: the
+    same values in every column that holds them."""
+    plain = column_values(tables, text=lambda c, is_string: c.cast("string"))
+    return plain.where(F.pmod(F.xxhash64("v"), F.lit(SAMPLE)) == 0).select("idx", value_text(F.col("v")).alias("v"))
+
+
+def planned_bytes(tables: Mapping[str, DataFrame]) -> int:
+    """Size of the tables by the optimizer's estimate."""
+    return sum(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for df in tables.values())
+
+
+def _unlikely(seen: np.ndarray, of: np.ndarray, share: float) -> np.ndarray:
+    """Whether ``seen`` hits among ``of`` draws rule out a true share of at
+    least ``share`` (Chernoff-Hoeffding, also for draws without replacement)."""
+    q = seen / np.maximum(of, 1)
+    p = min(max(share, 1e-12), 1 - 1e-12)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        kl = np.where(q > 0, q * np.log(q / p), 0) + np.where(q < 1, (1 - q) * np.log((1 - q) / (1 - p)), 0)
+    return (q < p) & (of * kl > -np.log(DOUBT))
+
+
+def viable_columns(tables: Mapping[str, DataFrame], min_overlap: float, min_uniqueness: float) -> set[int]:
+    """Columns that can still be on a side of a relationship (D5, E8), from
+    ``column_statistics`` and ``sampled_values``:
+
+    * a parent's values are at least ``min_uniqueness`` of its rows: its count of
+      values and its sampled distinct values must not rule that out;
+    * ranges of a child and a parent (by text, by length, by number) must meet;
+    * the sampled values that a child and a parent share must not rule out
+      ``min_overlap``.
+
+    Counts and ranges rule out with certainty; the sample does so only where the
+    chance to see it with a true relationship is below ``DOUBT``. What comes to
+    the driver is bounded by the schema: a row per column, and one per pair of
+    columns that share a sampled value.
+    """
+    cat = catalog_rows(tables)
+    k = len(cat)
+    tid = np.array([r[1] for r in cat])
+    stats = {r.idx: r for r in column_statistics(tables).collect()}
+    of = lambda name, missing: np.array([missing if (v := stats[i][name]) is None else v for i in range(k)])
+    n_rows, count, short, long = (of(name, 0).astype(float) for name in ("n_rows", "n", "short", "long"))
+    least, most = of("least", 0), of("most", 0)
+    whole = np.array([stats[i].least is not None for i in range(k)])
+    sigs = materialize(signatures(sampled_values(tables), k), "sampled-signatures")
+    distinct, shared = np.zeros(k), np.zeros((k, k))
+    for r in sigs.select(F.explode("sig").alias("idx"), "n").groupBy("idx").agg(F.sum("n").alias("n")).collect():
+        distinct[r.idx] = r.n
+    for r in pair_overlaps(sigs, tid.tolist()).collect():
+        shared[r.child, r.parent] = r.overlap
+    release(sigs)
+    # few distinct values for so many rows: a sampled share of 1 / SAMPLE would have shown more
+    expected = min_uniqueness * n_rows / SAMPLE
+    poor = (distinct < expected) & ((expected - distinct) ** 2 / (2 * np.maximum(expected, 1)) > -np.log(DOUBT))
+    parent = (count >= min_uniqueness * n_rows) & (count > 0) & ~poor
+    # bounds as ranks in byte order, as Spark compares texts
+    low, high = ([(stats[i][name] or "").encode() for i in range(k)] for name in ("low", "high"))
+    rank = {v: i for i, v in enumerate(sorted({*low, *high}))}
+    first, last = (np.array([rank[v] for v in x]) for x in (low, high))
+    keep: set[int] = set()
+    for p in np.flatnonzero(parent):
+        child = (tid != tid[p]) & (count > 0)
+        if min_overlap > 0:
+            child &= (first <= last[p]) & (last >= first[p]) & (short <= long[p]) & (long >= short[p])
+            if whole[p]:
+                child &= ~whole | ((least <= most[p]) & (most >= least[p]))
+            child &= ~_unlikely(shared[:, p], distinct, min_overlap)
+        if child.any():
+            keep.update([int(p), *np.flatnonzero(child).tolist()])
+    return keep
+
+
 def table_rows(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Row count per table, NULL rows included (E9 denominator)."""
     parts = [
@@ -160,7 +276,7 @@ def column_profile(spark: SparkSession, tables: Mapping[str, DataFrame],
             "idx", "tid", "table_name", "column_name",
             F.coalesce("n_distinct", F.lit(0)).cast("long").alias("n_distinct"),
             F.col("n_rows").cast("long").alias("n_rows"),
-            (F.coalesce("n_distinct", F.lit(0)) / F.col("n_rows")).alias("uniqueness"),
+            F.try_divide(F.coalesce("n_distinct", F.lit(0)), F.col("n_rows")).alias("uniqueness"),  # null in an empty table
         )
     )
 
@@ -187,7 +303,7 @@ def column_profile_approx(spark: SparkSession, tables: Mapping[str, DataFrame],
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out.withColumn("uniqueness", F.least(F.lit(1.0), F.col("n_distinct") / F.col("n_rows")))
+    return out.withColumn("uniqueness", F.least(F.lit(1.0), F.try_divide("n_distinct", "n_rows")))
 
 
 def pair_overlaps(sigs: DataFrame, table_of: list[int], parents: list[int] | None = None) -> DataFrame:
@@ -219,7 +335,7 @@ def name_match(child_col: Column, parent_col: Column) -> Column:
 
 def infer_relationships(spark: SparkSession, tables: Mapping[str, DataFrame],
                         min_overlap: float = 0.8, min_uniqueness: float = 0.9,
-                        name_hint: bool = False) -> DataFrame:
+                        name_hint: bool = False, prune: bool | None = None) -> DataFrame:
     """Candidate foreign keys child.col -> parent.col with confidence.
 
     overlap_ratio = |child values in parent| / |child values|;
@@ -227,12 +343,18 @@ def infer_relationships(spark: SparkSession, tables: Mapping[str, DataFrame],
     confidence = overlap_ratio * uniqueness. Sorted by confidence, ties by
     child table, child column, parent table, parent column. ``name_hint``
     adds a ``name_match`` column and ranks agreeing names first among equal
-    confidences; it never removes a candidate.
+    confidences; it never removes a candidate. ``prune`` looks for columns to
+    leave out of the value shuffle first (``viable_columns``), which reads the
+    tables once more; by default, where they are planned to hold ``PRUNE_BYTES``.
     """
     cat = catalog_rows(tables)
+    # columns that statistics rule out never reach the exact value shuffle
+    if prune is None:
+        prune = planned_bytes(tables) >= PRUNE_BYTES
+    keep = viable_columns(tables, min_overlap, min_uniqueness) if prune else None
     # the signature table is small (one row per distinct column set) and is
     # read twice below: materialize it once, reliably, in the checkpoint dir
-    sigs = materialize(signatures(column_values(tables), len(cat)), "signatures")
+    sigs = materialize(signatures(column_values(tables, keep), len(cat)), "signatures")
     prof = column_profile(spark, tables, sigs)
     # one row per column: only those unique enough can be parents
     unique = [r.idx for r in prof.where(F.col("uniqueness") >= min_uniqueness).select("idx").collect()]
