@@ -14,6 +14,8 @@ from strata.session import delete_path, scratch_path
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 BATCH_ROWS = 1000  # whole texts that a task holds in Arrow form at once
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _left: list[tuple[SparkSession, str]] = []
@@ -23,7 +25,9 @@ class Scratch:
     """Intermediate tables of one call, in the shared checkpoint folder.
 
     ``table`` writes a frame once as Parquet and reads it back: the lineage
-    is cut and a lost executor costs a re-read. ``drop`` removes what the
+    is cut and a lost executor costs a re-read. The shuffle files behind the
+    frame go as soon as it is written, so a chain of steps needs the disk of its
+    largest step and not of all (older Spark ignores that setting). ``drop`` removes what the
     returned result no longer reads; whatever is still needed goes when the
     driver ends.
     """
@@ -34,13 +38,15 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch_path(self.spark, name)
-        batch, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", self.spark.conf
-        rows = conf.get(batch)
-        conf.set(batch, str(min(int(rows), BATCH_ROWS)) if int(rows) > 0 else str(BATCH_ROWS))
+        conf = self.spark.conf
+        rows, was = int(conf.get(ARROW_ROWS)), {k: conf.get(k, None) for k in (ARROW_ROWS, CLEANUP)}
+        conf.set(ARROW_ROWS, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
+        conf.set(CLEANUP, "true")
         try:
             df.write.mode("overwrite").parquet(path)
         finally:
-            conf.set(batch, rows)
+            for k, v in was.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         self.paths[name] = path
         _left.append((self.spark, path))
         return self.spark.read.schema(df.schema).parquet(path)
