@@ -25,10 +25,13 @@ empty result, columns beside id and text are not looked at.
 
 from __future__ import annotations
 
+import json
 import os
+import sys
 import zlib
 from collections.abc import Iterator
 from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -91,8 +94,9 @@ class WordTokens:
         words = pc.if_else(plain, pc.ascii_lower(words), words)
         place = pc.index_in(words, self.known)
         if place.null_count:
-            self.learn(words.filter(place.is_null()).unique())
-            place = pc.index_in(words, self.known)
+            new, base = words.filter(place.is_null()).unique(), len(self.known)
+            self.learn(new)
+            place = pc.coalesce(place, pc.add(pc.index_in(words, new), pa.scalar(base, pa.int32())))
         place = place.to_numpy(zero_copy_only=False)[coded.indices.to_numpy()]
         lengths = self.lengths[place]
         ids = self.ids[ragged(self.starts[place], lengths)]
@@ -101,6 +105,33 @@ class WordTokens:
         return ids, np.diff(total[offsets - offsets[0]])
 
 
+def worker_tokens(path: str) -> WordTokens:
+    """The tokenizer and memo of this Python worker: Spark gives a worker one
+    task after another, and each goes on with what the ones before have learned."""
+    tokens = sys.modules.setdefault("_strata_worker", ModuleType("_strata_worker")).__dict__.setdefault("tokens", {})
+    if path not in tokens:
+        tokens[path] = WordTokens(path)
+    return tokens[path]
+
+
+# what WordTokens takes for granted of a tokenizer (fixed values)
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True}
+
+
+def check_tokenizer(path: str) -> None:
+    """Refuse tokenizers whose ids of a text are not those of its chunks."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [None]
+    same = ((spec.get("normalizer") or {}).get("normalizers") == NORMALIZERS and steps[0] == SPLIT and len(steps) == 2
+            and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+            and all(t["content"].startswith("<") and not any(t[k] for k in ("single_word", "lstrip", "rstrip")) for t in spec["added_tokens"]))
+    if not same:
+        raise ValueError(f"{path}: pack needs a lower-casing tokenizer that splits at white space, words, digits and symbols")
+
+
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, _task long, _nth long"
 
 
@@ -109,7 +140,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     """The pieces of all documents, numbered within their task and length."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(tokenizer_path)
+        tokens = worker_tokens(tokenizer_path)
         seen = np.zeros(capacity + 1, np.int64)
         task = TaskContext.get().partitionId()
         for batch in slices(batches, "text", SLICE_BYTES):
@@ -267,6 +298,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32,
     sequence_id, offset."""
+    check_tokenizer(tokenizer_path)
     spark = docs.sparkSession
     cut = Scratch(spark).table(pieces(docs, tokenizer_path, capacity, id_col, text_col), "pieces")
     per_task = cut.groupBy("length", "_task").agg(F.count("*").alias("_rows"))

@@ -81,3 +81,30 @@ def test_reduction_never_costs_a_sequence():
         assert all(sum(x * c for x, c in p) <= 20 for p, _ in plan.groups)
         worse += sum(t for _, t in plan.groups) - fewest(items, 20)
     assert worse <= 2  # best-fit decreasing may lose one now and then
+
+
+def test_other_tokenizers_are_refused(sample):
+    import public_tokenizers
+    from strata.llm.packing import check_tokenizer
+    check_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    import os
+    folder = os.path.dirname(public_tokenizers.path("word_bpe_49k.json"))
+    others = [os.path.join(folder, n) for n in sorted(os.listdir(folder)) if n.endswith(".json") and n != "word_bpe_49k.json"]
+    assert others
+    for path in others:
+        with pytest.raises(ValueError, match="pack needs"):
+            pack(sample, path)
+
+
+def test_the_memo_outlives_a_task_and_stays_bounded(word_bpe):
+    import pyarrow as pa
+    from strata.llm.packing import WordTokens, worker_tokens
+    tokens = worker_tokens(word_bpe)
+    assert worker_tokens(word_bpe) is tokens
+    small = WordTokens(word_bpe, limit=50)
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        texts = [" ".join(f"w{x}.x{x % 7}," for x in rng.integers(0, 500, 40)) for _ in range(3)]
+        ids, n = small(pa.array(texts))
+        assert ids.tolist() == [i for t in texts for i in expected_ids(word_bpe, t)[:-1]]
+        assert len(small.known) <= 50 + 120 * 2
