@@ -37,11 +37,16 @@ def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(SPACE))
 
 
+def _key(line: Column) -> Column:
+    """96 bits that stand for a line: two hashes of different kinds."""
+    return F.struct(F.xxhash64(line).alias("a"), F.crc32(line.cast("binary")).alias("b"))
+
+
 def line_rows(docs: DataFrame) -> DataFrame:
     """(site, key) of every line with a word of (text, site)."""
     return (docs.where("text IS NOT NULL").select("site", F.explode(_lines(F.col("text"))).alias("line"))
             .select("site", _trimmed(F.col("line")).alias("line")).where("line <> ''")
-            .select("site", F.xxhash64("line").alias("key")))
+            .select("site", _key(F.col("line")).alias("key")))
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -64,12 +69,14 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_sha(F.col(text_col)).alias("sha"),
         F.xxhash64(F.coalesce(F.concat(F.lit("0"), F.col(site_col).cast("string")), F.lit("1"))).alias("site"))
     places = (rows.where("text IS NOT NULL").select("sha", F.posexplode(_lines(F.col("text"))).alias("at", "line"))
-              .select("sha", "at", F.xxhash64(_trimmed(F.col("line"))).alias("key")))
+              .select("sha", "at", _key(_trimmed(F.col("line"))).alias("key")))
     # one row for each place of a text, however many rows repeat the text
     gone = (places.join(boilerplate(rows, min_sites), "key", "left_semi").groupBy("sha", "at").count()
             .groupBy("sha").agg(F.collect_list("at").alias("gone")))
     lines = F.coalesce(_lines(F.col("text")), F.array())
-    kept = F.filter(lines, lambda line, at: ~F.array_contains(F.col("gone"), at))
+    # positions that stay by a set difference, then the lines there: linear in the lines (bound once by the outer function)
+    kept = F.transform(F.array(lines), lambda all_: F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col("gone")), lambda at: F.get(all_, at)))[0]
     return rows.join(gone, "sha", "left").select(
         "doc_id",
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),

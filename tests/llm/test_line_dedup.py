@@ -44,3 +44,15 @@ def test_sample_and_edges(sample, edge, docs_of):
     check(edge, [(r.doc_id, r.text, r.source) for r in edge.collect()], 1)
     assert clean_lines(docs_of([])).collect() == []
     assert hashlib.sha256(b"").hexdigest() in {r.sha for r in clean_lines(edge).collect()}
+
+
+def test_a_text_of_many_lines_takes_linear_time(spark, docs_of):
+    import time
+    common = [f"boiler {i % 50}" for i in range(40_000)]
+    long = "\n".join(x for i, c in enumerate(common) for x in (c, f"own {i}"))
+    df = docs_of([(i, "\n".join(common[:50]), f"s{i}") for i in range(9)] + [(100 + i, long, "z") for i in range(8)])
+    began = time.time()
+    got = clean_lines(df).where("doc_id >= 100").select("n_lines", "n_removed", "text").collect()
+    assert time.time() - began < 60
+    assert {(r.n_lines, r.n_removed) for r in got} == {(80_000, 40_000)}
+    assert {r.text for r in got} == {"\n".join(f"own {i}" for i in range(40_000))}
