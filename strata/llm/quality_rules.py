@@ -132,21 +132,32 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
             .groupBy("lang", "gram").agg(F.sum("n").alias("c")))
 
 
-def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
+def discounts(counts: DataFrame) -> DataFrame:
+    """(lang, d1, d2, d3) of (lang, c): one row a language."""
+    seen = [F.greatest(F.count_if(F.col("c") == k), F.lit(1)).alias(f"n{k}") for k in (1, 2, 3, 4)]
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    d = [F.least(F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), F.lit(0.05)), F.lit(k - 0.05)) for k in (1, 2, 3)]
+    return counts.groupBy("lang").agg(*seen).select("lang", *[x.alias(f"d{k + 1}") for k, x in enumerate(d)])
+
+
+def kneser_ney(counts: DataFrame, order: int = ORDER, scratch: Scratch | None = None) -> DataFrame:
     """(lang, gram, p): interpolated modified Kneser-Ney probability of the
-    last byte of every counted gram after the bytes before it."""
+    last byte of every counted gram after the bytes before it.
+
+    The grams of each order are written once. Discounts, one row a language, are
+    broadcast up to ``MAX_LANGS`` languages, so gram rows are never dealt out by
+    their language alone."""
+    scratch = scratch or Scratch(counts.sparkSession)
     tables = {order: counts}
     for n in range(order - 1, 0, -1):  # continuation counts: distinct bytes before
         low = F.col("gram").bitwiseAND(F.lit((1 << 8 * n) - 1))
-        tables[n] = tables[n + 1].groupBy("lang", low.alias("gram")).agg(F.count("*").alias("c"))
+        tables[n] = scratch.table(tables[n + 1].groupBy("lang", low.alias("gram")).agg(F.count("*").alias("c")), f"grams-{n}")
     lower = None
     for n in range(1, order + 1):
         t = tables[n].withColumn("ctx", F.shiftright("gram", 8))
-        seen = [F.greatest(F.count_if(F.col("c") == k), F.lit(1)).alias(f"n{k}") for k in (1, 2, 3, 4)]
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        discount = [F.least(F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), F.lit(0.05)), F.lit(k - 0.05))
-                    for k in (1, 2, 3)]
-        by_lang = t.groupBy("lang").agg(*seen).select("lang", *[d.alias(f"d{k + 1}") for k, d in enumerate(discount)])
+        by_lang = scratch.table(discounts(t), f"discounts-{n}")
+        if by_lang.count() <= MAX_LANGS:
+            by_lang = F.broadcast(by_lang)
         t = t.join(by_lang, "lang").withColumn(
             "d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
         context = t.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), F.sum("d").alias("held"))
@@ -157,7 +168,9 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
             t = t.withColumn("low", F.col("gram").bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1))).join(
                 lower.select("lang", F.col("gram").alias("low"), F.col("p").alias("p_low")), ["lang", "low"])
             below = F.col("p_low")
-        lower = t.select("lang", "gram", ((F.col("c") - F.col("d") + F.col("held") * below) / F.col("total")).alias("p"))
+        lower = scratch.table(
+            t.select("lang", "gram", ((F.col("c") - F.col("d") + F.col("held") * below) / F.col("total")).alias("p")), f"probabilities-{n}")
+    scratch.drop(*[f"{name}-{n}" for n in range(1, order) for name in ("grams", "probabilities")], *[f"discounts-{n}" for n in range(1, order + 1)])
     return lower
 
 
@@ -200,7 +213,8 @@ def _batch(batch: pa.RecordBatch, data: np.ndarray, off: np.ndarray, bits: np.nd
 
 
 def _joined(docs: DataFrame, model: DataFrame, order: int, features: str, row: str) -> DataFrame:
-    """The way beyond ``max_rows``: gram counts of each text joined to the model."""
+    """The way beyond ``max_rows``: gram counts of each text joined to the model
+    (log probabilities in single precision, as in the table)."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -224,7 +238,7 @@ def _joined(docs: DataFrame, model: DataFrame, order: int, features: str, row: s
         keyed.select("lang", "sha", "text").mapInArrow(spell, "sha string, lang long, gram long, n long")
         .join(model, ["lang", "gram"], "left")
         .groupBy("lang", "sha").agg(
-            (-F.sum(F.col("n") * F.coalesce(F.log2("p"), F.lit(-8.0))) / F.sum("n")).alias("byte_bits")))
+            (-F.sum(F.col("n") * F.coalesce(F.log2("p").cast("float").cast("double"), F.lit(-8.0))) / F.sum("n")).alias("byte_bits")))
     return (keyed.mapInArrow(only, f"row {row}, lang long, {features}, sha string")
             .join(bits, ["lang", "sha"], "left")
             .select("row", "lang", *[f.split()[0] for f in features.split(", ")], F.coalesce("byte_bits", F.lit(0.0)).alias("byte_bits")))
@@ -251,11 +265,11 @@ def judge(docs: DataFrame, carry: list[str] | None = None, text_col: str = "text
         F.xxhash64(F.coalesce(F.concat(F.lit("0"), F.col(lang_col).cast("string")), F.lit("1"))).alias("lang"),
         F.col(text_col).cast("string").alias("text"))
     counts = scratch.table(count_grams(rows), "gram-counts")
-    model = scratch.table(kneser_ney(counts), "kneser-ney")
+    model = kneser_ney(counts, scratch=scratch)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = scratch.table(perplexities(rows, model, max_rows=max_rows).withColumn("base_failed", failed)
                            .withColumn("bits", F.col("byte_bits") * F.col("n_bytes") / F.greatest("n_words", F.lit(1))), "perplexities")
-    scratch.drop("gram-counts", "kneser-ney")
+    scratch.drop("gram-counts", f"probabilities-{ORDER}")
     inside = F.col("bits").between(F.col("low"), F.col("high"))
     limits = scratch.table(bands(scored, fence), "bands")
     if limits.count() <= MAX_LANGS:  # else both sides are shuffled
