@@ -1,18 +1,22 @@
 """Mixing sources to target weights by weighted fair queueing (operator 5).
 
 Every source is a queue of its documents in shuffled order (MD5 of the id),
-served ``epochs`` times. A document's virtual finish time is the number of
-words its source has been served when the document ends, divided by the
-source's weight. Serving in order of virtual time gives each source its
-weight's share while its queue lasts; when a queue runs dry the others share
-on. The mix stops at the virtual time at which the words served reach the
-budget; a document in service then is cut there (``taken`` counts the words
-served before the stop).
+served ``epochs`` times. A document's virtual finish time, of each turn, is the
+number of words its source has been served when the document ends, divided
+by the source's weight. All turns of all documents are range-sorted by finish
+time; the mix takes them in that order and is truncated at the total budget:
+turns in front of the cut are taken whole, the one on it in part (``taken``
+counts its words up to the budget). So each source gets its weight's share
+while its queue lasts, to within one document; when a queue runs dry the
+others share on. ``target`` is the share of a fluid schedule.
 
 Native: DataFrame operations only. The running word count of a source is a
-sum over slices of the shuffled order (``SLICES`` per source, pre-aggregated)
-plus a running sum inside the slice, so that a source with a third of all rows
-is spread over all tasks. Per-source arithmetic has one row per source.
+sum over slices of the shuffled order (as many as rows fill ``SLICE_ROWS``,
+pre-aggregated) plus a running sum inside the slice, so that a source with a
+third of all rows is spread over all tasks. The global order is never summed in
+one task: ranges are totalled, the range where the budget is reached is summed
+row by row, and the row found there, broadcast as a literal, tells every
+document what is taken of it. Per-source arithmetic has one row per source.
 
 Sizes are words; null texts have none. Sources go by code point, null last.
 Ties of the order (repeated ids) are broken by size and text hash. Rows with
@@ -22,16 +26,18 @@ no words are taken 0 words of. An empty table gives an empty one. Columns of
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strata.llm.common import fresh, words_in
+from strata.llm.common import Scratch, fresh, words_in
 
 WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET = 1.5   # share of all words that the mix holds
 EPOCHS = 2     # a document is served so often at most
-SLICES = 4096  # of the shuffled order of each source
+SLICE_ROWS = 4096  # of the shuffled order of all sources, about
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS) -> DataFrame:
@@ -65,44 +71,96 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, epochs: i
         .select("_source", "source_size", "weight", "target"))
 
 
-def _served(size: Column, begin: Column, target: Column) -> Column:
-    """Words of a document served before its source reaches its target."""
-    return F.greatest(F.lit(0).cast("long"), F.least(size, F.floor(target) - begin))
+ORDER = ("finish", "_source", "turn", "_at", "size", "_tie")
+
+
+def cut(turns: DataFrame, budget: int, scratch: Scratch) -> tuple | None:
+    """(key, words): the turn at which the running words of the global order
+    reach the budget, and how many of its words are in front of it. None if
+    they never do. ``turns`` has the columns ``ORDER``."""
+    ranged = scratch.table(
+        turns.repartitionByRange(*ORDER).withColumn("_pid", F.spark_partition_id()), "mix-order")
+    before = 0
+    for r in ranged.groupBy("_pid").agg(F.sum("size").alias("words")).orderBy("_pid").collect():  # one row a range
+        if before + r.words >= budget:
+            break
+        before += r.words
+    else:
+        return None
+    upto = F.sum("size").over(W.orderBy(*ORDER).rowsBetween(W.unboundedPreceding, W.currentRow)) + F.lit(before)
+    at = (ranged.where(F.col("_pid") == r["_pid"]).withColumn("_upto", upto).where(F.col("_upto") >= budget)
+          .orderBy(*ORDER).first())
+    return tuple(at[c] for c in ORDER), budget - (at["_upto"] - at["size"])
+
+
+def taken_of(turn: int, found: tuple | None) -> Column:
+    """Words of a document's turn that the mix takes."""
+    if found is None:
+        return F.col("size")
+    key, words = found
+    mine = F.struct(*[F.lit(turn).alias(c) if c == "turn" else _finish(turn).alias(c) if c == "finish" else F.col(c).alias(c) for c in ORDER])
+    last = F.struct(*[F.lit(v).cast(_TYPES[c]).alias(c) for c, v in zip(ORDER, key, strict=True)])
+    return F.when(mine < last, F.col("size")).when(mine == last, F.least("size", F.lit(words))).otherwise(F.lit(0)).cast("long")
+
+
+_TYPES = {"finish": "double", "_source": "string", "turn": "int", "_at": "string", "size": "long", "_tie": "long"}
+
+
+def _finish(turn: int) -> Column:
+    return (F.col("begin") + F.lit(turn) * F.col("source_size") + F.col("size")) / F.col("weight")
 
 
 def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-             keep: bool = False, **options) -> DataFrame:
+             keep: bool = False, slice_rows: int = SLICE_ROWS, **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, weight, target,
-    begin (words of its source before it, first turn), taken and finish (the
-    virtual finish time of its first turn). With ``keep`` the struct ``row``
-    carries all columns of ``docs``."""
-    rows = docs.select(
+    begin (words of its source before it, first turn), taken, served (words
+    taken of each turn) and finish (the virtual finish time of its first turn).
+    With ``keep`` the struct ``row`` carries all columns of ``docs``."""
+    epochs, budget = options.get("epochs", EPOCHS), options.get("budget", BUDGET)
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.table(docs.select(
         F.col(id_col).alias("doc_id"),
         words_in(F.col(text_col)).alias("size"),
         # '0<name>' orders by code point, '1' (null) comes last
         F.coalesce(F.concat(F.lit("0"), F.col(source_col).cast("string")), F.lit("1")).alias("_source"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("_at"),
-        F.xxhash64(F.col(text_col)).alias("_tie"),
-        *([F.struct(*docs.columns).alias("row")] if keep else []),
-    ).withColumn("_slice", (F.conv(F.substring("_at", 1, 8), 16, 10).cast("long") * SLICES / (1 << 32)).cast("int"))
+        F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("_tie"),
+    ), "mix-rows")
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    slices = max(1, -(-n // slice_rows))
+    rows = rows.withColumn("_slice", (F.conv(F.substring("_at", 1, 8), 16, 10).cast("long") * slices / (1 << 32)).cast("int"))
     per_slice = rows.groupBy("_source", "_slice").agg(F.sum("size").alias("_words"))
     ahead = per_slice.withColumn(
         "_ahead", F.sum("_words").over(W.partitionBy("_source").orderBy("_slice")) - F.col("_words"))
     sources = targets(per_slice.groupBy("_source").agg(F.sum("_words").alias("source_size")), **options)
-    epochs = options.get("epochs", EPOCHS)
     inside = (W.partitionBy("_source", "_slice").orderBy("_at", "size", "_tie")
               .rowsBetween(W.unboundedPreceding, W.currentRow))
-    begin = F.col("_ahead") + F.col("_inside") - F.col("size")
-    taken = sum((_served(F.col("size"), F.col("begin") + F.lit(e) * F.col("source_size"), F.col("target"))
-                 for e in range(epochs)), F.lit(0).cast("long"))
-    return (
+    queued = scratch.table(
         rows.withColumn("_inside", F.sum("size").over(inside))
         .join(ahead.drop("_words").join(sources, "_source"), ["_source", "_slice"])
-        .withColumn("begin", begin)
-        .withColumn("taken", taken)
-        .withColumn("finish", (F.col("begin") + F.col("size")) / F.col("weight"))
-        .select("doc_id", "size", "source_size", "weight", "target", "begin", "taken", "finish",
-                *(["row"] if keep else [])))
+        .withColumn("begin", F.col("_ahead") + F.col("_inside") - F.col("size"))
+        .select("doc_id", "size", "_source", "_at", "_tie", "source_size", "weight", "target", "begin"), "mix-queues")
+    turn = F.explode(F.array(*[F.struct(F.lit(e).alias("turn"), _finish(e).alias("finish")) for e in range(epochs)]))
+    turns = queued.where("size > 0").withColumn("_t", turn).select("_t.finish", "_source", "_t.turn", "_at", "size", "_tie")
+    found = cut(turns, math.floor(total * budget), scratch) if total else None
+    scratch.drop("mix-rows", "mix-order")
+    out = (
+        queued.withColumn("served", F.array(*[taken_of(e, found) for e in range(epochs)]))
+        .withColumn("taken", F.aggregate("served", F.lit(0).cast("long"), lambda a, x: a + x))
+        .withColumn("finish", _finish(0)))
+    names = ["doc_id", "size", "source_size", "weight", "target", "begin", "taken", "served", "finish"]
+    if not keep:
+        return out.select(*names)
+    # whole rows meet their schedule by source, id, size and text hash; rows equal in these share it in some order
+    same = ["_source", "_at", "size", "_tie"]
+    nth = F.row_number().over(W.partitionBy(*same).orderBy("begin"))
+    mine = docs.select(
+        words_in(F.col(text_col)).alias("size"),
+        F.coalesce(F.concat(F.lit("0"), F.col(source_col).cast("string")), F.lit("1")).alias("_source"),
+        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("_at"),
+        F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("_tie"), F.struct(*docs.columns).alias("row"))
+    mine = mine.withColumn("_nth", F.row_number().over(W.partitionBy(*same).orderBy(F.lit(0))))
+    return out.withColumn("_nth", nth).join(mine, [*same, "_nth"]).select(*names, "row")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -113,13 +171,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     it is served; a document without words goes in once."""
     epochs = options.get("epochs", EPOCHS)
     turn, finish, row = fresh(docs, "_turn", "_finish", "_row")
-    begin = F.col("begin") + F.col("_e") * F.col("source_size")
+    served = F.get("served", F.col("_e"))
     return (
         schedule(docs, id_col, text_col, source_col, keep=True, **options)
-        .withColumn("_e", F.explode(F.array(*[F.lit(e).cast("long") for e in range(epochs)])))
-        .where(F.when(F.col("size") == 0, F.col("_e") == 0)
-               .otherwise(_served(F.col("size"), begin, F.col("target")) * 2 >= F.col("size")))
-        .withColumn(finish, (begin + F.col("size")) / F.col("weight"))
+        .withColumn("_e", F.explode(F.array(*[F.lit(e) for e in range(epochs)])))
+        .where(F.when(F.col("size") == 0, F.col("_e") == 0).otherwise(served * 2 >= F.col("size")))
+        .withColumn(finish, (F.col("begin") + F.col("_e") * F.col("source_size") + F.col("size")) / F.col("weight"))
         .withColumnRenamed("row", row)
         .select(F.col(row), F.col(finish), F.col("_e").alias(turn))
         .orderBy(finish, turn)

@@ -84,20 +84,23 @@ WITH d AS (
 ), f AS (
   SELECT *, dry <= (budget - spent) / (weights - gone) AS full_ FROM b
 ), t AS (
-  SELECT source, source_size,
+  SELECT source, source_size, weight,
          CASE WHEN full_ THEN (2 * source_size)::DOUBLE
               ELSE weight * ((budget - (sum(CASE WHEN full_ THEN 2 * source_size ELSE 0 END) OVER ())::DOUBLE)
                    / (weights - sum(CASE WHEN full_ THEN weight ELSE 0.0::DOUBLE END) OVER ())) END AS target
   FROM f
 ), c AS (
-  SELECT doc_id, size, source_size, target,
+  SELECT doc_id, d.source, pos, size, source_size, target, weight,
          (sum(size) OVER (PARTITION BY d.source ORDER BY pos, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS begin_
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), e AS (
+  SELECT *, (begin_ + turn * source_size + size)::DOUBLE / weight AS finish FROM c, (VALUES (0), (1)) v(turn) WHERE size > 0
+), o AS (
+  SELECT doc_id, size, sum(size) OVER (ORDER BY finish, source NULLS LAST, turn, pos, size ROWS UNBOUNDED PRECEDING) AS upto FROM e
+), k AS (
+  SELECT doc_id, sum(greatest(0, least(size, (SELECT floor(1.5 * sum(size)) FROM d) - (upto - size))))::BIGINT AS taken FROM o GROUP BY doc_id
 )
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, floor(target)::BIGINT - begin_))
-        + greatest(0, least(size, floor(target)::BIGINT - begin_ - source_size)))::BIGINT AS taken
-FROM c
+SELECT c.doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM c LEFT JOIN k ON c.doc_id = k.doc_id
 """)
 def op5_mixing(spark, sf):
     return schedule(documents(spark, sf)).select("doc_id", "size", "source_size", "target", "taken")
