@@ -53,7 +53,6 @@ from strata.llm.textops import Hasher, U, buffer, lookup, lower_ascii, mix, slic
 WORDS = 5
 SIMILARITY = 0.8
 DAMP = 0.25
-BUCKETS = 1 << 16          # of the plain version in the tests
 PARTS = 64                 # ranges of shingle hashes at least
 PART_BYTES = 8 << 20       # of text for each range
 BANDS, ROWS = 10, 3
@@ -107,11 +106,6 @@ def shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return row[new], key[new], np.diff(np.append(new, len(row))), node
 
 
-def bucket_of(key: np.ndarray) -> np.ndarray:
-    """Bucket of the plain version in the tests; no weight here comes from it."""
-    return (key >> U(48)).astype(np.int64) & (BUCKETS - 1)
-
-
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """The rows of each run of equal ``group`` (sorted)."""
     rows: list[dict] = []

@@ -117,7 +117,6 @@ def test_shingles():
 
 def test_idf_is_the_document_frequency_of_each_shingle(docs_of, monkeypatch):
     monkeypatch.setattr(N, "DAMP", 1.0)
-    monkeypatch.setattr(N, "BUCKETS", 16, raising=False)  # no table of shared counts may stand between
     rng = np.random.default_rng(5)
     hot = make(rng, 1, vocab=5000, size=60)
     rows = [(k, hot + " " + make(rng, 1, vocab=5000, size=30)) for k in range(60)]  # alike only in what is frequent

@@ -1,14 +1,17 @@
 """The pipeline against a brute-force version of its stages."""
 
+import math
+import re
+from collections import Counter
+
 import numpy as np
-import pyarrow as pa
 
 import corpus_pipeline
 from strata.llm import near_dedup as N
 from strata.llm.quality_rules import BINS, FENCE, LEAST_SPREAD, ORDER
-from strata.llm.textops import buffer
 from tests_llm_helpers import lowered, packed_rows, plain_features, plain_mix_rows, plain_model
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
 
 
@@ -41,14 +44,16 @@ def exact(rows):
     return list(best.values())
 
 
+def plain_shingles(text):
+    """Runs of five words, lower-cased A-Z; a shorter text is one."""
+    words = [lowered(w) for w in WORD.findall(text)]
+    return [tuple(words[i: i + N.WORDS]) for i in range(max(1, len(words) - N.WORDS + 1))] if words else []
+
+
 def near(rows):
-    bags, df = [], np.zeros(N.BUCKETS)
-    for r in rows:
-        _, keys, tf, _ = N.shingles(*buffer(pa.array([r.text])))
-        bags.append((keys, tf))
-        df += np.bincount(N.bucket_of(keys), minlength=N.BUCKETS)
-    idf = np.log1p(len(rows) / np.maximum(df, 1)) ** N.DAMP
-    bags = [dict(zip(k.tolist(), (t * idf[N.bucket_of(k)]).tolist())) for k, t in bags]
+    bags = [Counter(plain_shingles(r.text)) for r in rows]
+    df = Counter(x for bag in bags for x in bag)
+    bags = [{x: n * math.log1p(len(rows) / df[x]) ** N.DAMP for x, n in bag.items()} for bag in bags]
     parent = list(range(len(rows)))
 
     def root(x):
