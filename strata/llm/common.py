@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,42 @@ class Scratch:
                 delete_path(self.spark, path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, written once; every intermediate table that it
+    left behind goes, since nothing reads it any more."""
+    mark = len(_left)
+    out = Scratch(spark).table(make(), name)
+    for _, path in _left[mark:-1]:
+        delete_path(spark, path)
+    del _left[mark:-1]
+    return out
+
+
+class Leftovers:
+    """Tables of steps that hand on by files: one goes when a later step
+    starts on rows that are not read from it."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[SparkSession, str]] = []
+
+    def take(self, mark: int) -> None:
+        """The tables written since ``mark`` (see ``written``) are left by the step that ends."""
+        self.held += _left[mark:]
+
+    def drop_unread(self, rows: DataFrame) -> None:
+        files = rows.inputFiles() if self.held else []
+        for entry in [e for e in self.held if not any(e[1].split(":")[-1].lstrip("/") in f for f in files)]:
+            delete_path(*entry)
+            self.held.remove(entry)
+            if entry in _left:
+                _left.remove(entry)
+
+
+def written() -> int:
+    """How many tables there are so far."""
+    return len(_left)
+
+
 @atexit.register
 def _sweep() -> None:
     for spark, path in _left:

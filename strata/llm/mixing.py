@@ -12,7 +12,7 @@ others share on. ``target`` is the share of a fluid schedule.
 
 Native: DataFrame operations only. The running word count of a source is a
 sum over slices of the shuffled order (as many as rows fill ``SLICE_ROWS``,
-pre-aggregated) plus a running sum inside the slice, so that a source with a
+pre-aggregated, in runs of ``RUN``) plus a running sum inside the slice, so that a source with a
 third of all rows is spread over all tasks. The global order is never summed in
 one task: ranges are totalled, the range where the budget is reached is summed
 row by row, and the row found there, broadcast as a literal, tells every
@@ -37,7 +37,8 @@ from strata.llm.common import Scratch, fresh, words_in
 WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET = 1.5   # share of all words that the mix holds
 EPOCHS = 2     # a document is served so often at most
-SLICE_ROWS = 4096  # of the shuffled order of all sources, about
+SLICE_ROWS = 256  # of the shuffled order of all sources, about
+RUN = 4096        # slices whose words are summed up together
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS) -> DataFrame:
@@ -118,28 +119,36 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     With ``keep`` the struct ``row`` carries all columns of ``docs``."""
     epochs, budget = options.get("epochs", EPOCHS), options.get("budget", BUDGET)
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.table(docs.select(
+    whole = docs.select(
         F.col(id_col).alias("doc_id"),
         words_in(F.col(text_col)).alias("size"),
         # '0<name>' orders by code point, '1' (null) comes last
         F.coalesce(F.concat(F.lit("0"), F.col(source_col).cast("string")), F.lit("1")).alias("_source"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("_at"),
         F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("_tie"),
-    ), "mix-rows")
-    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        *([F.struct(*docs.columns).alias("row")] if keep else []))
+    narrow = scratch.table(whole.drop("row"), "mix-rows")
+    n, total = narrow.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     slices = max(1, -(-n // slice_rows))
-    rows = rows.withColumn("_slice", (F.conv(F.substring("_at", 1, 8), 16, 10).cast("long") * slices / (1 << 32)).cast("int"))
-    per_slice = rows.groupBy("_source", "_slice").agg(F.sum("size").alias("_words"))
+    at = (F.conv(F.substring("_at", 1, 8), 16, 10).cast("long") * slices / (1 << 32)).cast("long")
+    sliced = (whole if keep else narrow).withColumn("_slice", at)
+    # running words of a source by slice: inside runs of slices, then over the runs
+    per_slice = narrow.withColumn("_slice", at).groupBy("_source", "_slice").agg(F.sum("size").alias("_words")).withColumn(
+        "_run", F.expr(f"_slice div {RUN}"))
+    per_run = per_slice.groupBy("_source", "_run").agg(F.sum("_words").alias("_run_words"))
+    before = per_run.withColumn(
+        "_before", F.sum("_run_words").over(W.partitionBy("_source").orderBy("_run")) - F.col("_run_words")).drop("_run_words")
     ahead = per_slice.withColumn(
-        "_ahead", F.sum("_words").over(W.partitionBy("_source").orderBy("_slice")) - F.col("_words"))
-    sources = targets(per_slice.groupBy("_source").agg(F.sum("_words").alias("source_size")), **options)
+        "_in_run", F.sum("_words").over(W.partitionBy("_source", "_run").orderBy("_slice")) - F.col("_words")
+    ).join(before, ["_source", "_run"]).select("_source", "_slice", (F.col("_before") + F.col("_in_run")).alias("_ahead"))
+    sources = targets(per_run.groupBy("_source").agg(F.sum("_run_words").alias("source_size")), **options)
     inside = (W.partitionBy("_source", "_slice").orderBy("_at", "size", "_tie")
               .rowsBetween(W.unboundedPreceding, W.currentRow))
     queued = scratch.table(
-        rows.withColumn("_inside", F.sum("size").over(inside))
-        .join(ahead.drop("_words").join(sources, "_source"), ["_source", "_slice"])
+        sliced.withColumn("_inside", F.sum("size").over(inside))
+        .join(ahead.join(sources, "_source"), ["_source", "_slice"])
         .withColumn("begin", F.col("_ahead") + F.col("_inside") - F.col("size"))
-        .select("doc_id", "size", "_source", "_at", "_tie", "source_size", "weight", "target", "begin"), "mix-queues")
+        .select("doc_id", "size", "_source", "_at", "_tie", "source_size", "weight", "target", "begin", *(["row"] if keep else [])), "mix-queues")
     turn = F.explode(F.array(*[F.struct(F.lit(e).alias("turn"), _finish(e).alias("finish")) for e in range(epochs)]))
     turns = queued.where("size > 0").withColumn("_t", turn).select("_t.finish", "_source", "_t.turn", "_at", "size", "_tie")
     found = cut(turns, math.floor(total * budget), scratch) if total else None
@@ -149,18 +158,7 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         .withColumn("taken", F.aggregate("served", F.lit(0).cast("long"), lambda a, x: a + x))
         .withColumn("finish", _finish(0)))
     names = ["doc_id", "size", "source_size", "weight", "target", "begin", "taken", "served", "finish"]
-    if not keep:
-        return out.select(*names)
-    # whole rows meet their schedule by source, id, size and text hash; rows equal in these share it in some order
-    same = ["_source", "_at", "size", "_tie"]
-    nth = F.row_number().over(W.partitionBy(*same).orderBy("begin"))
-    mine = docs.select(
-        words_in(F.col(text_col)).alias("size"),
-        F.coalesce(F.concat(F.lit("0"), F.col(source_col).cast("string")), F.lit("1")).alias("_source"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("_at"),
-        F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("_tie"), F.struct(*docs.columns).alias("row"))
-    mine = mine.withColumn("_nth", F.row_number().over(W.partitionBy(*same).orderBy(F.lit(0))))
-    return out.withColumn("_nth", nth).join(mine, [*same, "_nth"]).select(*names, "row")
+    return out.select(*names, *(["row"] if keep else []))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
