@@ -54,7 +54,8 @@ WORDS = 5
 SIMILARITY = 0.8
 DAMP = 0.25
 PARTS = 64                 # ranges of shingle hashes at least
-PART_BYTES = 8 << 20       # of text for each range
+PART_BYTES = 3 << 20       # of text for each range
+DEAL_BYTES = 1 << 20       # of text whose shingles are dealt out at once
 BANDS, ROWS = 10, 3
 SAMPLES = BANDS * ROWS
 PAIRS = SAMPLES // 2
@@ -110,7 +111,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """The rows of each run of equal ``group`` (sorted)."""
     rows: list[dict] = []
     for batch in batches:
-        for row in batch.to_pylist():
+        for at in range(batch.num_rows):
+            row = {c: batch.column(c)[at].as_py() for c in batch.schema.names}
             if rows and row["group"] != rows[0]["group"]:
                 yield rows
                 rows = []
@@ -129,7 +131,7 @@ def document_frequencies(docs: DataFrame) -> tuple[DataFrame, int]:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for number, batch in enumerate(slices(batches, "text")):
+        for number, batch in enumerate(slices(batches, "text", DEAL_BYTES)):
             row, key, _, _ = shingles(*buffer(batch.column("text")))
             if not len(key):
                 continue
