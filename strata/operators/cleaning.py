@@ -17,6 +17,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -176,21 +177,21 @@ def clean_csv_dir(spark: SparkSession, path: str, wanted: Sequence[str], glob: s
     ``multiline`` and ``split_bytes`` as in ``csv_files``.
     """
     wanted = list(wanted)
-    files = materialize(csv_files(spark, path, glob, recursive, multiline, split_bytes).select(
+    files = csv_files(spark, path, glob, recursive, multiline, split_bytes).select(
         F.col("path").alias("file"), "length", "names", "whole",
-        *[F.coalesce(F.array_position("names", w), F.lit(0)).cast("int").alias(f"_at{i}") for i, w in enumerate(wanted)]), "csv-files")
+        *[F.coalesce(F.array_position("names", w), F.lit(0)).cast("int").alias(f"_at{i}") for i, w in enumerate(wanted)])
     held = files.where("names IS NOT NULL")
-    n_files = held.count()
-    # the places where wanted columns stand, over all headers: bounded by the widest header
-    places = sorted({r[0] for r in held.select(F.explode(F.array_union(F.array(F.lit(1)), F.array(
-        *[F.col(f"_at{i}") for i in range(len(wanted))])))).distinct().collect() if r[0]}) or [1]
+    # the names of the files, as any scan needs them, and the places where wanted columns stand
+    listed = held.select("file", "whole", *[f"_at{i}" for i in range(len(wanted))]).toArrow()
+    n_files = listed.num_rows
+    places = sorted({p for i in range(len(wanted)) for p in pc.unique(listed.column(f"_at{i}")).to_pylist() if p}) or [1]
     # one column more than is read: the parser then picks columns by place, whatever a line's length
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(places[-1] + 1)])
     where = held.select(F.col("file").alias("_file"), *[f"_at{i}" for i in range(len(wanted))])
     where = F.broadcast(where) if n_files <= BROADCAST_FILES else where
     rows = spark.createDataFrame([], "file STRING" + "".join(f", `{w}` STRING" for w in wanted))
     for whole in (True, False):
-        members = [r.file for r in held.where(F.col("whole") == whole).select("file").collect()]  # as any scan needs them
+        members = listed.filter(pc.equal(listed.column("whole"), whole)).column("file").to_pylist()
         if not members:
             continue
         scan = (spark.read.schema(schema).option("header", True).option("multiLine", whole).option("escape", '"').csv(members)
