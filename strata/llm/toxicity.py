@@ -103,28 +103,32 @@ def segments(at: list[int], scores: list[float], drag: float = DRAG) -> list[tup
 
 
 def token_odds(learn: DataFrame) -> DataFrame:
-    """(token, toxic, other): distinct texts with the token or stem, by label."""
+    """(token, toxic, other): distinct texts with the token or stem, by label,
+    from rows (label, text, tied); each of ``tied`` equal rows is a part of one."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = [Counter(), Counter()]
+        counters: dict[tuple[int, int], Counter] = {}
         for batch in slices(batches, "text"):
             _, _, row, key, stem = tokens(*buffer(batch.column("text")))
             row, key = np.concatenate([row, row]), np.concatenate([key, stem])
-            label = batch.column("label").to_numpy()
+            label, tied = (batch.column(c).to_numpy() for c in ("label", "tied"))
             order = np.lexsort((key, row))
             row, key = row[order], key[order]
             once = np.ones(len(key), bool)
             once[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-            for k in (0, 1):
-                counters[k].add(key[once & (label[row] == k)])
-        for k, c in enumerate(counters):
+            for k, t in sorted(set(zip(label.tolist(), tied.tolist()))):
+                counters.setdefault((k, t), Counter()).add(key[once & ((label == k) & (tied == t))[row]])
+        for (k, t), c in counters.items():
             key, n = c.merge()
-            zero = np.zeros(len(n), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n if k else zero), pa.array(zero if k else n)],
+            zero = np.zeros(len(n))
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n / t if k else zero), pa.array(zero if k else n / t)],
                                              names=["token", "toxic", "other"])
 
-    return (learn.select("label", "text").mapInArrow(count, "token long, toxic long, other long")
-            .groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")))
+    def whole(side: str) -> Column:
+        return F.round(F.sum(side)).cast("long").alias(side)
+
+    return (learn.select("label", "text", F.col("tied").cast("long").alias("tied"))
+            .mapInArrow(count, "token long, toxic double, other double").groupBy("token").agg(whole("toxic"), whole("other")))
 
 
 def lexicon(odds: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
@@ -212,9 +216,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
     share = min(1.0, FIT_DOCS / max(1, marks.count()))
     chosen = F.crc32(F.md5(F.col("doc_id").cast("string").cast("binary")).cast("binary")) < share * 2**32
     # one id for each distinct labelled text: FIT_DOCS rows, so that texts needn't be shuffled
-    picked = (rows.where("fold IN (1, 2, 3)").where(chosen).select("doc_id", F.unhex(text_sha(F.col("text"))).alias("sha"))
-              .join(marks, "doc_id").groupBy("sha", "label").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "label").distinct())
-    learn = rows.join(F.broadcast(picked), "doc_id")
+    sha = F.unhex(text_sha(F.col("text")))
+    picked = (rows.where("fold IN (1, 2, 3)").where(chosen).select("doc_id", sha.alias("sha"))
+              .join(marks.distinct(), "doc_id").groupBy("sha", "label", "doc_id").agg(F.count("*").alias("tied"))
+              .groupBy("sha", "label").agg(F.min(F.struct("doc_id", "tied")).alias("one")).select("one.*", "sha", "label"))
+    # the id may stand on other texts too, and several times on this one
+    learn = rows.join(F.broadcast(picked), "doc_id").where(F.col("sha") == sha)
     keys, scores, lam = lexicon(scratch.table(token_odds(learn), "token-odds"))
     scratch.drop("token-odds")
     found = scratch.table(scan(rows, keys, scores), "segments")
