@@ -159,3 +159,38 @@ def test_large_buckets_are_compared(docs_of, monkeypatch, limits):
     for r in N.near_classes(docs_of(rows)).collect():
         classes.setdefault(r.class_id, set()).add(r.doc_id)
     assert {frozenset(v) for v in classes.values()} == {frozenset(v) for v in want.values()}
+
+
+def test_recall_where_buckets_are_split(docs_of, monkeypatch):
+    """Many small families of one template share buckets without being near
+    copies; beyond a few blocks such buckets are split by further samples."""
+    monkeypatch.setattr(N, "DAMP", 0.0)
+    monkeypatch.setattr(N, "BLOCK", 6)
+    monkeypatch.setattr(N, "SPLIT", 2)
+    splits, finer = [], N._finer
+    monkeypatch.setattr(N, "_finer", lambda members: splits.append(members.count()) or finer(members))
+    rng = np.random.default_rng(23)
+    base = make(rng, 1, vocab=10**6, size=200).split()
+
+    def edited(words, n):
+        words = list(words)
+        for at in rng.choice(len(words), n, replace=False):
+            words[at] = f"x{rng.integers(10**9)}"
+        return words
+
+    rows = []
+    for _ in range(45):
+        own = edited(base, int(rng.integers(6, 10)))
+        rows += [(len(rows) + k, " ".join(edited(own, int(rng.integers(0, 4))))) for k in range(int(rng.integers(2, 5)))]
+    bags = [grams(t) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if jaccard(bags[i], bags[j]) >= 0.8]
+    class_of = {r.doc_id: r.class_id for r in N.near_classes(docs_of(rows)).collect()}
+    found = np.mean([class_of[rows[i][0]] == class_of[rows[j][0]] for i, j in links])
+    print(f"{len(rows)} documents, {len(links)} pairs, members of split buckets {splits}, recall {found}")
+    assert len(splits) >= 2 and min(splits) > 50
+    roots, _ = brute(rows)
+    together = {}
+    for i, (doc_id, _) in enumerate(rows):
+        together.setdefault(class_of[doc_id], set()).add(roots[i])
+    assert all(len(r) == 1 for r in together.values())  # nothing is joined without links
+    assert found >= 0.99
