@@ -121,11 +121,12 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield rows
 
 
-def document_frequencies(docs: DataFrame) -> tuple[DataFrame, int]:
+def document_frequencies(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     """(sha, known, df): for each text with shingles that stand in more than
     one document their hashes and numbers of documents, as packed arrays, and
     the number of documents. The shingles of a slice of texts travel packed, a
-    row for each range of hashes."""
+    row for each range of hashes. The counts are a table of their own, so that
+    all shingles dealt out are off the disk when the counts travel back."""
     n_docs, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = max(PARTS, -(-size // PART_BYTES))
 
@@ -177,12 +178,15 @@ def document_frequencies(docs: DataFrame) -> tuple[DataFrame, int]:
                  *[pa.array([x[a:b].tobytes() for a, b in zip(first, last)], pa.binary()) for x in (key, df)]],
                 names=["sha", "known", "df"])
 
-    found = (docs.select("sha", "text").mapInArrow(deal, "group long, slice long, shas binary, steps binary, known binary")
-             .repartition("group").sortWithinPartitions("group")
-             .mapInArrow(count, "group long, shas binary, steps binary, known binary, df binary")
-             .repartition("group").sortWithinPartitions("group")
+    counted = scratch.table(
+        docs.select("sha", "text").mapInArrow(deal, "group long, slice long, shas binary, steps binary, known binary")
+        .repartition("group").sortWithinPartitions("group")
+        .mapInArrow(count, "group long, shas binary, steps binary, known binary, df binary"), "counted")
+    found = (counted.repartition("group").sortWithinPartitions("group")
              .mapInArrow(gather, "sha string, known binary, df binary"))
-    return found.dropDuplicates(["sha"]), n_docs
+    found = scratch.table(found.dropDuplicates(["sha"]), "frequencies")
+    scratch.drop("counted")
+    return found, n_docs
 
 
 def damped_idf(row: np.ndarray, key: np.ndarray, known: pa.Array, df: pa.Array, n_docs: int) -> np.ndarray:
@@ -467,8 +471,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_sha(F.col(text_col)).alias("sha"), F.col(text_col).cast("string").alias("text"))
-    found, n_docs = document_frequencies(rows)
-    found = scratch.table(found, "frequencies")
+    found, n_docs = document_frequencies(rows, scratch)
     sketches = scratch.table(sketch(rows.join(found, "sha", "left").select(*rows.columns, "known", "df"), n_docs), "sketches")
     roots = near_links(sketches, rows, found, n_docs, scratch)
     # texts without words are classes of their own, by id

@@ -194,3 +194,18 @@ def test_recall_where_buckets_are_split(docs_of, monkeypatch):
         together.setdefault(class_of[doc_id], set()).add(roots[i])
     assert all(len(r) == 1 for r in together.values())  # nothing is joined without links
     assert found >= 0.99
+
+
+def test_dealt_shingles_are_counted_once_and_go(docs_of, monkeypatch):
+    """The rows of all shingles pass one shuffle, and it is off the disk when the counts travel back."""
+    steps = {}
+
+    class Watched(N.Scratch):
+        def table(self, df, name):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            steps[name] = (len(re.findall(r"\bExchange hashpartitioning", plan)), "counted" in self.paths)
+            return super().table(df, name)
+
+    monkeypatch.setattr(N, "Scratch", Watched)
+    N.near_classes(docs_of(corpus()[:30])).collect()
+    assert steps["counted"] == (1, False) and steps["frequencies"] == (2, True) and steps["sketches"][1] is False
