@@ -219,7 +219,8 @@ def q_compact_in_place(spark, sf):
     """Many small files a folder, compacted where they are."""
     path = scratch_path(spark, "compact_in_place")
     orders = T(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
-    W.write(orders.repartition(12, "o_orderkey"), path, partition_by=["o_orderstatus"])
+    with W.open_writers(spark, 8):  # a folder for each of a few statuses
+        W.write(orders.repartition(12, "o_orderkey"), path, partition_by=["o_orderstatus"])
     CO.compact_in_place(spark, path)
     back = spark.read.parquet(path).withColumn("_file", F.col("_metadata.file_path"))
     return back.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").cast("long").alias("key_sum"),

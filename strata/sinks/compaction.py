@@ -3,7 +3,8 @@
 The small files of a folder, by name, are grouped where their running size
 passes a multiple of the target; a group of two or more becomes one file in
 the same folder. Files at or above the threshold, and files that stay alone,
-keep their names and times. Nothing but the chosen files is read.
+keep their names and times. Nothing but the chosen files is read. A task writes
+one group and doesn't sort its rows: its memory doesn't grow with the group.
 
 The work goes through ``_compaction`` in the table's folder, which readers
 don't see: the plan, the new files by group, and a mark once all are written.
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.session import delete_path, materialize, path_exists
+from strata.sinks.writers import open_writers, write
 from strata.sources import listing
 
 SMALL = 0.75          # of the target: larger files are left alone
@@ -62,13 +64,16 @@ def compact_in_place(spark: SparkSession, path: str, target_bytes: int = 128 <<
         mine = files.where(F.pmod(F.xxhash64("grp"), F.lit(batches)) == b).select("path", "grp").collect()
         if not mine:
             continue
-        names = spark.createDataFrame([(r.path, r.grp) for r in mine], "_path STRING, _grp STRING")
+        number = {g: k for k, g in enumerate(sorted({r.grp for r in mine}))}
+        names = spark.createDataFrame([(r.path, r.grp, number[r.grp]) for r in mine], "_path STRING, _grp STRING, _grp_number INT")
         read = spark.read.format(fmt)
         if fmt in ("parquet", "orc"):
             read = read.option("mergeSchema", True)  # files of one folder may differ in columns
         rows = read.load([r.path for r in mine]).withColumn("_path", listing.row_file())
-        (rows.join(F.broadcast(names), "_path").drop("_path")      # at most a batch of names
-         .repartition(len({r.grp for r in mine}), "_grp").write.mode("append").format(fmt).partitionBy("_grp").save(f"{work}/new"))
+        dealt = (rows.join(F.broadcast(names), "_path").drop("_path")      # at most a batch of names
+                 .repartitionById(len(number), "_grp_number").drop("_grp_number"))
+        with open_writers(spark, 2):  # a task has one group; its rows go to the file as they come
+            write(dealt, f"{work}/new", fmt, mode="append", partition_by=["_grp"])
     if total:
         spark.range(1).write.parquet(f"{work}/ready")
     summary = (files.groupBy("dir").agg(F.count(F.lit(1)).alias("files_before"), F.countDistinct("grp").alias("files_after"),

@@ -7,7 +7,8 @@ table (compaction, keyed load) write beside it and return the new path.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,20 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite
     return path
 
 
+@contextmanager
+def open_writers(spark: SparkSession, n: int) -> Iterator[None]:
+    """Partitioned writes in here keep a file open for each partition value of
+    a task instead of sorting the task's rows by it first. From ``n`` values in
+    one task on Spark sorts the rest as usual."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, str(max(n, int(was or 0))))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
 def cluster_for_write(df: DataFrame, keys: Sequence[str], n: int, spread: int = 1) -> DataFrame:
     """Hash-repartition by the partition keys before a partitioned write (K2).
 

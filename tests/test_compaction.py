@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata.sinks import compaction as C
+from strata.sinks.writers import open_writers
+from tests.events import EventLog, operators
 
 
 def files(path):
@@ -88,3 +90,29 @@ def test_a_compaction_that_died(spark, table, monkeypatch, ready):
 def test_other_storage_is_refused(spark):
     with pytest.raises(ValueError, match="compact"):
         C.compact_in_place(spark, "viewfs://x/y")
+
+
+@pytest.mark.parametrize("batch_files", [2, 10_000])
+def test_rows_of_a_group_are_not_sorted(spark, table, batch_files):
+    """Each group goes to its file through one task, which holds none of its rows."""
+    want, log, conf = rows(spark, table), EventLog(spark), spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    small = max(n for f, (_, n) in files(table).items() if "/p=a" in f and n < TARGET)
+    made = sum(r.files_after for r in C.compact_in_place(spark, table, 3 * small, batch_files=batch_files).collect())
+    writes = [p for p in log.plans().values() if "InsertIntoHadoopFsRelationCommand" in p and "/_compaction/new" in p]
+    assert writes and not any(name == "Sort" for p in writes for name, _ in operators(p))
+    new = [f for f in files(table) if "part-compacted" in f]
+    assert made == len(new) > 2 and rows(spark, table) == want
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == conf
+
+
+def test_open_writers(spark, tmp_path):
+    """Values beyond the open files are written all the same, and the setting goes back on an error."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    frame = spark.range(3000).select("id", F.when(F.col("id") % 10 > 0, F.col("id") % 10).alias("p")).coalesce(2)
+    with pytest.raises(KeyError), open_writers(spark, 3):
+        frame.write.partitionBy("p").parquet(f"{tmp_path}/t")
+        raise KeyError
+    back = spark.read.parquet(f"{tmp_path}/t").groupBy("p").count().collect()
+    assert {r.p for r in back} == {None, *range(1, 10)} and all(r["count"] == 300 for r in back)
+    assert spark.conf.get(key) == before
