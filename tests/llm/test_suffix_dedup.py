@@ -4,10 +4,12 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from strata.llm import gsaca
 from strata.llm import suffix_dedup as S
-from strata.llm.gsaca import suffix_array
+from strata.llm.gsaca import suffix_array, suffix_arrays
 
 
 def test_suffix_array_matches_sorting():
@@ -93,3 +95,36 @@ def test_hot_passage_between_different_texts_is_one_string(docs_of, monkeypatch,
     rows = [(k, prose(50) + passage + prose(50)) for k in range(40)]
     got = check(docs_of(rows), rows, 40)
     assert all(g[2] >= 60 for g in got)
+
+
+@pytest.mark.parametrize("cost", [0, 20])
+def test_texts_side_by_side_are_sorted_as_alone(monkeypatch, cost):
+    monkeypatch.setattr(gsaca, "STEP_COST", cost)
+    rng = random.Random(8)
+    for _ in range(25):
+        texts = [[rng.randint(0, rng.choice([1, 2, 5])) for _ in range(rng.randint(0, rng.choice([5, 60, 150])))] for _ in range(rng.randint(0, 40))]
+        texts += [[1] * rng.randint(0, 50), [0, 1] * rng.randint(0, 50), [0, 1, 2, 0, 1] * 20]
+        rng.shuffle(texts)
+        off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        got = suffix_arrays(np.array([c for t in texts for c in t], np.uint16), off).tolist()
+        assert got == [x for t in texts for x in suffix_array(t)]
+
+
+def test_all_strings_of_many_keys_are_sorted_side_by_side(monkeypatch):
+    """Copies of whole passages, too, are found in suffix arrays, and keys do not sort one by one."""
+    alone, together = [], []
+    one, many = gsaca.suffix_array, gsaca._side_by_side
+    monkeypatch.setattr(gsaca, "suffix_array", lambda text: alone.append(len(text)) or one(text))
+    monkeypatch.setattr(gsaca, "_side_by_side", lambda chars, size: together.append(len(size)) or many(chars, size))
+    rng = random.Random(12)
+    prose = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    keys, want = [], []
+    for k in range(300):
+        a, b, c = prose(60), prose(20), prose(60)
+        segs, copies = [([a], [2]), ([prose(30) + a, a + prose(30)], [1, 1]), ([a + b, b + c, b], [1, 1, 1])][k % 3]
+        keys.append(S.resolve(segs, copies, 20))
+        seen = Counter(s[i: i + 20] for s, n in zip(segs, copies) for _ in range(n) for i in range(len(s) - 19))
+        want.append([[seen[s[i: i + 20]] > 1 for i in range(len(s) - 19)] for s in segs])
+    got = S.repeated_windows(keys, 20)
+    assert [[hit.tolist() for hit in hits] for hits in got] == want
+    assert len(alone) < 10 and len(alone) + sum(together) >= 300 and len(together) == 1
