@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from strata.llm.common import Scratch, keep_chosen, text_sha
 from strata.llm.components import components
-from strata.llm.textops import Hasher, U, buffer, lookup, lower_ascii, mix, slices, words
+from strata.llm.textops import Hasher, HashTable, U, buffer, lower_ascii, mix, slices, words
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -67,6 +67,7 @@ SPLIT = 16                 # blocks of a bucket before it is split
 DEPTH = 2                  # splits before all blocks are compared
 COLUMNS = 1024             # of the shingle matrix at once
 TABLE = 1 << 16            # variates of each kind
+PIECE = 1 << 14            # shingles sampled at once
 
 _rng = np.random.default_rng(20170817)
 _R = _rng.gamma(2.0, 1.0, TABLE).astype(np.float32)
@@ -99,7 +100,9 @@ def shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     short = np.flatnonzero((count > 0) & (count < WORDS))
     row = np.concatenate([row[at], short])
     key = np.concatenate([key, node[short, 0]])
-    order = np.lexsort((key, row))
+    # by row, then key: rows are few, and 16 bits are sorted in linear time
+    order = np.argsort(key)
+    order = order[np.argsort(row[order].astype(np.uint16 if n <= 1 << 16 else np.int64), kind="stable")]
     row, key = row[order], key[order]
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
@@ -195,10 +198,11 @@ def damped_idf(row: np.ndarray, key: np.ndarray, known: pa.Array, df: pa.Array,
     data, off = buffer(known)
     owner = np.repeat(np.arange(len(off) - 1), np.diff(off) // 8)
     name = mix(data.view(U) ^ mix(owner.astype(U) + U(1)))
-    order = np.argsort(name)
-    place, hit = lookup(name[order], mix(key ^ mix(row.astype(U) + U(1))))
+    table = HashTable(name, buffer(df)[0].view("<u4"))
+    place = table.find(mix(key ^ mix(row.astype(U) + U(1))))
+    hit = place >= 0
     number = np.ones(len(key))
-    number[hit] = buffer(df)[0].view("<u4")[order[place[hit]]]
+    number[hit] = table.values[0][place[hit]]
     return np.log1p(n_docs / number) ** DAMP
 
 
@@ -209,18 +213,36 @@ def consistent_samples(row: np.ndarray, key: np.ndarray, weight: np.ndarray, n:
         return out
     first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
     ln_w = np.log(weight).astype(np.float32)
-    here = np.arange(len(row), dtype=U)
+    # whole rows, few enough for all arrays of a sample to stay in the processor's cache
+    cut = np.unique(np.searchsorted(first, np.arange(0, len(row), PIECE)))
+    cut = np.append(cut[cut < len(first)], len(first))
+    first = np.append(first, len(row))
+    here = np.arange(int(np.diff(first[cut]).max()))
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        low, high = int(first[a]), int(first[b])
+        _sample(out, row[first[a:b]], key[low:high], ln_w[low:high], first[a:b] - low, here[: high - low])
+    return out
+
+
+def _sample(out: np.ndarray, rows: np.ndarray, key: np.ndarray, ln_w: np.ndarray, first: np.ndarray, here: np.ndarray) -> None:
+    """The samples of ``rows``, whose shingles begin at ``first``, go to ``out``."""
     for k in range(SAMPLES):
         g = key * U(_ODD[k])  # the keys are mixed already
-        r, b = _R[(g >> U(48)).astype(np.int32)], _B[(g >> U(32) & U(0xFFFF)).astype(np.int32)]
-        t = np.floor(ln_w / r + b)
-        a = _LN_C[(g >> U(16) & U(0xFFFF)).astype(np.int32)] - r * (t - b + np.float32(1))
-        bits = a.view(np.int32)
-        bits = (bits ^ ((bits >> 31) & 0x7FFFFFFF)).astype(np.int64) + (1 << 31)  # in the order of a
-        best = np.minimum.reduceat(bits.astype(U) << U(32) | here, first) & U(0xFFFFFFFF)
-        best = best.astype(np.int64)
-        out[k, row[first]] = (mix(g[best] + t[best].astype(np.int64).astype(U)) >> U(32)).astype(np.uint32) | np.uint32(1)
-    return out
+        r = _R.take((g >> U(48)).view(np.int64), mode="wrap")
+        b = _B.take((g >> U(32) & U(0xFFFF)).view(np.int64), mode="wrap")
+        t = ln_w / r
+        t += b
+        np.floor(t, out=t)
+        b -= t
+        b -= np.float32(1)
+        b *= r
+        b += _LN_C.take((g >> U(16) & U(0xFFFF)).view(np.int64), mode="wrap")
+        bits = b.view(np.int32)
+        bits = (bits ^ ((bits >> 31) & 0x7FFFFFFF)).astype(np.int64)  # in the order of b
+        bits <<= 32
+        bits |= here
+        best = np.minimum.reduceat(bits, first) & 0xFFFFFFFF
+        out[k, rows] = (mix(g[best] + t[best].astype(np.int64).astype(U)) >> U(32)).astype(np.uint32) | np.uint32(1)
 
 
 def sketch(docs: DataFrame, n_docs: int) -> DataFrame:

@@ -108,6 +108,45 @@ def test_samples_agree_as_often_as_similar():
     assert np.corrcoef(hits, truth)[0, 1] > 0.6
 
 
+@pytest.mark.parametrize("piece", [1, 50, 1 << 14])
+def test_samples_are_taken_in_pieces_of_whole_rows(monkeypatch, piece):
+    """Row by row the smallest variate names the sample, and no array of a step is longer than a piece and a row."""
+    monkeypatch.setattr(N, "PIECE", piece)
+    seen, part = [], N._sample
+    monkeypatch.setattr(N, "_sample", lambda out, rows, key, *rest: seen.append(len(key)) or part(out, rows, key, *rest))
+    rng = np.random.default_rng(3)
+    size = rng.integers(0, 40, 30)
+    row = np.repeat(np.arange(30), size)
+    key, weight = rng.integers(0, 2**64, len(row), dtype=np.uint64), rng.uniform(0.5, 4, len(row))
+    got = N.consistent_samples(row, key, weight, 30)
+    assert sum(seen) == len(row) and max(seen) <= piece + max(size)
+    for k in range(N.SAMPLES):
+        for r in range(30):
+            mine = np.flatnonzero(row == r)
+            if not len(mine):
+                assert got[k, r] == 0
+                continue
+            g = key[mine] * np.uint64(N._ODD[k])
+            one, two, three = ((g >> np.uint64(16 * lane) & np.uint64(0xFFFF)).astype(int) for lane in (3, 2, 1))
+            t = np.floor(np.log(weight[mine]).astype(np.float32) / N._R[one] + N._B[two])
+            best = np.argmin(N._LN_C[three] - N._R[one] * (t - N._B[two] + np.float32(1)))
+            name = N.mix(g[best: best + 1] + np.uint64(int(t[best]) % 2**64))
+            assert got[k, r] == int(name[0] >> np.uint64(32)) | 1
+
+
+def test_weights_of_shingles_are_looked_up_in_their_row():
+    rng = np.random.default_rng(4)
+    row = np.repeat(np.arange(20), 30)
+    key = rng.integers(0, 9, len(row)).astype(np.uint64) + np.uint64(10) * np.arange(len(row)).astype(np.uint64)
+    many = [{int(x): int(rng.integers(2, 50)) for x in rng.permutation(key[row == r])[: r]} for r in range(20)]
+    known = pa.array([np.array(list(m), np.uint64).tobytes() or None for m in many], pa.binary())
+    df = pa.array([np.array(list(m.values()), "<u4").tobytes() or None for m in many], pa.binary())
+    number = np.array([many[r].get(int(x), 1) for r, x in zip(row, key)])
+    assert N.damped_idf(row, key, known, df, 100).tolist() == (np.log1p(100 / number) ** N.DAMP).tolist()
+    assert N.damped_idf(row[:0], key[:0], known[:0], df[:0], 100).tolist() == []
+    assert set(N.damped_idf(row, key, known[:1].take(pa.array([0] * 20)), df[:1].take(pa.array([0] * 20)), 100)) == {np.log1p(100.0) ** N.DAMP}
+
+
 def test_shingles():
     texts = ["a b c d e f", None, "A b", "a  b\n", "x x x x x x x"]
     row, key, tf, node = N.shingles(*buffer(pa.array(texts)))
